@@ -35,6 +35,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> SparkSession:
+    """Have Spark hand at most ``rows`` texts at once to Python: Arrow batches are limited by rows only, and texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(rows))
+    return spark
+
+
+def filesystem(uri: str):
+    """(file system, path) of a shared folder, for tasks that write or read files there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if ":" in uri.split("/")[0] else (fs.LocalFileSystem(), uri)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends there, lost executors cost nothing."""
     spark = df.sparkSession

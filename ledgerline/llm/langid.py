@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, small_batches
 
 TOP = 400
 EDGE = np.uint64(1)  # boundary mark; letters are their code points, all above 1
@@ -125,6 +125,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", top
                     held, size = {}, 0
         yield from rows()
 
+    small_batches(labelled.sparkSession)
     used = labelled.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     counts = used.mapInPandas(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
@@ -137,7 +138,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", top
 
 def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", out: str = "language") -> DataFrame:
     """All rows of ``docs`` with a struct column ``out`` (lang_pred, score); a column of that name is replaced."""
-    model = docs.sparkSession.sparkContext.broadcast(profiles)  # at most max_languages x top ranks
+    model = small_batches(docs.sparkSession).sparkContext.broadcast(profiles)  # at most max_languages x top ranks
 
     @F.pandas_udf("lang_pred string, score double")
     def judge(text: pd.Series) -> pd.DataFrame:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, small_batches
 
 BITS, BANDS, SEED = 64, 4, 42
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -44,6 +44,8 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
 def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 3, out: str = "fp") -> DataFrame:
     """All rows of ``docs`` with their fingerprint as a bigint column ``out``; null and blank texts have 0."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("bigint")
     def prints(text: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, shingle) for t in text], dtype="int64")

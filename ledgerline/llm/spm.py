@@ -9,11 +9,15 @@ cut before marks: the cuts can't change the result, they bound memory and let th
 from __future__ import annotations
 
 import os
+import zlib
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MAX_MODEL_BYTES = 64 << 20
@@ -133,6 +137,7 @@ class Codec:
 
 
 _CODECS: dict[str, Codec] = {}
+_REFERENCE: dict = {}
 
 
 def codec(built: dict, threads: int) -> Codec:
@@ -145,9 +150,10 @@ def differing(model: bytes, built: dict, texts) -> list[str]:
     """Texts that the reference encoder encodes in another way."""
     import sentencepiece
 
-    theirs = sentencepiece.SentencePieceProcessor(model_proto=model)
-    own = Codec(built)
-    return [t for t, ids in zip(texts, own.encode(texts)) if list(theirs.encode(t)) != ids]
+    if model not in _REFERENCE:
+        _REFERENCE[model] = sentencepiece.SentencePieceProcessor(model_proto=model)
+    own = codec(built, 2)
+    return [t for t, ids in zip(texts, own.encode(texts)) if list(_REFERENCE[model].encode(t)) != ids]
 
 
 def public_model() -> str:
@@ -167,20 +173,25 @@ def encode_documents(docs: DataFrame, model: bytes, text_col: str = "text", out:
     built = rebuild(model)
     if bad := differing(model, built, PROBES):
         raise ValueError(f"the rebuilt model differs on {bad[:3]}")
-    sent = docs.sparkSession.sparkContext.broadcast({"built": built, "model": model})
-
-    @F.pandas_udf("ids array<int>, n_ids int, round_trip boolean")
-    def run(text: pd.Series) -> pd.DataFrame:
-        import zlib
+    sent = small_batches(docs.sparkSession).sparkContext.broadcast({"built": built, "model": model})
 
-        texts = list(text)
+    @F.arrow_udf("ids array<int>, n_ids int, round_trip boolean")
+    def run(text: pa.Array) -> pa.Array:
         own = codec(sent.value["built"], threads)
-        ids = own.encode(texts)
-        back = own.decode(ids)
-        probe = [t for t in texts if t is not None and verify_every and zlib.crc32(t.encode("utf-8", "surrogatepass")) % verify_every == 0]
-        if probe and (bad := differing(sent.value["model"], sent.value["built"], probe)):
-            raise ValueError(f"encoded in another way than by the reference encoder: {bad[0][:200]!r}")
-        return pd.DataFrame({"ids": ids, "n_ids": pd.Series([None if x is None else len(x) for x in ids], dtype="Int32"), "round_trip": pd.Series([None if t is None else t == b for t, b in zip(texts, back)], dtype=object)})
+        ids, same = [], []
+        for k in range(0, len(text), 64):  # Python's integers are large: a few texts at a time, then arrays
+            texts = text.slice(k, 64).to_pylist()
+            some = own.encode(texts)
+            probe = [t for t in texts if t is not None and verify_every and zlib.crc32(t.encode("utf-8", "surrogatepass")) % verify_every == 0]
+            if probe and (bad := differing(sent.value["model"], sent.value["built"], probe)):
+                raise ValueError(f"encoded in another way than by the reference encoder: {bad[0][:200]!r}")
+            same += [None if t is None else t == b for t, b in zip(texts, own.decode(some))]
+            ids += [None if x is None else np.array(x, np.int32) for x in some]
+        sizes = np.array([0 if x is None else len(x) for x in ids], np.int32)
+        ends = pa.array(np.r_[np.int32(0), np.cumsum(sizes, dtype=np.int32)], pa.int32(), mask=np.array([x is None for x in ids] + [False]))
+        lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x for x in ids if x is not None] or [np.empty(0, np.int32)]), pa.int32()))
+        counts = pa.array(sizes, pa.int32(), mask=np.array([x is None for x in ids], bool))
+        return pa.StructArray.from_arrays([lists, counts, pa.array(same, pa.bool_())], ["ids", "n_ids", "round_trip"])
 
     return docs.withColumn(out, run(F.col(text_col)))
 
@@ -189,9 +200,9 @@ def decode_documents(encoded: DataFrame, model: bytes, ids_col: str = "ids", out
     """All rows with their ids decoded to a text column; null ids give null."""
     sent = encoded.sparkSession.sparkContext.broadcast(rebuild(model))
 
-    @F.pandas_udf("string")
-    def run(ids: pd.Series) -> pd.Series:
-        return pd.Series(codec(sent.value, 2).decode(list(ids)), dtype=object)
+    @F.arrow_udf("string")
+    def run(ids: pa.Array) -> pa.Array:
+        return pa.array(codec(sent.value, 2).decode(ids.to_pylist()), pa.string())
 
     return encoded.withColumn(out, run(F.col(ids_col)))
 
