@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, simhash, spm, urlfilter
+from . import ann, kdtopk, langid, lm, mixing, simhash, spm, toolcalls, urlfilter, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op2_mixing": mixing.op2_mixing,
+    "op3_one_bit_ann": ann.op3_one_bit_ann,
+    "op4_kd_topk": kdtopk.op4_kd_topk,
     "op5_simhash": simhash.op5_simhash,
+    "op6_lm_scoring": lm.op6_lm_scoring,
+    "op7_tool_calls": toolcalls.op7_tool_calls,
     "op8_sentencepiece": spm.op8_sentencepiece,
     "op9_language_id": langid.op9_language_id,
     "op10_url_filters": urlfilter.op10_url_filters,
 }
 
 ORACLES = {
+    "op1_warc": warc.OP1_SQL,
     "op2_mixing": mixing.OP2_SQL,
+    "op4_kd_topk": kdtopk.OP4_SQL,
+    "op7_tool_calls": toolcalls.OP7_SQL,
     "op10_url_filters": urlfilter.OP10_SQL,
 }
