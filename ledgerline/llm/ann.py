@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import deal, nearest, unique_rows, usable
+from .vectors import deal, nearest, sides, usable
 
 FOUND = "query_id bigint, vec_id bigint, score double"
 
@@ -112,16 +112,8 @@ def search_rows(vectors: DataFrame, queries: DataFrame, k: int = 5, eps: float =
     rows, asked = valid(vectors), valid(queries)
 
     def task(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        asks = pdf["is_query"].to_numpy(bool)
-        sides = []
-        for side in (pdf[~asks], pdf[asks]):
-            ids = side["vec_id"].to_numpy(np.int64)
-            x = np.array(side["vector"].tolist(), np.float64).reshape(len(side), -1)
-            pick = unique_rows(ids, x) if len(ids) else []
-            sides += [ids[pick], x[pick]]
-        if not len(sides[0]) or not len(sides[2]):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), search(*sides, k, eps))))
+        found = (both := sides(pdf, np.float64)) and search(*both, k, eps)
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found or ([], [], []))))
 
     dealt = deal(rows, asked, vectors.count(), queries.count(), block_rows, query_rows, [])
     return nearest(dealt.groupBy("dim", "block", "part").applyInPandas(task, FOUND), k)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .vectors import deal, nearest, unique_rows, usable
+from .vectors import deal, nearest, sides, usable
 
 FOUND = "query_id bigint, vec_id bigint, score bigint"
 LOW = np.int64(np.iinfo(np.int64).min)
@@ -63,8 +63,12 @@ def search(tree: Tree, query_ids: np.ndarray, q: np.ndarray, floor: np.ndarray,
         best = front[np.arange(n), node]
         kth = np.maximum(scores[:, -1], floor)
         tie = (best == kth) & (scores[:, -1] == kth) & (tree.least[node] > ids[:, -1])  # equal scores, but larger ids only
+        tie &= best > -np.inf
+        front[tie, node[tie]] = -np.inf
         live = np.flatnonzero((best >= kth) & (best > -np.inf) & ~tie)
         if not len(live):
+            if tie.any():
+                continue
             return scores, ids
         front[live, node[live]] = -np.inf
         live = live[np.argsort(node[live], kind="stable")]
@@ -88,25 +92,21 @@ def search(tree: Tree, query_ids: np.ndarray, q: np.ndarray, floor: np.ndarray,
                 own, got = tree.ids[s:e][col], np.take_along_axis(got, col, axis=1)
             else:
                 own = np.broadcast_to(tree.ids[s:e], got.shape)
-            new = np.where(np.isnan(got) | (got < floor[rows][:, None]), float(LOW), got)
-            new = np.where(new == float(LOW), LOW, new.astype(np.int64) if new.dtype != object else new)
-            all_s = np.concatenate((scores[rows], new.astype(np.int64)), axis=1)
+            new = np.where(np.isnan(got) | (got < floor[rows][:, None]), float(LOW), got).astype(np.int64)
+            all_s = np.concatenate((scores[rows], new), axis=1)
             all_i = np.concatenate((ids[rows], np.where(new == LOW, np.iinfo(np.int64).max, own)), axis=1)
-            pick = np.lexsort((all_i, -all_s.astype(np.float64) if np.abs(new[new != LOW]).max(initial=0) < 2**52 else -all_s), axis=1)[:, :k]
+            pick = np.lexsort((all_i, -all_s.astype(np.float64)), axis=1)[:, :k]
             scores[rows], ids[rows] = np.take_along_axis(all_s, pick, axis=1), np.take_along_axis(all_i, pick, axis=1)
 
 
 def _task(k: int, leaf: int, step: int):
     def task(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        asks = pdf["is_query"].to_numpy(bool)
-        ids, q_ids = pdf.loc[~asks, "vec_id"].to_numpy(np.int64), pdf.loc[asks, "vec_id"].to_numpy(np.int64)
-        x, q = (np.array(pdf.loc[m, "vector"].tolist(), np.int64).reshape(int(m.sum()), -1) for m in (~asks, asks))
-        empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        if not len(ids) or not len(q_ids):
-            return empty
-        pick, q_pick = unique_rows(ids, x), unique_rows(q_ids, q)
-        ids, x, q_ids, q = ids[pick], x[pick], q_ids[q_pick], q[q_pick]
-        floor = pdf.loc[asks, "floor"].to_numpy("float64")[q_pick]
+        both = sides(pdf, np.int64)
+        if both is None:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        ids, x, q_ids, q = both
+        floors = pdf.loc[pdf["is_query"], ["vec_id", "floor"]].drop_duplicates("vec_id").sort_values("vec_id")  # by id, as the queries
+        floor = floors["floor"].to_numpy("float64")
         # doubles hold integers below 2^53 exactly, sums of products included; above that, Python's integers
         exact = float(np.abs(x.astype(np.float64)).max(initial=0)) * float(np.abs(q.astype(np.float64)).max(initial=0)) * max(1, x.shape[1]) < 2**53
         if not exact:
@@ -125,10 +125,11 @@ def _task(k: int, leaf: int, step: int):
 
 def brute(ids, x, q_ids, q, k):
     """For components so large that doubles aren't exact: all products in Python's integers; scores beyond 64 bits become the nearest 64-bit integer."""
+    near = lambda s: max(-(2**63), min(2**63 - 1, s))
     rows = []
     for i, v in zip(q_ids.tolist(), q.tolist()):
-        best = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in zip(ids.tolist(), x.tolist()) if j != i)[:k]
-        rows += [(i, j, max(-(2**63), min(2**63 - 1, -s))) for s, j in best]
+        best = sorted((-near(sum(a * b for a, b in zip(v, w))), j) for j, w in zip(ids.tolist(), x.tolist()) if j != i)[:k]
+        rows += [(i, j, -s) for s, j in best]
     return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
 

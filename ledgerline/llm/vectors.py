@@ -35,6 +35,19 @@ def unique_rows(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
     return order[np.r_[True, np.diff(ids[order]) != 0]]
 
 
+def sides(pdf, kind):
+    """(ids, vectors, query ids, query vectors) of a dealt group, one row for each id; None where a side is empty."""
+    asks = pdf["is_query"].to_numpy(bool)
+    if asks.all() or not asks.any():
+        return None
+    out = []
+    for side in (pdf[~asks], pdf[asks]):
+        ids, x = side["vec_id"].to_numpy(np.int64), np.array(side["vector"].tolist(), kind).reshape(len(side), side["dim"].iloc[0])
+        pick = unique_rows(ids, x)
+        out += [ids[pick], x[pick]]
+    return out
+
+
 def nearest(found: DataFrame, k: int) -> DataFrame:
     """found(query_id, vec_id, score) -> the k best of each query with their rank; ties to the smaller vec_id."""
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
