@@ -6,7 +6,7 @@ documents, against counts of the rest; counts for scoring are those of all train
 
 Tokens are the lower-cased words (A-Z only) and one end mark a document, which is also the context of its first word.
 
-How it runs: a task cuts its documents into shards of some 16 MB of text, numbers a shard's words, and writes the numbered
+How it runs: a task cuts its documents into shards of some 8 MB of text, numbers a shard's words, and writes the numbered
 tokens to the shared folder. To the shuffle go only a shard's distinct words and word pairs, packed by the part of
 the key space that counts them; each part sums its keys and answers with the totals in the order in which they were
 asked for. Answers go back to their shard, whose tokens are read from the shared folder; texts and tokens
@@ -219,7 +219,7 @@ def _score(out_dir: str, parts: int, n: int, types: int, weights: np.ndarray):
     return score
 
 
-def score_documents(docs: DataFrame, held_out: Column, deleted: Column, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 16 << 20, part_bytes: int = 4 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, deleted: Column, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 8 << 20, part_bytes: int = 4 << 20) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10, whole texts).
 
     The model learns from documents that aren't ``held_out``; its weights from those of them that are ``deleted``.
