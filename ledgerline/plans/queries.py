@@ -277,7 +277,7 @@ def _noisy(spark, sf_dir):
     rows = rows.withColumn("posting_seq", posted)
     first = F.col("posting_seq") == 1  # nothing before it could put a noisy first row right
     noise = F.when(~first & (F.col("row_no") % 5 == 0), "7\n").otherwise("")
-    return rows.withColumns({"raw_amount": F.concat(sign, F.when(~first & (F.col("row_no") % 4 == 0), "3").otherwise(""), F.format_number(F.abs("true_amount"), 2)), "raw_balance": F.concat(noise, F.format_number("true_balance", 2))})
+    return rows.withColumns({"raw_amount": F.concat(sign, F.when(~first & (F.col("row_no") % 4 == 0), "9").otherwise(""), F.format_number(F.abs("true_amount"), 2)), "raw_balance": F.concat(noise, F.format_number("true_balance", 2))})
 
 
 @query(f"WITH {ORDERS_SQL}, t AS (SELECT *, CAST(sum(income - expense) OVER (PARTITION BY account_no ORDER BY seq) + 4000000 AS DECIMAL(18,2)) AS b FROM ledger WHERE NOT neutral) SELECT account_no, count(*) AS \"rows\", count(*) FILTER (true) AS right_rows FROM t GROUP BY account_no")
