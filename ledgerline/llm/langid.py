@@ -110,6 +110,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", top
         def rows():
             for lang, parts in held.items():
                 grams, counts = merged(parts)
+                if not len(grams):
+                    continue
                 yield pd.DataFrame({"lang": [lang] * len(grams), "gram": grams.astype(np.int64), "n": counts})
 
         for pdf in batches:

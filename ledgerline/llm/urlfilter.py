@@ -32,7 +32,9 @@ class UrlTrie:
                 node = node.setdefault(label, {})
             entry = (action, host + path)
             if not path:
-                node.setdefault(None, {}).setdefault(None, {})[""] = entry if action == "block" else node[None].get(None, {}).get("", entry)
+                ends = node.setdefault(None, {}).setdefault(None, {})
+                if action == "block" or "" not in ends:
+                    ends[""] = entry
                 continue
             if not path.startswith("/"):
                 continue  # no url path starts like that
