@@ -86,7 +86,8 @@ def month_range(text: str) -> tuple[str | None, str | None]:
     text = text.strip().lower()
     if text in ("", "all", "全部"):
         return None, None
-    found = re.findall(r"(\d{4}|\d{2})\s*[年./-]\s*(\d{1,2})", text) or [(x[:-2], x[-2:]) for x in re.findall(r"(?<!\d)(\d{6}|\d{4})(?!\d)", text)]
+    whole = re.fullmatch(r"(\d{6}|\d{4})(?:\s*[-~至]\s*(\d{6}|\d{4}))?", text)
+    found = [(x[:-2], x[-2:]) for x in whole.groups() if x] if whole else re.findall(r"(\d{4}|\d{2})\s*[年./-]\s*(\d{1,2})", text)
     months = [f"{int(y) + 2000 * (len(y) == 2):04d}-{int(m):02d}" for y, m in found]
     if not months or len(months) > 2 or any(not 1 <= int(m[5:]) <= 12 for m in months):
         raise ValueError(f"not a range of months: {text!r}")

@@ -103,8 +103,14 @@ def last_months(ledger: DataFrame, n: int = MONTHS, keys=()) -> DataFrame:
     return months.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("month")))).filter(F.col("_r") <= n).drop("_r")
 
 
+def with_flow(ledger: DataFrame) -> DataFrame:
+    """Rows without a flow type are personal."""
+    return ledger.withColumn("flow_type", F.coalesce("flow_type", F.lit("personal")))
+
+
 def income_block(ledger: DataFrame, n: int = MONTHS) -> DataFrame:
     """Observed income by flow over its last six months: totals and averages, in tens of thousands, and latest balance."""
+    ledger = with_flow(ledger)
     recent = last_months(ledger, n, ["flow_type"])
     rows = ledger.withColumn("month", month_key(F.col("transaction_time"))).join(recent, ["flow_type", "month"], "left_semi")
     totals = rows.groupBy("flow_type").agg(*[c.alias(k) for k, c in counting().items()], F.count_distinct("month").alias("months"))
@@ -126,6 +132,7 @@ def salary_block(ledger: DataFrame, salary: Column, n: int = MONTHS) -> DataFram
 
 def income_document(ledger: DataFrame) -> DataFrame:
     """One JSON text a flow with its figures and accounts; personal fields stay blank for the clerk."""
+    ledger = with_flow(ledger)
     accounts = ledger.filter("account_no IS NOT NULL").groupBy("flow_type").agg(F.slice(F.array_sort(F.collect_set("account_no")), 1, 5).alias("account_list"))
     doc = income_block(ledger).join(accounts, "flow_type", "left")
     return doc.select("flow_type", F.to_json(F.struct(F.lit("").alias("applicant"), *[c for c in doc.columns])).alias("document"))
