@@ -130,6 +130,12 @@ def salary_block(ledger: DataFrame, salary: Column, n: int = MONTHS) -> DataFram
     return kept.groupBy("account_no").agg(F.count_if("_salary").alias("salary_rows"), F.coalesce(F.sum(F.when(F.col("_salary"), F.col("income"))), F.lit(0)).cast(MONEY).alias("salary_income"), F.sum("expense").cast(MONEY).alias("expense_sum"), F.count_distinct("month").alias("months")).withColumn("monthly_average", half_up(F.col("salary_income") / n))
 
 
+def salary_detail(ledger: DataFrame, salary: Column) -> DataFrame:
+    """Salary rows by account and month; the mean by month seen is income over rows of this table."""
+    rows = ledger.filter(salary).withColumn("month", month_key(F.col("transaction_time")))
+    return rows.groupBy("account_no", "month").agg(F.sum("income").cast(MONEY).alias("income"), F.count("*").alias("rows"))
+
+
 def income_document(ledger: DataFrame) -> DataFrame:
     """One JSON text a flow with its figures and accounts; personal fields stay blank for the clerk."""
     ledger = with_flow(ledger)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions import money, text
 from ledgerline.functions.money import MONEY, zero
 from ledgerline.operators import chain, dedupe, detect, filters, ordering, parse, quality, scenario, sequence, summary, verify
-from ledgerline.sources.ledgers import EVENTS_SQL, FILES_SQL, ORDERS_SQL, events_ledger, orders_ledger, overlapping_files
+from ledgerline.sources.ledgers import EVENTS_SQL, FILES_SQL, ORDERS_SQL, events_ledger, orders_ledger, overlapping_files, with_defaults
 
 QUERIES, SQL = {}, {}
 
@@ -262,9 +262,15 @@ def segment_order(spark, sf_dir):
     return got.groupBy("account_no").agg(F.count_if("balance_segment_start").cast("int").alias("segments"), F.count("*").alias("rows"))
 
 
-@query(_TRUE.replace("bal0 AS balance FROM t", "bal0 AS balance FROM t"))
+@query(_TRUE)
 def linked_order(spark, sf_dir):
-    return sequence.greedy_order(_shuffled_days(spark, sf_dir), newest_first=False, stop_at_miss=False).select("account_no", "statement_order", "balance")
+    rows = _shuffled_days(spark, sf_dir)
+    # an opening row a month before, so that the first link is proven, too
+    opening = rows.groupBy("account_no").agg(F.add_months(F.min("transaction_time"), -1).cast("timestamp").alias("transaction_time"))
+    opening = with_defaults(opening.withColumns({"balance": F.lit(10000).cast(MONEY), "row_no": F.lit(0).cast("bigint")}))
+    both = rows.select(*opening.columns).unionByName(opening)
+    got = sequence.greedy_order(both, newest_first=False, stop_at_miss=True).filter("statement_order > 1")
+    return got.select("account_no", (F.col("statement_order") - 1).alias("statement_order"), "balance")
 
 
 def _noisy(spark, sf_dir):
@@ -773,3 +779,106 @@ def flow_types(spark, sf_dir):
     return quality.counts_by(df, "flow_type")
 
 
+
+
+@query("SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS cleaned, o_orderkey % 2 = 0 AS reliable, " + _up("CAST(o_totalprice AS DECIMAL(18,2))", 10000) + " AS wan, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 100 END AS DECIMAL(18,2)) AS percent, true AS suffix, o_orderkey % 2 = 0 AS inside FROM orders")
+def money_formats(spark, sf_dir):
+    p = F.col("o_totalprice").cast(MONEY)
+    even = F.col("o_orderkey") % 2 == 0
+    raw = F.when(even, F.format_number(p, 2)).otherwise(F.concat(F.lit("x "), p.cast("string"), F.lit(" y")))
+    percent = F.when(F.col("o_orderkey") % 3 == 0, "n/a").otherwise(F.concat((F.col("o_orderkey") % 100).cast("string"), F.lit(" %")))
+    digits = F.when(even, F.concat(F.lit("9"), money.cents_text(p), F.lit("9"))).otherwise(F.reverse(F.concat(money.cents_text(p), F.lit("x"))))
+    return table(spark, sf_dir, "orders").select("o_orderkey", money.clean_number(raw).alias("cleaned"), money.balance_with_trust(raw)["reliable"].alias("reliable"), money.in_ten_thousands(p).alias("wan"), money.non_negative(percent).alias("percent"), money.is_suffix((p + 9000000).cast(MONEY), p).alias("suffix"), (money.is_subsequence(money.cents_text(p), digits) & even).alias("inside"))
+
+
+@query("SELECT c_custkey, c_custkey % 2 = 0 AS salary, 'a b' AS cell, CAST(c_custkey AS VARCHAR) AS account, c_name AS bank, c_custkey % 3 <> 0 AS fuzzy FROM customer")
+def text_cells(spark, sf_dir):
+    k = F.col("c_custkey")
+    fields = F.array(F.lit("日期"), F.when(k % 2 == 0, "代发工资").otherwise("工资退款"))
+    cells = F.array(F.lit("账号"), k.cast("string"), F.lit("x"))
+    fuzzy = F.when(k % 3 != 0, "农..村.商").otherwise("商村农")
+    return table(spark, sf_dir, "customer").select("c_custkey", text.is_salary(F.lit("x"), fields).alias("salary"), text.clean_cell(F.lit(" a　\n b ")).alias("cell"), text.right_of(cells, "账号").alias("account"), text.bank_name(F.concat("c_name", F.lit("股份有限公司流水"))).alias("bank"), text.ordered_chars(fuzzy, "农村商").alias("fuzzy"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, strftime(o_orderdate, '%Y.%m') AS shown, 23 AS hour FROM orders")
+def clock_formats(spark, sf_dir):
+    d = F.col("o_orderdate").cast("timestamp")
+    broken = text.joined_timestamp(F.concat(F.date_format(d, "yyyy"), F.lit(" x-"), F.date_format(d, "MM-dd"), F.lit("\n10:20:30")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.to_date(broken).alias("day"), text.month_shown(text.month_key(d)).alias("shown"), F.hour(text.end_of_day(d)).alias("hour"))
+
+
+@query(f"WITH {EVENTS_SQL} SELECT account_no, row_no FROM ledger WHERE ts >= TIMESTAMP '2024-01-03 12:00:00' AND raw_text NOT LIKE '%view%' AND row_no % 4 <> 0 AND strftime(ts, '%Y-%m') IN ('2024-01', '2024-02')")
+def row_filters(spark, sf_dir):
+    from datetime import datetime
+
+    rows = filters.between_times(events_ledger(spark, sf_dir), first=datetime(2024, 1, 3, 12))
+    rows = filters.without_words(rows, ["view"]).withColumn("currency", F.when(F.col("row_no") % 4 == 0, "USD"))
+    rows = filters.months(filters.currency(rows), "2024-01", "2024-03")
+    wanted = spark.createDataFrame([("2024-01",), ("2024-02",)], "month string")
+    return filters.month_set(rows, wanted).select("account_no", "row_no")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0")
+def shaped_rows(spark, sf_dir):
+    k = F.col("o_orderkey")
+    cells = F.when(k % 2 == 0, F.array(k.cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd"))).otherwise(F.array(k.cast("string")))
+    return filters.shaped(table(spark, sf_dir, "orders").withColumn("cells", cells), 2, {0: r"^\d+$", 1: r"^\d{4}-"}).select("o_orderkey")
+
+
+@query(f"WITH {FILES_SQL} SELECT account_no, row_no, CASE WHEN row_no % 3 <> 1 THEN 'b' ELSE 'a' END AS source_file FROM ledger")
+def later_extraction_wins(spark, sf_dir):
+    both = overlapping_files(spark, sf_dir)
+    keys = ["account_no", "row_no"]
+    return dedupe.later_wins(both.filter("source_file = 'a'"), both.filter("source_file = 'b'"), keys).select("account_no", "row_no", "source_file")
+
+
+@query(f"WITH {FILES_SQL}, d AS (SELECT *, row_number() OVER (PARTITION BY row_no, CAST(ts AS DATE), income, expense, balance ORDER BY source_file) AS n FROM files) SELECT row_no, count(*) AS \"rows\" FROM d WHERE n = 1 OR row_no < 10000 GROUP BY row_no")
+def dedupe_leading_digits(spark, sf_dir):
+    rows = overlapping_files(spark, sf_dir).withColumn("raw_text", F.concat(F.col("row_no").cast("string"), F.lit(" x")))
+    return dedupe.dedupe_by_serial(rows, "raw_text").groupBy("row_no").agg(F.count("*").alias("rows"))
+
+
+@query(_MONTHS.replace("account_no, month", "flow_type, month") + """, w AS (SELECT flow_type, month, CASE WHEN sum(income_sum) OVER (PARTITION BY month) > 0 THEN income_sum ELSE expense_sum END AS v, count(*) OVER (PARTITION BY month) AS k, row_number() OVER (PARTITION BY month ORDER BY flow_type) AS r FROM ms),
+y AS (SELECT *, sum(v) OVER (PARTITION BY month) AS t FROM w), x AS (SELECT *, round_even(CAST(300 * CASE WHEN t = 0 THEN 1.0::DOUBLE / k ELSE CAST(v AS DOUBLE) / CAST(t AS DOUBLE) END AS DECIMAL(28,6)), 2) AS part FROM y)
+SELECT flow_type, month, CAST(CASE WHEN r = k THEN 300 - coalesce(sum(part) FILTER (r < k) OVER (PARTITION BY month), 0) ELSE part END AS DECIMAL(18,2)) AS share FROM x""")
+def scenario_by_flow(spark, sf_dir):
+    observed = summary.monthly(orders_ledger(spark, sf_dir), ["flow_type"]).select("flow_type", "month", "income_sum", "expense_sum")
+    amounts = observed.select("month").distinct().withColumn("amount", F.lit(300).cast(MONEY))
+    return scenario.allocate_by_flow(observed, amounts).select("flow_type", "month", "share")
+
+
+@query("SELECT 'f' || (c_custkey % 50) AS file, CAST(count(*) FILTER (c_custkey % 50 < 10) AS BIGINT) AS chars, CAST(count(*) AS BIGINT) AS images FROM customer WHERE c_custkey % 50 >= 10 GROUP BY 1")
+def image_only_files(spark, sf_dir):
+    k = F.col("c_custkey") % 50
+    pages = table(spark, sf_dir, "customer").select(F.concat(F.lit("f"), k.cast("string")).alias("file"), F.when(k < 10, 1).otherwise(0).alias("n_chars"), F.lit(1).alias("n_images"))
+    return detect.image_only(pages)
+
+
+@query("SELECT c_nationkey AS source_file, CASE WHEN count(DISTINCT c_mktsegment) = 1 THEN max(c_mktsegment) END AS label FROM customer GROUP BY c_nationkey")
+def agreed_labels(spark, sf_dir):
+    return detect.agreed_label(table(spark, sf_dir, "customer"), "c_mktsegment", "c_nationkey").withColumnRenamed("c_nationkey", "source_file")
+
+
+@query("SELECT doc_id AS file, contains(text, 'the') AS en, contains(text, 'der') AS de FROM documents WHERE text IS NOT NULL")
+def file_flags(spark, sf_dir):
+    return detect.file_flags(table(spark, sf_dir, "documents").filter("text IS NOT NULL").withColumnRenamed("doc_id", "file"), {"en": "the", "de": "der"})
+
+
+@query("SELECT c_custkey, 'b' || (c_custkey % 4) AS bank_id, CASE WHEN c_custkey % 4 = 3 THEN 'unknown_layout' END AS error, (c_custkey % 100 < 90) AS needs_review FROM customer")
+def routed_files(spark, sf_dir):
+    k = F.col("c_custkey")
+    files = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("b"), (k % 4).cast("string")).alias("bank_id"), k.cast("string").alias("account_no"), F.lit("").alias("account_name"), (k % 100).alias("bank_confidence"))
+    layouts = spark.createDataFrame([("b0", "L"), ("b1", "C"), ("b2", "P")], "bank_id string, shape string")
+    routed = detect.route(files, layouts)
+    return routed.join(quality.accounts(files).select(F.col("account_no").alias("a"), "needs_review"), F.col("account_no") == F.col("a")).select("c_custkey", "bank_id", "error", "needs_review")
+
+
+@query(f"WITH {ORDERS_SQL} SELECT flow_type, count(DISTINCT account_no) AS accounts, true AS named FROM ledger GROUP BY flow_type")
+def income_documents(spark, sf_dir):
+    docs = summary.income_document(orders_ledger(spark, sf_dir))
+    return docs.select("flow_type", F.get_json_object("document", "$.accounts").cast("bigint").alias("accounts"), F.contains("document", F.lit('"applicant":""')).alias("named"))
+
+
+@query(f"WITH {ORDERS_SQL} SELECT account_no, strftime(ts, '%Y-%m') AS month, CAST(sum(income) AS DECIMAL(18,2)) AS income, count(*) AS \"rows\" FROM ledger WHERE raw_text LIKE '1-%' GROUP BY ALL")
+def salary_detail(spark, sf_dir):
+    return summary.salary_detail(orders_ledger(spark, sf_dir), F.startswith("raw_text", F.lit("1-")))
