@@ -19,7 +19,7 @@ def mark_partial_days(ledger: DataFrame, keys=ACCOUNT) -> DataFrame:
 
 def posting_order(ledger: DataFrame, keys=ACCOUNT) -> DataFrame:
     """``order_key`` and ``posting_seq``, 1 for an account's first row."""
-    keyed = mark_partial_days(ledger, keys).withColumn("order_key", order_key())
+    keyed = mark_partial_days(ledger, keys).withColumn("order_key", order_key(F.col("partial_day")))
     return keyed.withColumn("posting_seq", F.row_number().over(Window.partitionBy(*keys).orderBy("order_key")))
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.money import MONEY, half_up
-from ledgerline.functions.text import month_key
-from ledgerline.operators.ordering import ACCOUNT, mark_partial_days
+from ledgerline.functions.text import has_clock, month_key
+from ledgerline.operators.ordering import ACCOUNT
 from ledgerline.sources.ledgers import order_key
 
 MONTHS = 6  # monthly averages divide by this, however many months there are
@@ -27,18 +27,28 @@ def counting() -> dict[str, Column]:
     }
 
 
-def summarize(ledger: DataFrame, keys=ACCOUNT, order_keys=ACCOUNT) -> DataFrame:
-    """One row for each value of ``keys``: counts, sums, net, opening and closing balance (null if that row has none)."""
-    keyed = mark_partial_days(ledger, list(dict.fromkeys([*order_keys, *keys]))).withColumn("_key", order_key())
+def summarize(ledger: DataFrame, keys=ACCOUNT) -> DataFrame:
+    """One row for each value of ``keys``: counts, sums, net, opening and closing balance (null if that row has none).
+
+    Rows are aggregated by day first: a day knows whether all its rows have a clock, and so which of its two orders
+    holds, and its first and last row in both. Both steps combine before they shuffle; no row is sorted across tasks.
+    """
     ends = F.struct("balance", "income", "expense")
-    all_optional = F.bool_and("balance_optional") | F.bool_and("segmented_statement") | F.bool_and(F.coalesce("bank_id", F.lit("")) == "wechat")
-    agg = keyed.groupBy(*keys).agg(*[c.alias(n) for n, c in counting().items()], F.min_by(ends, "_key").alias("_first"), F.max_by(ends, "_key").alias("_last"), all_optional.alias("closure_exempt"))
+    by_clock, by_page = order_key(F.lit(False)), order_key(F.lit(True))
+    exempt = {"_optional": "balance_optional", "_segmented": "segmented_statement"}
+    days = ledger.groupBy(*keys, F.to_date("transaction_time").alias("_day")).agg(
+        *[c.alias(n) for n, c in counting().items()], *[F.bool_and(c).alias(n) for n, c in exempt.items()], F.bool_and(F.coalesce("bank_id", F.lit("")) == "wechat").alias("_wallet"),
+        F.bool_or(~has_clock(F.col("raw_time"))).alias("_partial"), F.min_by(ends, by_clock).alias("_fc"), F.min_by(ends, by_page).alias("_fp"), F.max_by(ends, by_clock).alias("_lc"), F.max_by(ends, by_page).alias("_lp"),
+    )
+    first, last = (F.when(F.col("_partial"), F.col(p)).otherwise(F.col(c)) for p, c in (("_fp", "_fc"), ("_lp", "_lc")))
+    sums = [F.sum(c).alias(c) for c in ("count", "income_count", "expense_count")] + [F.sum(c).cast(MONEY).alias(c) for c in ("income_sum", "expense_sum")]
+    agg = days.groupBy(*keys).agg(*sums, F.min_by(first, "_day").alias("_first"), F.max_by(last, "_day").alias("_last"), (F.bool_and("_optional") | F.bool_and("_segmented") | F.bool_and("_wallet")).alias("closure_exempt"))
     opening = (F.col("_first.balance") - F.col("_first.income") + F.col("_first.expense")).cast(MONEY)
     return agg.withColumns({"net": (F.col("income_sum") - F.col("expense_sum")).cast(MONEY), "opening_balance": opening, "closing_balance": F.col("_last.balance")}).drop("_first", "_last")
 
 
 def monthly(ledger: DataFrame, keys=ACCOUNT) -> DataFrame:
-    return summarize(ledger.withColumn("month", month_key(F.col("transaction_time"))), [*keys, "month"], keys)
+    return summarize(ledger.withColumn("month", month_key(F.col("transaction_time"))), [*keys, "month"])
 
 
 def add_up(parts: DataFrame, keys) -> DataFrame:

@@ -28,11 +28,11 @@ def with_defaults(df: DataFrame) -> DataFrame:
     return df.withColumn("ingest_seq", F.coalesce("ingest_seq", "row_no"))
 
 
-def order_key() -> Column:
-    """Posting order within an account. If any row of a date lacks a clock the whole date goes by page and row; a
-    proven statement order overrides. Needs ``partial_day`` (see ordering.mark_partial_days)."""
+def order_key(partial_day: Column) -> Column:
+    """Posting order within an account. If any row of a date lacks a clock (``partial_day``) the whole date goes by page
+    and row; a proven statement order overrides."""
     proven = F.col("statement_order").isNotNull()
-    clock = F.when(proven | F.col("partial_day"), F.lit(0)).otherwise(F.unix_micros("transaction_time") - F.unix_micros(F.date_trunc("day", "transaction_time")))
+    clock = F.when(proven | partial_day, F.lit(0)).otherwise(F.unix_micros("transaction_time") - F.unix_micros(F.date_trunc("day", "transaction_time")))
     return F.struct(
         F.to_date("transaction_time").alias("day"), clock.cast("bigint").alias("clock"), F.when(proven, 0).otherwise(F.col("page_no")).alias("page"),
         F.coalesce("statement_order", "row_no").alias("row"), F.col("ingest_seq").alias("seq"),
