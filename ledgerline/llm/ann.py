@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import deal, nearest, sides, usable
+from .vectors import count_blocks, deal, nearest, sides, usable
 
 FOUND = "query_id bigint, vec_id bigint, score double"
 
@@ -50,7 +50,7 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return dot(a, b) / (np.sqrt(dot(a, a)) * np.sqrt(dot(b, b)))
 
 
-def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, eps: float = 1.9, seed: int = 7, step: int = 512):
+def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, eps: float = 1.9, seed: int = 7, cells: int = 1 << 22):
     """(query_id, vec_id, score) arrays: up to k nearest of ``x`` for each query, its own id left out."""
     dim = x.shape[1]
     turn = rotation(dim, seed)
@@ -58,7 +58,8 @@ def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
     unit = lambda v: (s := v / np.abs(v).max(axis=1, keepdims=True)) / np.sqrt((s * s).sum(axis=1, keepdims=True))
     codes, f = encode(unit(x), turn)
     err = eps * np.sqrt(np.maximum(1 - f * f, 0)) / f / np.sqrt(max(1, dim - 1))
-    out = []
+    out, step = [], max(1, cells // max(1, len(ids)))  # so many estimates at a time
+    sx = scaled(x)
     for s in range(0, len(q), step):
         qs, own = q[s : s + step], query_ids[s : s + step]
         est = estimate(codes, f, unit(qs) @ turn.T)
@@ -68,7 +69,8 @@ def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
         first = min(len(ids), 4 * k)
         seeds = np.argpartition(-est, first - 1, axis=1)[:, :first]
         rows = np.repeat(np.arange(len(qs)), first)
-        exact = cosines(scaled(qs)[rows], scaled(x)[seeds.ravel()]).reshape(-1, first)
+        sq = scaled(qs)
+        exact = cosines(sq[rows], sx[seeds.ravel()]).reshape(-1, first)
         exact[np.isinf(np.take_along_axis(est, seeds, axis=1))] = -np.inf
         floor = np.sort(exact, axis=1)[:, -k] if first >= k else np.full(len(qs), -np.inf)
         r, c = np.nonzero(est + err.astype(np.float32) >= (floor - 1e-6)[:, None])
@@ -79,7 +81,6 @@ def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
         r, c = pair // len(ids), pair % len(ids)
         keep = own[r] != ids[c]
         r, c = r[keep], c[keep]
-        sx, sq = scaled(x), scaled(qs)
         score = np.concatenate([cosines(sq[r[j : j + 65536]], sx[c[j : j + 65536]]) for j in range(0, len(r), 65536)] or [np.empty(0)])
         order = np.lexsort((ids[c], -score, r))
         r, c, score = r[order], c[order], score[order]
@@ -97,7 +98,7 @@ def scaled(v: np.ndarray) -> np.ndarray:
     return v / np.exp2(np.floor(np.log2(big)))
 
 
-def search_rows(vectors: DataFrame, queries: DataFrame, k: int = 5, eps: float = 1.9, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 8192, query_rows: int = 8192) -> DataFrame:
+def search_rows(vectors: DataFrame, queries: DataFrame, k: int = 5, eps: float = 1.9, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 65536, query_rows: int = 65536) -> DataFrame:
     """The k nearest rows of ``vectors`` by cosine for each row of ``queries``: query_id, rank, vec_id, score.
 
     Null ids and vectors that are null, zero, or hold null or non-finite components take no part; vectors meet those of
@@ -115,7 +116,8 @@ def search_rows(vectors: DataFrame, queries: DataFrame, k: int = 5, eps: float =
         found = (both := sides(pdf, np.float64)) and search(*both, k, eps)
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found or ([], [], []))))
 
-    dealt = deal(rows, asked, vectors.count(), queries.count(), block_rows, query_rows, [])
+    blocks, parts = count_blocks(vectors.count(), block_rows, vectors.sparkSession), max(1, -(-queries.count() // query_rows))
+    dealt = deal(rows, asked, blocks, parts, [])
     return nearest(dealt.groupBy("dim", "block", "part").applyInPandas(task, FOUND), k)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .vectors import deal, nearest, sides, usable
+from .vectors import count_blocks, deal, nearest, sides, usable
 
 FOUND = "query_id bigint, vec_id bigint, score bigint"
 LOW = np.int64(np.iinfo(np.int64).min)
@@ -133,7 +133,7 @@ def brute(ids, x, q_ids, q, k):
     return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
 
-def search_rows(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "vector", shard_rows: int = 8192, query_rows: int = 8192, leaf: int = 256, step: int = 1024) -> DataFrame:
+def search_rows(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "vector", shard_rows: int = 65536, query_rows: int = 65536, leaf: int = 256, step: int = 1024) -> DataFrame:
     """The k largest inner products with rows of ``vectors`` for each row of ``queries``: query_id, rank, vec_id, score.
 
     Vectors are arrays of integers. Null ids and null vectors or components take no part; vectors meet those of
@@ -145,10 +145,9 @@ def search_rows(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str
         return df.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<bigint>").alias("vector")).filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & F.forall("vector", lambda c: c.isNotNull()))
 
     rows, asked = valid(vectors), valid(queries)
-    n, n_queries = vectors.count(), queries.count()
-    shards = max(1, -(-n // shard_rows))
+    shards, parts = count_blocks(vectors.count(), shard_rows, vectors.sparkSession), max(1, -(-queries.count() // query_rows))
     task = _task(k, leaf, step)
-    every = deal(rows, asked.withColumn("floor", F.lit(None).cast("bigint")), n, n_queries, shard_rows, query_rows, ["floor"])
+    every = deal(rows, asked.withColumn("floor", F.lit(None).cast("bigint")), shards, parts, ["floor"])
     home = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
     at_home = ~F.col("is_query") | (F.col("block") == home)
     first = materialise(every.filter(at_home).groupBy("dim", "block", "part").applyInPandas(task, FOUND), "topk-home")
@@ -157,7 +156,7 @@ def search_rows(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str
     # the k-th score at home; queries with fewer have no bound yet
     kth = first.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n")).filter(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), "floor")
     bounded = asked.join(kth, "vec_id", "left")
-    rest = deal(rows, bounded, n, n_queries, shard_rows, query_rows, ["floor"]).filter(~F.col("is_query") | (F.col("block") != home))
+    rest = deal(rows, bounded, shards, parts, ["floor"]).filter(~F.col("is_query") | (F.col("block") != home))
     return nearest(first.unionByName(rest.groupBy("dim", "block", "part").applyInPandas(task, FOUND)), k)
 
 

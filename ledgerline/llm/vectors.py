@@ -12,13 +12,17 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
-def deal(vectors: DataFrame, queries: DataFrame, n: int, n_queries: int, block_rows: int, query_rows: int, extra: list[str]) -> DataFrame:
-    """Rows for each pair of a block of vectors and a block of queries, with ``is_query``, ``dim``, ``block``, ``part``.
+def count_blocks(n: int, block_rows: int, spark, least_rows: int = 2048) -> int:
+    """How many blocks n rows make: none over ``block_rows``, and one a shuffle partition as long as blocks hold ``least_rows``."""
+    return max(1, -(-n // block_rows), min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // least_rows))
+
+
+def deal(vectors: DataFrame, queries: DataFrame, blocks: int, parts: int, extra: list[str]) -> DataFrame:
+    """Rows for each pair of a block of vectors and a part of the queries, with ``is_query``, ``dim``, ``block``, ``part``.
 
     Blocks are dealt by a hash of the id, so their sizes are even whatever the vectors hold; every vector goes to all
-    blocks of queries and every query to all blocks of vectors. A pair of blocks is what a task holds at a time.
+    parts of the queries and every query to all blocks of vectors. Such a pair is what a task holds at a time.
     """
-    blocks, parts = max(1, -(-n // block_rows)), max(1, -(-n_queries // query_rows))
     block, part = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int")
     base = ["vec_id", "vector", F.size("vector").alias("dim")]
     none = [F.lit(None).cast("bigint").alias(c) for c in extra]
