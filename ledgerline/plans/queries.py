@@ -764,7 +764,7 @@ def page_completeness(spark, sf_dir):
     return summary.page_completeness(pages)
 
 
-@query("SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS total, CAST(o_custkey AS BIGINT) AS pages, length(regexp_replace(left(o_orderpriority, 30), '[\\\\/:*?\"<>|[:space:]]+', '_', 'g')) AS name_length FROM orders")
+@query("SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS total, CAST(o_custkey AS BIGINT) AS pages, CAST(length(regexp_replace(left(o_orderpriority, 30), '[\\\\/:*?\"<>|[:space:]]+', '_', 'g')) AS INTEGER) AS name_length FROM orders")
 def printed_labels(spark, sf_dir):
     line = F.concat(F.lit("期初余额: "), F.format_number(F.col("o_totalprice").cast(MONEY), 2), F.lit(" 总页数 第 "), F.col("o_custkey").cast("string"))
     return table(spark, sf_dir, "orders").select("o_orderkey", money.label_money(line, "期初余额").alias("total"), money.label_int(line, "总页数").alias("pages"), F.length(text.safe_name(F.col("o_orderpriority"))).alias("name_length"))

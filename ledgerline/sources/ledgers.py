@@ -86,14 +86,14 @@ ev0 AS (SELECT event_id AS row_no, CAST(user_id AS VARCHAR) AS account_no, CAST(
 ev1 AS (SELECT *, CASE WHEN et IN ('signup','click') THEN amt ELSE CAST(0 AS DECIMAL(18,2)) END AS income,
           CASE WHEN et = 'purchase' THEN amt WHEN et = 'error' THEN -amt ELSE CAST(0 AS DECIMAL(18,2)) END AS expense, et = 'view' AS neutral FROM ev0),
 ev2 AS (SELECT *, CAST(10000 + SUM(income - expense) OVER (PARTITION BY account_no ORDER BY ts, row_no ROWS UNBOUNDED PRECEDING) AS DECIMAL(18,2)) AS bal0 FROM ev1),
-ledger AS (SELECT *, CASE WHEN row_no % 97 = 0 THEN NULL WHEN row_no % 53 = 0 THEN bal0 + 1 ELSE bal0 END AS balance, true AS preserve_signed,
+ledger AS (SELECT *, CAST(CASE WHEN row_no % 97 = 0 THEN NULL WHEN row_no % 53 = 0 THEN bal0 + 1 ELSE bal0 END AS DECIMAL(18,2)) AS balance, true AS preserve_signed,
           'events' AS source_file, 'personal' AS flow_type, CAST(amt AS VARCHAR) AS raw_amount, et AS raw_text,
           row_number() OVER (PARTITION BY account_no ORDER BY ts, row_no) AS seq FROM ev2)"""
 ORDERS_SQL = """
 or0 AS (SELECT o_orderkey AS row_no, CAST(o_custkey AS VARCHAR) AS account_no, o_custkey AS ck, CAST(o_orderdate AS TIMESTAMP) AS ts, CAST(o_totalprice AS DECIMAL(18,2)) AS amt, o_orderstatus AS st, o_orderpriority AS raw_text FROM orders),
 or1 AS (SELECT *, CASE WHEN st = 'F' THEN amt ELSE CAST(0 AS DECIMAL(18,2)) END AS income, CASE WHEN st = 'O' THEN amt ELSE CAST(0 AS DECIMAL(18,2)) END AS expense, st = 'P' AS neutral FROM or0),
 or2 AS (SELECT *, CAST(10000 + SUM(income - expense) OVER (PARTITION BY account_no ORDER BY ts, row_no ROWS UNBOUNDED PRECEDING) AS DECIMAL(18,2)) AS bal0 FROM or1),
-ledger AS (SELECT *, CASE WHEN row_no % 97 = 0 THEN NULL WHEN row_no % 53 = 0 THEN bal0 + 1 ELSE bal0 END AS balance, false AS preserve_signed, 'orders' AS source_file,
+ledger AS (SELECT *, CAST(CASE WHEN row_no % 97 = 0 THEN NULL WHEN row_no % 53 = 0 THEN bal0 + 1 ELSE bal0 END AS DECIMAL(18,2)) AS balance, false AS preserve_signed, 'orders' AS source_file,
           CASE WHEN ck % 4 = 0 THEN 'corporate' WHEN ck % 4 = 1 THEN 'wechat' ELSE 'personal' END AS flow_type, CAST(amt AS VARCHAR) AS raw_amount,
           row_number() OVER (PARTITION BY account_no ORDER BY ts, row_no) AS seq FROM or2)"""
 FILES_SQL = ORDERS_SQL + """,
