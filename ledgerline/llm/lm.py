@@ -88,13 +88,12 @@ def _cut(docs, out_dir: str, parts: int, shard_bytes: int):
         keys = _mix(hashes[u], hashes[w])
         counts = lambda idx, n: [np.bincount(idx, role == r, n).astype(np.int64) for r in (KEPT, DELETED)]
         word_counts, pair_counts = counts(ids, len(number)), counts(at, len(u))
-        word_cut = np.searchsorted(word_part[word_order], np.arange(parts + 1))
-        pair_cut = np.searchsorted(pair_part[pair_order], np.arange(parts + 1))
+        present = np.union1d(word_part, pair_part)  # only parts that get a key: there may be far more parts than keys
+        ends = lambda sorted_parts: (np.searchsorted(sorted_parts, present, "left"), np.searchsorted(sorted_parts, present, "right"))
         rows = []
-        for p in range(parts):
-            a, b = word_order[word_cut[p] : word_cut[p + 1]], pair_order[pair_cut[p] : pair_cut[p + 1]]
-            if len(a) or len(b):
-                rows.append((p, name, hashes[a].tobytes(), *(pack(c[a]) for c in word_counts), np.ascontiguousarray(keys[b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes(), *(pack(c[b]) for c in pair_counts)))
+        for p, wa, wb, pa_, pb in zip(present.tolist(), *ends(word_part[word_order]), *ends(pair_part[pair_order])):
+            a, b = word_order[wa:wb], pair_order[pa_:pb]
+            rows.append((p, name, hashes[a].tobytes(), *(pack(c[a]) for c in word_counts), np.ascontiguousarray(keys[b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes(), *(pack(c[b]) for c in pair_counts)))
         types = [pa.int32(), pa.string()] + [pa.binary()] * 6
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [f.split()[0] for f in MESSAGE.split(", ")])
 
@@ -225,7 +224,8 @@ def score_documents(docs: DataFrame, held_out: Column, deleted: Column, id_col:
     The model learns from documents that aren't ``held_out``; its weights from those of them that are ``deleted``.
     base_score is the add-one unigram score. Null texts are empty (one token, the end), null conditions false, repeated
     rows count and score each; other columns don't matter. An empty table gives no rows, and without training
-    documents every token has the uniform share. Ids must be integers.
+    documents every token has the uniform share. Ids must be integers. A task that runs again must meet the same rows in
+    the same order, so ``docs`` should be a scan of files or a table written before, not a shuffle's output.
     """
     spark = small_batches(docs.sparkSession)
     role = F.when(F.coalesce(held_out, F.lit(False)), TEST).when(F.coalesce(deleted, F.lit(False)), DELETED).otherwise(KEPT)
