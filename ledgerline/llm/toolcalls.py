@@ -1,6 +1,6 @@
 """Tool-call linking in chats (DataFrame functions only).
 
-Calls and results are hash-joined by conversation and identifier, calls are levelled topologically by what they wait
+Calls and results are hash-joined by conversation and identifier, calls are put in topological order by what they wait
 for, arguments are validated against the tools' schemas, and each link is serialised as canonical JSON (sorted keys,
 no white space, at every depth).
 """
@@ -53,25 +53,42 @@ def levels(calls: DataFrame, waits: DataFrame, max_rounds: int = 100_000) -> Dat
     return out
 
 
+def topological(calls: DataFrame, waits: DataFrame) -> DataFrame:
+    """calls(conv_id, call_id, turn, pos) -> KEY and level: (level, turn, pos) is a topological order of each conversation.
+
+    Where all calls wait for earlier ones only, their own order is one, and the level is 0: one join decides that,
+    however long the conversation. Only conversations in which a call waits for a later one are levelled in rounds.
+    """
+    at = F.struct("turn", "pos").alias("at")
+    known = calls.select("conv_id", F.col("call_id").alias("after"), F.struct("turn", "pos").alias("after_at"))
+    edges = waits.join(calls.select(*KEY, at), KEY).join(known, ["conv_id", "after"])
+    forward = materialise(edges.filter(F.col("after_at") >= F.col("at")).select("conv_id").distinct(), "calls-forward")
+    if forward.isEmpty():
+        return calls.select(*KEY, F.lit(0).alias("level"))
+    own = calls.join(forward, "conv_id", "left_anti").select(*KEY, F.lit(0).alias("level"))
+    return own.unionByName(levels(calls.join(forward, "conv_id", "left_semi"), waits.join(forward, "conv_id", "left_semi")))
+
+
 def link_tool_calls(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     """One row a call, and one a result without a call.
 
     messages: conv_id, turn, role, text, tool_calls (JSON array of {id, name, arguments, after}), tool_call_id.
     schemas: ``SCHEMA_TABLE``; types are JSON types, ``number`` takes integers too; other properties are refused.
 
-    Columns: conv_id, call_id, turn, name, level, result_turn, status, errors (sorted array), canonical.
+    Columns: conv_id, call_id, turn, pos, name, level, result_turn, status, errors (sorted array), canonical. A
+    conversation's calls by (level, turn, pos) are in topological order; the level is null for cycles and what waits on them.
     status: ``linked``, ``no_result``, ``early_result`` (not after the call), ``cycle``, ``orphan_result``. Of calls or
-    results that repeat an identifier in a conversation the first by turn counts (then by content); null conversations
+    results that repeat an identifier in a conversation the first by turn and place counts; null conversations
     or identifiers link nothing (such calls are left out, such results are orphans). Tool calls that aren't a JSON array give no
     calls. Empty tables give no rows; other columns don't matter.
     """
-    calls = messages.filter(F.col("tool_calls").isNotNull()).select("conv_id", "turn", F.explode(F.from_json("tool_calls", CALLS)).alias("c"))
-    calls = calls.select("conv_id", F.col("c.id").alias("call_id"), F.struct("turn", "c.name", "c.arguments", "c.after").alias("call")).filter(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull())
+    calls = messages.filter(F.col("tool_calls").isNotNull()).select("conv_id", "turn", F.posexplode(F.from_json("tool_calls", CALLS)).alias("pos", "c"))
+    calls = calls.select("conv_id", F.col("c.id").alias("call_id"), F.struct("turn", "pos", "c.name", "c.arguments", "c.after").alias("call")).filter(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull())
     calls = materialise(calls.groupBy(*KEY).agg(F.min("call").alias("call")).select(*KEY, "call.*"), "calls")
     results = messages.filter(F.col("role") == "tool").select("conv_id", F.col("tool_call_id").alias("call_id"), F.struct(F.col("turn").alias("result_turn"), F.col("text").alias("result")).alias("r"))
     results = results.groupBy(*KEY).agg(F.min("r").alias("r")).select(*KEY, "r.*")
 
-    placed = levels(calls, calls.select(*KEY, F.explode("after").alias("after")))
+    placed = topological(calls, calls.select(*KEY, F.explode("after").alias("after")))
     s = schemas.select("name", F.coalesce("required", F.array().cast("array<string>")).alias("required"), F.coalesce("types", F.create_map().cast("map<string,string>")).alias("types"), F.lit(True).alias("known"))
     joined = calls.join(placed, KEY).join(s, "name", "left").join(results.hint("shuffle_hash"), KEY, "full")
 
@@ -91,10 +108,10 @@ def link_tool_calls(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     status = F.when(F.col("turn").isNull(), "orphan_result").when(F.col("level").isNull(), "cycle").when(F.col("result_turn").isNull(), "no_result").when(F.col("result_turn") <= F.col("turn"), "early_result").otherwise("linked")
     out = joined.withColumns({"errors": errors, "status": status})
     # the variant of the whole link, so that one writer sorts and escapes everything
-    whole = F.to_json(F.struct("call_id", "level", "name", "result"))
+    whole = F.to_json(F.struct("call_id", "name", "result", "turn"))
     args = F.coalesce(canonical("arguments"), F.to_json(F.struct(F.col("arguments").alias("raw"))))
     line = F.concat(F.lit('{"arguments":'), args, F.lit(","), F.substr(canonical(whole), F.lit(2)))
-    return out.select(*KEY, "turn", "name", "level", "result_turn", "status", "errors", F.when(F.col("turn").isNotNull(), line).alias("canonical"))
+    return out.select(*KEY, "turn", "pos", "name", "level", "result_turn", "status", "errors", F.when(F.col("turn").isNotNull(), line).alias("canonical"))
 
 
 def tool_messages(conversations: DataFrame) -> DataFrame:
@@ -130,30 +147,25 @@ def tool_schemas(spark: SparkSession) -> DataFrame:
 
 def op7_tool_calls(spark, sf_dir):
     linked = link_tool_calls(tool_messages(spark.read.parquet(f"{sf_dir}/conversations.parquet")), tool_schemas(spark))
-    return linked.withColumn("errors", F.array_join("errors", ","))
+    return linked.withColumn("errors", F.array_join("errors", ",")).drop("pos")
 
 
 OP7_SQL = r"""
-WITH RECURSIVE a AS (
+WITH a AS (
   SELECT conv_id, turn, 'c' || turn AS call_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, CAST('0x' || substr(md5(text), 1, 8) AS BIGINT) AS k
   FROM conversations WHERE role = 'assistant' AND text IS NOT NULL),
 b AS (
   SELECT conv_id, turn, call_id, ['search', 'translate', 'summarise'][k % 3 + 1] AS name,
     CAST(to_json(array_to_string(w[1:4], ' ')) AS VARCHAR) AS q, len(w) % 50 AS lim,
     CASE WHEN k % 5 = 0 THEN 'type:limit' WHEN k % 6 = 0 THEN 'missing:query' WHEN k % 7 = 0 THEN 'unknown:deep' ELSE '' END AS errors FROM a),
-l(conv_id, turn, depth) AS (
-  SELECT conv_id, turn, 0 FROM b
-  UNION
-  SELECT l.conv_id, b.turn, depth + 1 FROM l JOIN b ON b.conv_id = l.conv_id AND (b.turn = l.turn + 2 OR (b.turn = l.turn + 4 AND b.turn % 3 = 0))),
-d AS (SELECT conv_id, turn, CAST(max(depth) AS INTEGER) AS level FROM l GROUP BY conv_id, turn),
 r AS (SELECT conv_id, turn AS result_turn, 'c' || (turn - 1) AS call_id, text FROM conversations WHERE role = 'user' AND turn > 0),
-j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn, c.name, c.level, r.result_turn, c.errors, c.q, c.lim, r.text
-      FROM (SELECT b.*, d.level FROM b JOIN d USING (conv_id, turn)) c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id)
+j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn, c.name, CASE WHEN c.turn IS NOT NULL THEN 0 END AS level, r.result_turn, c.errors, c.q, c.lim, r.text
+      FROM b c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id)
 SELECT conv_id, call_id, turn, name, level, result_turn,
   CASE WHEN turn IS NULL THEN 'orphan_result' WHEN result_turn IS NULL THEN 'no_result' ELSE 'linked' END AS status, coalesce(errors, '') AS errors,
   CASE WHEN turn IS NOT NULL THEN '{"arguments":' || CASE errors
       WHEN 'type:limit' THEN '{"limit":"many","query":' || q || '}' WHEN 'missing:query' THEN '{"limit":' || lim || '}'
       WHEN 'unknown:deep' THEN '{"deep":true,"query":' || q || '}' ELSE '{"limit":' || lim || ',"query":' || q || '}' END
-    || ',"call_id":"' || call_id || '","level":' || level || ',"name":"' || name || '"' || CASE WHEN result_turn IS NULL OR text IS NULL THEN '' ELSE ',"result":' || CAST(to_json(text) AS VARCHAR) END || '}' END AS canonical
+    || ',"call_id":"' || call_id || '","name":"' || name || '"' || CASE WHEN result_turn IS NULL OR text IS NULL THEN '' ELSE ',"result":' || CAST(to_json(text) AS VARCHAR) END || ',"turn":' || turn || '}' END AS canonical
 FROM j
 """

@@ -84,9 +84,9 @@ def test_links(spark):
     df = spark.createDataFrame([(*x, 0) for x in m], "conv_id bigint, turn bigint, role string, text string, tool_calls string, tool_call_id string, level int")
     got = {(r.conv_id, r.call_id): r for r in toolcalls.link_tool_calls(df, toolcalls.tool_schemas(spark)).collect()}
     assert {k: (r.status, r.level, r.errors) for k, r in got.items() if k[0] == 1 and k[1]} == {
-        (1, "a"): ("linked", 0, ["unknown:deep"]), (1, "b"): ("linked", 1, []), (1, "zz"): ("orphan_result", None, [])}
+        (1, "a"): ("linked", 0, ["unknown:deep"]), (1, "b"): ("linked", 0, []), (1, "zz"): ("orphan_result", None, [])}
     assert json.loads(got[1, "a"].canonical)["result"] == "ra" and got[1, "a"].canonical.startswith('{"arguments":{"deep":{"a":null,"b":[1,{"y":2,"z":1}]},"limit":2,"query":"x"},"call_id":"a"')
-    assert json.loads(got[1, "b"].canonical) == {"arguments": {"query": "q"}, "call_id": "b", "level": 1, "name": "search", "result": 'quo"te'}
+    assert json.loads(got[1, "b"].canonical) == {"arguments": {"query": "q"}, "call_id": "b", "name": "search", "result": 'quo"te', "turn": 0}
     assert {k[1]: (r.status, r.errors) for k, r in got.items() if k[0] == 2} == {
         "a": ("cycle", []), "c": ("cycle", []), "d": ("cycle", []), "e": ("early_result", ["unknown_tool"]), "f": ("no_result", ["missing:query", "type:limit"]), "g": ("no_result", ["type:query"])}
     assert (3, "a") not in got and not any(k[0] is None and r.turn is not None for k, r in got.items())
@@ -94,6 +94,22 @@ def test_links(spark):
     assert toolcalls.link_tool_calls(df.limit(0), toolcalls.tool_schemas(spark)).count() == 0
 
 
+def test_topological_order(spark):
+    rng = __import__("random").Random(2)
+    calls, waits = [], []
+    for conv in range(12):
+        place = list(range(9))
+        rng.shuffle(place)
+        for k in range(9):  # a call waits for lower numbers only, but stands anywhere in the chat
+            calls.append((conv, f"c{k}", (k if conv < 4 else place[k]) // 2, (k if conv < 4 else place[k]) % 2))
+            waits += [(conv, f"c{k}", f"c{j}") for j in rng.sample(range(k), min(k, 2))]
+    c = spark.createDataFrame(calls, "conv_id bigint, call_id string, turn bigint, pos int")
+    got = toolcalls.topological(c, spark.createDataFrame(waits, "conv_id bigint, call_id string, after string")).join(c, ["conv_id", "call_id"]).collect()
+    order = {(r.conv_id, r.call_id): (r.level, r.turn, r.pos) for r in got}
+    assert len(order) == len(calls) and all(order[v, b] < order[v, a] for v, a, b in waits)
+    assert {order[v, f"c{k}"][0] for v in range(4) for k in range(9)} == {0}
+
+
 # -- pipeline -------------------------------------------------------------------------------------------------------
 
 
