@@ -9,6 +9,7 @@ cut before marks: the cuts can't change the result, they bound memory and let th
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -41,7 +42,8 @@ def rebuild(model: bytes) -> dict:
     unk = next(i for i, p in enumerate(m.pieces) if p.type == UNKNOWN)
     fallback = m.trainer_spec.byte_fallback
     if m.trainer_spec.model_type == 1:
-        floor = min(p.score for p in m.pieces) - 1e6  # never chosen from a text
+        # the least score also sets that of unknown characters, so other pieces must not lower it
+        floor = min(p.score for p in m.pieces if p.type == NORMAL)
         scores = [(p.piece, p.score if p.type == NORMAL else floor) for p in m.pieces]
         tok = Tokenizer(models.Unigram(scores, unk_id=unk, byte_fallback=fallback))
     elif m.trainer_spec.model_type == 2:
@@ -53,6 +55,8 @@ def rebuild(model: bytes) -> dict:
         tok = Tokenizer(models.BPE({p.piece: i for i, p in enumerate(m.pieces)}, [x[-1] for x in sorted(merges)], unk_token=m.pieces[unk].piece, fuse_unk=True, byte_fallback=fallback))
     else:
         raise ValueError("only Unigram and BPE models are supported")
+    # the unigram backend would take the names of control and byte pieces from a text, too: such texts go another way
+    literals = [p.piece for p in m.pieces if p.type != NORMAL] if m.trainer_spec.model_type == 1 else []
     cuttable = not any(a != MARK and b == MARK for p in m.pieces for a, b in zip(p.piece, p.piece[1:]))
     if cuttable and m.trainer_spec.model_type == 2:
         tok.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
@@ -66,7 +70,7 @@ def rebuild(model: bytes) -> dict:
     norm.normalizer = normalizers.Sequence(parts)
     ends = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
     tok.decoder = decoders.Sequence(ends + [decoders.Strip(" ", 1, 0)] * spec.add_dummy_prefix)
-    return {"tokenizer": tok.to_str(), "normalizer": norm.to_str(), "prefix": bool(spec.add_dummy_prefix), "cuttable": cuttable, "lossless": len(parts) == 1}
+    return {"tokenizer": tok.to_str(), "normalizer": norm.to_str(), "prefix": bool(spec.add_dummy_prefix), "cuttable": cuttable, "lossless": len(parts) == 1, "literals": literals, "model": model if literals else b""}
 
 
 class Codec:
@@ -79,6 +83,8 @@ class Codec:
 
         self.tok, self.norm = Tokenizer.from_str(built["tokenizer"]), Tokenizer.from_str(built["normalizer"]).normalizer
         self.prefix, self.cuttable, self.lossless = built["prefix"], built["cuttable"], built["lossless"]
+        self.literal = re.compile("|".join(map(re.escape, built["literals"]))) if built["literals"] else None
+        self.model = built["model"]
 
     def segments(self, text: str, length: int) -> list[str]:
         text = self.norm.normalize_str(text) if text and not self.lossless else text.replace(" ", MARK)
@@ -103,6 +109,9 @@ class Codec:
                 out.append(None)
                 continue
             out.append(ids := [])
+            if self.literal and self.literal.search(text):
+                ids.extend(reference(self.model).encode(text))
+                continue
             for seg in self.segments(text, length):
                 batch.append((ids, seg))
                 size += len(seg)
@@ -146,14 +155,19 @@ def codec(built: dict, threads: int) -> Codec:
     return _CODECS[built["tokenizer"]]
 
 
-def differing(model: bytes, built: dict, texts) -> list[str]:
-    """Texts that the reference encoder encodes in another way."""
+def reference(model: bytes):
+    """The reference encoder of a model, one in a worker."""
     import sentencepiece
 
     if model not in _REFERENCE:
         _REFERENCE[model] = sentencepiece.SentencePieceProcessor(model_proto=model)
-    own = codec(built, 2)
-    return [t for t, ids in zip(texts, own.encode(texts)) if list(_REFERENCE[model].encode(t)) != ids]
+    return _REFERENCE[model]
+
+
+def differing(model: bytes, built: dict, texts) -> list[str]:
+    """Texts that the reference encoder encodes in another way."""
+    theirs, own = reference(model), codec(built, 2)
+    return [t for t, ids in zip(texts, own.encode(texts)) if list(theirs.encode(t)) != ids]
 
 
 def public_model() -> str:
