@@ -214,7 +214,9 @@ def row_codes(balance_needed: bool = True) -> Column:
 def sheet_ledger(cells: DataFrame, keywords: DataFrame) -> DataFrame:
     """Spreadsheet rows to ledger rows by header roles (date, time, credit, debit, amount, direction, balance, text)."""
     rows = with_roles(cells, header_roles(cells, keywords))
-    amounts = sheet_mode(sheet_money(cell("credit")), sheet_money(cell("debit")), sheet_money(cell("amount")), cell("direction"), {"收": "income", "贷": "income", "支": "expense", "借": "expense"})
+    # read once into columns of their own: the modes refer to them many times
+    rows = rows.withColumns({f"_{c}": sheet_money(cell(c)) for c in ("credit", "debit", "amount")} | {"_direction": cell("direction")})
+    amounts = sheet_mode(F.col("_credit"), F.col("_debit"), F.col("_amount"), F.col("_direction"), {"收": "income", "贷": "income", "支": "expense", "借": "expense"})
     out = rows.select(F.col("file").alias("source_file"), "page_no", "table_no", "row_no", sheet_timestamp(cell("date"), cell("time")).alias("transaction_time"), cell("date").alias("raw_time"), *[c.alias(n) for n, c in amounts.items()], sheet_money(cell("balance")).alias("balance"), F.coalesce(cell("amount"), cell("credit"), cell("debit")).alias("raw_amount"), cell("balance").alias("raw_balance"), F.array_join("cells", " ").alias("raw_text"), F.col("cells").alias("raw_fields"))
     return best_table(out.filter("transaction_time IS NOT NULL"), "table_no", "source_file")
 
