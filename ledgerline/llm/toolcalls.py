@@ -32,25 +32,68 @@ def canonical(json):
 
 
 def levels(calls: DataFrame, waits: DataFrame, max_rounds: int = 100_000) -> DataFrame:
-    """calls(conv_id, call_id), waits(conv_id, call_id, after) -> KEY and level; null level for cycles and what waits on them.
+    """calls(conv_id, call_id, turn, pos), waits(conv_id, call_id, after) -> KEY and level; null level for cycles and what waits on them.
 
-    Round by round the calls that wait for nothing left are given the round's number; one anti-join over what is left.
+    The level is the longest chain of waits. Waits that others imply are left out, then chains of calls with one wait
+    each are jumped over by pointer doubling; only calls that still have several waits are levelled round by round, and
+    ``max_rounds`` of these are an error.
     """
-    known = calls.select(F.col("conv_id"), F.col("call_id").alias("after"))
-    open_waits = materialise(waits.join(known, ["conv_id", "after"], "left_semi").select(*KEY, "after").distinct(), "calls-waits")
-    rest = materialise(calls.select(*KEY), "calls-rest")
+    known = calls.select("conv_id", F.col("call_id").alias("after"), F.struct("turn", "pos").alias("after_at"))
+    edges = waits.distinct().join(calls.select(*KEY, F.struct("turn", "pos").alias("at")), KEY).join(known, ["conv_id", "after"])
+    edges = materialise(edges.select(*KEY, "after", (F.col("after_at") < F.col("at")).alias("back")), "calls-waits")
+    # v > w > u in the calls' own order: the wait of v for u adds nothing (few waits a call, so that this stays linear)
+    few = edges.groupBy(*KEY).agg(F.count("*").alias("n")).filter("n <= 8").select(*KEY)
+    back = edges.filter("back").join(few, KEY, "left_semi").select(*KEY, "after")
+    implied = back.join(back.select("conv_id", F.col("call_id").alias("after"), F.col("after").alias("far")), ["conv_id", "after"]).select(*KEY, F.col("far").alias("after")).distinct()
+    edges = materialise(edges.select(*KEY, "after").join(implied, [*KEY, "after"], "left_anti"), "calls-waits")
+
+    one = edges.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("after").alias("to")).filter("n = 1")
+    jumps = materialise(one.select(*KEY, "to", F.lit(1).cast("bigint").alias("far")), "calls-jumps")
+    ends, reach, total = None, 1, calls.count()
+    while not jumps.isEmpty():  # what has reached a call with no wait or several leaves; what never does is on a cycle
+        onto = jumps.select("conv_id", F.col("call_id").alias("to"))
+        out = jumps.join(onto, ["conv_id", "to"], "left_anti")
+        if ends is not None:
+            past = ends.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("end"), F.col("far").alias("more"))
+            out = out.join(past, ["conv_id", "to"], "left").select(*KEY, F.coalesce("end", "to").alias("to"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"))
+        out = materialise(out.select(*KEY, "to", "far"), "calls-out")
+        ends = out if ends is None else materialise(ends.unionByName(out), "calls-ends")
+        if reach > total:
+            break
+        rest = jumps.join(out.select(*KEY), KEY, "left_anti")
+        nxt = jumps.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("far").alias("more"))
+        jumps = materialise(rest.join(nxt, ["conv_id", "to"]).select(*KEY, F.col("next").alias("to"), (F.col("far") + F.col("more")).alias("far")), "calls-jumps")
+        reach *= 2
+    if ends is None:
+        ends = jumps
+    stuck = jumps.select(*KEY).join(ends.select(*KEY), KEY, "left_anti")  # on a cycle of single waits, or waiting for one
+
+    single = materialise(one.select(*KEY), "calls-single")
+    hubs = calls.select(*KEY).join(single, KEY, "left_anti")
+    over = ends.select("conv_id", F.col("call_id").alias("after"), "to", "far")
+    lost = stuck.select("conv_id", F.col("call_id").alias("after"), F.lit(True).alias("lost"))
+    open_waits = edges.join(single, KEY, "left_anti").join(over, ["conv_id", "after"], "left").join(lost, ["conv_id", "after"], "left")
+    to = F.when(F.col("lost"), F.col("call_id")).otherwise(F.coalesce("to", "after"))  # a wait for itself is never over
+    open_waits = materialise(open_waits.select(*KEY, to.alias("after"), (F.coalesce("far", F.lit(0)) + 1).alias("far")).groupBy(*KEY, "after").agg(F.max("far").alias("far")), "calls-waits")
+    rest = materialise(hubs.withColumn("level", F.lit(0).cast("bigint")), "calls-rest")
     done = []
-    for k in range(max_rounds):
+    while True:
         ready = materialise(rest.join(open_waits.select(*KEY).distinct(), KEY, "left_anti"), "calls-ready")
         if ready.isEmpty():
             break
-        done.append(ready.withColumn("level", F.lit(k)))
-        rest = materialise(rest.join(ready, KEY, "left_anti"), "calls-rest")
+        if len(done) >= max_rounds:
+            raise ValueError(f"more than {max_rounds} rounds of calls with several waits: raise max_rounds")
+        done.append(ready)
+        met = open_waits.join(ready.select("conv_id", F.col("call_id").alias("after"), "level"), ["conv_id", "after"]).groupBy(*KEY).agg(F.max(F.col("level") + F.col("far")).alias("least"))
+        rest = materialise(rest.join(ready.select(*KEY), KEY, "left_anti").join(met, KEY, "left").select(*KEY, F.greatest("level", "least").alias("level")), "calls-rest")
         open_waits = materialise(open_waits.join(ready.select("conv_id", F.col("call_id").alias("after")), ["conv_id", "after"], "left_anti"), "calls-waits")
-    out = rest.withColumn("level", F.lit(None).cast("int"))
+    placed = rest.withColumn("level", F.lit(None).cast("bigint"))
     for d in done:
-        out = out.unionByName(d)
-    return out
+        placed = placed.unionByName(d)
+    placed = materialise(placed, "calls-placed")
+    after = placed.select("conv_id", F.col("call_id").alias("to"), "level")
+    chained = single.join(ends, KEY, "left").join(after, ["conv_id", "to"], "left").select(*KEY, (F.col("level") + F.col("far")).alias("level"))
+    return placed.unionByName(chained).withColumn("level", F.col("level").cast("int"))
 
 
 def topological(calls: DataFrame, waits: DataFrame) -> DataFrame:
