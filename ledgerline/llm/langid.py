@@ -150,9 +150,17 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", out: st
 
 
 def keep_known(docs: DataFrame, min_score: float = 0.05) -> DataFrame:
-    """Pipeline form: profiles learned from the rows' own labels; rows of no language (``und``) or far from every one go."""
-    judged = predict(docs, fit(docs), out="_language")
-    return judged.filter((F.col("_language.lang_pred") != "und") & (F.col("_language.score") >= min_score)).select(*docs.columns)
+    """Pipeline form: profiles learned from the rows' own labels; rows of no language (``und``) or far from every one go.
+
+    Where nothing was learned (no label, or labelled texts without letters) every row that has a letter stays; so does
+    a row with letters of which no n-gram is in any profile (score 0), as nothing was learned about its script.
+    """
+    learned = fit(docs)
+    if not learned.langs:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    judged = predict(docs, learned, out="_language")
+    score = F.col("_language.score")
+    return judged.filter((F.col("_language.lang_pred") != "und") & ((score >= min_score) | (score == 0))).select(*docs.columns)
 
 
 def op9_language_id(spark, sf_dir):
