@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,18 +16,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, notebooks) a temporary folder is set for a local master, or a
-    folder of the warehouse elsewhere.
+    Only where that is unset and the master is local (tests, notebooks) a temporary folder is set. On a cluster without
+    it this is an error: a folder of one machine would lose rows without a word.
     """
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir")
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
-        if sc.getCheckpointDir():
-            found = sc.getCheckpointDir()
-        else:
-            local = sc.master.startswith("local")
-            found = tempfile.mkdtemp(prefix="corpus-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
-            sc.setCheckpointDir(found)
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="corpus-")
+        sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
@@ -58,6 +57,30 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, f"_{name}"
+    while out in taken:
+        out += "_"
+    return out
+
+
+def whole_groups(batches, keys: list[str], least_rows: int = 50_000):
+    """Data frames of whole groups out of a partition's batches, sorted by ``keys``; some ``least_rows`` rows each, or one group."""
+    held, count = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        count += len(pdf)
+        if count >= least_rows:
+            x = pd.concat(held, ignore_index=True)
+            done = int((x[keys] == x[keys].iloc[-1]).all(axis=1).to_numpy().argmax())  # where the last group starts
+            if done:
+                yield x.iloc[:done]
+            held, count = [x.iloc[done:]], len(x) - done
+    if count:
+        yield pd.concat(held, ignore_index=True)
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

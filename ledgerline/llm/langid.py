@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, small_batches
+from .common import crc_mod, fresh, small_batches
 
 TOP = 400
 EDGE = np.uint64(1)  # boundary mark; letters are their code points, all above 1
@@ -153,14 +153,17 @@ def keep_known(docs: DataFrame, min_score: float = 0.05) -> DataFrame:
     """Pipeline form: profiles learned from the rows' own labels; rows of no language (``und``) or far from every one go.
 
     Where nothing was learned (no label, or labelled texts without letters) every row that has a letter stays; so does
-    a row with letters of which no n-gram is in any profile (score 0), as nothing was learned about its script.
+    a row with letters of which no n-gram is in any profile (score 0), as nothing was learned about its script. Needs
+    text and lang; other columns may have any name. Null and blank texts go, repeated rows fare alike, texts of any
+    length are read whole, an empty table gives an empty one.
     """
     learned = fit(docs)
     if not learned.langs:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    judged = predict(docs, learned, out="_language")
-    score = F.col("_language.score")
-    return judged.filter((F.col("_language.lang_pred") != "und") & ((score >= min_score) | (score == 0))).select(*docs.columns)
+    own = fresh(docs, "language")
+    judged = predict(docs, learned, out=own)
+    score = F.col(own)["score"]
+    return judged.filter((F.col(own)["lang_pred"] != "und") & ((score >= min_score) | (score == 0))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_language_id(spark, sf_dir):

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, fresh, materialise
 
 HASH_BITS, COARSE_BITS, FINE_BITS = 60, 12, 24
 
@@ -88,7 +88,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0
     """One row a document: doc_id, source, size, h, source_size, target, copies, taken.
 
     copies: how often the mix takes the document (0 up to ``cap``); taken: its words times copies. A null source is a
-    source of its own, null texts have size 0, repeated rows share their hash and so their fate, an empty table gives
+    source of its own, null and blank texts have size 0, long ones are counted whole, repeated rows share their hash and so their fate, an empty table gives
     an empty result; other columns don't matter. A source's words miss its target by at most half of the words of one
     single hash. The table of decisions has one row a source and is joined, so Spark's own size check picks the way.
     """
@@ -100,12 +100,17 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0
 
 
 def mix_rows(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """Pipeline form: ``docs`` with each row as often as the mix takes it; rows that it doesn't take are gone. Texts aren't shuffled."""
-    decided = thresholds(materialise(_light(docs, "doc_id", "text", "source"), "mix-light"), weights, share, cap).select("ds", "whole", "limit")
-    hit = docs.join(decided, docs["source"].eqNullSafe(decided["ds"]))
-    copies = F.col("whole") + (id_hash(F.col("doc_id"), F.col("text")) <= F.col("limit")).cast("bigint")
-    repeated = hit.withColumn("_copies", copies).filter(F.col("_copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return repeated.select(*docs.columns)
+    """Pipeline form: ``docs`` with each row as often as the mix takes it; rows that it doesn't take are gone. Texts aren't shuffled.
+
+    Needs doc_id, text and source; other columns may have any name. Nulls, blank texts, repeated rows and empty tables
+    as in ``mix``; texts of any length are counted whole.
+    """
+    decided = thresholds(materialise(_light(docs, "doc_id", "text", "source"), "mix-light"), weights, share, cap)
+    of, whole, limit, copy = (fresh(docs, c) for c in ("of", "whole", "limit", "copy"))
+    decided = decided.select(F.col("ds").alias(of), F.col("whole").alias(whole), F.col("limit").alias(limit))
+    copies = F.col(whole) + (id_hash(F.col("doc_id"), F.col("text")) <= F.col(limit)).cast("bigint")
+    hit = docs.join(decided, F.col("source").eqNullSafe(F.col(of))).withColumn(copy, copies).filter(F.col(copy) > 0)
+    return hit.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_mixing(spark, sf_dir):

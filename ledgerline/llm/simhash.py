@@ -10,6 +10,8 @@ finds, not all pairs; connected components come from contraction rounds over Spa
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -141,6 +143,62 @@ def _pieces(own, times, word0, step):
     yield q, np.repeat(word0, times) + np.arange(len(q)) - np.repeat(np.cumsum(times) - times, times)
 
 
+def sliced_within(asks: np.ndarray, prints: np.ndarray, radius: int, bits: int, step: int = 1 << 16):
+    """Pairs (position in ``asks``, position in ``prints``) whose first ``bits`` bits differ in at most ``radius``, some at a time.
+
+    Both are fingerprints of equal width (rows x 64-bit words). Planes are added up seven at a time: four full adders
+    make a three-bit number, which goes into counters that were set so that they overflow beyond the radius.
+    """
+    n, one, zero = len(prints), np.uint64(1), np.uint64(0)
+    if not n or not len(asks):
+        return
+    words = -(-n // 64)
+    bit = lambda x, p: x[:, p // 64] >> np.uint64(p % 64) & one
+    lanes = np.zeros((bits, words * 64), bool)
+    for p in range(bits):
+        lanes[p, :n] = bit(prints, p)
+    planes = np.packbits(lanes.reshape(bits, words, 64), axis=2, bitorder="little").view("<u8").reshape(bits, words)
+    wanted = np.stack([zero - bit(asks, p) for p in range(bits)])  # all ones where the asker's bit is set
+    empty = ~np.packbits((np.arange(words * 64) < n).reshape(-1, 64), axis=1, bitorder="little").view("<u8").ravel()
+    width = max(3, int(radius).bit_length())
+    start = (1 << width) - 1 - radius
+
+    def full(x, y, z):
+        both = x ^ y
+        return both ^ z, x & y | z & both
+
+    rows, wide = max(1, step // words), min(words, step)
+    for r0 in range(0, len(asks), rows):
+        for w0 in range(0, words, wide):
+            own, span = np.arange(r0, min(r0 + rows, len(asks))), np.arange(w0, min(w0 + wide, words))
+            q, w = np.repeat(own, len(span)), np.tile(span, len(own))
+            over = empty[w]
+            sums = [np.full(len(q), ALL if start >> k & 1 else zero) for k in range(width)]
+            for p in range(0, bits, 7):
+                x = [planes[k][w] ^ wanted[k][q] if k < bits else np.zeros(len(q), np.uint64) for k in range(p, p + 7)]
+                (s1, c1), (s2, c2) = full(*x[:3]), full(*x[3:6])
+                s, c3 = full(s1, s2, x[6])
+                add = full(c1, c2, c3)
+                carry = sums[0] & s
+                sums[0] = sums[0] ^ s
+                for k in (1, 2):
+                    sums[k], carry = full(sums[k], add[k - 1], carry)
+                for k in range(3, width):
+                    sums[k], carry = sums[k] ^ carry, sums[k] & carry
+                over |= carry
+                if p % 28 == 21:
+                    live = over != ALL
+                    if live.mean() < 0.75:
+                        q, w, over, sums = q[live], w[live], over[live], [c[live] for c in sums]
+                        if not len(q):
+                            break
+            hit = np.flatnonzero(over != ALL)
+            for k in range(0, len(hit), 1 << 12):
+                some = hit[k : k + (1 << 12)]
+                r, lane = np.nonzero(np.unpackbits((~over[some]).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+                yield q[some][r], w[some][r] * 64 + lane
+
+
 def near_links(prints: DataFrame, radius: int = 3, max_bucket: int = 16384) -> DataFrame:
     """prints(fp), all distinct -> links (a, b), a spanning forest of each bucket's links: every pair of fingerprints within ``radius`` is connected through them."""
     width = BITS // BANDS
@@ -195,7 +253,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = materialise(links.filter("a <> b").distinct(), "cc-edges")
     first = None
-    for k in range(200):
+    for k in count():
         if edges.isEmpty():
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -230,19 +288,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return light.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """Pipeline form: of each group the document with the least id stays; of rows that repeat its id, one.
-
-    Rows without an id are alike only when their texts are: they get an own key from their text and follow all ids.
-    """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.md5(F.coalesce("text", F.lit("")))))
-    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", key.alias("k"))
-    keyed = docs.withColumn("_key", order)
-    groups = near_duplicates(keyed, id_col="_key", **how)
-    stay = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id")["k"].alias("_k")).distinct()
-    return docs.withColumn("_k", key).join(stay, "_k").dropDuplicates(["_k"]).select(*docs.columns)
-
-
 def op5_simhash(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
