@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import document_key, keep_first_of_groups, materialise, small_batches
 
 BITS, BANDS, SEED = 64, 4, 42
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -288,6 +288,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return light.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
+def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """Rows of ``docs`` that name their group of near duplicates: as ``nearcopies.drop_near_copies``, linked by this module's fingerprints alone."""
+    keyed = docs.select(document_key(docs).alias("doc_id"), "text")
+    return keep_first_of_groups(docs, near_duplicates(keyed, **how).select("doc_id", "component_id"))
+
+
 def op5_simhash(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
