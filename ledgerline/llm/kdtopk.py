@@ -4,6 +4,9 @@ Trees are built by median splits of the widest dimension and keep a tight boundi
 product of a query with anything in a box is the sum over dimensions of max(q * low, q * high). A query opens the node
 with the best bound next and ends when no bound reaches its k-th score. Each query is first searched in its home shard;
 the k-th score found there goes with it to all other shards as the bound to beat.
+
+Bounds are doubles. Scores are doubles, too, for vectors and queries whose products stay below 2^53, where doubles are
+exact; the scores of larger ones are exact sums of products of 22-bit limbs, and bounds are widened by what doubles round off.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from .common import materialise
 from .vectors import count_blocks, deal, nearest, sides, usable
 
 FOUND = "query_id bigint, vec_id bigint, score bigint"
-LOW = np.int64(np.iinfo(np.int64).min)
+LOW, NO_ID = np.int64(np.iinfo(np.int64).min), np.int64(np.iinfo(np.int64).max)
 
 
 class Tree:
@@ -52,20 +55,59 @@ def bounds(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
 
 
-def search(tree: Tree, query_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int):
-    """Best k scores and ids of each query (LOW where there are fewer, or none that reach ``floor``)."""
-    n = len(q)
-    scores, ids = np.full((n, k), LOW, np.int64), np.full((n, k), np.iinfo(np.int64).max)
+def _limbs(v: np.ndarray) -> list[np.ndarray]:
+    """Three limbs of integers: v = a + b 2^22 + c 2^44, the last one signed."""
+    mask = np.int64((1 << 22) - 1)
+    return [(v & mask).astype(np.float64), (v >> 22 & mask).astype(np.float64), (v >> 44).astype(np.float64)]
+
+
+def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of 64-bit integers (queries x vectors), exactly; those beyond 64 bits become the nearest 64-bit integer.
+
+    Sums of 512 products of 22-bit limbs stay below 2^53, so doubles hold them; they are carried into digits of 22 bits.
+    """
+    sums = np.zeros((5, len(q), len(x)), np.int64)
+    for d in range(0, q.shape[1], 512):
+        for i, a in enumerate(_limbs(q[:, d : d + 512])):
+            for j, b in enumerate(_limbs(x[:, d : d + 512])):
+                sums[i + j] += (a @ b.T).astype(np.int64)
+    digits, carry = [], np.zeros((len(q), len(x)), np.int64)
+    for k in range(4):
+        carry = carry + sums[k]
+        digits.append(carry & ((1 << 22) - 1))
+        carry = carry >> 22
+    top = carry + sums[4]  # the value is top 2^88 + digits
+    upper = np.clip(top, -1, 0) * (1 << 22) + digits[3]  # bits 66 and up, if top is 0 or -1
+    fits = (top >= -1) & (top <= 0) & (upper >= -1) & (upper <= 0)
+    upper = np.clip(upper, -1, 0) * (1 << 22) + digits[2]  # bits 44 and up
+    fits &= (upper >= -(1 << 19)) & (upper < 1 << 19)
+    value = (upper << 44) + (digits[1] << 22) + digits[0]
+    return np.where(fits, value, np.where(top < 0, LOW, NO_ID))
+
+
+def search(tree: Tree, query_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int, big: np.ndarray | None = None, whole: np.ndarray | None = None):
+    """Best k scores and ids of each query; fewer, or none that reach ``floor``, leave ``NO_ID``.
+
+    big: the queries as 64-bit integers, whole: the tree's vectors likewise, where doubles aren't exact.
+    """
+    n, exact = len(q), big is None
+    scores, ids = np.full((n, k), LOW, np.int64), np.full((n, k), NO_ID)
+    # what doubles may round off a bound: conversion, products and sums
+    slack = np.zeros(n) if exact else np.abs(q) @ np.maximum(np.abs(tree.low[0]), np.abs(tree.high[0])) * (q.shape[1] + 8) * 2.0**-52
     front = np.full((n, len(tree.low)), -np.inf)
     front[:, 0] = bounds(q, tree.low[:1], tree.high[:1])[:, 0]
     while True:
         node = front.argmax(axis=1)
         best = front[np.arange(n), node]
         kth = np.maximum(scores[:, -1], floor)
-        tie = (best == kth) & (scores[:, -1] == kth) & (tree.least[node] > ids[:, -1])  # equal scores, but larger ids only
-        tie &= best > -np.inf
-        front[tie, node[tie]] = -np.inf
-        live = np.flatnonzero((best >= kth) & (best > -np.inf) & ~tie)
+        if exact:  # equal scores, but larger ids only
+            tie = (best == kth) & (scores[:, -1] == kth) & (tree.least[node] > ids[:, -1]) & (best > -np.inf)
+            front[tie, node[tie]] = -np.inf
+            open_ = (best >= kth) & ~tie
+        else:
+            tie = np.zeros(n, bool)
+            open_ = best + slack + np.abs(kth.astype(np.float64)) * 2.0**-51 >= kth.astype(np.float64)
+        live = np.flatnonzero(open_ & (best > -np.inf))
         if not len(live):
             if tie.any():
                 continue
@@ -79,24 +121,27 @@ def search(tree: Tree, query_ids: np.ndarray, q: np.ndarray, floor: np.ndarray,
                 front[np.ix_(rows, tree.child[at])] = bounds(q[rows], tree.low[tree.child[at]], tree.high[tree.child[at]])
                 continue
             s, e = tree.span[at]
-            got = q[rows] @ tree.x[s:e].T
-            got[query_ids[rows][:, None] == tree.ids[None, s:e]] = np.nan
-            hit = np.flatnonzero((got >= kth[rows][:, None]).any(axis=1))
-            if not len(hit):
-                continue
-            rows, got = rows[hit], got[hit]
-            if got.shape[1] > 4 * k:  # only columns that can matter to a row: its k best, with all their ties
-                cut = np.partition(np.where(np.isnan(got), -np.inf, got), got.shape[1] - k, axis=1)[:, -k][:, None]
-                width = int((got >= cut).sum(axis=1).max())
-                col = np.argsort(np.where(got >= cut, -got, np.inf), axis=1, kind="stable")[:, :width]
-                own, got = tree.ids[s:e][col], np.take_along_axis(got, col, axis=1)
-            else:
-                own = np.broadcast_to(tree.ids[s:e], got.shape)
-            new = np.where(np.isnan(got) | (got < floor[rows][:, None]), float(LOW), got).astype(np.int64)
-            all_s = np.concatenate((scores[rows], new), axis=1)
-            all_i = np.concatenate((ids[rows], np.where(new == LOW, np.iinfo(np.int64).max, own)), axis=1)
-            pick = np.lexsort((all_i, -all_s.astype(np.float64)), axis=1)[:, :k]
-            scores[rows], ids[rows] = np.take_along_axis(all_s, pick, axis=1), np.take_along_axis(all_i, pick, axis=1)
+            for m in range(s, e, 4096):  # equal vectors make leaves of any size
+                _take(scores, ids, rows, kth, tree.ids[m : min(e, m + 4096)], query_ids, (q[rows] @ tree.x[m : min(e, m + 4096)].T).astype(np.int64) if exact else exact_scores(big[rows], whole[m : min(e, m + 4096)]), k)
+
+
+def _take(scores, ids, rows, kth, leaf_ids, query_ids, got, k):
+    """Merge the scores of a leaf into the best of ``rows``; ``~score`` sorts descending without overflow."""
+    fair = (got >= kth[rows][:, None]) & (query_ids[rows][:, None] != leaf_ids[None, :])
+    hit = np.flatnonzero(fair.any(axis=1))
+    if not len(hit):
+        return
+    rows, got, fair = rows[hit], got[hit], fair[hit]
+    new_i = np.where(fair, np.broadcast_to(leaf_ids, got.shape), NO_ID)
+    new_s = np.where(fair, got, LOW)
+    if got.shape[1] > 4 * k:  # only columns that can matter to a row: its k best, with all their ties
+        cut = np.partition(new_s, new_s.shape[1] - k, axis=1)[:, -k][:, None]
+        width = int(((new_s >= cut) & fair).sum(axis=1).max())
+        col = np.lexsort((~fair, np.where((new_s >= cut) & fair, ~new_s, NO_ID)), axis=1)[:, : max(width, 1)]
+        new_s, new_i = np.take_along_axis(new_s, col, axis=1), np.take_along_axis(new_i, col, axis=1)
+    all_s, all_i = np.concatenate((scores[rows], new_s), axis=1), np.concatenate((ids[rows], new_i), axis=1)
+    pick = np.lexsort((all_i, ~all_s), axis=1)[:, :k]
+    scores[rows], ids[rows] = np.take_along_axis(all_s, pick, axis=1), np.take_along_axis(all_i, pick, axis=1)
 
 
 def _task(k: int, leaf: int, step: int):
@@ -104,59 +149,57 @@ def _task(k: int, leaf: int, step: int):
         both = sides(pdf, np.int64)
         if both is None:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        ids, x, q_ids, q = both
-        floors = pdf.loc[pdf["is_query"], ["vec_id", "floor"]].drop_duplicates("vec_id").sort_values("vec_id")  # by id, as the queries
-        floor = floors["floor"].to_numpy("float64")
-        # doubles hold integers below 2^53 exactly, sums of products included; above that, Python's integers
-        exact = float(np.abs(x.astype(np.float64)).max(initial=0)) * float(np.abs(q.astype(np.float64)).max(initial=0)) * max(1, x.shape[1]) < 2**53
-        if not exact:
-            return brute(ids, x, q_ids, q, k)
-        tree = Tree(x.astype(np.float64), ids, leaf)
+        ids, x, q_ids, q, _, at = both
+        floor = pdf["floor"].to_numpy(np.int64)[at]
+        # doubles are exact for what stays below 2^53, sums of products included; the rest has a tree of its own
+        most = lambda v: np.abs(v.astype(np.float64)).max(axis=1, initial=0)
+        room = 2.0**53 / max(1, x.shape[1])
+        far_x, far_q = most(x), most(q)
+        small_q = far_q <= 2.0**26
+        small_x = far_x * max(1.0, far_q[small_q].max(initial=0)) < room
         out = []
-        for s in range(0, len(q), step):
-            own = q_ids[s : s + step]
-            scores, found = search(tree, own, q[s : s + step].astype(np.float64), np.nan_to_num(floor[s : s + step], nan=-np.inf), k)
-            r, c = np.nonzero(scores != LOW)
-            out.append(pd.DataFrame({"query_id": own[r], "vec_id": found[r, c], "score": scores[r, c]}))
+        for rows, asks in ((small_x, small_q), (~small_x, small_q), (np.ones(len(x), bool), ~small_q)):
+            if not rows.any() or not asks.any():
+                continue
+            exact = asks is small_q and rows is small_x
+            tree = Tree(x[rows].astype(np.float64), ids[rows], leaf)
+            whole = None if exact else x[rows][tree.order]
+            own, qs, fl = q_ids[asks], q[asks], floor[asks]
+            for s in range(0, len(qs), step):
+                part = qs[s : s + step]
+                scores, found = search(tree, own[s : s + step], part.astype(np.float64), fl[s : s + step], k, None if exact else part, whole)
+                r, c = np.nonzero(found != NO_ID)
+                out.append(pd.DataFrame({"query_id": own[s : s + step][r], "vec_id": found[r, c], "score": scores[r, c]}))
         return pd.concat(out)
 
     return task
 
 
-def brute(ids, x, q_ids, q, k):
-    """For components so large that doubles aren't exact: all products in Python's integers; scores beyond 64 bits become the nearest 64-bit integer."""
-    near = lambda s: max(-(2**63), min(2**63 - 1, s))
-    rows = []
-    for i, v in zip(q_ids.tolist(), q.tolist()):
-        best = sorted((-near(sum(a * b for a, b in zip(v, w))), j) for j, w in zip(ids.tolist(), x.tolist()) if j != i)[:k]
-        rows += [(i, j, -s) for s, j in best]
-    return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
-
-
-def search_rows(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "vector", shard_rows: int = 65536, query_rows: int = 65536, leaf: int = 256, step: int = 1024) -> DataFrame:
+def search_rows(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "vector", shard_rows: int = 65536, shard_bytes: int = 64 << 20, leaf: int = 256, step: int = 1024) -> DataFrame:
     """The k largest inner products with rows of ``vectors`` for each row of ``queries``: query_id, rank, vec_id, score.
 
-    Vectors are arrays of integers. Null ids and null vectors or components take no part; vectors meet those of
-    their own length; rows that repeat an id count as one; a query's own id is left out; ties go to the smaller id; fewer than k
-    candidates give fewer rows; other columns don't matter.
+    Vectors are arrays of 64-bit integers. Null ids and null vectors or components take no part; vectors meet those of
+    their own length; all rows that repeat an id are candidates, of queries that repeat an id the first vector in order
+    of components counts; a query's own id is left out; ties go to the smaller id; fewer than k candidates give fewer rows;
+    scores beyond 64 bits become the nearest 64-bit integer; other columns don't matter; empty tables give no rows.
     """
 
     def valid(df):
         return df.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<bigint>").alias("vector")).filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & F.forall("vector", lambda c: c.isNotNull()))
 
     rows, asked = valid(vectors), valid(queries)
-    shards, parts = count_blocks(vectors.count(), shard_rows, vectors.sparkSession), max(1, -(-queries.count() // query_rows))
+    shards, parts = count_blocks(rows, asked, shard_rows, shard_bytes)
     task = _task(k, leaf, step)
-    every = deal(rows, asked.withColumn("floor", F.lit(None).cast("bigint")), shards, parts, ["floor"])
+    dealt = lambda asked: deal(rows, asked, shards, parts, {"floor": "bigint"}).withColumn("floor", F.coalesce("floor", F.lit(int(LOW))))  # noqa: E731  no nulls: they would make doubles of it
     home = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
     at_home = ~F.col("is_query") | (F.col("block") == home)
-    first = materialise(every.filter(at_home).groupBy("dim", "block", "part").applyInPandas(task, FOUND), "topk-home")
+    first = materialise(dealt(asked).filter(at_home).groupBy("dim", "block", "part").applyInPandas(task, FOUND), "topk-home")
     if shards == 1:
         return nearest(first, k)
     # the k-th score at home; queries with fewer have no bound yet
     kth = first.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n")).filter(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), "floor")
     bounded = asked.join(kth, "vec_id", "left")
-    rest = deal(rows, bounded, shards, parts, ["floor"]).filter(~F.col("is_query") | (F.col("block") != home))
+    rest = dealt(bounded).filter(~F.col("is_query") | (F.col("block") != home))
     return nearest(first.unionByName(rest.groupBy("dim", "block", "part").applyInPandas(task, FOUND)), k)
 
 
@@ -172,7 +215,7 @@ WITH v AS (
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 p AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+  FROM (SELECT vec_id, min(v) AS v FROM v WHERE vec_id % 20 = 0 GROUP BY vec_id, len(v)) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """

@@ -139,7 +139,10 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", top
 
 
 def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", out: str = "language") -> DataFrame:
-    """All rows of ``docs`` with a struct column ``out`` (lang_pred, score); a column of that name is replaced."""
+    """All rows of ``docs`` with a struct column ``out`` (lang_pred, score); a column of that name is replaced.
+
+    Null texts and texts without letters are ``und``; ties go to the first language by code point; texts of any length are read whole.
+    """
     model = small_batches(docs.sparkSession).sparkContext.broadcast(profiles)  # at most max_languages x top ranks
 
     @F.pandas_udf("lang_pred string, score double")

@@ -223,7 +223,7 @@ def score_documents(docs: DataFrame, held_out: Column, deleted: Column, id_col:
 
     The model learns from documents that aren't ``held_out``; its weights from those of them that are ``deleted``.
     base_score is the add-one unigram score. Null texts are empty (one token, the end), null conditions false, repeated
-    rows count and score each; other columns don't matter. An empty table gives no rows, and without training
+    rows count and score each; texts of any length are one document of one shard; other columns don't matter. An empty table gives no rows, and without training
     documents every token has the uniform share. Ids must be integers. A task that runs again must meet the same rows in
     the same order, so ``docs`` should be a scan of files or a table written before, not a shuffle's output.
     """
@@ -245,7 +245,8 @@ def score_documents(docs: DataFrame, held_out: Column, deleted: Column, id_col:
     weights = em_weights(cells.orderBy("bucket", "bin2", "bin1").toPandas(), 1 / (types + 1))
     shards = noted.filter(F.col("words").isNotNull()).select("shard", "words", "pairs")
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return shards.repartition(max(1, shards.count())).mapInPandas(_score(out_dir, parts, kept + gone, types, weights), schema)
+    # a number of its own: a row stands for a shard's whole work; many shards share a task where there are very many
+    return shards.repartition(max(1, min(shards.count(), 50_000))).mapInPandas(_score(out_dir, parts, kept + gone, types, weights), schema)
 
 
 def op6_lm_scoring(spark, sf_dir):

@@ -1,7 +1,7 @@
 """SimHash near-duplicates: 64-bit fingerprints of word shingles, linked at a Hamming distance of at most ``radius``.
 
-Fingerprints that differ in at most 3 bits agree in at least one of four 16-bit bands, so only fingerprints that share
-a band's value are compared. A bucket of them is laid out as bit planes: plane p holds bit p of 64 fingerprints in
+Fingerprints that differ in at most 3 bits agree in at least two of five blocks of bits, so only fingerprints that share
+the values of two blocks (some 26 bits) are compared, in ten groupings, one a pair of blocks. A bucket of them is laid out as bit planes: plane p holds bit p of 64 fingerprints in
 each machine word. One fingerprint is compared with 64 at a time: planes are xor-ed with its bits and added up in
 carry-save counters; words in which all 64 distances exceed the radius are abandoned. Large buckets are dealt out as
 pairs of chunks, so no task holds more than two chunks of one. A task sends on a spanning forest of the links that it
@@ -10,7 +10,7 @@ finds, not all pairs; connected components come from contraction rounds over Spa
 
 from __future__ import annotations
 
-from itertools import count
+from itertools import combinations, count
 
 import numpy as np
 import pandas as pd
@@ -18,9 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import document_key, keep_first_of_groups, materialise, small_batches
+from .common import document_key, keep_first_of_groups, materialise, small_batches, whole_groups
 
-BITS, BANDS, SEED = 64, 4, 42
+BITS, BLOCKS, SEED = 64, 5, 42
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -199,49 +199,52 @@ def sliced_within(asks: np.ndarray, prints: np.ndarray, radius: int, bits: int,
                 yield q[some][r], w[some][r] * 64 + lane
 
 
-def near_links(prints: DataFrame, radius: int = 3, max_bucket: int = 16384) -> DataFrame:
+def _blocks(blocks: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of each block; widths differ by one bit at most."""
+    cut = [BITS * k // blocks for k in range(blocks + 1)]
+    return [(a, b - a) for a, b in zip(cut, cut[1:])]
+
+
+def near_links(prints: DataFrame, radius: int = 3, max_bucket: int = 16384, blocks: int = BLOCKS) -> DataFrame:
     """prints(fp), all distinct -> links (a, b), a spanning forest of each bucket's links: every pair of fingerprints within ``radius`` is connected through them."""
-    width = BITS // BANDS
-    band = [F.struct(F.lit(k).alias("band"), F.shiftright("fp", k * width).bitwiseAND((1 << width) - 1).cast("int").alias("part")) for k in range(BANDS)]
-    rows = prints.select("fp", F.explode(F.array(*band)).alias("x")).select("fp", (F.col("x.band") * (1 << width) + F.col("x.part")).alias("bucket"))
-    # at most 4 x 65,536 buckets exist, so this side of the join has a proven bound
-    large = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > max_bucket).select("bucket", F.ceil(F.col("n") / max_bucket).cast("int").alias("chunks"))
-    dealt = rows.join(F.broadcast(large), "bucket", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    of = _blocks(blocks)
+    groupings = list(combinations(range(blocks), blocks - radius))  # at most ``radius`` blocks can differ
+
+    def bucket(g, k):
+        key, used = F.lit(g).cast("bigint"), 0
+        for b in k:
+            at, width = of[b]
+            used += width
+            if used > 56:
+                raise ValueError("a bucket's key has 56 bits for its blocks: take more blocks")
+            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned("fp", at).bitwiseAND((1 << width) - 1))
+        return key
+
+    keys_of = F.array(*[F.struct(F.lit(g).alias("grouping"), bucket(g, k).alias("bucket")) for g, k in enumerate(groupings)])
+    rows = prints.select("fp", F.explode(keys_of).alias("x")).select("fp", "x.*")
+    # a row for each bucket that must be cut: Spark's own size check picks the join
+    large = rows.groupBy("grouping", "bucket").agg(F.count("*").alias("n")).filter(F.col("n") > max_bucket).select("grouping", "bucket", F.ceil(F.col("n") / max_bucket).cast("int").alias("chunks"))
+    dealt = rows.join(large, ["grouping", "bucket"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("asks"), "fp")
+    dealt = dealt.select("grouping", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("asks"), "fp")
+    keys = ["grouping", "bucket", "i", "j"]
 
     def compare(batches):
-        held: list[pd.DataFrame] = []
-        count = 0
-        for pdf in batches:
-            held.append(pdf)
-            count += len(pdf)
-            if count >= 100_000:
-                x = pd.concat(held, ignore_index=True)
-                last = x.iloc[-1]
-                ends = ((x["bucket"] == last["bucket"]) & (x["i"] == last["i"]) & (x["j"] == last["j"])).to_numpy()
-                done = int(np.argmax(ends))
-                if done:
-                    yield found(x.iloc[:done])
-                held = [x.iloc[done:]]
-                count = len(held[0])
-        if count:
-            yield found(pd.concat(held, ignore_index=True))
-
-    def found(x):
-        of_band = x["bucket"].to_numpy() >> width
-        out = []
-        for k in np.unique(of_band):
-            y = x[of_band == k]
-            fps = y["fp"].to_numpy(np.int64).view(np.uint64)
-            key = pd.factorize(pd.MultiIndex.from_frame(y[["bucket", "i", "j"]]))[0]
-            parent = bucket_links(fps, key, y["asks"].to_numpy(bool), [p for p in range(BITS) if p // width != k], radius)
-            child = np.flatnonzero(parent != np.arange(len(parent)))
-            out.append(pd.DataFrame({"a": fps[child].view(np.int64), "b": fps[parent[child]].view(np.int64)}))
-        return pd.concat(out)
-
-    keys = ["bucket", "i", "j"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compare, "a bigint, b bigint")
+        for x in whole_groups(batches, keys, 100_000):
+            for g in np.unique(x["grouping"]):
+                y = x[x["grouping"] == g]
+                ends = np.flatnonzero((y[keys].to_numpy()[1:] != y[keys].to_numpy()[:-1]).any(axis=1)) + 1
+                size = np.diff(np.r_[0, ends, len(y)])
+                mates = np.repeat(size > 1, size)
+                fps = y["fp"].to_numpy(np.int64).view(np.uint64)[mates]
+                same = {p for b in groupings[g] for p in range(of[b][0], sum(of[b]))}
+                parent = bucket_links(fps, np.repeat(np.arange(len(size)), size)[mates], y["asks"].to_numpy(bool)[mates], [p for p in range(BITS) if p not in same], radius)
+                child = np.flatnonzero(parent != np.arange(len(parent)))
+                yield pd.DataFrame({"a": fps[child].view(np.int64), "b": fps[parent[child]].view(np.int64)})
+
+    # a number of its own: the work grows with the square of a bucket, so bytes say little about it
+    partitions = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(partitions, *keys).sortWithinPartitions(*keys).mapInPandas(compare, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -275,7 +278,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row a document: id, fp, component_id (the least id that links lead to, its own included).
 
     Null and blank texts have fingerprint 0 and link like any other; null ids never name a component (unless it has no
-    other id: then null); repeated rows stay; columns besides id and text don't matter; an empty table gives no rows.
+    other id: then null); repeated rows stay; texts of any length are read whole; columns besides id and text don't matter;
+    an empty table gives no rows.
     """
     light = materialise(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), "_text", shingle).select("doc_id", "fp"), "sim-light")
     nodes = materialise(light.groupBy("fp").agg(F.min("doc_id").alias("least")), "sim-nodes")

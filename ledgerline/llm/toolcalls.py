@@ -49,7 +49,8 @@ def levels(calls: DataFrame, waits: DataFrame, max_rounds: int = 100_000) -> Dat
 
     one = edges.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("after").alias("to")).filter("n = 1")
     jumps = materialise(one.select(*KEY, "to", F.lit(1).cast("bigint").alias("far")), "calls-jumps")
-    ends, reach, total = None, 1, calls.count()
+    longest = calls.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    ends, reach = None, 1
     while not jumps.isEmpty():  # what has reached a call with no wait or several leaves; what never does is on a cycle
         onto = jumps.select("conv_id", F.col("call_id").alias("to"))
         out = jumps.join(onto, ["conv_id", "to"], "left_anti")
@@ -58,7 +59,7 @@ def levels(calls: DataFrame, waits: DataFrame, max_rounds: int = 100_000) -> Dat
             out = out.join(past, ["conv_id", "to"], "left").select(*KEY, F.coalesce("end", "to").alias("to"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"))
         out = materialise(out.select(*KEY, "to", "far"), "calls-out")
         ends = out if ends is None else materialise(ends.unionByName(out), "calls-ends")
-        if reach > total:
+        if reach > longest:
             break
         rest = jumps.join(out.select(*KEY), KEY, "left_anti")
         nxt = jumps.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("far").alias("more"))
@@ -96,22 +97,6 @@ def levels(calls: DataFrame, waits: DataFrame, max_rounds: int = 100_000) -> Dat
     return placed.unionByName(chained).withColumn("level", F.col("level").cast("int"))
 
 
-def topological(calls: DataFrame, waits: DataFrame) -> DataFrame:
-    """calls(conv_id, call_id, turn, pos) -> KEY and level: (level, turn, pos) is a topological order of each conversation.
-
-    Where all calls wait for earlier ones only, their own order is one, and the level is 0: one join decides that,
-    however long the conversation. Only conversations in which a call waits for a later one are levelled in rounds.
-    """
-    at = F.struct("turn", "pos").alias("at")
-    known = calls.select("conv_id", F.col("call_id").alias("after"), F.struct("turn", "pos").alias("after_at"))
-    edges = waits.join(calls.select(*KEY, at), KEY).join(known, ["conv_id", "after"])
-    forward = materialise(edges.filter(F.col("after_at") >= F.col("at")).select("conv_id").distinct(), "calls-forward")
-    if forward.isEmpty():
-        return calls.select(*KEY, F.lit(0).alias("level"))
-    own = calls.join(forward, "conv_id", "left_anti").select(*KEY, F.lit(0).alias("level"))
-    return own.unionByName(levels(calls.join(forward, "conv_id", "left_semi"), waits.join(forward, "conv_id", "left_semi")))
-
-
 def link_tool_calls(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     """One row a call, and one a result without a call.
 
@@ -123,7 +108,8 @@ def link_tool_calls(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     status: ``linked``, ``no_result``, ``early_result`` (not after the call), ``cycle``, ``orphan_result``. Of calls or
     results that repeat an identifier in a conversation the first by turn and place counts; null conversations
     or identifiers link nothing (such calls are left out, such results are orphans). Tool calls that aren't a JSON array give no
-    calls. Empty tables give no rows; other columns don't matter.
+    calls. Texts of any length are carried whole, null ones leave the result out of the JSON. Empty tables give no rows;
+    other columns don't matter.
     """
     calls = messages.filter(F.col("tool_calls").isNotNull()).select("conv_id", "turn", F.posexplode(F.from_json("tool_calls", CALLS)).alias("pos", "c"))
     calls = calls.select("conv_id", F.col("c.id").alias("call_id"), F.struct("turn", "pos", "c.name", "c.arguments", "c.after").alias("call")).filter(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull())
@@ -131,7 +117,7 @@ def link_tool_calls(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     results = messages.filter(F.col("role") == "tool").select("conv_id", F.col("tool_call_id").alias("call_id"), F.struct(F.col("turn").alias("result_turn"), F.col("text").alias("result")).alias("r"))
     results = results.groupBy(*KEY).agg(F.min("r").alias("r")).select(*KEY, "r.*")
 
-    placed = topological(calls, calls.select(*KEY, F.explode("after").alias("after")))
+    placed = levels(calls, calls.select(*KEY, F.explode("after").alias("after")))
     s = schemas.select("name", F.coalesce("required", F.array().cast("array<string>")).alias("required"), F.coalesce("types", F.create_map().cast("map<string,string>")).alias("types"), F.lit(True).alias("known"))
     joined = calls.join(placed, KEY).join(s, "name", "left").join(results.hint("shuffle_hash"), KEY, "full")
 
@@ -151,30 +137,38 @@ def link_tool_calls(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     status = F.when(F.col("turn").isNull(), "orphan_result").when(F.col("level").isNull(), "cycle").when(F.col("result_turn").isNull(), "no_result").when(F.col("result_turn") <= F.col("turn"), "early_result").otherwise("linked")
     out = joined.withColumns({"errors": errors, "status": status})
     # the variant of the whole link, so that one writer sorts and escapes everything
-    whole = F.to_json(F.struct("call_id", "name", "result", "turn"))
+    whole = F.to_json(F.struct("call_id", "level", "name", "result", "turn"))
     args = F.coalesce(canonical("arguments"), F.to_json(F.struct(F.col("arguments").alias("raw"))))
     line = F.concat(F.lit('{"arguments":'), args, F.lit(","), F.substr(canonical(whole), F.lit(2)))
     return out.select(*KEY, "turn", "pos", "name", "level", "result_turn", "status", "errors", F.when(F.col("turn").isNotNull(), line).alias("canonical"))
 
 
 def tool_messages(conversations: DataFrame) -> DataFrame:
-    """Tool calls for chats that hold none: every assistant turn makes one call out of its words, the next turn brings
-    its result; calls wait for the previous call and, every third, for the one before. Every 5th to 7th call is flawed: by a property
-    of a wrong type, a missing one, or an unknown one."""
-    words = F.regexp_extract_all("text", F.lit(WORD), 0)
-    mark = F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("bigint")
-    ident = lambda turn: F.concat(F.lit("c"), turn.cast("string"))
-    args = F.when(mark % 5 == 0, F.to_json(F.struct(F.lit("many").alias("limit"), F.array_join(F.slice(words, 1, 4), " ").alias("query"))))
-    args = args.when(mark % 6 == 0, F.to_json(F.struct((F.size(words) % 50).alias("limit"))))
-    args = args.when(mark % 7 == 0, F.to_json(F.struct(F.array_join(F.slice(words, 1, 4), " ").alias("query"), F.lit(True).alias("deep"))))
-    args = args.otherwise(F.to_json(F.struct(F.array_join(F.slice(words, 1, 4), " ").alias("query"), (F.size(words) % 50).alias("limit"))))
+    """Tool calls for chats that hold none: every assistant turn makes one call out of its text, the next user turn brings its result.
+
+    A call waits for the call before and, every third turn, for the one before that. One call in six waits for the
+    next one instead, which then waits for the call before both: such chats must be reordered, and two in a row make
+    a cycle. One call in sixty waits for nothing. Every 5th to 7th call is flawed: by a property of a wrong type, a
+    missing one, or an unknown one. Null texts of assistants are empty.
+    """
+    turn, text = F.col("turn"), F.coalesce("text", F.lit(""))
+    mark = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    place = lambda t: F.conv(F.substring(F.md5(F.concat_ws(":", F.col("conv_id").cast("string"), t.cast("string"))), 1, 8), 16, 10).cast("bigint") % 60
+    ident = lambda t: F.concat(F.lit("c"), t.cast("string"))
+    limit = F.coalesce(F.regexp_count(text, F.lit(WORD)) % 50, F.lit(0)).alias("limit")
+    args = F.when(mark % 5 == 0, F.to_json(F.struct(F.lit("many").alias("limit"), text.alias("query"))))
+    args = args.when(mark % 6 == 0, F.to_json(F.struct(limit)))
+    args = args.when(mark % 7 == 0, F.to_json(F.struct(text.alias("query"), F.lit(True).alias("deep"))))
+    args = args.otherwise(F.to_json(F.struct(text.alias("query"), limit)))
     tool = F.element_at(F.array(*[F.lit(n) for n in TOOLS]), (mark % len(TOOLS) + 1).cast("int"))
-    after = F.when(F.col("turn") % 3 == 0, F.array(ident(F.col("turn") - 2), ident(F.col("turn") - 4))).otherwise(F.array(ident(F.col("turn") - 2)))
-    call = F.to_json(F.array(F.struct(ident(F.col("turn")).alias("id"), tool.alias("name"), F.parse_json(args).alias("arguments"), after.alias("after"))))
+    before = F.array(ident(turn - F.when(place(turn - 2) < 10, 4).otherwise(2)))
+    after = F.when(place(turn) < 10, F.array(ident(turn + 2))).when(place(turn) == 10, F.array().cast("array<string>"))
+    after = after.otherwise(F.when(turn % 3 == 0, F.array_union(before, F.array(ident(turn - 4)))).otherwise(before))
+    call = F.to_json(F.array(F.struct(ident(turn).alias("id"), tool.alias("name"), F.parse_json(args).alias("arguments"), after.alias("after"))))
     base = conversations.select("conv_id", "turn", "role", "text")
-    asks = base.filter("role = 'assistant' AND text IS NOT NULL").select("conv_id", "turn", "role", "text", call.alias("tool_calls"), F.lit(None).cast("string").alias("tool_call_id"))
     none = F.lit(None).cast("string")
-    answers = base.filter("role = 'user' AND turn > 0").select("conv_id", "turn", F.lit("tool").alias("role"), "text", none.alias("tool_calls"), ident(F.col("turn") - 1).alias("tool_call_id"))
+    asks = base.filter("role = 'assistant'").select("conv_id", "turn", "role", "text", call.alias("tool_calls"), none.alias("tool_call_id"))
+    answers = base.filter("role = 'user' AND turn > 0").select("conv_id", "turn", F.lit("tool").alias("role"), "text", none.alias("tool_calls"), ident(turn - 1).alias("tool_call_id"))
     return asks.unionByName(answers)
 
 
@@ -194,21 +188,33 @@ def op7_tool_calls(spark, sf_dir):
 
 
 OP7_SQL = r"""
-WITH a AS (
-  SELECT conv_id, turn, 'c' || turn AS call_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, CAST('0x' || substr(md5(text), 1, 8) AS BIGINT) AS k
-  FROM conversations WHERE role = 'assistant' AND text IS NOT NULL),
+WITH RECURSIVE a AS (
+  SELECT conv_id, turn, 'c' || turn AS call_id, coalesce(text, '') AS t, CAST('0x' || substr(md5(coalesce(text, '')), 1, 8) AS BIGINT) AS k,
+    CAST('0x' || substr(md5(conv_id || ':' || turn), 1, 8) AS BIGINT) % 60 AS here, CAST('0x' || substr(md5(conv_id || ':' || (turn - 2)), 1, 8) AS BIGINT) % 60 AS past
+  FROM conversations WHERE role = 'assistant'),
 b AS (
   SELECT conv_id, turn, call_id, ['search', 'translate', 'summarise'][k % 3 + 1] AS name,
-    CAST(to_json(array_to_string(w[1:4], ' ')) AS VARCHAR) AS q, len(w) % 50 AS lim,
+    CAST(to_json(t) AS VARCHAR) AS q, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) % 50 AS lim,
     CASE WHEN k % 5 = 0 THEN 'type:limit' WHEN k % 6 = 0 THEN 'missing:query' WHEN k % 7 = 0 THEN 'unknown:deep' ELSE '' END AS errors FROM a),
+w AS (
+  SELECT conv_id, call_id, turn + 2 AS t FROM a WHERE here < 10
+  UNION SELECT conv_id, call_id, turn - CASE WHEN past < 10 THEN 4 ELSE 2 END FROM a WHERE here > 10
+  UNION SELECT conv_id, call_id, turn - 4 FROM a WHERE here > 10 AND turn % 3 = 0),
+e AS (SELECT w.conv_id, w.call_id, a.call_id AS after FROM w JOIN a ON w.conv_id = a.conv_id AND w.t = a.turn),
+n AS (SELECT conv_id, count(*) AS calls FROM a GROUP BY conv_id),
+d AS (  -- how long chains of waits get; as many as there are calls means a cycle
+  SELECT conv_id, call_id, 0 AS far FROM a
+  UNION SELECT e.conv_id, e.call_id, d.far + 1 FROM d JOIN e ON d.conv_id = e.conv_id AND d.call_id = e.after JOIN n ON n.conv_id = d.conv_id WHERE d.far < n.calls),
+l AS (SELECT d.conv_id, d.call_id, CASE WHEN max(far) < any_value(calls) THEN CAST(max(far) AS INTEGER) END AS level FROM d JOIN n ON n.conv_id = d.conv_id GROUP BY d.conv_id, d.call_id),
 r AS (SELECT conv_id, turn AS result_turn, 'c' || (turn - 1) AS call_id, text FROM conversations WHERE role = 'user' AND turn > 0),
-j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn, c.name, CASE WHEN c.turn IS NOT NULL THEN 0 END AS level, r.result_turn, c.errors, c.q, c.lim, r.text
-      FROM b c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id)
+c AS (SELECT b.*, l.level FROM b LEFT JOIN l ON b.conv_id = l.conv_id AND b.call_id = l.call_id),
+j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn, c.name, c.level, r.result_turn, c.errors, c.q, c.lim, r.text
+      FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id)
 SELECT conv_id, call_id, turn, name, level, result_turn,
-  CASE WHEN turn IS NULL THEN 'orphan_result' WHEN result_turn IS NULL THEN 'no_result' ELSE 'linked' END AS status, coalesce(errors, '') AS errors,
+  CASE WHEN turn IS NULL THEN 'orphan_result' WHEN level IS NULL THEN 'cycle' WHEN result_turn IS NULL THEN 'no_result' ELSE 'linked' END AS status, coalesce(errors, '') AS errors,
   CASE WHEN turn IS NOT NULL THEN '{"arguments":' || CASE errors
       WHEN 'type:limit' THEN '{"limit":"many","query":' || q || '}' WHEN 'missing:query' THEN '{"limit":' || lim || '}'
       WHEN 'unknown:deep' THEN '{"deep":true,"query":' || q || '}' ELSE '{"limit":' || lim || ',"query":' || q || '}' END
-    || ',"call_id":"' || call_id || '","name":"' || name || '"' || CASE WHEN result_turn IS NULL OR text IS NULL THEN '' ELSE ',"result":' || CAST(to_json(text) AS VARCHAR) END || ',"turn":' || turn || '}' END AS canonical
+    || ',"call_id":"' || call_id || '",' || CASE WHEN level IS NULL THEN '' ELSE '"level":' || level || ',' END || '"name":"' || name || '"' || CASE WHEN result_turn IS NULL OR text IS NULL THEN '' ELSE ',"result":' || CAST(to_json(text) AS VARCHAR) END || ',"turn":' || turn || '}' END AS canonical
 FROM j
 """

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import fresh, lower_ascii
 
 RULE_SCHEMA = "action string, host string, path string"
 
@@ -87,8 +87,8 @@ def filter_urls(pages: DataFrame, rules, url_col: str = "url", default: str = "a
     """All rows of ``pages`` with columns host, path, rule (``host + path`` of the winning rule, or null) and verdict added.
 
     ``rules``: (action, host, path) tuples, or a DataFrame of them (``RULE_SCHEMA``). Null urls, urls without ``://``
-    and an empty rule list give empty or unmatched results; repeated rows stay. Columns of those four names in
-    ``pages`` are replaced.
+    and an empty rule list give empty or unmatched results; repeated rows stay; urls of any length are read whole; an
+    empty table gives an empty one. Columns of those four names in ``pages`` are replaced, others may have any name.
     """
     spark = pages.sparkSession
     host, path = host_and_path(F.col(url_col))
@@ -107,20 +107,30 @@ def filter_urls(pages: DataFrame, rules, url_col: str = "url", default: str = "a
         found = [trie.value.find(h, p) for h, p in zip(host, path)]
         return pd.DataFrame({"rule": [f[1] if f else None for f in found], "verdict": [f[0] if f else default for f in found]}, dtype=object)
 
-    return parted.withColumn("_judged", judge("host", "path")).withColumns({"rule": F.col("_judged.rule"), "verdict": F.col("_judged.verdict")}).drop("_judged")
+    own = fresh(parted, "judged")
+    return parted.withColumn(own, judge("host", "path")).withColumns({"rule": F.col(own)["rule"], "verdict": F.col(own)["verdict"]}).drop(own)
 
 
 def _joined(parted: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """The same by an equi-join of each distinct (host, path) and its host suffixes with the rules' hosts."""
+    """The same by an equi-join of each distinct (host, path), by host suffix and leading folders, with the rules' hosts and folders.
+
+    Only as many labels and folders of a url are tried as the longest rules have, so rows grow with the rules' depth, not a url's length.
+    """
+    folder = lambda c: F.regexp_extract(c, "(?s)^(.*/)?", 0)
+    slashes = lambda c: F.length(c) - F.length(F.replace(c, F.lit("/"), F.lit("")))
+    rules = rules.select("action", F.col("host").alias("suffix"), F.col("path").alias("rule_path"), folder(F.col("path")).alias("folder"))
+    labels_most, deepest = rules.agg(F.max(F.size(F.split("suffix", "\\."))), F.max(slashes(F.col("folder")))).first()
     urls = parted.select("host", "path").distinct()
     labels = F.split("host", "\\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    meets = urls.withColumn("suffix", F.explode(suffixes)).join(rules.select("action", F.col("host").alias("suffix"), F.col("path").alias("rule_path")), "suffix")
+    suffixes = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - F.lit((labels_most or 1) - 1)), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    folders = F.transform(F.sequence(F.lit(0), F.least(slashes(F.col("path")), F.lit(deepest or 0))), lambda i: F.when(i == 0, "").otherwise(F.concat(F.array_join(F.slice(F.split("path", "/"), 1, i), "/"), F.lit("/"))))
+    tried = urls.withColumn("suffix", F.explode(suffixes)).withColumn("folder", F.explode(folders))
     rank = F.struct(F.size(F.split("suffix", "\\.")).alias("labels"), F.length("rule_path").alias("length"), (F.col("action") == "block").alias("block"), F.concat("suffix", "rule_path").alias("rule"))
-    won = meets.filter(F.startswith("path", "rule_path")).groupBy("host", "path").agg(F.max(rank).alias("won"))
-    out = parted.drop("rule", "verdict").join(won, ["host", "path"], "left")
-    verdict = F.when(F.col("won").isNull(), default).when(F.col("won.block"), "block").otherwise("allow")
-    return out.withColumns({"rule": F.col("won.rule"), "verdict": verdict}).drop("won")
+    won = fresh(parted, "won")
+    best = tried.join(rules, ["suffix", "folder"]).filter(F.startswith("path", "rule_path")).groupBy("host", "path").agg(F.max(rank).alias(won))
+    out = parted.drop("rule", "verdict").join(best, ["host", "path"], "left")
+    verdict = F.when(F.col(won).isNull(), default).when(F.col(won)["block"], "block").otherwise("allow")
+    return out.withColumns({"rule": F.col(won)["rule"], "verdict": verdict}).drop(won)
 
 
 #: The rules of query op10.

@@ -86,3 +86,44 @@ def test_op4_takes_no_invalid_vectors(spark, tmp_path):
     table(spark, [(0, [1.0, 0.5]), (20, [0.0, float("nan")]), (1, [-0.01, 1.0]), (2, None), (3, [None, 1.0])]).write.parquet(str(tmp_path / "embeddings.parquet"))
     got = [tuple(r) for r in kdtopk.op4_kd_topk(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()]
     assert got == [(0, 1, 1, 64 * -1 + 32 * 64)]
+
+
+def test_all_rows_of_an_id_are_candidates(spark, tmp_path):
+    rows = [(0, [1.0, 1.0]), (1, [1.0, 0.5]), (1, [3.0, 0.5]), (2, [1.0, 1.0]), (20, [0.5, 1.0]), (20, [0.25, 1.0]), (50, [1.0, 2.0])]
+    table(spark, rows + rows[:1]).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in kdtopk.op4_kd_topk(spark, str(tmp_path)).collect()]
+    assert sorted(x for x in got if x[0] == 0)[0] == (0, 1, 1, 64 * 192 + 64 * 32) and [x[2] for x in got if x[0] == 0].count(1) == 2
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(got) == sorted(con.sql(kdtopk.OP4_SQL).fetchall())
+    found = [(r.rank, r.vec_id, round(r.score, 3)) for r in ann.op3_one_bit_ann(spark, str(tmp_path)).collect() if r.query_id == 0]
+    assert sorted(found)[0] == (1, 2, 1.0) and {(1, 0.949), (1, 0.814)} <= {x[1:] for x in found}
+
+
+def test_exact_scores_of_large_integers():
+    rng = np.random.default_rng(4)
+    for top in (1 << 20, 1 << 40, 1 << 62):
+        q, x = rng.integers(-top, top, (5, 600)), rng.integers(-top, top, (7, 600))
+        q[0], x[0] = 0, -(2**63)
+        q[1], x[1] = 2**63 - 1, 2**63 - 1
+        want = [[max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(v, w)))) for w in x] for v in q]
+        assert kdtopk.exact_scores(q, x).tolist() == want
+    assert kdtopk.exact_scores(np.array([[1, -1, 2**31]]), np.array([[-(2**63), 0, 0], [5, 7, 2**32], [2**62, 0, 2**31 - 1]])).tolist() == [[-(2**63), 2**63 - 2, 2**63 - 1]]
+
+
+def test_one_large_component_keeps_the_tree(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.integers(-500, 500, 16).tolist()) for i in range(20_000)]
+    rows[40][1][3] = rows[77][1][0] = 10**14
+    df = spark.createDataFrame(rows, "vec_id bigint, vector array<bigint>").repartition(4)
+    got = {}
+    for r in kdtopk.search_rows(df, df.filter("vec_id % 400 = 40")).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    x = np.array([v for _, v in rows], dtype=object)
+    for i, found in got.items():
+        score = (x * x[i]).sum(axis=1)
+        want = sorted((-int(s), j) for j, s in enumerate(score) if j != i)[:20]
+        assert sorted(found) == [(n + 1, j, -s) for n, (s, j) in enumerate(want)]
+    assert len(got) == 50
