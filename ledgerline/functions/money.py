@@ -155,6 +155,38 @@ def balance_candidates(text: Column) -> Column:
     return _distinct_values(F.flatten(F.transform(matches, readings)), lambda v: v >= 0).cast(MONEY_ARRAY)
 
 
+def directed_candidates(text: Column, direction: Column) -> Column:
+    """Amounts of a cell signed by a direction text (or a minus of its own): whole numbers with decimals first, then endings of all digits before the last point."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), ",", "")
+    found = F.regexp_extract_all(F.regexp_replace(t, r"[^0-9.]", " "), F.lit(r"\d+\.\d{1,2}"), 0)
+    plain = F.regexp_replace(t, r"[^0-9.]", "")
+    whole = F.regexp_replace(F.regexp_extract(plain, r"^(.*)\.[^.]*$", 1), r"\.", "")
+    cents = F.substring(F.regexp_extract(plain, r"^.*\.([^.]*)$", 1), 1, 2)
+    endings = F.when((whole != "") & (cents != ""), F.transform(_suffixes(whole), lambda w: F.concat(w, F.lit("."), cents))).otherwise(F.array().cast("array<string>"))
+    values = F.array_distinct(F.array_compact(F.transform(F.concat(found, endings), to_money)))
+    values = F.when(F.size(values) > 0, values).otherwise(F.array_compact(F.array(clean_number(text))))
+    sign = F.when(F.contains(F.coalesce(direction, F.lit("")), F.lit("支")) | F.contains(t, F.lit("-")), -1).otherwise(1)
+    return F.transform(values, lambda v: (F.abs(v) * sign).cast(MONEY)).cast(MONEY_ARRAY)
+
+
+def parted_candidates(text: Column, signed: bool = False, most: int = 24) -> Column:
+    """Candidates of a cell of several parts (between bars), 0 first where the cell shows 0.00 or nothing can be read; the first ``most``."""
+    part_values = lambda p: F.transform(balance_candidates(F.regexp_replace(p, "-", "")), lambda v: F.when(v == 0, zero()).otherwise((v * F.when(F.lit(signed) & F.contains(F.substring(p, 1, 3), F.lit("-")), -1).otherwise(1)).cast(MONEY)))
+    values = F.array_distinct(F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), "\\|"), part_values))).cast(MONEY_ARRAY)
+    empty = (F.size(values) == 0) | (F.contains(F.coalesce(text, F.lit("")), F.lit("0.00")) & ~F.array_contains(values, zero()))
+    return F.slice(F.when(empty, F.concat(F.array(zero()), values)).otherwise(values), 1, most)
+
+
+def ocr_candidates(text: Column) -> Column:
+    """Balances of a cell whose digits were read as letters; without a point and with over four digits the last two are cents."""
+    t = F.translate(F.coalesce(text, F.lit("")), "OoIlSB", "001158")
+    digits = F.regexp_replace(t, r"\D", "")
+    implied = F.when(~F.contains(t, F.lit(".")) & (F.length(digits) > 4), to_money(F.regexp_replace(digits, r"^(\d+)(\d{2})$", "$1.$2")))
+    whole = to_money(F.nullif(F.regexp_extract(t, r"[+-]?\d[\d,]*(\.\d+)?", 0), F.lit("")))
+    all_ = F.concat(F.array(whole), balance_candidates(t), F.array(implied))
+    return F.array_distinct(F.filter(all_, lambda v: v.isNotNull() & (v >= 0))).cast(MONEY_ARRAY)
+
+
 def cents_text(value: Column) -> Column:
     return F.regexp_replace(F.abs(value).cast(MONEY).cast("string"), "\\.", "")
 

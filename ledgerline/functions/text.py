@@ -17,10 +17,23 @@ DATE_FORMATS = [
     ("compact8", r"(?<!\d)(\d{8})(?!\d)", "yyyyMMdd"),
     ("compact6", r"(?<!\d)(\d{6})(?!\d)", "yyMMdd"),
 ]
-#: Words of corporate names, and of salary rows.
-CORPORATE_WORDS = ["公司", "企业", "集团", "工厂", "商行", "商店", "经营部", "合作社", "事务所"]
-SALARY_WORDS = ["工资", "薪资", "薪金", "奖金", "代发"]
-SALARY_EXCLUDED = ["退款", "冲正"]
+#: Words of corporate account names.
+CORPORATE_WORDS = ["公司", "有限", "企业", "个体工商户", "经营部", "商行", "店", "厂", "合作社", "工作室", "事务所", "中心"]
+#: Words of salary rows in documents, words that rule a row out there, and words of salary rows in listings.
+SALARY_WORDS = ["工资", "薪资", "薪酬", "奖金", "奖", "代发工资"]
+SALARY_EXCLUDED = ["补助", "补贴", "补增资", "报销", "退款"]
+SALARY_LISTING_WORDS = ["工资", "代发", "薪资", "薪酬", "奖金"]
+#: Words dropped from a bank's label, and display names of what is left.
+BANK_WORDS = ["银行", "个人", "对公", "流水", "导入"]
+BANK_NAMES = {"上海浦东发展": "浦发", "spdb": "浦发", "spdb_corp": "浦发", "中国邮政储蓄": "邮政", "邮储": "邮政", "psbc": "邮政"}
+#: Labels of account numbers, and of wallet names that stand for them; lines about the other side.
+NUMBER = r"([0-9][0-9\s\-*＊]{6,30}[0-9])"
+ACCOUNT_LABELS = [
+    r"客户账号\s*(?:Account No\.?|Account Number)?\s*[:：]?\s*", r"账号/卡号\s*(?:Account/Card No\.?)?\s*[:：]?\s*", r"Account/Card\s*No\.?\s*[:：]?\s*",
+    r"账号\s*(?:Account No\.?|Account Number)?\s*[:：]?\s*", r"账户\s*(?:Account No\.?|Account Number)?\s*[:：]?\s*", r"卡号\s*[:：]?\s*", r"银行卡号\s*[:：]?\s*", r"Account\s*(?:No\.?|Number)\s*[:：]?\s*",
+]
+WALLET_LABEL = r"微信号\s*[:：]\s*([A-Za-z0-9_.@-]+)"
+OTHER_SIDE = ["对方账号", "对手账号"]
 #: Characters that text recognition takes for digits.
 OCR_FROM, OCR_TO = "OoIlSB", "001158"
 
@@ -109,11 +122,18 @@ def compact_cell(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s　]+", "")
 
 
-def account_number(c: Column) -> Column:
-    """A labelled account number of 8 to 22 digits or masks that isn't a date; null otherwise."""
-    raw = F.regexp_extract(c, r"(?:账号|卡号|账户|[Aa]ccount)[^0-9]{0,6}([0-9][0-9*\- ]{6,28}[0-9])", 1)
-    t = F.regexp_replace(F.regexp_replace(raw, "[ -]", ""), r"\*+", "****")
-    return F.when(F.length(t).between(8, 22) & F.try_to_timestamp(t, F.lit("yyyyMMdd")).isNull(), t)
+def account_number(c: Column, lines: int = 80) -> Column:
+    """Account number in the first lines of a text: a wallet's name, else the first labelled number of 8 to 22 digits or masks that isn't a date.
+
+    Blank lines and lines about the other side don't count; of each label the first number counts.
+    """
+    head = F.slice(F.split(F.coalesce(c, F.lit("")), "\r?\n"), 1, lines)
+    head = F.array_join(F.filter(F.transform(head, lambda x: F.trim(x)), lambda x: (x != "") & ~has_any(x, OTHER_SIDE)), "\n")
+    found = []
+    for label in ACCOUNT_LABELS:
+        t = F.translate(F.regexp_replace(F.regexp_extract(head, "(?i)" + label + NUMBER, 1), r"[^0-9*＊]", ""), "＊", "*")
+        found.append(F.when(F.length(t).between(8, 22) & ~F.regexp_like(t, F.lit(r"^20\d{6}$")) & F.regexp_like(t, F.lit(r"\d")), t))
+    return F.coalesce(F.nullif(F.regexp_extract(head, "(?i)" + WALLET_LABEL, 1), F.lit("")), *found)
 
 
 def first_label(c: Column, patterns: list[str]) -> Column:
@@ -121,20 +141,25 @@ def first_label(c: Column, patterns: list[str]) -> Column:
     return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(c, p, 1)), F.lit("")) for p in patterns])
 
 
-def bank_name(c: Column, aliases: dict[str, str] | None = None) -> Column:
-    """Display name without the usual endings; known aliases are replaced."""
-    t = F.regexp_replace(c, r"(股份有限公司|有限责任公司|有限公司|对公|个人|流水|交易明细)+$", "")
-    pairs = [F.lit(x) for kv in (aliases or {}).items() for x in kv]
-    return F.coalesce(F.element_at(F.create_map(*pairs), t), t) if pairs else t
+def bank_name(label: Column, layout: Column | None = None, names: dict[str, str] | None = None) -> Column:
+    """Short display name of a bank from its label, else its layout; spreadsheets have none but one; unknown ones are blank."""
+    layout = F.lit("") if layout is None else F.coalesce(layout, F.lit(""))
+    t = F.trim(F.coalesce(F.nullif(label, F.lit("")), layout))
+    t = F.when(F.regexp_like(t, F.lit(r"^\?*$")), "").otherwise(F.trim(F.regexp_replace(t, "|".join(BANK_WORDS), "")))
+    pairs = [F.lit(x) for kv in (BANK_NAMES if names is None else names).items() for x in kv]
+    t = F.coalesce(F.try_element_at(F.create_map(*pairs), t), t) if pairs else t
+    sheet = F.when(F.contains(F.coalesce(label, F.lit("")), F.lit("中国银行")), "中国").otherwise("")
+    return F.when(layout == "excel", sheet).when(F.startswith(t, F.lit("Excel")), "").otherwise(t)
 
 
 def has_any(c: Column, words: list[str]) -> Column:
     return F.regexp_like(F.coalesce(c, F.lit("")), F.lit("|".join(map(re.escape, words))))
 
 
-def is_salary(raw_text: Column, fields: Column, excluded: list[str] | None = SALARY_EXCLUDED) -> Column:
-    t = F.concat_ws(" ", raw_text, F.array_join(fields, " "))
-    return has_any(t, SALARY_WORDS) & (~has_any(t, excluded) if excluded else F.lit(True))
+def is_salary(income: Column, raw_text: Column, fields: Column, raw_amount: Column | None = None, words: list[str] = SALARY_WORDS, excluded: list[str] | None = SALARY_EXCLUDED) -> Column:
+    """Income whose text, fields or amount cell name a salary, and nothing that rules it out. Listings take ``SALARY_LISTING_WORDS`` and exclude nothing."""
+    t = F.concat(F.coalesce(raw_text, F.lit("")), F.lit(" | "), F.array_join(F.coalesce(fields, F.array().cast("array<string>")), " | ", ""), F.lit(" | "), F.coalesce(raw_amount, F.lit("")) if raw_amount is not None else F.lit(""))
+    return (F.coalesce(income, F.lit(0)) > 0) & has_any(t, words) & (~has_any(t, excluded) if excluded else F.lit(True))
 
 
 def safe_name(c: Column) -> Column:

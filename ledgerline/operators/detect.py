@@ -5,31 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A rule table is joined as a broadcast only up to this many rows; a longer one is matched through its longest marker's words.
+#: A rule table is joined as a broadcast only up to this many rows; a longer one is an error.
 MAX_RULES = 10_000
 
 
-def sample_texts(lines: DataFrame, cells: DataFrame | None = None, pages: int = 2, header_lines: int = 80, tables: int = 2, rows: int = 4) -> DataFrame:
-    """file, header, body: the first pages' lines (and first rows of the first tables), blanks removed. The page filter reaches the scan."""
-    first = lines.filter(F.col("page_no") <= pages).select("file", F.struct("page_no", "line_no", "text").alias("x"))
+def sample_texts(lines: DataFrame, cells: DataFrame | None = None, pages: int | None = None, header_lines: int | None = None, tables: int = 2, rows: int = 4, top_lines: int = 12) -> DataFrame:
+    """file, top, header, body: all lines of a document, or those of its first ``pages`` and ``header_lines``, blanks removed; ``top`` has the first few lines.
+
+    With ``cells``, the first rows of the first tables are added to the body. The page filter reaches the scan.
+    """
+    first = (lines if pages is None else lines.filter(F.col("page_no") <= pages)).select("file", F.struct("page_no", "line_no", "text").alias("x"))
     text = first.groupBy("file").agg(F.array_sort(F.collect_list("x")).alias("x"))
     strip = lambda c: F.regexp_replace(c, r"[\s　]+", "")
-    out = text.select("file", strip(F.array_join(F.transform(F.slice("x", 1, header_lines), lambda r: r["text"]), "\n")).alias("header"), strip(F.array_join(F.transform("x", lambda r: r["text"]), "\n")).alias("body"))
+    first_lines = lambda n: strip(F.array_join(F.transform(F.col("x") if n is None else F.slice("x", 1, n), lambda r: r["text"]), "\n"))
+    out = text.select("file", first_lines(top_lines).alias("top"), first_lines(header_lines).alias("header"), strip(F.array_join(F.transform("x", lambda r: r["text"]), "\n")).alias("body"))
     if cells is None:
         return out
-    top = cells.filter((F.col("page_no") <= pages) & (F.col("table_no") <= tables) & (F.col("row_no") <= rows)).select("file", F.struct("page_no", "table_no", "row_no", F.array_join("cells", "").alias("t")).alias("y"))
+    top = cells.filter((F.lit(True) if pages is None else F.col("page_no") <= pages) & (F.col("table_no") <= tables) & (F.col("row_no") <= rows)).select("file", F.struct("page_no", "table_no", "row_no", F.array_join("cells", "").alias("t")).alias("y"))
     more = top.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list("y")), lambda r: r["t"]), "").alias("cells_text"))
-    return out.join(more, "file", "full").select("file", F.coalesce("header", F.lit("")).alias("header"), F.concat(F.coalesce("body", F.lit("")), strip(F.coalesce("cells_text", F.lit("")))).alias("body"))
+    return out.join(more, "file", "full").select("file", F.coalesce("top", F.lit("")).alias("top"), F.coalesce("header", F.lit("")).alias("header"), F.concat(F.coalesce("body", F.lit("")), strip(F.coalesce("cells_text", F.lit("")))).alias("body"))
 
 
 def first_match(docs: DataFrame, rules: DataFrame, key: str = "file", max_rules: int = MAX_RULES) -> DataFrame:
-    """The first rule, by ``ord``, all of whose markers are in the rule's scope (header or body): bank_id, label, confidence, reason; unrecognised otherwise.
+    """The first rule, by ``ord``, all of whose markers are in the rule's scope (a column of ``docs``: header, top, else body): bank_id, label, confidence, reason; unrecognised otherwise.
 
     Up to ``max_rules`` rules are broadcast and each text meets all of them; more are an error, as no equi key exists for them.
     """
     if rules.limit(max_rules + 1).count() > max_rules:
         raise ValueError(f"more than {max_rules} detection rules")
-    scope = F.when(F.col("scope") == "header", F.col("header")).otherwise(F.col("body"))
+    scope = F.when(F.col("scope") == "header", F.col("header"))
+    if "top" in docs.columns:
+        scope = scope.when(F.col("scope") == "top", F.col("top"))
+    scope = scope.otherwise(F.col("body"))
     hit = F.forall("markers", lambda m: F.contains(scope, m))
     rule = F.struct("bank_id", "label", "confidence", "reason")
     met = docs.join(F.broadcast(rules), hit, "left").groupBy(key).agg(F.min_by(rule, "ord").alias("r"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.text import month_key
+from ledgerline.functions.text import CORPORATE_WORDS, has_any, month_key
 
 
 def between_dates(ledger: DataFrame, first: date, last: date, ts: str = "transaction_time") -> DataFrame:
@@ -66,10 +66,35 @@ def confirmed_exclusions(ledger: DataFrame, confirmations: DataFrame) -> tuple[D
     return ledger.join(wanted, key, "left_anti"), ledger.join(wanted, key)
 
 
-def flow_of(layout: Column, name: Column, label: Column, own: Column | None = None, corporate_words: list[str] | None = None) -> Column:
-    """Flow type: a row's own, else wallets by layout, else corporate by layout suffix, name or label, else personal."""
-    from ledgerline.functions.text import CORPORATE_WORDS, has_any
+def proven_exclusions(ledger: DataFrame, confirmations: DataFrame, order: str = "posting_seq") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(kept rows, audit rows, errors): as ``confirmed_exclusions``, but the rows around must be the confirmed ones, too.
+
+    confirmations also hold previous_balance, next_expense and next_balance. A confirmation for a file that is there (by
+    its fingerprint) but fits no row, several rows, or other neighbours is an error row (id, sha256, reason) and drops nothing.
+    """
+    w = Window.partitionBy("sha256", "account_no").orderBy(order)
+    near = ledger.withColumns({"_pb": F.lag("balance").over(w), "_ne": F.lead("expense").over(w), "_nb": F.lead("balance").over(w)})
+    c = confirmations.filter("action = 'exclude'").select(F.col("id").alias("_id"), "sha256", F.col("page").alias("page_no"), F.col("row").alias("row_no"), "income", "balance", "basis", F.col("previous_balance").alias("_wpb"), F.col("next_expense").alias("_wne"), F.col("next_balance").alias("_wnb"))
+    key = ["sha256", "page_no", "row_no", "income", "balance"]
+    met = near.join(c, key)
+    fits = F.coalesce((F.col("_pb") == F.col("_wpb")) & (F.col("_ne") == F.col("_wne")) & (F.col("_nb") == F.col("_wnb")), F.lit(False))
+    judged = met.groupBy("_id").agg(F.count("*").alias("_rows"), F.bool_and(fits).alias("_fits"))
+    here = ledger.select("sha256").distinct()
+    checked = c.join(here, "sha256", "left_semi").join(judged, "_id", "left")
+    reason = F.when(F.col("_rows").isNull(), "no_such_row").when(F.col("_rows") > 1, "several_rows").when(~F.col("_fits"), "neighbours_differ")
+    errors = checked.withColumn("reason", reason).filter("reason IS NOT NULL").select(F.col("_id").alias("id"), "sha256", "reason")
+    good = checked.filter(reason.isNull()).select(*key, F.col("_id").alias("id"), "basis")
+    return ledger.join(good, key, "left_anti"), ledger.join(good, key), errors
+
 
+#: Layouts of corporate accounts, besides all that end in _corp.
+CORPORATE_LAYOUTS = ["abc_corp", "boc_corp", "boc_corp_v2", "ccb_corp", "cmbc_corp", "hebei_corp_detail", "icbc_corp", "spdb_corp"]
+
+
+def flow_of(layout: Column, name: Column, label: Column, own: Column | None = None, corporate_words: list[str] | None = None) -> Column:
+    """Flow type: a row's own, else by layout (corporate, wechat); else a corporate name's; else by a spreadsheet's label; else personal."""
     words = corporate_words or CORPORATE_WORDS
-    found = F.when(layout.isin("wechat", "alipay"), layout).when(F.endswith(layout, F.lit("_corp")) | has_any(name, words) | F.contains(F.coalesce(label, F.lit("")), F.lit("对公")), "corporate").otherwise("personal")
-    return found if own is None else F.coalesce(own, found)
+    label = F.coalesce(label, F.lit(""))
+    found = F.when(layout.isin(CORPORATE_LAYOUTS) | F.endswith(layout, F.lit("_corp")), "corporate").when(layout == "wechat", "wechat").when(has_any(F.trim(name), words), "corporate")
+    found = found.when((layout == "excel") & F.contains(label, F.lit("微信")), "wechat").when((layout == "excel") & F.contains(label, F.lit("对公")), "corporate").otherwise("personal")
+    return found if own is None else F.coalesce(F.when(own.isin("personal", "wechat", "corporate"), own), found)

@@ -35,6 +35,19 @@ def printed_order(ledger: DataFrame, keys=ACCOUNT, newest_first: bool = False) -
     return ledger.withColumn("statement_order", F.row_number().over(Window.partitionBy(*keys).orderBy(*by)).cast("bigint"))
 
 
+def by_policy(ledger: DataFrame, keys=ACCOUNT, policy: str = "order_policy") -> DataFrame:
+    """``statement_order`` by each row's policy column (one value a statement).
+
+    source: as printed; reverse_all: from the last printed row to the first; reverse_day: by date, within it reversed;
+    reverse_time: by timestamp, rows of one timestamp reversed. Timestamps are never changed.
+    """
+    p = F.col(policy)
+    time = F.when(p == "reverse_day", F.date_trunc("day", "transaction_time")).when(p == "reverse_time", F.col("transaction_time"))
+    sign = F.when(p.isin("reverse_day", "reverse_all", "reverse_time"), -1).otherwise(1)
+    order = Window.partitionBy(*keys).orderBy(time, sign * F.col("page_no"), sign * F.col("row_no"))
+    return ledger.withColumn("statement_order", F.row_number().over(order).cast("bigint"))
+
+
 def _links(prev_balance):
     return (F.col("balance") == prev_balance + F.col("income") - F.col("expense")).cast("int")
 

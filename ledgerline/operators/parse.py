@@ -5,6 +5,8 @@ Shapes: L text lines by pattern, C table cells by position or header role, M cel
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,28 +52,112 @@ def by_pattern(lines: DataFrame, fields: dict[str, int], rx: Column | str = "rx"
 # -- rows from cells ------------------------------------------------------------------------------------------------
 
 
+#: Words of table headers by role, the first word that a cell holds counts most.
+ROLE_WORDS = {
+    "date": ["交易日期", "记账日期", "日期", "Date", "交易时间"],
+    "time": ["交易时间", "时间"],
+    "amount": ["交易金额", "金额", "发生额", "交易额"],
+    "credit": ["收入金额", "贷方金额", "进账金额", "收入", "贷方"],
+    "debit": ["支出金额", "借方金额", "出账金额", "支出", "借方"],
+    "direction": ["收支方向", "借贷标志", "进出标志", "方向", "借贷"],
+    "counterparty": ["对方名称", "对方户名", "交易对手", "对方", "收款人", "付款人", "户名"],
+    "counterparty_account": ["对方账号", "对方账户", "对方帐号"],
+    "type": ["摘要", "交易类型", "用途", "备注", "交易摘要"],
+    "balance": ["余额", "账户余额", "当前余额"],
+    "account": ["账号", "账户", "卡号"],
+    "currency": ["币种", "货币"],
+}
+#: These roles leave a column to any other role that fits it.
+GIVE_WAY = ("amount", "time")
+MAX_WORDS = 2_000
+
+
+def role_words(keywords: DataFrame) -> dict[str, list[str]]:
+    """keywords(role, ord, keyword) as words by role, in order; more than ``MAX_WORDS`` are an error, as each row meets all of them."""
+    rows = keywords.limit(MAX_WORDS + 1).collect()
+    if len(rows) > MAX_WORDS:
+        raise ValueError(f"more than {MAX_WORDS} header words")
+    out: dict[str, list[str]] = {}
+    for r in sorted(rows, key=lambda r: (r.role, r.ord)):
+        out.setdefault(r.role, []).append(r.keyword)
+    return out
+
+
+def _best(plain: Column, some: list[str], late: bool, role: str) -> Column:
+    """The rank and position of a role in a row of cells; null where no word fits."""
+    exact = [(k, F.array_position(plain, w)) for k, w in enumerate(some)]
+    inside = [(len(some) + k, F.array_position(F.transform(plain, _holds(w)), True)) for k, w in enumerate(some)]
+    return F.coalesce(*[F.when(at > 0, F.struct(F.lit(int(late)).alias("late"), F.lit(int(k >= len(some))).alias("inside"), F.lit(k % len(some)).alias("ord"), (at - 1).cast("int").alias("pos"), F.lit(role).alias("role"))) for k, at in exact + inside])
+
+
+def _holds(word: str):
+    return lambda c: F.contains(c, F.lit(word))
+
+
+def roles_of(cells: Column, words: dict[str, list[str]], least: int = 2) -> Column:
+    """Map of role -> column position (from 0) of a header row; null for rows with fewer than ``least`` roles.
+
+    An exact match counts before one inside the cell, then the word's order, then the column; a column has one role and
+    a role one column, roles of ``GIVE_WAY`` last. All of it happens inside the row; one pattern rules out rows without any header word.
+    """
+    none = F.array().cast("array<struct<late:int,inside:int,ord:int,pos:int,role:string>>")
+    entry = lambda h: F.struct(h["role"].alias("role"), h["pos"].alias("pos"))
+
+    def decide(plain):
+        hits = F.array_sort(F.array_compact(F.array(*[_best(plain, some, role in GIVE_WAY, role) for role, some in words.items()])))
+        # in order of rank: a later hit on a column that is taken goes
+        return F.aggregate(hits, none, lambda out, h: F.when(F.exists(out, lambda o: o["pos"] == h["pos"]), out).otherwise(F.array_append(out, h)))
+
+    # arrays of one element bind what is used several times to a name, so that it is computed once
+    kept = F.transform(F.array(F.transform(cells, compact_cell)), decide)
+    roles = F.transform(kept, lambda k: F.when(F.size(k) >= least, F.map_from_entries(F.array_sort(F.transform(k, entry)))))[0]
+    any_word = F.regexp_like(F.array_join(cells, "\n", ""), F.lit("|".join(r"\s*".join(map(re.escape, w)) for some in words.values() for w in some)))
+    return F.when(any_word, roles)
+
+
+def confidence(roles: Column, words: dict[str, list[str]]) -> Column:
+    """Share of the roles that a header has, two places."""
+    return F.round(F.size(roles) / F.lit(float(len(words))), 2)
+
+
 def header_roles(cells: DataFrame, keywords: DataFrame, least: int = 2) -> DataFrame:
-    """Header rows with a map of role -> column position (from 0). keywords(role, ord, keyword).
+    """Header rows with ``roles`` and ``confidence``. keywords(role, ord, keyword)."""
+    words = role_words(keywords)
+    return cells.withColumn("roles", roles_of(F.col("cells"), words, least)).filter("roles IS NOT NULL").withColumn("confidence", confidence(F.col("roles"), words))
+
+
+def with_roles(cells: DataFrame, words: dict[str, list[str]], least: int = 2, weak: float = 0.3) -> DataFrame:
+    """Each cell row with the roles of the last header at or before it in its file; header rows and rows before any are left out.
 
-    An exact match counts before one inside the cell, then the keyword's order, then the column; a column has one role
-    and a role one column. Rows with fewer than ``least`` roles aren't headers.
+    A header whose confidence is under ``weak`` is read together with the row below it, column by column, if that tells
+    more roles; the row below is then part of the header.
     """
-    at = cells.select("file", "page_no", "table_no", "row_no", F.posexplode("cells").alias("pos", "cell")).withColumn("cell", compact_cell(F.col("cell"))).filter("cell <> ''")
-    met = at.join(F.broadcast(keywords), F.contains("cell", "keyword"))
-    rank = F.struct((F.col("cell") != F.col("keyword")).cast("int").alias("inside"), "ord", "pos")
-    row = ["file", "page_no", "table_no", "row_no"]
-    by_role = met.groupBy(*row, "role").agg(F.min(rank).alias("r"))
-    one = by_role.withColumn("_n", F.row_number().over(Window.partitionBy(*row, "r.pos").orderBy("r", "role"))).filter("_n = 1")
-    maps = one.groupBy(*row).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", F.col("r.pos").alias("pos"))))).alias("roles"))
-    return maps.filter(F.size("roles") >= least)
-
-
-def with_roles(cells: DataFrame, headers: DataFrame) -> DataFrame:
-    """Each cell row with the roles of the last header at or before it in its file; header rows and rows before any are left out."""
-    row = ["file", "page_no", "table_no", "row_no"]
-    df = cells.join(headers.withColumn("_header", F.lit(True)), row, "left")
+    in_table = Window.partitionBy("file", "page_no", "table_no").orderBy("row_no")
+    df = cells.withColumns({"_next": F.lead("cells").over(in_table), "_own": roles_of(F.col("cells"), words, least)})
+    merged = F.zip_with("cells", "_next", lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
+    df = df.withColumn("_both", F.when((confidence(F.col("_own"), words) < weak) & F.col("_next").isNotNull(), roles_of(merged, words, least)))
+    df = df.withColumn("_two", F.coalesce(F.size("_both") > F.size("_own"), F.lit(False))).withColumn("_second", F.coalesce(F.lag("_two").over(in_table), F.lit(False)))
     upto = in_order("page_no", "table_no", "row_no").rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("roles", F.last("roles", ignorenulls=True).over(upto)).filter("_header IS NULL AND roles IS NOT NULL").drop("_header")
+    df = df.withColumn("_header", F.when(~F.col("_second"), F.when(F.col("_two"), F.col("_both")).otherwise(F.col("_own"))))
+    df = df.withColumn("roles", F.last("_header", ignorenulls=True).over(upto))
+    return df.filter("_header IS NULL AND NOT _second AND roles IS NOT NULL").drop("_next", "_own", "_both", "_two", "_second", "_header")
+
+
+def sub_layout(cells: DataFrame, rules: list[tuple[str, list[str]]]) -> DataFrame:
+    """Each cell row with the layout that the last header at or before it in its file stands for; header rows and rows before any are left out.
+
+    rules: (layout, words that the header's cells must all hold), the first one that fits wins.
+    """
+    joined = F.array_join(F.transform("cells", compact_cell), "|", "")
+    found = None
+    for layout, words in rules:
+        hit = F.lit(True)
+        for w in words:
+            hit = hit & F.contains(joined, F.lit(w))
+        found = F.when(hit, layout) if found is None else found.when(hit, layout)
+    upto = in_order("page_no", "table_no", "row_no").rowsBetween(Window.unboundedPreceding, 0)
+    df = cells.withColumn("_header", found)
+    return df.withColumn("layout", F.last("_header", ignorenulls=True).over(upto)).filter("_header IS NULL AND layout IS NOT NULL").drop("_header")
 
 
 def cell(role: str) -> Column:
@@ -99,9 +185,9 @@ def html_cells(pages: DataFrame, html: str = "html", key: str = "file") -> DataF
 
 def best_table(rows: DataFrame, table: str = "table_no", key: str = "file") -> DataFrame:
     """Rows of the table (or sheet) with the most parsed rows; the first wins ties."""
-    counts = rows.groupBy(key, table).agg(F.count("*").alias("_n"))
-    best = counts.groupBy(key).agg(F.max_by(table, F.struct("_n", -F.col(table))).alias(table))
-    return rows.join(best, [key, table], "left_semi")
+    n = F.count("*").over(Window.partitionBy(key, table))
+    df = rows.withColumn("_n", F.struct(n.alias("n"), (-F.col(table)).alias("t")))
+    return df.withColumn("_best", F.max("_n").over(Window.partitionBy(key))).filter("_n = _best").drop("_n", "_best")
 
 
 # -- rows from words ------------------------------------------------------------------------------------------------
@@ -198,6 +284,19 @@ def by_layout(amount: Column, credit: Column, debit: Column, text: Column, mode:
     return out
 
 
+def filter_direction(cells: DataFrame, rows: int = 120) -> DataFrame:
+    """Exports that were filtered by direction say so in their first rows: file, direction (income, expense, null for neither); other files are left out."""
+    top = cells.filter(F.col("row_no") <= rows).select("file", compact_cell(F.array_join("cells", "")).alias("t")).filter(F.contains("t", F.lit("按收支筛选")))
+    says = lambda word: F.max(F.regexp_like("t", F.lit(f"按收支筛选[:：]{word}")))
+    return top.groupBy("file").agg(F.when(says("收入"), "income").when(says("支出"), "expense").alias("direction"))
+
+
+def filtered_mode(amount: Column, direction: Column) -> dict[str, Column]:
+    """All of a filtered export's amounts go to its side; others go by sign."""
+    sides = sign_mode(amount)
+    return _sides(F.when(direction == "income", F.abs(amount)).when(direction == "expense", zero()).otherwise(sides["income"]), F.when(direction == "expense", F.abs(amount)).when(direction == "income", zero()).otherwise(sides["expense"]))
+
+
 def perspective(own: Column, payer: Column, payer_name: Column, payee: Column, payee_name: Column) -> Column:
     """Name of the account's owner: the payer's where the own account paid, the payee's where it was paid."""
     return F.when(own == payer, payer_name).when(own == payee, payee_name)
@@ -211,9 +310,9 @@ def row_codes(balance_needed: bool = True) -> Column:
     return F.array_compact(F.array(*codes))
 
 
-def sheet_ledger(cells: DataFrame, keywords: DataFrame) -> DataFrame:
-    """Spreadsheet rows to ledger rows by header roles (date, time, credit, debit, amount, direction, balance, text)."""
-    rows = with_roles(cells, header_roles(cells, keywords))
+def sheet_ledger(cells: DataFrame, keywords: DataFrame | dict[str, list[str]] | None = None) -> DataFrame:
+    """Spreadsheet rows to ledger rows by header roles (date, time, credit, debit, amount, direction, balance)."""
+    rows = with_roles(cells, role_words(keywords) if isinstance(keywords, DataFrame) else keywords or ROLE_WORDS)
     # read once into columns of their own: the modes refer to them many times
     rows = rows.withColumns({f"_{c}": sheet_money(cell(c)) for c in ("credit", "debit", "amount")} | {"_direction": cell("direction")})
     amounts = sheet_mode(F.col("_credit"), F.col("_debit"), F.col("_amount"), F.col("_direction"), {"收": "income", "贷": "income", "支": "expense", "借": "expense"})
@@ -221,9 +320,52 @@ def sheet_ledger(cells: DataFrame, keywords: DataFrame) -> DataFrame:
     return best_table(out.filter("transaction_time IS NOT NULL"), "table_no", "source_file")
 
 
+def _by_layout_rows(rows: DataFrame, row_no: str) -> DataFrame:
+    """Ledger rows from text fields (raw_time, raw_clock, raw_amount, raw_credit, raw_debit, raw_direction, raw_balance, raw_text) and the joined layout."""
+    clock = F.regexp_replace("raw_clock", r"^(\d{2})(\d{2})(\d{2})$", "$1:$2:$3")
+    told = F.coalesce("raw_direction", "raw_text")
+    df = rows.withColumns({"_amount": sheet_money(F.col("raw_amount")), "_credit": sheet_money(F.col("raw_credit")), "_debit": sheet_money(F.col("raw_debit")), "_told": told})
+    amounts = by_layout(F.col("_amount"), F.col("_credit"), F.col("_debit"), F.col("_told"))
+    flags = [c for c in ("preserve_signed", "balance_optional", "balance_tolerance", "order_policy") if c in rows.columns]
+    out = df.select(F.col("file").alias("source_file"), "bank_id", "page_no", F.col(row_no).alias("row_no"), sheet_timestamp(F.col("raw_time"), clock).alias("transaction_time"), "raw_time", F.coalesce("raw_amount", "raw_credit", "raw_debit").alias("raw_amount"), "raw_balance", "raw_text", *[c.alias(n) for n, c in amounts.items()], sheet_money(F.col("raw_balance")).alias("balance"), *flags)
+    return out.filter("transaction_time IS NOT NULL")
+
+
+#: A layout's field -> the text column that it fills.
+FIELDS = {"date": "raw_time", "time": "raw_clock", "amount": "raw_amount", "credit": "raw_credit", "debit": "raw_debit", "direction": "raw_direction", "balance": "raw_balance", "text": "raw_text"}
+
+
 def line_ledger(lines: DataFrame, layouts: DataFrame) -> DataFrame:
-    """Text lines to ledger rows by the layout's pattern: groups 1 date, 2 amount, 3 balance, 4 text; skip words drop lines."""
-    joined = lines.join(layouts.filter("shape = 'L'"), "bank_id").filter(~F.exists("skip_keywords", lambda k: F.contains("text", k)))
-    rows = by_pattern(joined, {"raw_time": 1, "raw_amount": 2, "raw_balance": 3, "raw_text": 4})
-    amounts = by_layout(to_money(F.col("raw_amount")), F.lit(None).cast(MONEY), F.lit(None).cast(MONEY), F.col("raw_text"))
-    return rows.select(F.col("file").alias("source_file"), "bank_id", "page_no", F.col("line_no").alias("row_no"), sheet_timestamp(F.col("raw_time")).alias("transaction_time"), "raw_time", "raw_amount", "raw_balance", "raw_text", *[c.alias(n) for n, c in amounts.items()], to_money(F.col("raw_balance")).alias("balance"))
+    """Text lines to ledger rows by the layout's pattern; ``columns`` tell which group is what (without: 1 date, 2 amount, 3 balance, 4 text); skip words drop lines."""
+    joined = lines.join(layouts.filter("shape = 'L' AND rx IS NOT NULL"), "bank_id").filter(~F.exists("skip_keywords", lambda k: F.contains("text", k)))
+    hit = joined.filter(F.regexp_like("text", F.col("rx")))
+    if "columns" not in layouts.columns:
+        hit = hit.withColumn("columns", F.create_map(*[x for k, v in {"date": 1, "amount": 2, "balance": 3, "text": 4}.items() for x in (F.lit(k), F.lit(v))]))
+    group = lambda f: F.nullif(F.call_function("regexp_extract", F.col("text"), F.col("rx"), F.coalesce(F.try_element_at("columns", F.lit(f)), F.lit(0))), F.lit(""))
+    found = {c: F.when(F.map_contains_key("columns", f), group(f)) for f, c in FIELDS.items()}
+    return _by_layout_rows(hit.withColumns(found), "line_no")
+
+
+def cell_ledger(cells: DataFrame, layouts: DataFrame, words: dict[str, list[str]] | None = None) -> DataFrame:
+    """Cell rows (shapes C and M) to ledger rows by the layout's amount mode; columns are found by header words.
+
+    cells(file, bank_id, page_no, table_no, row_no, cells). Cells of shape M hold several rows each.
+    """
+    known = layouts.filter("shape IN ('C', 'M')")
+    rows = cells.join(known, "bank_id")
+    single = rows.filter("shape = 'C'")
+    many = unpack_cells(rows.filter("shape = 'M'"))
+    headed = with_roles(single.unionByName(many), words or ROLE_WORDS)
+    found = {c: cell({"text": "type"}.get(f, f)) for f, c in FIELDS.items()}
+    return _by_layout_rows(headed.filter(~F.exists("skip_keywords", lambda k: F.contains(F.array_join("cells", ""), k))).withColumns(found), "row_no")
+
+
+def word_ledger(words: DataFrame, anchors: DataFrame, layouts: DataFrame) -> DataFrame:
+    """Positioned words (shape P) to ledger rows by the layout's column edges. anchors(file, bank_id, page_no, top, row_no): where rows start."""
+    known = anchors.select("file", "bank_id").distinct().join(layouts.filter("shape = 'P' AND edges IS NOT NULL"), "bank_id")
+    one = known.select("file", "edges", F.explode("columns").alias("name", "k"))
+    columns = one.select("file", "name", F.element_at("edges", F.col("k") + 1).alias("left"), F.element_at("edges", F.col("k") + 2).alias("right"))
+    put = band_cells(words, anchors.select("file", "page_no", "top", "row_no"), columns)
+    wide = put.groupBy("file", "page_no", "row_no").pivot("name", list(FIELDS)).agg(F.first("text"))
+    named = wide.select("file", "page_no", "row_no", *[F.col(f).alias(c) for f, c in FIELDS.items()])
+    return _by_layout_rows(named.join(known.drop("columns", "edges", "rx"), "file"), "row_no")

@@ -24,8 +24,8 @@ def last_two_months(monthly: DataFrame, monthly_issues: DataFrame, keys=ACCOUNT,
     return df.filter("_in").groupBy(*keys).agg((F.count("*") == 2).alias("recent"), ((F.count("*") == 2) & F.min("_closed")).alias("recent_closed"))
 
 
-def file_scores(summary: DataFrame, issues: DataFrame, recent: DataFrame, keys=ACCOUNT, base: Column | None = None) -> DataFrame:
-    """Score 0 to 100 of each statement: base by how it was read, minus issues, plus a closed balance and recent months."""
+def file_scores(summary: DataFrame, issues: DataFrame, recent: DataFrame, keys=ACCOUNT, base: Column | None = None, message: Column | None = None) -> DataFrame:
+    """Score 0 to 100 of each statement: base by how it was read, minus issues, plus a closed balance and recent months, minus 8 for a review ``message``."""
     df = summary.join(issues, keys, "left").join(recent, keys, "left").fillna({"reviews": 0, "low_risks": 0})
     has = lambda c: F.coalesce(c, F.lit(False))
     known = F.col("opening_balance").isNotNull() & F.col("closing_balance").isNotNull()
@@ -33,7 +33,7 @@ def file_scores(summary: DataFrame, issues: DataFrame, recent: DataFrame, keys=A
     balance = F.when(F.col("closure_exempt"), 6).when(known & closes & ~has(F.col("has_break")), 26).when(known & closes, 10).when(known, -24).otherwise(-6)
     months = F.when(has(F.col("recent")), 8).otherwise(0) + F.when(has(F.col("recent")) & has(F.col("recent_closed")), 14).otherwise(0)
     start = base if base is not None else F.lit(80)
-    raw = start - F.least(F.lit(22), F.col("reviews") * 6) - F.least(F.lit(8), F.col("low_risks") * 2) + balance + months
+    raw = start - F.least(F.lit(22), F.col("reviews") * 6) - F.least(F.lit(8), F.col("low_risks") * 2) + balance + months - (F.when(message, 8).otherwise(0) if message is not None else F.lit(0))
     score = F.when(F.col("count") <= 0, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), raw))).cast("int")
     return df.withColumn("score", score).select(*keys, "count", "reviews", "low_risks", "score")
 
@@ -50,10 +50,10 @@ def overall_score(scores: DataFrame) -> DataFrame:
     return agg.select(score.alias("score")).withColumn("level", F.when(F.col("score") >= 90, "high").when(F.col("score") >= 70, "medium").otherwise("low"))
 
 
-def very_high(statements: DataFrame) -> DataFrame:
-    """True if every statement has rows and no issue, none is a spreadsheet, and generic ones close."""
+def very_high(statements: DataFrame, keys=()) -> DataFrame:
+    """For each batch (``keys``) true if every statement has rows and no issue, none is a spreadsheet, and generic ones close."""
     fine = (F.col("count") > 0) & (F.col("reviews") + F.col("low_risks") == 0) & (F.col("bank_id") != "excel") & (~F.col("generic") | F.col("closed"))
-    return statements.agg(F.coalesce(F.bool_and(fine), F.lit(False)).alias("very_high"))
+    return statements.groupBy(*keys).agg(F.coalesce(F.bool_and(fine), F.lit(False)).alias("very_high"))
 
 
 def file_status(rows: Column, in_range: Column, reviews: Column, generic: Column) -> Column:

@@ -38,6 +38,30 @@ def scenario_months(observed: DataFrame, deltas: DataFrame, scenario_id: str, ke
     return df.select(F.lit(scenario_id).alias("scenario_id"), *keys, "month", F.col("income_sum").alias("observed_income"), F.col("expense_sum").alias("observed_expense"), F.col("income_delta").cast(MONEY).alias("income_delta"), F.col("expense_delta").cast(MONEY).alias("expense_delta"), "opening", "closing", F.when(F.col("closing") < 0, "review").otherwise("ok").alias("status"), F.when((F.col("income_delta") == 0) & (F.col("expense_delta") == 0), "no_change").alias("note"), F.lit(False).alias("is_observed"))
 
 
+def with_totals(scenario: DataFrame, keys=("account_no",)) -> DataFrame:
+    """The scenario's months and, in a row without a month, its total: sums, first opening, last closing, review if any month is."""
+    sums = [F.sum(c).cast(MONEY).alias(c) for c in ("observed_income", "observed_expense", "income_delta", "expense_delta")]
+    total = scenario.groupBy("scenario_id", *keys).agg(*sums, F.min_by("opening", "month").alias("opening"), F.max_by("closing", "month").alias("closing"), F.when(F.bool_or(F.col("status") == "review"), "review").otherwise("ok").alias("status"))
+    total = total.withColumns({"month": F.lit(None).cast("string"), "note": F.lit("total"), "is_observed": F.lit(False)})
+    return scenario.unionByName(total.select(*scenario.columns))
+
+
+def parameter_rows(scenarios: DataFrame, months: DataFrame) -> DataFrame:
+    """scenarios(scenario_id, label, amount, first_month, last_month, enabled), months(month) -> scenario_id, parameter, value.
+
+    Enabled scenarios without an amount give a warning and no other row.
+    """
+    on = scenarios.filter("enabled")
+    span = months.select("month").distinct().join(on, (F.col("month") >= F.col("first_month")) & (F.col("month") <= F.col("last_month")))  # months of a calendar by a few scenarios
+    n = span.groupBy("scenario_id").agg(F.count("*").alias("n"))
+    df = on.join(n, "scenario_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    each = F.when(F.col("n") > 0, half_even((F.col("amount") / F.col("n")).cast("decimal(28,6)"))).otherwise(zero())
+    pairs = [("label", F.col("label")), ("amount", F.col("amount").cast(MONEY).cast("string")), ("months", F.concat("first_month", F.lit(" to "), "last_month")), ("month_count", F.col("n").cast("string")), ("by_month", each.cast("string"))]
+    rows = F.array(*[F.struct(F.lit(k).alias("parameter"), v.alias("value")) for k, v in pairs])
+    warned = F.array(F.struct(F.lit("warning").alias("parameter"), F.concat("label", F.lit(" has no amount")).alias("value")))
+    return df.select("scenario_id", F.explode(F.when(F.coalesce("amount", F.lit(0)) == 0, warned).otherwise(rows)).alias("x")).select("scenario_id", "x.*")
+
+
 def allocate_by_flow(observed: DataFrame, amounts: DataFrame) -> DataFrame:
     """A month's amount over its flows: by observed income, else by observed expense, else equally; remainder to the last flow."""
     w = Window.partitionBy("month")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.money import MONEY, half_up
+from ledgerline.functions.money import MONEY, half_up, zero
 from ledgerline.functions.text import has_clock, month_key
 from ledgerline.operators.ordering import ACCOUNT
 from ledgerline.sources.ledgers import order_key
@@ -93,9 +93,10 @@ def reconcile(summary: DataFrame, printed: DataFrame, key: str) -> DataFrame:
 
 
 def page_completeness(rows: DataFrame, total_pages: str = "total_pages", keys=("source_file",)) -> DataFrame:
-    """``complete``: the printed pages are exactly 1 to the printed number of pages."""
-    agg = rows.groupBy(*keys).agg(F.array_sort(F.collect_set("page_no")).alias("pages"), F.max(total_pages).alias("n"))
-    return agg.select(*keys, F.size("pages").alias("pages"), F.coalesce(F.col("pages") == F.sequence(F.lit(1), F.greatest(F.col("n"), F.lit(1)).cast("int")), F.lit(False)).alias("complete"))
+    """``complete``: the printed pages are exactly 1 to the printed number of pages; ``prefix``: 1 to the last one there, without a gap."""
+    agg = rows.groupBy(*keys).agg(F.count_distinct("page_no").cast("int").alias("pages"), F.min("page_no").alias("_a"), F.max("page_no").alias("_z"), F.max(total_pages).alias("_n"))
+    whole = (F.col("_a") == 1) & (F.col("_z") == F.col("pages"))
+    return agg.select(*keys, "pages", F.coalesce(whole & (F.col("_z") == F.col("_n")), F.lit(False)).alias("complete"), F.coalesce(whole, F.lit(False)).alias("prefix"))
 
 
 def latest_balance(ledger: DataFrame) -> DataFrame:
@@ -146,9 +147,110 @@ def salary_detail(ledger: DataFrame, salary: Column) -> DataFrame:
     return rows.groupBy("account_no", "month").agg(F.sum("income").cast(MONEY).alias("income"), F.count("*").alias("rows"))
 
 
-def income_document(ledger: DataFrame) -> DataFrame:
-    """One JSON text a flow with its figures and accounts; personal fields stay blank for the clerk."""
-    ledger = with_flow(ledger)
-    accounts = ledger.filter("account_no IS NOT NULL").groupBy("flow_type").agg(F.slice(F.array_sort(F.collect_set("account_no")), 1, 5).alias("account_list"))
-    doc = income_block(ledger).join(accounts, "flow_type", "left")
-    return doc.select("flow_type", F.to_json(F.struct(F.lit("").alias("applicant"), *[c for c in doc.columns])).alias("document"))
+#: Headers of the amount column of a salary listing, the first one that fits counts.
+SALARY_AMOUNT_HEADERS = ["交易金额", "收入金额", "贷方发生额", "贷方", "金额"]
+
+
+def salary_listing(ledger: DataFrame, salary: Column, keys=ACCOUNT) -> DataFrame:
+    """Salary rows of each account in order, then its total, number of months seen and mean by month seen.
+
+    Columns: keys, kind (row, total, months, mean), position, fields (a row's cells, or its text), amount_col (from 0: by
+    header, else the fourth cell or the last), value.
+    """
+    if "raw_headers" not in ledger.columns:
+        ledger = ledger.withColumn("raw_headers", F.lit(None).cast("array<string>"))
+    text = F.array(F.coalesce("raw_text", F.lit("")))
+    fields = F.when(F.size("raw_fields") > 0, F.col("raw_fields")).otherwise(F.when(F.contains("raw_text", F.lit(" | ")), F.split("raw_text", " \\| ")).otherwise(text))
+    rows = ledger.filter(salary).withColumns({"fields": fields, "_key": order_key(F.lit(False))})
+    heads = rows.groupBy(*keys).agg(F.min_by(F.when(F.size("raw_headers") > 0, F.col("raw_headers")), F.when(F.size("raw_headers") > 0, F.col("_key"))).alias("_h"), F.max(F.size("fields")).alias("_w"))
+    fits = lambda w: F.array_position(F.transform("_h", lambda h: F.contains(h, F.lit(w))), True)
+    at = F.coalesce(*[F.when(fits(w) > 0, fits(w) - 1) for w in SALARY_AMOUNT_HEADERS], F.least(F.lit(3), F.greatest(F.col("_w"), F.coalesce(F.size("_h"), F.lit(0))) - 1))
+    heads = heads.select(*keys, at.cast("int").alias("amount_col"))
+    position = F.row_number().over(Window.partitionBy(*keys).orderBy("_key"))
+    listed = rows.select(*keys, F.lit("row").alias("kind"), position.alias("position"), "fields", F.col("income").cast(MONEY).alias("value"))
+    sums = rows.groupBy(*keys).agg(F.sum("income").cast(MONEY).alias("total"), F.count_distinct(month_key(F.col("transaction_time"))).cast(MONEY).alias("months"), F.count("*").cast("int").alias("_n"))
+    sums = sums.withColumn("mean", half_up(F.col("total").cast("decimal(28,6)") / F.col("months")))
+    ends = F.array(*[F.struct(F.lit(k).alias("kind"), (F.col("_n") + i + 1).alias("position"), F.col(k).alias("value")) for i, k in enumerate(("total", "months", "mean"))])
+    tail = sums.select(*keys, F.explode(ends).alias("x")).select(*keys, "x.kind", "x.position", F.lit(None).cast("array<string>").alias("fields"), "x.value")
+    return listed.unionByName(tail).join(heads, list(keys)).select(*keys, "kind", "position", "fields", "amount_col", "value")
+
+
+def combined_months(ledger: DataFrame, months: DataFrame | None = None, keys=()) -> DataFrame:
+    """Months over all files and flows, zero where a month of ``months`` (month) has no rows: counts, sums, net."""
+    rows = ledger.withColumn("month", month_key(F.col("transaction_time")))
+    sums = rows.groupBy(*keys, "month").agg(*[c.alias(n) for n, c in counting().items()])
+    if months is not None:
+        wanted = months.select(*keys, "month").distinct()
+        sums = wanted.join(sums, [*keys, "month"], "left").fillna(0, list(counting()))
+    return sums.withColumn("net", (F.col("income_sum") - F.col("expense_sum")).cast(MONEY))
+
+
+def overall(ledger: DataFrame) -> DataFrame:
+    """One row over all files without the rows that they repeat: the summary, files, accounts, first and last day."""
+    from ledgerline.operators.dedupe import dedupe
+
+    rows = dedupe(ledger)
+    more = rows.agg(F.count_distinct("source_file").alias("files"), F.count_distinct("account_no").alias("accounts"), F.min(F.to_date("transaction_time")).alias("first_day"), F.max(F.to_date("transaction_time")).alias("last_day"))
+    return summarize(rows, []).crossJoin(more)  # one row by one row
+
+
+def with_document_flow(ledger: DataFrame) -> DataFrame:
+    """``flow``: corporate, or personal for all else (wallets included), as documents show them."""
+    return with_flow(ledger).withColumn("flow", F.when(F.col("flow_type") == "corporate", "corporate").otherwise("personal"))
+
+
+def _figures(months: DataFrame, keys) -> DataFrame:
+    """Totals, averages by six and the list of months (month, counts, sums in tens of thousands) of a flow's months."""
+    wan = lambda c: half_up(F.col(c).cast("decimal(28,6)") / 10000)
+    month = F.struct(F.regexp_replace("month", "-", ".").alias("month"), "income_count", wan("income_sum").alias("income_wan"), "expense_count", wan("expense_sum").alias("expense_wan"))
+    agg = months.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("income_count", "expense_count", "income_sum", "expense_sum")], F.array_sort(F.collect_list(month)).alias("months"))  # six a flow
+    average = lambda c: half_up(F.col(c).cast("decimal(28,6)") / (10000 * MONTHS))
+    return agg.select(*keys, F.struct("income_count", wan("income_sum").alias("income_wan"), "expense_count", wan("expense_sum").alias("expense_wan"), average("income_sum").alias("income_average_wan"), average("expense_sum").alias("expense_average_wan")).alias("summary"), "months")
+
+
+def flow_figures(ledger: DataFrame, salary: Column | None = None, most: int = 5) -> DataFrame:
+    """One row a document flow: summary, months, latest_balance_wan, accounts (the first ``most`` by number), n_accounts, salary_rows.
+
+    The last six months with rows count (with ``salary``: with salary rows, if there are any); a month without rows of a
+    kind is zero. With ``salary``, income is that of salary rows and expense that of all rows.
+    """
+    from ledgerline.operators.dedupe import distinct_accounts
+
+    rows = with_document_flow(ledger).withColumn("month", month_key(F.col("transaction_time")))
+    every = combined_months(rows, keys=["flow"])
+    if salary is None:
+        recent = last_months(rows, MONTHS, ["flow"])
+        chosen = every.join(recent, ["flow", "month"], "left_semi")
+    else:
+        paid = combined_months(rows.filter(salary), keys=["flow"]).select("flow", "month", F.col("income_count").alias("_c"), F.col("income_sum").alias("_s"))
+        both = every.join(paid, ["flow", "month"], "left")
+        any_paid = F.max(F.col("_c").isNotNull()).over(Window.partitionBy("flow"))
+        both = both.withColumn("_any", any_paid).filter(~F.col("_any") | F.col("_c").isNotNull()).withColumn("_r", F.row_number().over(Window.partitionBy("flow").orderBy(F.desc("month")))).filter(F.col("_r") <= MONTHS)
+        chosen = both.withColumns({"income_count": F.coalesce("_c", F.lit(0)), "income_sum": F.coalesce("_s", zero()).cast(MONEY)})
+    out = _figures(chosen, ["flow"])
+    flowed = rows.withColumn("flow_type", F.col("flow"))
+    balance = latest_balance(flowed).select(F.col("flow_type").alias("flow"), half_up(F.col("latest_balance").cast("decimal(28,6)") / 10000).alias("latest_balance_wan"), F.col("accounts").alias("n_accounts"))
+    listed = distinct_accounts(flowed, most).groupBy(F.col("flow_type").alias("flow")).agg(F.array_sort(F.collect_list(F.struct("rank", "account", "first_file"))).alias("x"))  # at most ``most`` a flow
+    accounts = listed.select("flow", F.transform("x", lambda a: F.struct(F.when(~F.startswith(a["account"], F.lit("file:")), a["account"]).alias("account_no"), a["first_file"].alias("source_file"))).alias("accounts"))
+    return out.join(balance, "flow", "left").join(accounts, "flow", "left").select("flow", "summary", "months", "latest_balance_wan", "accounts", "n_accounts")
+
+
+def income_document(ledger: DataFrame, confirmations: DataFrame | None = None, salary: Column | None = None) -> DataFrame:
+    """One JSON text with the figures of personal and corporate flow, observed rows only; fields of persons and firms stay blank for the clerk.
+
+    confirmations(id, ...): audited exclusions, noted in the document. With ``salary`` it is a salary document: a salary
+    block over personal rows besides the personal flow, no corporate flow. Pass rows without repeats (dedupe.dedupe).
+    """
+    blocks = flow_figures(ledger)
+    if salary is not None:
+        blocks = blocks.filter("flow = 'personal'").unionByName(flow_figures(with_document_flow(ledger).filter("flow = 'personal'"), salary).withColumn("flow", F.lit("salary")))
+    body = [c for c in blocks.columns if c != "flow"]
+    block = lambda flow: F.max(F.when(F.col("flow") == flow, F.struct(*body)))
+    names = ["personal", "salary"] if salary is not None else ["personal", "corporate"]
+    doc = blocks.groupBy().agg(*[block(n).alias(f"{n}_flow") for n in names])
+    noted = confirmations.agg(F.array_sort(F.collect_list("id")).alias("confirmed")) if confirmations is not None else None  # one a manual decision
+    if noted is not None:
+        doc = doc.crossJoin(noted)  # one row by one row
+    notes = F.struct(F.lit("").alias("supplement"), (F.col("confirmed") if noted is not None else F.array().cast("array<string>")).alias("source_confirmations"))
+    head = [F.lit("1.0").alias("schema_version"), F.lit("salary" if salary is not None else "self_employed").alias("proof_type"), F.struct(F.lit("").alias("name"), F.lit("").alias("city")).alias("customer"), F.lit("").alias("applicant")]
+    return doc.select(F.to_json(F.struct(*head, *[f"{n}_flow" for n in names], notes.alias("notes"))).alias("document"))

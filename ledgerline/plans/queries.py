@@ -505,33 +505,36 @@ def sheet_dates(spark, sf_dir):
 
 @query("SELECT c_custkey, CAST(6200000000 + c_custkey AS VARCHAR) AS account, c_name AS name, c_custkey % 3 = 0 AS corporate FROM customer")
 def account_numbers(spark, sf_dir):
-    line = F.concat(F.lit("户名：测试 账号: "), (F.col("c_custkey") + 6200000000).cast("string"), F.lit(" 币种"))
+    line = F.concat(F.lit("户名：测试 账号: "), (F.col("c_custkey") + 6200000000).cast("string"), F.lit(" 币种"))  # one of the labels; account_headers has the others
     owner = text.first_label(F.concat(F.lit("客户姓名："), F.col("c_name"), F.lit("\n")), [r"户名[:：](.+)", r"客户姓名[:：](.+)"])
     name = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.col("c_name"), F.lit("公司"))).otherwise(F.col("c_name"))
     return table(spark, sf_dir, "customer").select("c_custkey", text.account_number(line).alias("account"), owner.alias("name"), text.has_any(name, text.CORPORATE_WORDS).alias("corporate"))
 
 
-@query("SELECT o_orderkey AS file, 2 AS row_no, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderstatus = 'F' THEN CAST(o_totalprice AS DECIMAL(18,2)) ELSE 0 END AS income, CASE WHEN o_orderstatus <> 'F' THEN CAST(o_totalprice AS DECIMAL(18,2)) ELSE 0 END AS expense FROM orders")
-def header_roles(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    p = F.format_number(F.col("o_totalprice").cast(MONEY), 2)
-    is_in = F.col("o_orderstatus") == "F"
-    # two column orders: the header tells which
-    turned = F.col("o_orderkey") % 2 == 0
-    head = F.when(turned, F.array(*map(F.lit, ["交易日期", "收入金额", "支出金额"]))).otherwise(F.array(*map(F.lit, ["借方发生额", "贷方发生额", "交易日期"])))
-    row = F.when(turned, F.array(F.date_format("o_orderdate", "yyyy/MM/dd"), F.when(is_in, p).otherwise(""), F.when(is_in, "").otherwise(p))).otherwise(F.array(F.when(is_in, "").otherwise(p), F.when(is_in, p).otherwise(""), F.date_format("o_orderdate", "yyyyMMdd")))
-    base = [F.col("o_orderkey").alias("file"), F.lit(1).alias("page_no"), F.lit(0).alias("table_no")]
-    cells = orders.select(*base, F.lit(1).alias("row_no"), head.alias("cells")).unionByName(orders.select(*base, F.lit(2).alias("row_no"), row.alias("cells")))
-    got = parse.sheet_ledger(cells, role_keywords(spark))
-    return got.select(F.col("source_file").alias("file"), "row_no", F.to_date("transaction_time").alias("day"), "income", "expense")
+_SHEET = "SELECT o_orderkey AS file, {row} AS row_no, {table} AS table_no, CAST(o_orderdate AS DATE) AS day, CAST(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END AS DECIMAL(18,2)) AS income, CAST(CASE WHEN o_orderstatus <> 'F' THEN o_totalprice ELSE 0 END AS DECIMAL(18,2)) AS expense FROM orders"
 
 
-#: Words of spreadsheet headers by role.
-ROLE_WORDS = {"date": ["交易日期", "日期"], "time": ["交易时间"], "credit": ["收入金额", "贷方发生额", "收入"], "debit": ["支出金额", "借方发生额", "支出"], "amount": ["交易金额"], "direction": ["借贷标志"], "balance": ["账户余额", "余额"]}
+@query(" UNION ALL ".join([
+    _SHEET.format(row="CASE WHEN o_orderkey % 3 = 2 THEN 3 ELSE 2 END", table="0") + " WHERE o_orderkey % 5 <> 1",
+    _SHEET.format(row="2", table="1") + " WHERE o_orderkey % 5 = 1", _SHEET.format(row="3", table="1") + " WHERE o_orderkey % 5 = 1",
+]))
+def header_roles(spark, sf_dir):
+    """Files with columns in three orders (one with a header of two lines); some have a second table, with as many rows or more."""
+    orders = table(spark, sf_dir, "orders")
+    p, k = F.format_number(F.col("o_totalprice").cast(MONEY), 2), F.col("o_orderkey") % 3
+    gets, spends = F.when(F.col("o_orderstatus") == "F", p).otherwise(""), F.when(F.col("o_orderstatus") == "F", "").otherwise(p)
+    words = lambda *w: F.array(*map(F.lit, w))
+    plain = F.array(F.date_format("o_orderdate", "yyyy/MM/dd"), gets, spends)
+    turned = F.array(spends, gets, F.date_format("o_orderdate", "yyyyMMdd"))
+    first = F.when(k == 0, F.array(words("交易日期", "收入金额", "支出金额"), plain)).when(k == 1, F.array(words("借方发生额", "贷方发生额", "交易日期"), turned)).otherwise(F.array(words("交易", "收入", "支出"), words("日期", "金额", "金额"), plain))
+    second = F.when(F.col("o_orderkey") % 5 == 0, F.array(words("交易日期", "收入", "支出"), plain)).when(F.col("o_orderkey") % 5 == 1, F.array(words("交易日期", "收入", "支出"), plain, plain))
+    one = lambda t, rows: orders.select(F.col("o_orderkey").alias("file"), F.lit(1).alias("page_no"), F.lit(t).alias("table_no"), F.posexplode(rows).alias("k", "cells")).select("file", "page_no", "table_no", (F.col("k") + 1).alias("row_no"), "cells")
+    got = parse.sheet_ledger(one(0, first).unionByName(one(1, second)), role_keywords(spark))
+    return got.select(F.col("source_file").alias("file"), "row_no", "table_no", F.to_date("transaction_time").alias("day"), "income", "expense")
 
 
 def role_keywords(spark):
-    return spark.createDataFrame([(r, k, w) for r, words in ROLE_WORDS.items() for k, w in enumerate(words)], "role string, ord int, keyword string")
+    return spark.createDataFrame([(r, k, w) for r, words in parse.ROLE_WORDS.items() for k, w in enumerate(words)], "role string, ord int, keyword string")
 
 
 #: Detection rules over document texts, first hit wins.
@@ -544,7 +547,7 @@ def _doc_lines(spark, sf_dir):
 
 
 _DOC = r"""WITH x AS (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
-t AS (SELECT file, regexp_replace(string_agg(line, '' ORDER BY n) FILTER (n <= 80), '[\t\n\f\r \x0b]+|　+', '', 'g') AS body FROM x GROUP BY file)"""
+t AS (SELECT file, regexp_replace(string_agg(line, '' ORDER BY n), '[\t\n\f\r \x0b]+|　+', '', 'g') AS body FROM x GROUP BY file)"""
 
 
 @query(_DOC + """ SELECT file, CASE WHEN contains(body, 'theer') AND contains(body, 'the') THEN 'alpha' WHEN contains(body, 'ung') AND contains(body, 'der') THEN 'beta' WHEN contains(body, 'tion') THEN 'gamma' WHEN contains(body, 'a') THEN 'delta' ELSE 'unknown' END AS bank_id FROM t""")
@@ -756,11 +759,12 @@ def printed_totals(spark, sf_dir):
     return summary.reconcile(s, printed, "account_no")
 
 
-@query(f"WITH {_LINES} SELECT l_orderkey AS source_file, CAST(count(DISTINCT page) AS INTEGER) AS pages, l_orderkey % 2 = 0 AS complete FROM lp GROUP BY l_orderkey")
+@query(f"WITH {_LINES} SELECT l_orderkey AS source_file, CAST(count(DISTINCT page) AS INTEGER) AS pages, l_orderkey % 2 = 0 AND l_orderkey % 3 <> 0 AS complete, l_orderkey % 3 <> 0 AS prefix FROM lp GROUP BY l_orderkey")
 def page_completeness(spark, sf_dir):
     rows = _page_rows(spark, sf_dir)
     most = F.max("page").over(Window.partitionBy("source_file")) + 1
-    pages = rows.select("source_file", (F.col("page") + 1).cast("int").alias("page_no"), (most + F.when(F.col("source_file") % 2 == 0, 0).otherwise(1)).alias("total_pages"))
+    # every third file starts at its second page
+    pages = rows.select("source_file", (F.col("page") + F.when(F.col("source_file") % 3 == 0, 2).otherwise(1)).cast("int").alias("page_no"), (most + F.when(F.col("source_file") % 2 == 0, 0).otherwise(1)).alias("total_pages"))
     return summary.page_completeness(pages)
 
 
@@ -797,7 +801,7 @@ def text_cells(spark, sf_dir):
     fields = F.array(F.lit("日期"), F.when(k % 2 == 0, "代发工资").otherwise("工资退款"))
     cells = F.array(F.lit("账号"), k.cast("string"), F.lit("x"))
     fuzzy = F.when(k % 3 != 0, "农..村.商").otherwise("商村农")
-    return table(spark, sf_dir, "customer").select("c_custkey", text.is_salary(F.lit("x"), fields).alias("salary"), text.clean_cell(F.lit(" a　\n b ")).alias("cell"), text.right_of(cells, "账号").alias("account"), text.bank_name(F.concat("c_name", F.lit("股份有限公司流水"))).alias("bank"), text.ordered_chars(fuzzy, "农村商").alias("fuzzy"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.is_salary(F.lit(1), F.lit("x"), fields).alias("salary"), text.clean_cell(F.lit(" a　\n b ")).alias("cell"), text.right_of(cells, "账号").alias("account"), text.bank_name(F.concat("c_name", F.lit("银行个人流水"))).alias("bank"), text.ordered_chars(fuzzy, "农村商").alias("fuzzy"))
 
 
 @query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, strftime(o_orderdate, '%Y.%m') AS shown, 23 AS hour FROM orders")
@@ -873,12 +877,6 @@ def routed_files(spark, sf_dir):
     return routed.join(quality.accounts(files).select(F.col("account_no").alias("a"), "needs_review"), F.col("account_no") == F.col("a")).select("c_custkey", "bank_id", "error", "needs_review")
 
 
-@query(f"WITH {ORDERS_SQL} SELECT flow_type, count(DISTINCT account_no) AS accounts, true AS named FROM ledger GROUP BY flow_type")
-def income_documents(spark, sf_dir):
-    docs = summary.income_document(orders_ledger(spark, sf_dir))
-    return docs.select("flow_type", F.get_json_object("document", "$.accounts").cast("bigint").alias("accounts"), F.contains("document", F.lit('"applicant":""')).alias("named"))
-
-
 @query(f"WITH {ORDERS_SQL} SELECT account_no, strftime(ts, '%Y-%m') AS month, CAST(sum(income) AS DECIMAL(18,2)) AS income, count(*) AS \"rows\" FROM ledger WHERE raw_text LIKE '1-%' GROUP BY ALL")
 def salary_detail(spark, sf_dir):
     return summary.salary_detail(orders_ledger(spark, sf_dir), F.startswith("raw_text", F.lit("1-")))

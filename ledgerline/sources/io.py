@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -14,13 +17,29 @@ def text_lines(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFr
     return lines.select("file", "page_no", (F.col("n") + 1).alias("line_no"), "text")
 
 
-def sheet_cells(spark: SparkSession, path: str, pattern: str = "*.csv", width: int = 64) -> DataFrame:
-    """CSV exports of a folder tree as cells: file, page_no, table_no, row_no, cells. Rows may differ in width, up to ``width``."""
-    names = [f"c{k}" for k in range(width)]
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("multiLine", "true").schema(", ".join(f"{n} string" for n in names)).csv(path)
-    rows = raw.select(F.col("_metadata.file_path").alias("file"), F.array(*names).alias("all")).withColumn("row_no", F.monotonically_increasing_id())
-    last = F.array_max(F.transform("all", lambda c, i: F.when(c.isNotNull(), i + 1).otherwise(0)))
-    return rows.select("file", F.lit(1).alias("page_no"), F.lit(0).alias("table_no"), "row_no", F.slice("all", F.lit(1), F.greatest(last, F.lit(1))).alias("cells"))
+def sheet_cells(spark: SparkSession, path: str, pattern: str = "*.csv", width: int | None = None, widest: int = 16_384) -> DataFrame:
+    """CSV exports of a folder tree as cells: file, page_no, table_no, row_no (from 1 in each file), cells.
+
+    Rows may differ in width, up to ``width`` cells if it is given; a wider row is an error, never cut. How many columns
+    must be read is found from the data in a first pass (commas inside quotes count, so it may be more than needed).
+    """
+
+    def read(n):
+        names = [f"c{k}" for k in range(n)]
+        rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("multiLine", "true").option("columnNameOfCorruptRecord", "_odd")
+        raw = rows.schema(", ".join(f"{c} string" for c in names) + ", _odd string").csv(path)  # _odd: rows of any other width
+        return raw.select(F.col("_metadata.file_path").alias("file"), F.array(*names).alias("all"), (F.length("_odd") - F.length(F.replace("_odd", F.lit(","), F.lit(""))) + 1).alias("most"))
+
+    least = width or 64
+    columns = max(least, read(least).agg(F.max("most"), F.count_if(F.col("all")[0].isNotNull())).first()[0] or 0)  # Spark doesn't read that column alone
+    if columns > widest:
+        raise ValueError(f"a row of some {columns} cells: raise widest, the most columns to read")
+    row_no = F.row_number().over(Window.partitionBy("file").orderBy("n"))  # one task reads a file
+    last = F.array_max(F.transform("all", lambda c, i: F.when(c.isNotNull(), i + 1).otherwise(0))).cast("int")
+    if width is not None:
+        last = F.when(last > width, F.raise_error(F.concat(F.lit(f"a row of more than {width} cells in "), F.col("file"))).cast("int")).otherwise(last)
+    raw = read(columns).withColumn("n", F.monotonically_increasing_id())
+    return raw.select("file", F.lit(1).alias("page_no"), F.lit(0).alias("table_no"), row_no.alias("row_no"), F.slice("all", F.lit(1), F.greatest(last, F.lit(1))).alias("cells"))
 
 
 def layout_files(spark: SparkSession, path: str) -> DataFrame:
@@ -45,3 +64,14 @@ def write_tables(tables: dict[str, DataFrame], path: str, run_id: str, kind: str
 def write_documents(documents: DataFrame, path: str) -> None:
     """JSON texts, one a line."""
     documents.select("document").write.mode("overwrite").text(path)
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name in the folder that driver and executors share (``spark.checkpoint.dir``); local masters may do without the setting."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="ledger-")
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
