@@ -29,13 +29,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name in the shared folder; nothing else uses it."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def remove_scratch() -> int:
+    """Delete all scratch folders that this process made; for callers that have read or written all results. How many there were."""
+    count = 0
+    while _MADE:
+        fs, path = filesystem(_MADE.pop())
+        if fs.get_file_info(path).type.name == "Directory":
+            fs.delete_dir(path)
+            count += 1
+    return count
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> SparkSession:
-    """Have Spark hand at most ``rows`` texts at once to Python: Arrow batches are limited by rows only, and texts may be long."""
+    """Have Spark hand at most ``rows`` texts at once to Python: its own limit of bytes (64 MB) is much for a small executor's workers."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(rows))
