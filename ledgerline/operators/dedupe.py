@@ -8,28 +8,46 @@ from pyspark.sql import functions as F
 SIGNATURE = ["bank_id", "account_no", "transaction_time", "income", "expense", "balance", "raw_amount", "raw_balance"]
 
 
+def _first_of(rows: DataFrame, keys: list, order: list) -> DataFrame:
+    """The first row of each key by ``order``: an aggregate that combines before it shuffles, so a frequent key is no hot spot."""
+    named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
+    row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    return rows.groupBy(*named).agg(F.min_by(row, F.struct(*order)).alias("_r")).select("_r.*")
+
+
 def dedupe(ledger: DataFrame) -> DataFrame:
-    """Keyed rows (``merge_key``) keep one row a key. Others keep every repeat from the first file that has the row, and lose those of other files."""
+    """Keyed rows (``merge_key``) keep one row a key. Others keep every repeat from the first file that has the row, and lose those of other files.
+
+    First files come from an aggregate that combines before it shuffles and is joined back, so Spark may split a signature
+    that very many rows share.
+    """
     keyed = F.coalesce(F.col("merge_key"), F.lit("")) != ""
-    none = lambda c: F.when(~keyed, F.col(c))  # noqa: E731  part of the signature of rows without a key
-    sign = [F.coalesce("bank_id", F.lit("")), F.coalesce("account_no", F.lit("")), F.when(keyed, F.col("merge_key")), *[none(c) for c in SIGNATURE[2:]]]
-    w = Window.partitionBy(*sign).orderBy("transaction_time", "source_file", "row_no", "ingest_seq")
-    df = ledger.withColumns({"_n": F.row_number().over(w), "_first": F.first("source_file").over(w)})
-    return df.filter(F.when(keyed, F.col("_n") == 1).otherwise(F.col("source_file").eqNullSafe(F.col("_first")))).drop("_n", "_first")
+    account = [F.coalesce("bank_id", F.lit("")), F.coalesce("account_no", F.lit(""))]
+    order = ["transaction_time", "source_file", "row_no", "ingest_seq"]
+    one = _first_of(ledger.filter(keyed), [*account, F.col("merge_key")], order)
+    sign = {f"_s{k}": c for k, c in enumerate([*account, *[F.col(c) for c in SIGNATURE[2:]]])}
+    plain = ledger.filter(~keyed).withColumns(sign)
+    first = plain.groupBy(*sign).agg(F.min_by(F.struct("source_file"), F.struct(*order))["source_file"].alias("_first"))
+    first = first.select(*[F.col(c).alias(f"{c}_") for c in sign], "_first")
+    same = F.col("_s0") == F.col("_s0_")
+    for c in list(sign)[1:]:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_"))
+    kept = plain.join(first, same).filter(F.col("source_file").eqNullSafe(F.col("_first"))).select(*[F.col(f"`{c}`") for c in ledger.columns])
+    return one.unionByName(kept)
 
 
 def dedupe_by(ledger: DataFrame, key: str, keys=("account_no",)) -> DataFrame:
     """One row a serial key; rows without one stay."""
-    df = ledger.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, key).orderBy("transaction_time", "source_file", "row_no")))
-    return df.filter(F.col(key).isNull() | (F.col(key) == "") | (F.col("_n") == 1)).drop("_n")
+    has = F.coalesce(F.col(key).cast("string"), F.lit("")) != ""
+    one = _first_of(ledger.filter(has), [*[F.col(k) for k in keys], F.col(key)], ["transaction_time", "source_file", "row_no"])
+    return one.unionByName(ledger.filter(~has))
 
 
 def dedupe_by_serial(ledger: DataFrame, field: str) -> DataFrame:
     """Rows whose text starts with at least five digits: one for each serial, date, amounts and balance."""
     serial = F.nullif(F.regexp_extract(field, r"^\s*(\d{5,})", 1), F.lit(""))
-    df = ledger.withColumn("_serial", serial)
-    df = df.withColumn("_n", F.row_number().over(Window.partitionBy("_serial", F.to_date("transaction_time"), "income", "expense", "balance").orderBy("ingest_seq")))
-    return df.filter(F.col("_serial").isNull() | (F.col("_n") == 1)).drop("_serial", "_n")
+    one = _first_of(ledger.filter(serial.isNotNull()), [serial, F.to_date("transaction_time"), F.col("income"), F.col("expense"), F.col("balance")], ["ingest_seq"])
+    return one.unionByName(ledger.filter(serial.isNull()))
 
 
 def distinct_accounts(ledger: DataFrame, most: int | None = 5) -> DataFrame:
@@ -49,9 +67,12 @@ def merge_statements(ledger: DataFrame) -> DataFrame:
 
 
 def later_wins(first: DataFrame, second: DataFrame, keys=("transaction_time", "income", "expense", "balance")) -> DataFrame:
-    """Two extractions of the same statement; where both hold a row, the second one's stays."""
-    both = first.withColumn("_p", F.lit(0)).unionByName(second.withColumn("_p", F.lit(1)), allowMissingColumns=True)
-    return both.withColumn("_n", F.rank().over(Window.partitionBy(*keys).orderBy(F.desc("_p")))).filter("_n = 1").drop("_n", "_p")
+    """Two extractions of the same statement; where both hold a row, the second one's stays. Null keys are equal."""
+    known = second.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return second.unionByName(first.join(known, same, "left_anti"), allowMissingColumns=True)
 
 
 def with_fallback(special: DataFrame, generic: DataFrame, key: str = "source_file") -> DataFrame:

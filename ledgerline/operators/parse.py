@@ -132,15 +132,16 @@ def with_roles(cells: DataFrame, words: dict[str, list[str]], least: int = 2, we
     A header whose confidence is under ``weak`` is read together with the row below it, column by column, if that tells
     more roles; the row below is then part of the header.
     """
-    in_table = Window.partitionBy("file", "page_no", "table_no").orderBy("row_no")
-    df = cells.withColumns({"_next": F.lead("cells").over(in_table), "_own": roles_of(F.col("cells"), words, least)})
-    merged = F.zip_with("cells", "_next", lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
-    df = df.withColumn("_both", F.when((confidence(F.col("_own"), words) < weak) & F.col("_next").isNotNull(), roles_of(merged, words, least)))
-    df = df.withColumn("_two", F.coalesce(F.size("_both") > F.size("_own"), F.lit(False))).withColumn("_second", F.coalesce(F.lag("_two").over(in_table), F.lit(False)))
-    upto = in_order("page_no", "table_no", "row_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = in_order("page_no", "table_no", "row_no")  # one shuffle and one sort for all that follows
+    below = F.lead(F.struct("page_no", "table_no", "cells")).over(rows)
+    df = cells.withColumn("_own", roles_of(F.col("cells"), words, least)).withColumn("_below", below)
+    same = (F.col("_below")["page_no"] == F.col("page_no")) & (F.col("_below")["table_no"] == F.col("table_no"))
+    merged = F.zip_with("cells", F.col("_below")["cells"], lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
+    df = df.withColumn("_both", F.when((confidence(F.col("_own"), words) < weak) & same, roles_of(merged, words, least)))
+    df = df.withColumn("_two", F.coalesce(F.size("_both") > F.size("_own"), F.lit(False))).withColumn("_second", F.coalesce(F.lag("_two").over(rows), F.lit(False)))
     df = df.withColumn("_header", F.when(~F.col("_second"), F.when(F.col("_two"), F.col("_both")).otherwise(F.col("_own"))))
-    df = df.withColumn("roles", F.last("_header", ignorenulls=True).over(upto))
-    return df.filter("_header IS NULL AND NOT _second AND roles IS NOT NULL").drop("_next", "_own", "_both", "_two", "_second", "_header")
+    df = df.withColumn("roles", F.last("_header", ignorenulls=True).over(rows.rowsBetween(Window.unboundedPreceding, 0)))
+    return df.filter("_header IS NULL AND NOT _second AND roles IS NOT NULL").drop("_below", "_own", "_both", "_two", "_second", "_header")
 
 
 def sub_layout(cells: DataFrame, rules: list[tuple[str, list[str]]]) -> DataFrame:
