@@ -143,23 +143,34 @@ def _pieces(own, times, word0, step):
     yield q, np.repeat(word0, times) + np.arange(len(q)) - np.repeat(np.cumsum(times) - times, times)
 
 
-def sliced_within(asks: np.ndarray, prints: np.ndarray, radius: int, bits: int, step: int = 1 << 16):
-    """Pairs (position in ``asks``, position in ``prints``) whose first ``bits`` bits differ in at most ``radius``, some at a time.
+def sliced_within(asks: np.ndarray, prints: np.ndarray, radius: int, bits: int, ask_group: np.ndarray | None = None, group: np.ndarray | None = None, step: int = 1 << 16):
+    """Pairs (position in ``asks``, position in ``prints``) of a group whose first ``bits`` bits differ in at most ``radius``, some at a time.
 
-    Both are fingerprints of equal width (rows x 64-bit words). Planes are added up seven at a time: four full adders
-    make a three-bit number, which goes into counters that were set so that they overflow beyond the radius.
+    Both are fingerprints of equal width (rows x 64-bit words), with the number of their group (ascending for ``prints``;
+    all one group without). Each group has words of its own in the bit planes. Planes are added up seven at a time: four
+    full adders make a three-bit number, which goes into counters that were set so that they overflow beyond the radius.
     """
     n, one, zero = len(prints), np.uint64(1), np.uint64(0)
     if not n or not len(asks):
         return
-    words = -(-n // 64)
+    asks, prints = asks[:, : -(-bits // 64)], prints[:, : -(-bits // 64)]
+    group = np.zeros(n, np.int64) if group is None else group
+    ask_group = np.zeros(len(asks), np.int64) if ask_group is None else ask_group
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    size = np.diff(np.r_[first, n])
+    words = -(-size // 64)
+    word0 = np.r_[0, np.cumsum(words)]
+    slot = np.arange(n) - np.repeat(first - word0[:-1] * 64, size)
+    back = np.full(word0[-1] * 64, -1)
+    back[slot] = np.arange(n)
     bit = lambda x, p: x[:, p // 64] >> np.uint64(p % 64) & one
-    lanes = np.zeros((bits, words * 64), bool)
+    planes, lanes = np.empty((bits, word0[-1]), np.uint64), np.zeros(word0[-1] * 64, bool)
     for p in range(bits):
-        lanes[p, :n] = bit(prints, p)
-    planes = np.packbits(lanes.reshape(bits, words, 64), axis=2, bitorder="little").view("<u8").reshape(bits, words)
-    wanted = np.stack([zero - bit(asks, p) for p in range(bits)])  # all ones where the asker's bit is set
-    empty = ~np.packbits((np.arange(words * 64) < n).reshape(-1, 64), axis=1, bitorder="little").view("<u8").ravel()
+        lanes[slot] = bit(prints, p)
+        planes[p] = np.packbits(lanes.reshape(-1, 64), axis=1, bitorder="little").view("<u8").ravel()
+    empty = np.packbits((back < 0).reshape(-1, 64), axis=1, bitorder="little").view("<u8").ravel()
+    known = np.searchsorted(group[first], ask_group)
+    met = np.flatnonzero((known < len(first)) & (group[first][np.minimum(known, len(first) - 1)] == ask_group))
     width = max(3, int(radius).bit_length())
     start = (1 << width) - 1 - radius
 
@@ -167,15 +178,18 @@ def sliced_within(asks: np.ndarray, prints: np.ndarray, radius: int, bits: int,
         both = x ^ y
         return both ^ z, x & y | z & both
 
-    rows, wide = max(1, step // words), min(words, step)
-    for r0 in range(0, len(asks), rows):
-        for w0 in range(0, words, wide):
-            own, span = np.arange(r0, min(r0 + rows, len(asks))), np.arange(w0, min(w0 + wide, words))
-            q, w = np.repeat(own, len(span)), np.tile(span, len(own))
+    ends = np.cumsum(words[known[met]])
+    at = 0
+    while at < len(met):  # so many askers that their words fit in a step
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + step, "right")))
+        own = met[at:to]
+        at = to
+        for q, w in _pieces(own, words[known[own]], word0[known[own]], step):
             over = empty[w]
             sums = [np.full(len(q), ALL if start >> k & 1 else zero) for k in range(width)]
+            wanted = asks[q]
             for p in range(0, bits, 7):
-                x = [planes[k][w] ^ wanted[k][q] if k < bits else np.zeros(len(q), np.uint64) for k in range(p, p + 7)]
+                x = [planes[k][w] ^ (zero - bit(wanted, k)) if k < bits else np.zeros(len(q), np.uint64) for k in range(p, p + 7)]
                 (s1, c1), (s2, c2) = full(*x[:3]), full(*x[3:6])
                 s, c3 = full(s1, s2, x[6])
                 add = full(c1, c2, c3)
@@ -189,14 +203,14 @@ def sliced_within(asks: np.ndarray, prints: np.ndarray, radius: int, bits: int,
                 if p % 28 == 21:
                     live = over != ALL
                     if live.mean() < 0.75:
-                        q, w, over, sums = q[live], w[live], over[live], [c[live] for c in sums]
+                        q, w, over, wanted, sums = q[live], w[live], over[live], wanted[live], [c[live] for c in sums]
                         if not len(q):
                             break
             hit = np.flatnonzero(over != ALL)
             for k in range(0, len(hit), 1 << 12):
                 some = hit[k : k + (1 << 12)]
                 r, lane = np.nonzero(np.unpackbits((~over[some]).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-                yield q[some][r], w[some][r] * 64 + lane
+                yield q[some][r], back[w[some][r] * 64 + lane]
 
 
 def _blocks(blocks: int) -> list[tuple[int, int]]:

@@ -69,6 +69,24 @@ def test_fingerprints_of_pairs_are_within_reach():
     assert missed <= 5  # of 240 at exactly the wanted similarity
 
 
+@pytest.mark.parametrize("radius", [3, 7, 40, 63, 64, 127])
+def test_sliced_distances_equal_counted_ones(radius):
+    import numpy as np
+
+    rng = np.random.default_rng(radius)
+    a, b = rng.integers(0, 1 << 64, (70, 4), np.uint64), rng.integers(0, 1 << 64, (150, 4), np.uint64)
+    b[:70] = a
+    for k in range(150):
+        for p in rng.integers(0, 252, rng.integers(0, 200)):
+            b[k, p // 64] ^= np.uint64(1) << np.uint64(p % 64)
+    groups, asked = np.sort(rng.integers(0, 5, 150)), rng.integers(0, 6, 70)
+    mask = np.array([~np.uint64(0)] * 3 + [(np.uint64(1) << np.uint64(60)) - np.uint64(1)], np.uint64)
+    near = np.bitwise_count((a[:, None] ^ b[None]) & mask).sum(axis=2) <= radius
+    for ga, gb, fits in ((None, None, near), (asked, groups, near & (asked[:, None] == groups[None]))):
+        got = [(i, j) for q, r in simhash.sliced_within(a, b, radius, 252, ga, gb, step=64) for i, j in zip(q.tolist(), r.tolist())]
+        assert len(got) == len(set(got)) and set(got) == set(zip(*(x.tolist() for x in np.nonzero(fits))))
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(400).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert simhash.components(links).select("root").distinct().count() == 1
