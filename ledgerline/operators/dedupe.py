@@ -61,8 +61,8 @@ def distinct_accounts(ledger: DataFrame, most: int | None = 5) -> DataFrame:
 
 def merge_statements(ledger: DataFrame) -> DataFrame:
     """``statement_id``: the account where several files hold it, else the file; repeats of overlapping files are gone."""
-    files = ledger.filter("account_no IS NOT NULL AND account_no <> ''").groupBy("account_no", "account_name").agg(F.count_distinct("source_file").alias("_files"))
-    joined = dedupe(ledger).join(files, ledger["account_no"].eqNullSafe(files["account_no"]) & ledger["account_name"].eqNullSafe(files["account_name"]), "left").drop(files["account_no"]).drop(files["account_name"])
+    files = ledger.filter("account_no IS NOT NULL AND account_no <> ''").groupBy(F.col("account_no").alias("_no"), F.col("account_name").alias("_name")).agg(F.count_distinct("source_file").alias("_files"))
+    joined = dedupe(ledger).join(files, (F.col("account_no") == F.col("_no")) & F.col("account_name").eqNullSafe(F.col("_name")), "left").drop("_no", "_name")
     return joined.withColumn("statement_id", F.when(F.col("_files") > 1, F.concat(F.lit("account:"), "account_no")).otherwise(F.concat(F.lit("file:"), F.coalesce("source_file", F.lit(""))))).drop("_files")
 
 
@@ -75,6 +75,9 @@ def later_wins(first: DataFrame, second: DataFrame, keys=("transaction_time", "i
     return second.unionByName(first.join(known, same, "left_anti"), allowMissingColumns=True)
 
 
-def with_fallback(special: DataFrame, generic: DataFrame, key: str = "source_file") -> DataFrame:
-    """Rows of the special reader, and the generic reader's for files of which the special one read nothing."""
-    return special.unionByName(generic.join(special.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
+def with_fallback(special: DataFrame, generic: DataFrame, key: str = "source_file", message: str | None = None) -> DataFrame:
+    """Rows of the special reader, and the generic reader's for files of which the special one read nothing; these say so in a column ``message``, if one is given."""
+    rest = generic.join(special.select(key).distinct(), key, "left_anti")
+    if message is not None:
+        special, rest = special.withColumn("message", F.lit(None).cast("string")), rest.withColumn("message", F.lit(message))
+    return special.unionByName(rest, allowMissingColumns=True)

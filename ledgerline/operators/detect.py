@@ -73,3 +73,9 @@ def agreed_label(rows: DataFrame, label: str = "bank_label", key: str = "source_
 def file_flags(lines: DataFrame, markers: dict[str, str], key: str = "file") -> DataFrame:
     """One boolean a marker: the file's text holds it."""
     return lines.groupBy(key).agg(*[F.max(F.contains("text", F.lit(m))).alias(n) for n, m in markers.items()])
+
+
+def with_flags(rows: DataFrame, flags: DataFrame, key: str = "source_file", flag_key: str = "file") -> DataFrame:
+    """Rows with the flags of their file; false where the file has none."""
+    names = [c for c in flags.columns if c != flag_key]
+    return rows.join(flags.withColumnRenamed(flag_key, key), key, "left").fillna(False, names)

@@ -92,6 +92,12 @@ def reconcile(summary: DataFrame, printed: DataFrame, key: str) -> DataFrame:
     return summary.join(printed, key).select(key, F.explode(cells).alias("x")).select(key, "x.*").filter("printed IS NOT NULL AND printed <> found")
 
 
+def total_issues(differences: DataFrame, key: str) -> DataFrame:
+    """Differences of ``reconcile`` as review issues of a statement's first row."""
+    shown = lambda c: F.format_number(c, 2)
+    return differences.select(key, F.lit(1).cast("bigint").alias("posting_seq"), F.lit("review").alias("level"), F.concat(F.lit("printed_"), "figure").alias("code"), shown("found").alias("raw_amount"), shown("printed").alias("raw_balance"))
+
+
 def page_completeness(rows: DataFrame, total_pages: str = "total_pages", keys=("source_file",)) -> DataFrame:
     """``complete``: the printed pages are exactly 1 to the printed number of pages; ``prefix``: 1 to the last one there, without a gap."""
     agg = rows.groupBy(*keys).agg(F.count_distinct("page_no").cast("int").alias("pages"), F.min("page_no").alias("_a"), F.max("page_no").alias("_z"), F.max(total_pages).alias("_n"))
@@ -185,13 +191,18 @@ def combined_months(ledger: DataFrame, months: DataFrame | None = None, keys=())
     return sums.withColumn("net", (F.col("income_sum") - F.col("expense_sum")).cast(MONEY))
 
 
+def _beside(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Two frames of one row each as one row."""
+    return one.withColumn("_one", F.lit(1)).join(other.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
 def overall(ledger: DataFrame) -> DataFrame:
     """One row over all files without the rows that they repeat: the summary, files, accounts, first and last day."""
     from ledgerline.operators.dedupe import dedupe
 
     rows = dedupe(ledger)
     more = rows.agg(F.count_distinct("source_file").alias("files"), F.count_distinct("account_no").alias("accounts"), F.min(F.to_date("transaction_time")).alias("first_day"), F.max(F.to_date("transaction_time")).alias("last_day"))
-    return summarize(rows, []).crossJoin(more)  # one row by one row
+    return _beside(summarize(rows, []), more)
 
 
 def with_document_flow(ledger: DataFrame) -> DataFrame:
@@ -250,7 +261,7 @@ def income_document(ledger: DataFrame, confirmations: DataFrame | None = None, s
     doc = blocks.groupBy().agg(*[block(n).alias(f"{n}_flow") for n in names])
     noted = confirmations.agg(F.array_sort(F.collect_list("id")).alias("confirmed")) if confirmations is not None else None  # one a manual decision
     if noted is not None:
-        doc = doc.crossJoin(noted)  # one row by one row
+        doc = _beside(doc, noted)
     notes = F.struct(F.lit("").alias("supplement"), (F.col("confirmed") if noted is not None else F.array().cast("array<string>")).alias("source_confirmations"))
     head = [F.lit("1.0").alias("schema_version"), F.lit("salary" if salary is not None else "self_employed").alias("proof_type"), F.struct(F.lit("").alias("name"), F.lit("").alias("city")).alias("customer"), F.lit("").alias("applicant")]
     return doc.select(F.to_json(F.struct(*head, *[f"{n}_flow" for n in names], notes.alias("notes"))).alias("document"))

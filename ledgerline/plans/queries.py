@@ -136,9 +136,9 @@ def distinct_accounts(spark, sf_dir):
     return dedupe.distinct_accounts(overlapping_files(spark, sf_dir))
 
 
-@query(f"WITH {FILES_SQL}, a AS (SELECT account_no, count(DISTINCT source_file) AS n FROM files GROUP BY account_no), d AS (SELECT *, first_value(source_file) OVER (PARTITION BY account_no, ts, income, expense, balance, raw_amount ORDER BY source_file, row_no) AS first_file FROM files) SELECT CASE WHEN n > 1 THEN 'account:' || d.account_no ELSE 'file:' || source_file END AS statement_id, count(*) AS \"rows\" FROM d JOIN a USING (account_no) WHERE source_file = first_file GROUP BY 1")
+@query(f"WITH {FILES_SQL}, a AS (SELECT account_no, count(DISTINCT source_file) AS n FROM files GROUP BY account_no), d AS (SELECT *, first_value(source_file) OVER (PARTITION BY account_no, ts, income, expense, balance, raw_amount ORDER BY source_file, row_no) AS first_file FROM files) SELECT CASE WHEN n > 1 THEN 'account:' || d.account_no ELSE 'file:' || source_file END AS statement_id, source_file, row_no FROM d JOIN a USING (account_no) WHERE source_file = first_file")
 def merged_statements(spark, sf_dir):
-    return dedupe.merge_statements(overlapping_files(spark, sf_dir)).groupBy("statement_id").agg(F.count("*").alias("rows"))
+    return dedupe.merge_statements(overlapping_files(spark, sf_dir)).select("statement_id", "source_file", "row_no")
 
 
 @query(f"WITH {FILES_SQL}, l AS (SELECT flow_type, account_no, arg_max(balance, (ts, row_no, source_file)) AS b FROM files WHERE balance IS NOT NULL GROUP BY flow_type, account_no) SELECT flow_type, CAST(sum(b) AS DECIMAL(18,2)) AS latest_balance, count(*) AS accounts FROM l GROUP BY flow_type")
@@ -256,21 +256,27 @@ def greedy_order(spark, sf_dir):
     return sequence.greedy_order(_shuffled_days(spark, sf_dir), newest_first=False).select("account_no", "statement_order", "balance")
 
 
-@query(f"WITH {ORDERS_SQL}, t AS (SELECT * FROM ledger WHERE NOT neutral) SELECT account_no, 1 AS segments, count(*) AS \"rows\" FROM t GROUP BY account_no")
+_GAPS = f"""WITH {ORDERS_SQL}, t AS (SELECT *, row_number() OVER (PARTITION BY account_no ORDER BY seq) AS n, count(*) OVER (PARTITION BY account_no) AS m FROM ledger WHERE NOT neutral), g AS (SELECT * FROM t WHERE n <> 2 OR m < 3)"""
+
+
+def _gapped(spark, sf_dir):
+    """Rows in true print order; each account of three rows and more has lost its second one."""
+    mine = Window.partitionBy("account_no")
+    rows = _shuffled_days(spark, sf_dir).withColumns({"row_no": F.row_number().over(mine.orderBy("true_seq")), "_n": F.count("*").over(mine)})
+    return rows.filter("row_no <> 2 OR _n < 3").drop("_n")
+
+
+@query(_GAPS + " SELECT account_no, row_number() OVER (PARTITION BY account_no ORDER BY n) AS statement_order, bal0 AS balance, n = 1 OR (n = 3) AS balance_segment_start FROM g")
 def segment_order(spark, sf_dir):
-    got = sequence.greedy_order(_shuffled_days(spark, sf_dir), newest_first=False, segments=True)
-    return got.groupBy("account_no").agg(F.count_if("balance_segment_start").cast("int").alias("segments"), F.count("*").alias("rows"))
+    got = sequence.greedy_order(_gapped(spark, sf_dir), newest_first=False, segments=True)
+    return got.select("account_no", "statement_order", "balance", "balance_segment_start")
 
 
-@query(_TRUE)
+@query(_GAPS + " SELECT account_no, row_number() OVER (PARTITION BY account_no ORDER BY n) AS statement_order, bal0 AS balance FROM g")
 def linked_order(spark, sf_dir):
-    rows = _shuffled_days(spark, sf_dir)
-    # an opening row a month before, so that the first link is proven, too
-    opening = rows.groupBy("account_no").agg(F.add_months(F.min("transaction_time"), -1).cast("timestamp").alias("transaction_time"))
-    opening = with_defaults(opening.withColumns({"balance": F.lit(10000).cast(MONEY), "row_no": F.lit(0).cast("bigint")}))
-    both = rows.select(*opening.columns).unionByName(opening)
-    got = sequence.greedy_order(both, newest_first=False, stop_at_miss=True).filter("statement_order > 1")
-    return got.select("account_no", (F.col("statement_order") - 1).alias("statement_order"), "balance")
+    """The row after a lost one links to nothing: all that is left of its timestamp stays as printed."""
+    got = sequence.greedy_order(_gapped(spark, sf_dir), newest_first=False, stop_at_miss=True)
+    return got.select("account_no", "statement_order", "balance")
 
 
 def _noisy(spark, sf_dir):
@@ -286,16 +292,14 @@ def _noisy(spark, sf_dir):
     return rows.withColumns({"raw_amount": F.concat(sign, F.when(~first & (F.col("row_no") % 4 == 0), "9").otherwise(""), F.format_number(F.abs("true_amount"), 2)), "raw_balance": F.concat(noise, F.format_number("true_balance", 2))})
 
 
-@query(f"WITH {ORDERS_SQL}, t AS (SELECT *, CAST(sum(income - expense) OVER (PARTITION BY account_no ORDER BY seq) + 4000000 AS DECIMAL(18,2)) AS b FROM ledger WHERE NOT neutral) SELECT account_no, count(*) AS \"rows\", count(*) FILTER (true) AS right_rows FROM t GROUP BY account_no")
+_CHAIN = f"WITH {ORDERS_SQL}, t AS (SELECT *, row_number() OVER (PARTITION BY account_no ORDER BY seq) AS n, CAST(sum(income - expense) OVER (PARTITION BY account_no ORDER BY seq) + 4000000 AS DECIMAL(18,2)) AS b FROM ledger WHERE NOT neutral)"
+
+
+@query(_CHAIN + " SELECT account_no, row_no, b AS balance, CAST(income - expense AS DECIMAL(18,2)) AS amount FROM t")
 def beam_repair(spark, sf_dir):
     rows = _noisy(spark, sf_dir)
     got = sequence.beam_readings(rows, ["account_no"], ["posting_seq"])
-    back = got.join(rows.select("account_no", "ingest_seq", "true_balance", "true_amount"), ["account_no", "ingest_seq"])
-    fits = (F.col("balance") == F.col("true_balance")) & (F.col("amount") == F.col("true_amount"))
-    return back.groupBy("account_no").agg(F.count("*").alias("rows"), F.count_if(fits).alias("right_rows"))
-
-
-_CHAIN = f"WITH {ORDERS_SQL}, t AS (SELECT *, row_number() OVER (PARTITION BY account_no ORDER BY seq) AS n, CAST(sum(income - expense) OVER (PARTITION BY account_no ORDER BY seq) + 4000000 AS DECIMAL(18,2)) AS b FROM ledger WHERE NOT neutral)"
+    return got.select("account_no", F.col("ingest_seq").alias("row_no"), "balance", "amount")
 
 
 @query(_CHAIN + " SELECT account_no, row_no, b AS fixed_balance FROM t")
@@ -329,7 +333,10 @@ def picked_balances(spark, sf_dir):
 
 @query("SELECT o_custkey, o_orderkey, CAST(max(d) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS DATE) AS read_date FROM (SELECT *, CAST(o_orderdate AS DATE) AS d FROM orders)")
 def dates_in_sequence(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("ingest_seq"), "o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd").alias("raw_time"))
+    """A digit of years before 2000 is read twice, so that another year fits as well."""
+    day = F.date_format("o_orderdate", "yyyyMMdd")
+    twice = F.concat(F.substring(day, 1, 3), F.substring(day, 3, 6))
+    rows = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("ingest_seq"), "o_orderdate", F.when((F.col("o_orderkey") % 2 == 0) & (F.year("o_orderdate") < 2000), twice).otherwise(day).alias("raw_time"))
     return sequence.dates_in_sequence(rows, ["o_custkey"], ["o_orderdate", "ingest_seq"]).select("o_custkey", F.col("ingest_seq").alias("o_orderkey"), "read_date")
 
 
@@ -576,11 +583,12 @@ def layout_keyword_length(spark, sf_dir):
     return _scored(spark, sf_dir, True)
 
 
-@query(f"WITH {ORDERS_SQL} SELECT account_no AS source_file, row_no, CASE WHEN ck % 3 = 0 THEN 'generic' ELSE 'special' END AS reader FROM ledger WHERE ck % 3 = 0 OR row_no % 2 = 0 OR NOT EXISTS (SELECT 1 FROM ledger l2 WHERE l2.account_no = ledger.account_no AND l2.row_no % 2 = 0 AND l2.ck % 3 <> 0)".replace("SELECT account_no AS source_file, row_no, CASE WHEN ck % 3 = 0 THEN 'generic' ELSE 'special' END AS reader FROM ledger WHERE ck % 3 = 0 OR row_no % 2 = 0 OR NOT EXISTS (SELECT 1 FROM ledger l2 WHERE l2.account_no = ledger.account_no AND l2.row_no % 2 = 0 AND l2.ck % 3 <> 0)", "SELECT account_no AS source_file, row_no, 'special' AS reader FROM ledger WHERE ck % 3 <> 0 AND row_no % 2 = 0 UNION ALL SELECT account_no, row_no, 'generic' FROM ledger WHERE account_no NOT IN (SELECT account_no FROM ledger WHERE ck % 3 <> 0 AND row_no % 2 = 0)"))
+@query(f"""WITH {ORDERS_SQL} SELECT account_no AS source_file, row_no, 'special' AS reader, NULL AS message FROM ledger WHERE ck % 3 <> 0 AND row_no % 2 = 0
+UNION ALL SELECT account_no, row_no, 'generic', 'generic_reader' FROM ledger WHERE account_no NOT IN (SELECT account_no FROM ledger WHERE ck % 3 <> 0 AND row_no % 2 = 0)""")
 def fallback_rows(spark, sf_dir):
     rows = orders_ledger(spark, sf_dir).select(F.col("account_no").alias("source_file"), "row_no")
     special = rows.filter("CAST(source_file AS BIGINT) % 3 <> 0 AND row_no % 2 = 0").withColumn("reader", F.lit("special"))
-    return dedupe.with_fallback(special, rows.withColumn("reader", F.lit("generic")))
+    return dedupe.with_fallback(special, rows.withColumn("reader", F.lit("generic")), message="generic_reader")
 
 
 @query(r"SELECT page_id AS file, length(regexp_replace(html, '(?is)<[^>]*>', '', 'g')) > 0 AS has_text FROM pages WHERE html IS NOT NULL")
@@ -619,12 +627,14 @@ def multi_line_cells(spark, sf_dir):
     return got.select("file", (F.col("row_no") - 999).alias("n"), F.element_at("cells", 1).alias("part"), F.element_at("cells", 2).alias("amount"))
 
 
-@query(_DOC.split("t AS")[0].rstrip(", \n") + " SELECT file, count(*) FILTER (regexp_matches(line, '^[A-Z]') OR n = 1) AS blocks FROM x GROUP BY file")
+@query(_DOC.split("t AS")[0].rstrip(", \n") + """, m AS (SELECT file, n, CASE WHEN n = 1 AND NOT regexp_matches(line, '^[A-Z]') THEN 'A' || line ELSE line END AS line FROM x),
+b AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^[A-Z]') THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY n) AS block FROM m)
+SELECT file, CAST((min(n) - 1) // 40 + 1 AS INTEGER) AS page_no, CAST((min(n) - 1) % 40 + 1 AS INTEGER) AS line_no, string_agg(line, ' ' ORDER BY n) AS text FROM b GROUP BY file, block""")
 def continuation_blocks(spark, sf_dir):
     lines = _doc_lines(spark, sf_dir)
     first = (F.col("page_no") == 1) & (F.col("line_no") == 1)
     marked = lines.withColumn("text", F.when(first & ~F.regexp_like("text", F.lit("^[A-Z]")), F.concat(F.lit("A"), F.col("text"))).otherwise(F.col("text")))
-    return parse.continuation_blocks(marked, "^[A-Z]").groupBy("file").agg(F.count("*").alias("blocks"))
+    return parse.continuation_blocks(marked, "^[A-Z]")
 
 
 _BLOCK = f"""WITH {ORDERS_SQL}, mo AS (SELECT *, strftime(ts, '%Y-%m') AS month FROM ledger), lm AS (SELECT flow_type, month, row_number() OVER (PARTITION BY flow_type ORDER BY month DESC) AS r FROM (SELECT DISTINCT flow_type, month FROM mo)),
@@ -759,6 +769,11 @@ def printed_totals(spark, sf_dir):
     return summary.reconcile(s, printed, "account_no")
 
 
+@query(f"WITH {EVENTS_SQL} SELECT account_no, CAST(1 AS BIGINT) AS posting_seq, 'review' AS level, 'printed_income_sum' AS code FROM ledger WHERE CAST(account_no AS BIGINT) % 3 = 0 GROUP BY account_no")
+def printed_total_issues(spark, sf_dir):
+    return summary.total_issues(printed_totals(spark, sf_dir), "account_no").select("account_no", "posting_seq", "level", "code")
+
+
 @query(f"WITH {_LINES} SELECT l_orderkey AS source_file, CAST(count(DISTINCT page) AS INTEGER) AS pages, l_orderkey % 2 = 0 AND l_orderkey % 3 <> 0 AS complete, l_orderkey % 3 <> 0 AS prefix FROM lp GROUP BY l_orderkey")
 def page_completeness(spark, sf_dir):
     rows = _page_rows(spark, sf_dir)
@@ -868,6 +883,13 @@ def file_flags(spark, sf_dir):
     return detect.file_flags(table(spark, sf_dir, "documents").filter("text IS NOT NULL").withColumnRenamed("doc_id", "file"), {"en": "the", "de": "der"})
 
 
+@query(f"WITH {ORDERS_SQL}, f AS (SELECT account_no, bool_or(contains(raw_text, 'URGENT')) AS urgent FROM ledger GROUP BY account_no) SELECT account_no, row_no, urgent FROM ledger JOIN f USING (account_no)")
+def flagged_rows(spark, sf_dir):
+    rows = orders_ledger(spark, sf_dir)
+    flags = detect.file_flags(rows.select(F.col("account_no").alias("file"), F.col("raw_text").alias("text")), {"urgent": "URGENT"})
+    return detect.with_flags(rows, flags, "account_no").select("account_no", "row_no", "urgent")
+
+
 @query("SELECT c_custkey, 'b' || (c_custkey % 4) AS bank_id, CASE WHEN c_custkey % 4 = 3 THEN 'unknown_layout' END AS error, (c_custkey % 100 < 90) AS needs_review FROM customer")
 def routed_files(spark, sf_dir):
     k = F.col("c_custkey")
