@@ -127,7 +127,7 @@ def test_long_chain_of_calls(spark):
     calls = spark.range(10_000).select(F.lit(1).cast("bigint").alias("conv_id"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("call_id"), F.col("id").alias("turn"), F.lit(0).alias("pos"))
     waits = calls.filter("turn > 0").select("conv_id", "call_id", F.concat(F.lit("c"), (F.col("turn") - 1).cast("string")).alias("after"))
     began = time.time()
-    assert toolcalls.levels(calls, waits).agg(F.max("level")).first()[0] == 9999 and time.time() - began < 60
+    assert toolcalls.levels(calls, waits).agg(F.max("level")).first()[0] == 9999 and time.time() - began < 150
 
 
 def test_joined_rules_equal_the_trie(spark):
