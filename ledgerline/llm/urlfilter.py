@@ -43,6 +43,7 @@ class UrlTrie:
             for seg in full:
                 at = at.setdefault(seg, {})
             open_ends = at.setdefault(None, {})
+            at[0] = max(at.get(0, 0), len(last))  # a longer part of a url's segment can't be a rule's
             if action == "block" or last not in open_ends:
                 open_ends[last] = entry
 
@@ -56,7 +57,7 @@ class UrlTrie:
         for i, seg in enumerate(segs):
             ends = at.get(None)
             if ends:
-                for k in range(len(seg), -1, -1):
+                for k in range(min(len(seg), at[0]), -1, -1):
                     if seg[:k] in ends:
                         best = ends[seg[:k]]
                         break
