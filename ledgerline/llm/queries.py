@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, kdtopk, langid, lm, mixing, simhash, spm, toolcalls, urlfilter, warc
+from . import ann, kdtopk, langid, lm, mixing, simhash, spm, tokenfiles, toolcalls, urlfilter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sentencepiece": spm.op8_sentencepiece,
     "op9_language_id": langid.op9_language_id,
     "op10_url_filters": urlfilter.op10_url_filters,
+    "op11_token_files": tokenfiles.op11_token_files,
 }
 
 ORACLES = {

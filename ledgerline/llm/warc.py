@@ -1,7 +1,7 @@
 """WARC archives: a deterministic sharded writer with revisit records, and a reader that checks every digest.
 
-Records are cut into shards by ranges of their id, so that shards hold about equal bytes, and sorted inside a shard. A
-range that no bound can cut (one id, or null, with very many bytes) is dealt to several shards by a hash of the payload. A
+Records are cut into shards by ranges of their id, so that shards hold about equal bytes, and sorted inside a shard. One
+id (or null) with very many bytes is dealt to several shards by ranges of a hash of the payload. A
 shard's task writes one gzip member a record, starts a new file when the compressed size reaches ``roll_bytes``, and
 writes under temporary names only. A
 manifest of the files of successful tasks is then written by Spark, a second job renames the files that it names, and
@@ -17,13 +17,12 @@ import re
 import uuid
 import zlib
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import filesystem, materialise, scratch, small_batches
+from .shards import plan_shards, shard_column
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
@@ -103,47 +102,6 @@ def _by_bytes(batches, limit=8 << 20):
             yield b.slice(k, each).to_pylist()
 
 
-def _plan(light: DataFrame, rows_per_shard: int, cells: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bounds of id cells, first shard of each cell, how many shards it has); cell 0 is that of null ids.
-
-    Bounds are ids picked by hash, at most some 200,000 whatever the table's size; bytes are summed by cell in Spark, and
-    neighbouring cells fill a shard. Nothing here depends on partitions or settings of the session.
-    """
-    n, size = light.agg(F.count("*"), F.sum("weight")).first()
-    shard_bytes = min(512 << 20, max(8 << 20, (size or 0) >> 12))
-    shards = max(1, -(-(size or 0) // shard_bytes), -(-n // rows_per_shard))
-    every = max(1, n // 200_000)
-    picked = np.sort(light.select("id").filter(f"id IS NOT NULL AND pmod(xxhash64(id), {every}) = 0").distinct().toPandas()["id"].to_numpy(np.int64))
-    bounds = np.unique(picked[np.linspace(0, len(picked) - 1, min(len(picked), cells)).astype(int)]) if len(picked) else picked
-    sent = light.sparkSession.sparkContext.broadcast(bounds)
-
-    @F.pandas_udf("int")
-    def cell_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(_cells(sent.value, ids))
-
-    weights = np.zeros(len(bounds) + 2)
-    for r in light.groupBy(cell_of("id").alias("cell")).agg(F.sum("weight").alias("w")).toLocalIterator():
-        weights[r["cell"]] = r["w"]
-    each = max(1.0, weights.sum() / shards)
-    parts = np.maximum(1, np.round(weights / each)).astype(np.int64)  # shards of cells that hold more than one
-    first, at, filled = np.zeros(len(weights), np.int64), 0, 0.0
-    for k, w in enumerate(weights):
-        if filled and (filled + w > each or parts[k] > 1):
-            at, filled = at + 1, 0.0
-        first[k] = at
-        filled += w
-        if parts[k] > 1:
-            at, filled = at + parts[k], 0.0
-    return bounds, first, parts
-
-
-def _cells(bounds: np.ndarray, ids: pd.Series) -> np.ndarray:
-    known = ids.notna().to_numpy()
-    out = np.zeros(len(ids), np.int32)
-    out[known] = 1 + np.searchsorted(bounds, ids[known].to_numpy(np.int64), "right")
-    return out
-
-
 def write_archive(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0, roll_bytes: int = 256 << 20, rows_per_shard: int = 1 << 20, date: str = "2026-01-01T00:00:00Z") -> DataFrame:
     """Write one record a row of ``pages`` to ``out_dir``; returns the manifest (file, records, bytes, sha1).
 
@@ -157,14 +115,8 @@ def write_archive(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_c
     rows = rows.withColumn("h", F.xxhash64("payload"))
     size = F.octet_length("payload")
     light = materialise(rows.select("id", "h", F.when(size >= min_revisit_bytes, base32_sha1(F.col("payload"))).alias("digest"), (size + 512).cast("bigint").alias("weight")), "warc-light")
-    bounds, first, parts = _plan(light, rows_per_shard)
-    plan = spark.sparkContext.broadcast((bounds, first, parts))
-
-    @F.pandas_udf("int")
-    def shard_of(ids: pd.Series, h: pd.Series) -> pd.Series:
-        bounds, first, parts = plan.value
-        cell = _cells(bounds, ids)
-        return pd.Series((first[cell] + h.to_numpy(np.int64) % parts[cell]).astype(np.int32))
+    plan = plan_shards(light, rows_per_shard)
+    sent = spark.sparkContext.broadcast(plan)
 
     # revisits: ids and digests only, no payloads. The join key is built anew on both sides so that Spark deals both
     # out for the join and may split the partitions of a frequent payload
@@ -173,7 +125,7 @@ def write_archive(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_c
     repeats = digests.withColumn("key", F.concat(F.lit("p"), "digest")).join(groups, "key").select("id", "h", "digest", "top")
     marks = repeats.select("id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "h", "digest", "top")
     both = rows.withColumns({"digest": F.lit(None).cast("string"), "top": F.lit(None).cast("bigint")}).unionByName(marks)
-    dealt = both.withColumn("shard", shard_of("id", "h")).drop("h").repartitionById(int(first[-1] + parts[-1]), "shard")
+    dealt = both.withColumn("shard", shard_column(plan, sent, F.col("id"), F.col("h"))).drop("h").repartitionById(plan.shards, "shard")
     dealt = dealt.sortWithinPartitions("shard", F.col("id").asc_nulls_first(), F.col("payload").isNotNull(), "payload", "url")
 
     def write(batches):
