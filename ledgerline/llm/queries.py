@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, kdtopk, langid, lm, mixing, simhash, spm, tokenfiles, toolcalls, urlfilter, warc
+from . import ann, convrepair, kdtopk, langid, lm, mixing, simhash, spm, tokenfiles, toolcalls, urlfilter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_id": langid.op9_language_id,
     "op10_url_filters": urlfilter.op10_url_filters,
     "op11_token_files": tokenfiles.op11_token_files,
+    "op12_conversation_repair": convrepair.op12_conversation_repair,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op4_kd_topk": kdtopk.OP4_SQL,
     "op7_tool_calls": toolcalls.OP7_SQL,
     "op10_url_filters": urlfilter.OP10_SQL,
+    "op12_conversation_repair": convrepair.OP12_SQL,
 }
