@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, convrepair, kdtopk, langid, lm, mixing, simhash, spm, tokenfiles, toolcalls, urlfilter, warc
+from . import ann, convrepair, kdtopk, langid, lm, mixing, phrases, simhash, spm, tokenfiles, toolcalls, urlfilter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_url_filters": urlfilter.op10_url_filters,
     "op11_token_files": tokenfiles.op11_token_files,
     "op12_conversation_repair": convrepair.op12_conversation_repair,
+    "op13_phrase_collocations": phrases.op13_phrase_collocations,
 }
 
 ORACLES = {
@@ -26,4 +27,5 @@ ORACLES = {
     "op7_tool_calls": toolcalls.OP7_SQL,
     "op10_url_filters": urlfilter.OP10_SQL,
     "op12_conversation_repair": convrepair.OP12_SQL,
+    "op13_phrase_collocations": phrases.OP13_SQL,
 }
