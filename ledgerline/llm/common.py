@@ -116,7 +116,8 @@ def document_key(docs: DataFrame) -> Column:
 
 
 def keep_first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose key names its group in groups(doc_id, component_id); of rows that repeat id and text, one.
+    """The rows of ``docs`` whose key names its group in groups(doc_id, component_id); of rows that repeat id and text, the one
+    whose columns hash least.
 
     Decided on narrow rows; texts are shuffled once and not sorted, those of repeated rows only are aggregated.
     """
@@ -129,5 +130,8 @@ def keep_first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
     hit = docs.withColumn(key, mine).join(stay.hint("shuffle_hash"), key)
     out = hit.filter(~F.col(more))
     if not stay.filter(more).isEmpty():
-        out = out.unionByName(hit.filter(more).dropDuplicates([key]))
+        # which one: the least by a hash of all its columns, so reruns agree
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        one = hit.filter(more).groupBy(key).agg(F.min_by(whole, F.sha2(F.to_json(whole), 256)).alias(key + "_"))
+        out = out.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(one.select(*[F.col(key + "_")[c].alias(c) for c in docs.columns]))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

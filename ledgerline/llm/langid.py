@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, fresh, small_batches
+from .common import crc_mod, small_batches
 
 TOP = 400
 EDGE = np.uint64(1)  # boundary mark; letters are their code points, all above 1
@@ -83,17 +83,21 @@ class Profiles:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and 1 - distance / greatest distance. ``und`` and 0 for null, no letter, or nothing learned."""
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, float]:
+        """As ``predict``, and the share of the text's n-grams that any profile has."""
         if text is None or not self.langs:
-            return "und", 0.0
+            return "und", 0.0, 0.0
         doc = top_grams(*ngram_counts(text), self.top)
         if not len(doc):
-            return "und", 0.0
+            return "und", 0.0, 0.0
         at = np.minimum(np.searchsorted(self.grams, doc), len(self.grams) - 1)
         rank = np.arange(len(doc), dtype=np.int32)
         theirs = np.where(self.grams[at] == doc, self.ranks[:, at], -1)
         far = np.where(theirs < 0, self.top, np.abs(theirs - rank)).sum(axis=1)
         best = int(np.argmin(far))  # ties: the first by code point
-        return self.langs[best], float(max(0.0, 1 - far[best] / (self.top * len(doc))))
+        return self.langs[best], float(max(0.0, 1 - far[best] / (self.top * len(doc)))), float((self.grams[at] == doc).mean())
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", top: int = TOP, max_languages: int = 5000) -> Profiles:
@@ -152,21 +156,25 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", out: st
     return docs.withColumn(out, judge(F.col(text_col)))
 
 
-def keep_known(docs: DataFrame, min_score: float = 0.05) -> DataFrame:
-    """Pipeline form: profiles learned from the rows' own labels; rows of no language (``und``) or far from every one go.
+def keep_known(docs: DataFrame, min_score: float = 0.05, min_known: float = 0.3) -> DataFrame:
+    """Pipeline form: profiles learned from the rows' own labels; rows without a letter, or far from every profile, go.
 
-    Where nothing was learned (no label, or labelled texts without letters) every row that has a letter stays; so does
-    a row with letters of which no n-gram is in any profile (score 0), as nothing was learned about its script. Needs
-    text and lang; other columns may have any name. Null and blank texts go, repeated rows fare alike, texts of any
-    length are read whole, an empty table gives an empty one.
+    A row is judged by its score only if at least ``min_known`` of its n-grams are in some profile: where fewer are,
+    nothing was learned about what it is written in (an unlabelled script, with or without some words of a labelled one),
+    and it stays. Where nothing was learned at all (no label, or labelled texts without letters) every row that has a
+    letter stays. Needs text and lang; other columns may have any name. Null and blank texts go, repeated rows fare
+    alike, texts of any length are read whole, an empty table gives an empty one.
     """
     learned = fit(docs)
     if not learned.langs:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    own = fresh(docs, "language")
-    judged = predict(docs, learned, out=own)
-    score = F.col(own)["score"]
-    return judged.filter((F.col(own)["lang_pred"] != "und") & ((score >= min_score) | (score == 0))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    model = small_batches(docs.sparkSession).sparkContext.broadcast(learned)
+
+    @F.pandas_udf("boolean")
+    def stays(text: pd.Series) -> pd.Series:
+        return pd.Series([lang != "und" and (known < min_known or score >= min_score) for lang, score, known in map(model.value.judge, text)], dtype=bool)
+
+    return docs.filter(stays(F.col("text"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_language_id(spark, sf_dir):

@@ -62,7 +62,7 @@ def _light(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
 def thresholds(light: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """light(source, size, h) -> one row a source: ds (the source), source_size, target, whole, limit.
 
-    A document is taken ``whole`` times, and once more if its hash is at most ``limit``.
+    A document is taken ``whole`` times, and once more if its hash is at most ``limit`` (-1 where whole times meet the target).
     """
     sources = source_targets(light.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
@@ -81,7 +81,7 @@ def thresholds(light: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: flo
     last = _boundary(single, second.select(F.col("bs").alias("source"), "budget", "before"), "h")
     nearer = F.col("b.before") + F.col("b.words") - F.col("b.budget") < F.col("b.budget") - F.col("b.before")
     limits = last.select(F.col("source").alias("bs"), F.when(nearer, F.col("b.h")).otherwise(F.col("b.h") - 1).alias("limit"))
-    return materialise(plan.join(limits, plan["source"].eqNullSafe(limits["bs"]), "left").select(F.col("source").alias("ds"), "source_size", "target", "whole", F.coalesce("limit", F.lit(-1)).alias("limit")), "mix-limits")
+    return materialise(plan.join(limits, plan["source"].eqNullSafe(limits["bs"]), "left").select(F.col("source").alias("ds"), "source_size", "target", "whole", F.when(F.col("budget") > 0, F.coalesce("limit", F.lit(-1))).otherwise(-1).alias("limit")), "mix-limits")
 
 
 def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

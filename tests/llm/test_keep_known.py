@@ -14,3 +14,9 @@ def test_nothing_learned_keeps_texts_with_letters(spark):
 def test_script_without_labels_stays(spark):
     rows = [(1, "the cat sat on the mat", "en"), (2, "שלום עולם", None), (3, "12 !?", None)]
     assert sorted(r.doc_id for r in langid.keep_known(spark.createDataFrame(rows, ROWS)).collect()) == [1, 2]
+
+
+def test_latin_words_in_a_script_without_labels_stay(spark):
+    chinese = "".join(chr(0x4E00 + k * 7) for k in range(400))
+    rows = [(1, "the cat sat on the mat with an iPhone in the USA", "en"), (2, chinese, None), (3, chinese + " iPhone", None), (4, chinese[:200] + " USA " + chinese[200:], None), (5, None, "en")]
+    assert sorted(r.doc_id for r in langid.keep_known(spark.createDataFrame(rows, ROWS)).collect()) == [1, 2, 3, 4]
