@@ -131,11 +131,34 @@ def account_number(c: Column, lines: int = 80) -> Column:
     head = F.array_join(F.filter(F.transform(head, lambda x: F.trim(x)), lambda x: (x != "") & ~has_any(x, OTHER_SIDE)), "\n")
     found = []
     for label in ACCOUNT_LABELS:
-        t = F.translate(F.regexp_replace(F.regexp_extract(head, "(?i)" + label + NUMBER, 1), r"[^0-9*＊]", ""), "＊", "*")
+        t = F.translate(F.regexp_replace(F.regexp_extract(head, "(?i)" + _wide(label + NUMBER), 1), r"[^0-9*＊]", ""), "＊", "*")
         found.append(F.when(F.length(t).between(8, 22) & ~F.regexp_like(t, F.lit(r"^20\d{6}$")) & F.regexp_like(t, F.lit(r"\d")), t))
     return F.coalesce(F.nullif(F.regexp_extract(head, "(?i)" + WALLET_LABEL, 1), F.lit("")), *found)
 
 
+def _wide(pattern: str) -> str:
+    """A pattern whose white space takes the full-width blank, too, which Java's doesn't."""
+    return pattern.replace(r"\s*", r"[\s　]*").replace(r"\s+", r"[\s　]+").replace(r"[^\s", r"[^\s　").replace(r"[0-9\s", r"[0-9\s　")
+
+
+#: Patterns of account holders' names, the first that matches counts.
+OWNER_PATTERNS = [
+    r"兹证明\s*[:：]\s*([^\s（(，,]+)\s*[（(]",
+    r"户名\s*(?:Account Name)?\s*[:：]\s*([^\s，,]+)",
+    r"客户姓名\s*[:：]\s*([^\s，,]+)",
+    r"客户名称\s*[:：]\s*([^\s，,]+)",
+    r"账户名称\s*[:：]\s*([^\s，,]+)",
+    r"户主\s*[:：]\s*([^\s，,]+)",
+    r"Account Name\s*[:：]\s*([^\s，,]+)",
+    r"账户\s+[0-9][0-9\s\-*＊]{6,30}[0-9]\s+([^\s，,]+)",
+]
+
+
+def owner_name(c: Column) -> Column:
+    """Name of the account's holder in a statement's text; null where no label names one."""
+    return first_label(c, ["(?i)" + _wide(p) for p in OWNER_PATTERNS])
+
+
 def first_label(c: Column, patterns: list[str]) -> Column:
     """Group 1 of the first pattern that matches."""
     return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(c, p, 1)), F.lit("")) for p in patterns])

@@ -18,8 +18,8 @@ def _first_of(rows: DataFrame, keys: list, order: list) -> DataFrame:
 def dedupe(ledger: DataFrame) -> DataFrame:
     """Keyed rows (``merge_key``) keep one row a key. Others keep every repeat from the first file that has the row, and lose those of other files.
 
-    First files come from an aggregate that combines before it shuffles and is joined back, so Spark may split a signature
-    that very many rows share.
+    First files come from an aggregate that combines before it shuffles. Only signatures of several files go on; their
+    rows of other files are taken out by an anti-join, so rows that no other file repeats aren't joined with anything of their own.
     """
     keyed = F.coalesce(F.col("merge_key"), F.lit("")) != ""
     account = [F.coalesce("bank_id", F.lit("")), F.coalesce("account_no", F.lit(""))]
@@ -27,12 +27,13 @@ def dedupe(ledger: DataFrame) -> DataFrame:
     one = _first_of(ledger.filter(keyed), [*account, F.col("merge_key")], order)
     sign = {f"_s{k}": c for k, c in enumerate([*account, *[F.col(c) for c in SIGNATURE[2:]]])}
     plain = ledger.filter(~keyed).withColumns(sign)
-    first = plain.groupBy(*sign).agg(F.min_by(F.struct("source_file"), F.struct(*order))["source_file"].alias("_first"))
-    first = first.select(*[F.col(c).alias(f"{c}_") for c in sign], "_first")
+    name = F.coalesce("source_file", F.lit(""))
+    first = plain.groupBy(*sign).agg(F.min_by(F.struct("source_file"), F.struct(*order))["source_file"].alias("_first"), F.min(name).alias("_least"), F.max(name).alias("_most"))
+    first = first.filter("_least <> _most").select(*[F.col(c).alias(f"{c}_") for c in sign], "_first")
     same = F.col("_s0") == F.col("_s0_")
     for c in list(sign)[1:]:
         same = same & F.col(c).eqNullSafe(F.col(f"{c}_"))
-    kept = plain.join(first, same).filter(F.col("source_file").eqNullSafe(F.col("_first"))).select(*[F.col(f"`{c}`") for c in ledger.columns])
+    kept = plain.join(first, same & ~F.col("source_file").eqNullSafe(F.col("_first")), "left_anti").select(*[F.col(f"`{c}`") for c in ledger.columns])
     return one.unionByName(kept)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,23 +29,88 @@ def sample_texts(lines: DataFrame, cells: DataFrame | None = None, pages: int |
     return out.join(more, "file", "full").select("file", F.coalesce("top", F.lit("")).alias("top"), F.coalesce("header", F.lit("")).alias("header"), F.concat(F.coalesce("body", F.lit("")), strip(F.coalesce("cells_text", F.lit("")))).alias("body"))
 
 
-def first_match(docs: DataFrame, rules: DataFrame, key: str = "file", max_rules: int = MAX_RULES) -> DataFrame:
+def first_match(docs: DataFrame, rules: DataFrame, key: str = "file", max_rules: int = MAX_RULES, loop_rules: int = 64) -> DataFrame:
     """The first rule, by ``ord``, all of whose markers are in the rule's scope (a column of ``docs``: header, top, else body): bank_id, label, confidence, reason; unrecognised otherwise.
 
-    Up to ``max_rules`` rules are broadcast and each text meets all of them; more are an error, as no equi key exists for them.
+    Rules may have ``header_markers``, which must all be in the header besides. Up to ``loop_rules`` rules are broadcast
+    and each text meets all of them in the JVM; more go as one automaton that reads a text once, whatever their number;
+    more than ``max_rules`` are an error, as the rules are sent to every task.
     """
-    if rules.limit(max_rules + 1).count() > max_rules:
+    n = rules.limit(max_rules + 1).count()
+    if n > max_rules:
         raise ValueError(f"more than {max_rules} detection rules")
-    scope = F.when(F.col("scope") == "header", F.col("header"))
-    if "top" in docs.columns:
-        scope = scope.when(F.col("scope") == "top", F.col("top"))
-    scope = scope.otherwise(F.col("body"))
-    hit = F.forall("markers", lambda m: F.contains(scope, m))
-    rule = F.struct("bank_id", "label", "confidence", "reason")
-    met = docs.join(F.broadcast(rules), hit, "left").groupBy(key).agg(F.min_by(rule, "ord").alias("r"))
+    if "header_markers" not in rules.columns:
+        rules = rules.withColumn("header_markers", F.array().cast("array<string>"))
+    rule = ["bank_id", "label", "confidence", "reason"]
+    if n > loop_rules:
+        first = _automaton(docs, rules)
+        met = docs.select(key, first.alias("_ord")).join(F.broadcast(rules.select(F.col("ord").alias("_ord"), F.struct(*rule).alias("r"))), "_ord", "left")
+    else:
+        scope = F.when(F.col("scope") == "header", F.col("header"))
+        if "top" in docs.columns:
+            scope = scope.when(F.col("scope") == "top", F.col("top"))
+        scope = scope.otherwise(F.col("body"))
+        hit = F.forall("markers", lambda m: F.contains(scope, m)) & F.forall("header_markers", lambda m: F.contains(F.col("header"), m))
+        met = docs.join(F.broadcast(rules), hit, "left").groupBy(key).agg(F.min_by(F.struct(*rule), "ord").alias("r"))
     return met.select(key, F.coalesce("r.bank_id", F.lit("unknown")).alias("bank_id"), F.coalesce("r.label", F.lit("unrecognised")).alias("label"), F.coalesce("r.confidence", F.lit(0)).alias("confidence"), F.col("r.reason").alias("reason"))
 
 
+def _automaton(docs: DataFrame, rules: DataFrame):
+    """The least ``ord`` of the rules that fit, null for none: every text is read once by an automaton of all markers."""
+    table = []  # (ord, [(scope, marker)])
+    for r in rules.orderBy("ord").collect():  # at most ``max_rules``
+        scope = r.scope if r.scope == "header" or (r.scope == "top" and "top" in docs.columns) else "body"
+        table.append((r.ord, [(scope, m) for m in set(r.markers or [])] + [("header", m) for m in set(r.header_markers or [])]))
+    sent, name = docs.sparkSession.sparkContext.broadcast(table), uuid.uuid4().hex
+    scopes = [c for c in ("header", "top", "body") if c in docs.columns]
+
+    @F.pandas_udf("int")
+    def first(*texts: pd.Series) -> pd.Series:
+        find, needs = _compiled(name, sent.value)
+        return pd.Series([_least(find, needs, dict(zip(scopes, row))) for row in zip(*texts)], dtype="Int32")
+
+    return first(*[F.col(c) for c in scopes])
+
+
+_BUILT: dict = {}
+
+
+def _compiled(name: str, table: list):
+    """(automaton of all markers with the rules that want them, rules by what they want), built once in a worker."""
+    import ahocorasick
+
+    if name not in _BUILT:
+        wants: dict[str, list] = {}
+        for k, (_, parts) in enumerate(table):
+            for scope, marker in parts:
+                wants.setdefault(marker, []).append((scope, k))
+        find = ahocorasick.Automaton()
+        for marker, who in wants.items():
+            if marker:  # an empty marker is in every text
+                find.add_word(marker, (marker, who))
+        if len(find):
+            find.make_automaton()
+        _BUILT.clear()
+        _BUILT[name] = (find if len(find) else None, [(o, {x for x in parts if x[1]}) for o, parts in table])
+    return _BUILT[name]
+
+
+def _least(find, needs, texts: dict) -> int | None:
+    left: dict[int, set] = {}
+    for scope, text in texts.items():
+        seen = set()
+        for _, (marker, who) in find.iter(text) if find is not None and text else ():
+            if marker not in seen:
+                seen.add(marker)
+                for of, k in who:
+                    if of == scope:
+                        left.setdefault(k, set()).add((scope, marker))
+    whole = [k for k, got in left.items() if len(got) == len(needs[k][1])]
+    free = next((k for k, (_, parts) in enumerate(needs) if not parts), None)  # a rule that wants nothing fits all
+    best = min([*whole, *([] if free is None else [free])], default=None)
+    return None if best is None else needs[best][0]
+
+
 def keyword_score(docs: DataFrame, keywords: DataFrame, text: str = "text", key: str = "file", by_length: bool = False, max_rules: int = MAX_RULES) -> DataFrame:
     """keywords(bank_id, keyword): the bank with the most keywords (or the longest, summed) in the text, case ignored; ties to the smaller id. Texts without any are left out."""
     if keywords.limit(max_rules + 1).count() > max_rules:
@@ -60,9 +128,13 @@ def image_only(pages: DataFrame) -> DataFrame:
 
 
 def route(statements: DataFrame, layouts: DataFrame) -> DataFrame:
-    """Each file with its layout; files of unknown layouts get an error."""
-    out = statements.join(layouts.select("bank_id", "shape", F.lit(True).alias("_known")), "bank_id", "left")
-    return out.withColumn("error", F.when(F.col("_known").isNull(), "unknown_layout")).drop("_known")
+    """Each file with the shapes that its layout can be read from, in order of the alphabet; files of unknown layouts get an error.
+
+    ``shape`` is the first of them, null for unknown layouts.
+    """
+    shapes = layouts.groupBy("bank_id").agg(F.array_sort(F.collect_set("shape")).alias("shapes"))
+    out = statements.join(shapes, "bank_id", "left").withColumn("shape", F.col("shapes")[0])
+    return out.withColumn("error", F.when(F.col("shapes").isNull(), "unknown_layout"))
 
 
 def agreed_label(rows: DataFrame, label: str = "bank_label", key: str = "source_file") -> DataFrame:

@@ -67,6 +67,8 @@ ROLE_WORDS = {
     "account": ["账号", "账户", "卡号"],
     "currency": ["币种", "货币"],
 }
+#: What wallets call the direction's column.
+WALLET_WORDS = ROLE_WORDS | {"direction": [*ROLE_WORDS["direction"], "收/支", "收入/支出"]}
 #: These roles leave a column to any other role that fits it.
 GIVE_WAY = ("amount", "time")
 MAX_WORDS = 2_000
@@ -83,34 +85,31 @@ def role_words(keywords: DataFrame) -> dict[str, list[str]]:
     return out
 
 
-def _best(plain: Column, some: list[str], late: bool, role: str) -> Column:
-    """The rank and position of a role in a row of cells; null where no word fits."""
-    exact = [(k, F.array_position(plain, w)) for k, w in enumerate(some)]
-    inside = [(len(some) + k, F.array_position(F.transform(plain, _holds(w)), True)) for k, w in enumerate(some)]
-    return F.coalesce(*[F.when(at > 0, F.struct(F.lit(int(late)).alias("late"), F.lit(int(k >= len(some))).alias("inside"), F.lit(k % len(some)).alias("ord"), (at - 1).cast("int").alias("pos"), F.lit(role).alias("role"))) for k, at in exact + inside])
-
-
-def _holds(word: str):
-    return lambda c: F.contains(c, F.lit(word))
-
-
 def roles_of(cells: Column, words: dict[str, list[str]], least: int = 2) -> Column:
     """Map of role -> column position (from 0) of a header row; null for rows with fewer than ``least`` roles.
 
     An exact match counts before one inside the cell, then the word's order, then the column; a column has one role and
-    a role one column, roles of ``GIVE_WAY`` last. All of it happens inside the row; one pattern rules out rows without any header word.
+    a role one column, roles of ``GIVE_WAY`` last. All of it happens inside the row: one list of words is held against
+    each cell, so the plan doesn't grow with the words; one pattern rules out rows without any header word.
     """
-    none = F.array().cast("array<struct<late:int,inside:int,ord:int,pos:int,role:string>>")
-    entry = lambda h: F.struct(h["role"].alias("role"), h["pos"].alias("pos"))
-
-    def decide(plain):
-        hits = F.array_sort(F.array_compact(F.array(*[_best(plain, some, role in GIVE_WAY, role) for role, some in words.items()])))
-        # in order of rank: a later hit on a column that is taken goes
-        return F.aggregate(hits, none, lambda out, h: F.when(F.exists(out, lambda o: o["pos"] == h["pos"]), out).otherwise(F.array_append(out, h)))
-
-    # arrays of one element bind what is used several times to a name, so that it is computed once
-    kept = F.transform(F.array(F.transform(cells, compact_cell)), decide)
-    roles = F.transform(kept, lambda k: F.when(F.size(k) >= least, F.map_from_entries(F.array_sort(F.transform(k, entry)))))[0]
+    entry = lambda role, k, w: F.struct(F.lit(w).alias("word"), F.lit(role).alias("role"), F.lit(int(role in GIVE_WAY)).alias("late"), F.lit(k).alias("ord"))
+    known = F.array(*[entry(role, k, w) for role, some in words.items() for k, w in enumerate(some)])
+
+    def in_cell(c, pos):
+        hit = lambda w: F.struct(w["late"].alias("late"), (c != w["word"]).cast("int").alias("inside"), w["ord"].alias("ord"), pos.alias("pos"), w["role"].alias("role"))
+        return F.transform(F.filter(known, lambda w: F.contains(c, w["word"])), hit)
+
+    def take(acc, h):
+        # by rank; a role's later hits don't count, and one on a column that is taken goes
+        taken = F.exists(acc["kept"], lambda o: o["pos"] == h["pos"])
+        kept = F.when(taken, acc["kept"]).otherwise(F.array_append(acc["kept"], F.struct(h["role"].alias("role"), h["pos"].alias("pos"))))
+        return F.when(F.array_contains(acc["seen"], h["role"]), acc).otherwise(F.struct(kept.alias("kept"), F.array_append(acc["seen"], h["role"]).alias("seen")))
+
+    none = F.struct(F.array().cast("array<struct<role:string,pos:int>>").alias("kept"), F.array().cast("array<string>").alias("seen"))
+    hits = F.array_sort(F.flatten(F.transform(F.transform(cells, compact_cell), in_cell)))
+    # an array of one element binds what is used twice to a name, so that it is computed once
+    kept = F.array(F.aggregate(hits, none, take, lambda acc: acc["kept"]))
+    roles = F.transform(kept, lambda k: F.when(F.size(k) >= least, F.map_from_entries(F.array_sort(k))))[0]
     any_word = F.regexp_like(F.array_join(cells, "\n", ""), F.lit("|".join(r"\s*".join(map(re.escape, w)) for some in words.values() for w in some)))
     return F.when(any_word, roles)
 
@@ -194,18 +193,87 @@ def best_table(rows: DataFrame, table: str = "table_no", key: str = "file") -> D
 # -- rows from words ------------------------------------------------------------------------------------------------
 
 
+#: Words whose tops differ by less stand on one line.
+SAME_LINE = 2.0
+
+
+def _lines_text(words: Column) -> Column:
+    """Words (top, x0, text) of one cell as text: a word within ``SAME_LINE`` of a line's first word is on that line; lines from left to right, one below the other."""
+    start = F.struct(F.lit(None).cast("double").alias("top"), F.array().cast("array<struct<line:double,x0:double,text:string>>").alias("done"))
+
+    def put(acc, w):
+        line = F.when(w["top"] - acc["top"] < SAME_LINE, acc["top"]).otherwise(w["top"])
+        return F.struct(line.alias("top"), F.array_append(acc["done"], F.struct(line.alias("line"), w["x0"].alias("x0"), w["text"].alias("text"))).alias("done"))
+
+    placed = F.array_sort(F.aggregate(F.array_sort(words), start, put, lambda acc: acc["done"]))
+    seen = F.struct(F.lit(None).cast("double").alias("line"), F.lit("").alias("text"))
+    gap = lambda acc, w: F.when(acc["line"].isNull() | (acc["line"] == w["line"]), "").otherwise("\n")
+    return F.aggregate(placed, seen, lambda acc, w: F.struct(w["line"].alias("line"), F.concat(acc["text"], gap(acc, w), w["text"]).alias("text")), lambda acc: acc["text"])
+
+
 def band_cells(words: DataFrame, anchors: DataFrame, columns: DataFrame, slack: float = 3.0) -> DataFrame:
-    """Positioned words to cells: a row's band reaches from its anchor to the next one, a column from its left to its right edge.
+    """Positioned words to cells: a row's band reaches from ``slack`` above its anchor to the next one's; a word is in a column if its middle is.
 
-    words(file, page_no, x0, x1, top, text), anchors(file, page_no, top, row_no), columns(file, name, left, right). Bands
-    are looked up as-of in one sorted pass, so a page with many anchors costs no more than its words.
+    words(file, page_no, x0, x1, top, text), anchors(file, page_no, top, row_no and, if rows differ, slack), columns(file,
+    name, left, right). Columns may also have ``page_no`` (edges that differ by page), ``at`` (which edge of a word counts:
+    left, right, else the middle), and ``above`` and ``below``: how far from the anchor their words lie at most.
+    A cell's lines are joined by line ends. Bands are looked up as-of in one sorted pass, so a page with many anchors costs no more than its words.
     """
-    marks = anchors.select("file", "page_no", (F.col("top") - slack).alias("top"), F.col("row_no"), F.lit(None).cast("double").alias("x0"), F.lit(None).cast("string").alias("text"))
-    both = words.select("file", "page_no", "top", F.lit(None).cast("int").alias("row_no"), "x0", "text").unionByName(marks)
-    upto = Window.partitionBy("file", "page_no").orderBy("top", F.col("row_no").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    placed = both.withColumn("row_no", F.last("row_no", ignorenulls=True).over(upto)).filter("text IS NOT NULL AND row_no IS NOT NULL")
-    put = placed.join(columns, "file").filter("x0 >= left AND x0 < right")
-    return put.groupBy("file", "page_no", "row_no", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "x0", "text"))), lambda w: w["text"]), "").alias("text"))
+    own = F.coalesce("slack", F.lit(slack)) if "slack" in anchors.columns else F.lit(slack)
+    marks = anchors.select("file", "page_no", (F.col("top") - own).alias("top"), F.struct(F.col("row_no"), F.col("top").alias("from")).alias("band"), *[F.lit(None).cast(t).alias(c) for c, t in (("x0", "double"), ("x1", "double"), ("text", "string"))])
+    both = words.select("file", "page_no", "top", F.lit(None).cast(marks.schema["band"].dataType).alias("band"), "x0", "x1", "text").unionByName(marks)
+    upto = Window.partitionBy("file", "page_no").orderBy("top", F.col("band").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("band", F.last("band", ignorenulls=True).over(upto)).filter("text IS NOT NULL AND band IS NOT NULL")
+    has = lambda c, t: F.col(c) if c in columns.columns else F.lit(None).cast(t)
+    where = F.when(has("at", "string") == "left", F.col("x0")).when(has("at", "string") == "right", F.col("x1")).otherwise((F.col("x0") + F.coalesce("x1", "x0")) / 2)
+    put = placed.join(columns, ["file", "page_no"] if "page_no" in columns.columns else "file").filter((where >= F.col("left")) & (where < F.col("right")))
+    off = F.col("top") - F.col("band")["from"]
+    put = put.filter((off >= -F.coalesce(has("above", "double"), F.lit(1e9))) & (off < F.coalesce(has("below", "double"), F.lit(1e9))))
+    cells = put.groupBy("file", "page_no", F.col("band.row_no").alias("row_no"), "name").agg(F.collect_list(F.struct("top", "x0", "text")).alias("w"))
+    return cells.select("file", "page_no", "row_no", "name", _lines_text(F.col("w")).alias("text"))
+
+
+def word_anchors(words: DataFrame, layouts: DataFrame) -> DataFrame:
+    """Where rows of positioned words start: file, bank_id, page_no, top, row_no, slack. words(file, bank_id, page_no, x0, x1, top, text).
+
+    A layout's ``anchor`` says which words start a row: their left edge from ``left`` to ``right``, their text like
+    ``rx``, below its heading (``head``, by ``head_gap``) if the page shows one. ``slack``: how far above them their row begins.
+    """
+    known = layouts.filter("shape = 'P' AND anchor IS NOT NULL").select("bank_id", "anchor")
+    own = words.join(F.broadcast(known), "bank_id") if bounded(known) else words.join(known, "bank_id")
+    page = Window.partitionBy("file", "page_no")
+    heading = F.min(F.when(F.col("text") == F.col("anchor.head"), F.col("top"))).over(page)
+    hit = (F.col("x0") >= F.col("anchor.left")) & (F.col("x0") < F.col("anchor.right")) & F.regexp_like("text", F.col("anchor.rx")) & (F.col("top") > F.coalesce(F.col("_heading") + F.col("anchor.head_gap"), F.lit(-1.0)))
+    found = own.withColumn("_heading", heading).filter(hit)
+    return found.select("file", "bank_id", "page_no", "top", F.row_number().over(page.orderBy("top", "x0")).alias("row_no"), F.col("anchor.slack").alias("slack"))
+
+
+MAX_LAYOUTS = 10_000
+
+
+def bounded(layouts: DataFrame) -> bool:
+    """Whether a table of layouts is small enough to be sent to every task."""
+    return layouts.limit(MAX_LAYOUTS + 1).count() <= MAX_LAYOUTS
+
+
+def header_columns(words: DataFrame, layouts: DataFrame) -> DataFrame:
+    """Columns of pages by their header words: file, page_no, name, left, right. words as for ``word_anchors``.
+
+    A page's header is the first line that shows two or more of its layout's ``heads`` (field -> word). A column reaches
+    half way to the words beside it in that line. A page without header has those of the last page before it that has one.
+    """
+    heads = layouts.filter("shape = 'P' AND heads IS NOT NULL").select("bank_id", F.explode("heads").alias("name", "text"))
+    own = words.join(heads.select("bank_id").distinct(), "bank_id")
+    hits = own.join(heads, ["bank_id", "text"])
+    near = Window.partitionBy("file", "page_no").orderBy((F.col("top") * 1000).cast("bigint")).rangeBetween(int(-1000 * SAME_LINE), int(1000 * SAME_LINE))
+    tops = hits.withColumn("_n", F.size(F.collect_set("name").over(near))).filter("_n >= 2").groupBy("file", "page_no").agg(F.min("top").alias("_head"))
+    line = own.join(tops, ["file", "page_no"]).filter(F.abs(F.col("top") - F.col("_head")) < SAME_LINE)
+    side = Window.partitionBy("file", "page_no").orderBy("x0")
+    edge = line.withColumns({"left": F.coalesce((F.lag("x1").over(side) + F.col("x0")) / 2, F.lit(0.0)), "right": F.coalesce((F.lead("x0").over(side) + F.col("x1")) / 2, F.lit(1e9))})
+    found = edge.join(heads, ["bank_id", "text"]).groupBy("file", "page_no").agg(F.collect_list(F.struct("name", "left", "right")).alias("found"))
+    pages = own.select("file", "page_no").distinct().join(found, ["file", "page_no"], "left")
+    upto = Window.partitionBy("file").orderBy("page_no").rowsBetween(Window.unboundedPreceding, 0)
+    return pages.withColumn("found", F.last("found", ignorenulls=True).over(upto)).filter("found IS NOT NULL").select("file", "page_no", F.inline("found"))
 
 
 # -- amounts --------------------------------------------------------------------------------------------------------
@@ -270,19 +338,40 @@ def sheet_mode(credit: Column, debit: Column, amount: Column, direction: Column,
     return _sides(pick(credit, "income", signed["income"]), pick(debit, "expense", signed["expense"])) | {"issue_codes": F.when(unknown, F.array(F.lit("direction_unknown"))).otherwise(F.array().cast(NO_CODES))}
 
 
-def by_layout(amount: Column, credit: Column, debit: Column, text: Column, mode: str = "amount_mode", words: str = "direction_map") -> dict[str, Column]:
-    """Income and expense by the joined layout row: its ``amount_mode`` and ``direction_map`` columns decide."""
-    m = F.col(mode)
-    first = F.try_element_at(F.filter(F.map_entries(words), lambda e: F.contains(F.coalesce(text, F.lit("")), e["key"])), F.lit(1))["value"]
-    modes = {"sign": sign_mode(amount), "separate": separate_mode(credit, debit), "signed": separate_mode(credit, debit, True)}
-    modes["direction"] = _sides(F.when(first == "income", F.abs(amount)), F.when(first == "expense", F.abs(amount)))
+def by_layout(amount: Column, credit: Column, debit: Column, text: Column, mode: str = "amount_mode", words: str = "direction_map", told: Column | None = None, side: Column | None = None) -> dict[str, Column]:
+    """income, expense, neutral and issue_codes by the joined layout row: its ``amount_mode`` and ``direction_map`` columns decide.
+
+    Modes: sign, separate, signed (columns that keep reversals), direction, flag (C or D, or the map's), reversal (negative
+    amounts named as such count as income), wallet (what the map doesn't name is neutral), sheet (columns, else direction, else sign), filtered
+    (all to the side that the file was filtered by, else by sign); ``balance`` is told before, by ``line_ledger``. ``text``: what tells the direction; ``told``: the row's
+    own direction cell, if that is another column; ``side``: the file's filter. An unknown mode gives 0 and an issue.
+    """
+    m, none = F.col(mode), F.lit(None).cast("string")
+    told, side = text if told is None else told, none if side is None else side
+    first = lambda c: F.try_element_at(F.filter(F.map_entries(words), lambda e: F.contains(F.coalesce(c, F.lit("")), e["key"])), F.lit(1))["value"]
+    by_text, by_cell = first(text), first(told)
+    letter = F.upper(F.substring(F.regexp_replace(F.coalesce(told, F.lit("")), r"[^A-Za-z一-鿿]", ""), 1, 1))
+    flag = F.coalesce(F.when(letter == "C", "income").when(letter == "D", "expense"), by_cell)
+    other = F.when(flag == "income", "expense").when(flag == "expense", "income")
+    flag = F.when(amount < 0, other).otherwise(flag)  # a negative amount is a reversal
+    sheet = sheet_mode(credit, debit, amount, told, {})
+    by_column = credit.isNotNull() | debit.isNotNull()
+    sided = lambda of: _sides(F.when(of == "income", F.abs(amount)), F.when(of == "expense", F.abs(amount)))
+    cell = F.when(by_column, none).otherwise(by_cell)
+    modes = {
+        "sign": sign_mode(amount), "separate": separate_mode(credit, debit), "signed": separate_mode(credit, debit, True), "direction": sided(by_text), "flag": sided(flag),
+        "reversal": named_reversal_mode(amount, text), "wallet": sided(by_cell), "filtered": filtered_mode(amount, side),
+        "sheet": {k: F.when(cell == k, F.abs(amount)).when(cell.isNotNull(), zero()).otherwise(sheet[k]) for k in ("income", "expense")},
+    }
     out = {}
-    for side in ("income", "expense"):
+    for k in ("income", "expense"):
         c = None
         for name, cols in modes.items():
-            c = F.when(m == name, cols[side]) if c is None else c.when(m == name, cols[side])
-        out[side] = F.coalesce(c, zero()).cast(MONEY)
-    return out
+            c = F.when(m == name, cols[k]) if c is None else c.when(m == name, cols[k])
+        out[k] = F.coalesce(c, zero()).cast(MONEY)
+    lost = F.when(m == "direction", by_text.isNull()).when(m == "flag", flag.isNull()).when(m == "sheet", ~by_column & told.isNotNull() & by_cell.isNull())
+    codes = [F.when(~m.isin(list(modes)) | m.isNull(), "mode_unknown"), F.when(lost, "direction_unknown")]
+    return out | {"neutral": (m == "wallet") & F.coalesce(~by_cell.isin("income", "expense"), F.lit(True)), "issue_codes": F.array_compact(F.array(*codes)).cast(NO_CODES)}
 
 
 def filter_direction(cells: DataFrame, rows: int = 120) -> DataFrame:
@@ -325,11 +414,17 @@ def _by_layout_rows(rows: DataFrame, row_no: str) -> DataFrame:
     """Ledger rows from text fields (raw_time, raw_clock, raw_amount, raw_credit, raw_debit, raw_direction, raw_balance, raw_text) and the joined layout."""
     clock = F.regexp_replace("raw_clock", r"^(\d{2})(\d{2})(\d{2})$", "$1:$2:$3")
     told = F.coalesce("raw_direction", "raw_text")
-    df = rows.withColumns({"_amount": sheet_money(F.col("raw_amount")), "_credit": sheet_money(F.col("raw_credit")), "_debit": sheet_money(F.col("raw_debit")), "_told": told})
-    amounts = by_layout(F.col("_amount"), F.col("_credit"), F.col("_debit"), F.col("_told"))
-    flags = [c for c in ("preserve_signed", "balance_optional", "balance_tolerance", "order_policy") if c in rows.columns]
-    out = df.select(F.col("file").alias("source_file"), "bank_id", "page_no", F.col(row_no).alias("row_no"), sheet_timestamp(F.col("raw_time"), clock).alias("transaction_time"), "raw_time", F.coalesce("raw_amount", "raw_credit", "raw_debit").alias("raw_amount"), "raw_balance", "raw_text", *[c.alias(n) for n, c in amounts.items()], sheet_money(F.col("raw_balance")).alias("balance"), *flags)
-    return out.filter("transaction_time IS NOT NULL")
+    df = rows.withColumns({"_amount": sheet_money(F.col("raw_amount")), "_credit": sheet_money(F.col("raw_credit")), "_debit": sheet_money(F.col("raw_debit")), "_told": told, "balance": sheet_money(F.col("raw_balance")), "transaction_time": sheet_timestamp(F.col("raw_time"), clock)})
+    side = F.col("filter_direction") if "filter_direction" in rows.columns else None
+    wallet = F.when(F.col("amount_mode") == "sheet", F.col("raw_direction")).otherwise(F.col("_told"))
+    amounts = by_layout(F.col("_amount"), F.col("_credit"), F.col("_debit"), F.col("_told"), told=wallet, side=side)
+    flags = [c for c in ("preserve_signed", "balance_optional", "balance_tolerance", "order_policy", "shape") if c in rows.columns]
+    out = df.filter("transaction_time IS NOT NULL").withColumns(amounts)
+    # a neutral row moves nothing by rule, so it isn't one without an amount
+    seen = F.array_except(row_codes(False), F.when(F.col("neutral"), F.array(F.lit("no_amount"))).otherwise(F.array().cast(NO_CODES)))
+    missing = F.when(F.col("balance").isNull() & ~F.col("balance_optional"), F.array(F.lit("balance_missing"))).otherwise(F.array().cast(NO_CODES)) if "balance_optional" in rows.columns else F.array().cast(NO_CODES)
+    codes = F.array_distinct(F.concat("issue_codes", seen, missing)).alias("issue_codes")
+    return out.select(F.col("file").alias("source_file"), "bank_id", "page_no", F.col(row_no).alias("row_no"), "transaction_time", "raw_time", F.coalesce("raw_amount", "raw_credit", "raw_debit").alias("raw_amount"), "raw_balance", "raw_text", "income", "expense", "balance", "neutral", codes, *flags)
 
 
 #: A layout's field -> the text column that it fills.
@@ -344,29 +439,53 @@ def line_ledger(lines: DataFrame, layouts: DataFrame) -> DataFrame:
         hit = hit.withColumn("columns", F.create_map(*[x for k, v in {"date": 1, "amount": 2, "balance": 3, "text": 4}.items() for x in (F.lit(k), F.lit(v))]))
     group = lambda f: F.nullif(F.call_function("regexp_extract", F.col("text"), F.col("rx"), F.coalesce(F.try_element_at("columns", F.lit(f)), F.lit(0))), F.lit(""))
     found = {c: F.when(F.map_contains_key("columns", f), group(f)) for f, c in FIELDS.items()}
-    return _by_layout_rows(hit.withColumns(found), "line_no")
+    read = hit.withColumns(found)
+    if layouts.filter("amount_mode = 'balance'").isEmpty():
+        return _by_layout_rows(read, "line_no")
+    return _by_layout_rows(read.filter("amount_mode <> 'balance'").unionByName(_told_by_balance(read.filter("amount_mode = 'balance'"))), "line_no")
+
+
+def _told_by_balance(rows: DataFrame) -> DataFrame:
+    """Rows without sign or direction: down if the balance fell by the amount since the file's row before, else up; a row that fits neither breaks the balance chain and is found there."""
+    amount, balance = sheet_money(F.col("raw_amount")), sheet_money(F.col("raw_balance"))
+    moved = balance - F.lag(balance).over(in_order())
+    side = F.when(moved == -amount, "expense").otherwise("income")
+    return rows.withColumns({"raw_direction": side, "amount_mode": F.lit("direction"), "direction_map": F.create_map(*[F.lit(x) for x in ("income", "income", "expense", "expense")])})
 
 
 def cell_ledger(cells: DataFrame, layouts: DataFrame, words: dict[str, list[str]] | None = None) -> DataFrame:
     """Cell rows (shapes C and M) to ledger rows by the layout's amount mode; columns are found by header words.
 
-    cells(file, bank_id, page_no, table_no, row_no, cells). Cells of shape M hold several rows each.
+    cells(file, bank_id, page_no, table_no, row_no, cells). Cells of shape M hold several rows each. Exports of mode
+    ``filtered`` tell in their first rows which side they were filtered by.
     """
     known = layouts.filter("shape IN ('C', 'M')")
     rows = cells.join(known, "bank_id")
+    sides = filter_direction(rows.filter("amount_mode = 'filtered'").select("file", "row_no", "cells")).withColumnRenamed("direction", "filter_direction")
     single = rows.filter("shape = 'C'")
     many = unpack_cells(rows.filter("shape = 'M'"))
-    headed = with_roles(single.unionByName(many), words or ROLE_WORDS)
+    headed = with_roles(single.unionByName(many), words or WALLET_WORDS).join(sides, "file", "left")
     found = {c: cell({"text": "type"}.get(f, f)) for f, c in FIELDS.items()}
     return _by_layout_rows(headed.filter(~F.exists("skip_keywords", lambda k: F.contains(F.array_join("cells", ""), k))).withColumns(found), "row_no")
 
 
-def word_ledger(words: DataFrame, anchors: DataFrame, layouts: DataFrame) -> DataFrame:
-    """Positioned words (shape P) to ledger rows by the layout's column edges. anchors(file, bank_id, page_no, top, row_no): where rows start."""
-    known = anchors.select("file", "bank_id").distinct().join(layouts.filter("shape = 'P' AND edges IS NOT NULL"), "bank_id")
-    one = known.select("file", "edges", F.explode("columns").alias("name", "k"))
-    columns = one.select("file", "name", F.element_at("edges", F.col("k") + 1).alias("left"), F.element_at("edges", F.col("k") + 2).alias("right"))
-    put = band_cells(words, anchors.select("file", "page_no", "top", "row_no"), columns)
-    wide = put.groupBy("file", "page_no", "row_no").pivot("name", list(FIELDS)).agg(F.first("text"))
-    named = wide.select("file", "page_no", "row_no", *[F.col(f).alias(c) for f, c in FIELDS.items()])
-    return _by_layout_rows(named.join(known.drop("columns", "edges", "rx"), "file"), "row_no")
+def word_ledger(words: DataFrame, anchors: DataFrame | None, layouts: DataFrame) -> DataFrame:
+    """Positioned words (shape P) to ledger rows by the layout's boxes, or by its header words where it has no boxes.
+
+    anchors(file, bank_id, page_no, top, row_no): where rows start; without them words(file, bank_id, ...) are matched
+    with each layout's own ``anchor``.
+    """
+    if anchors is None:
+        anchors = word_anchors(words, layouts)
+    layouts = layouts.filter("shape = 'P'")
+    files = anchors.select("file", "bank_id").distinct()
+    boxed = files.join(layouts.filter("boxes IS NOT NULL").select("bank_id", F.inline("boxes")), "bank_id").drop("bank_id")
+    starts = anchors.select("file", "page_no", "top", "row_no", *[c for c in ("slack",) if c in anchors.columns])
+    put = band_cells(words, starts, boxed)
+    if not layouts.filter("boxes IS NULL AND heads IS NOT NULL").isEmpty():
+        named = words.drop("bank_id").join(files, "file")
+        put = put.unionByName(band_cells(words, starts, header_columns(named, layouts.filter("boxes IS NULL"))))
+    # one map a row: what a field holds, in one shuffle
+    wide = put.groupBy("file", "page_no", "row_no").agg(F.map_from_entries(F.collect_list(F.struct("name", "text"))).alias("fields"))
+    named = wide.select("file", "page_no", "row_no", *[F.try_element_at("fields", F.lit(f)).alias(c) for f, c in FIELDS.items()])
+    return _by_layout_rows(named.join(files.join(layouts.drop("columns", "boxes", "anchor", "heads", "rx"), "bank_id"), "file"), "row_no")

@@ -367,12 +367,16 @@ def page_total_repair(spark, sf_dir):
 
 @query(f"WITH {_LINES} SELECT l_orderkey AS file, CAST(row_no AS INTEGER) AS row_no, CAST(l_partkey AS VARCHAR) AS part, CAST(amt AS VARCHAR) AS amount FROM lp")
 def band_join_cells(spark, sf_dir):
+    """Words lie over their column's left edge, tops differ inside a line, a note stands under each row beyond the amounts' reach."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate", "l_discount", "l_tax")
     rows = table(spark, sf_dir, "lineitem").withColumn("row_no", F.row_number().over(order)).select(F.col("l_orderkey").alias("file"), F.lit(1).alias("page_no"), (F.col("row_no") * 20.0).alias("top"), "row_no", F.col("l_partkey").cast("string").alias("part"), F.col("l_extendedprice").cast(MONEY).cast("string").alias("amount"))
-    # each cell comes as two words, the second a little lower
-    half = lambda c, a, x: F.struct(F.lit(x + a * 5.0).alias("x0"), F.lit(a * 6.0).alias("dy"), (F.substr(c, F.lit(1), F.lit(2)) if a == 0 else F.substr(c, F.lit(3))).alias("text"))
-    words = rows.withColumn("w", F.explode(F.array(half(F.col("part"), 0, 10.0), half(F.col("part"), 1, 10.0), half(F.col("amount"), 0, 110.0), half(F.col("amount"), 1, 110.0)))).select("file", "page_no", (F.col("top") + F.col("w.dy")).alias("top"), "w.x0", "w.text").filter("text <> ''")
-    columns = rows.select("file").distinct().withColumn("c", F.explode(F.array(F.struct(F.lit("part").alias("name"), F.lit(0.0).alias("left"), F.lit(100.0).alias("right")), F.struct(F.lit("amount").alias("name"), F.lit(100.0).alias("left"), F.lit(200.0).alias("right"))))).select("file", "c.*")
+    word = lambda x0, x1, dy, t: F.struct(F.lit(x0).alias("x0"), F.lit(x1).alias("x1"), F.lit(dy).alias("dy"), t.alias("text"))
+    head, tail = (lambda c: F.substr(c, F.lit(1), F.lit(2))), (lambda c: F.substr(c, F.lit(3)))
+    # the second half of a cell stands a little higher than the first; the amount begins left of its column's edge, at 100
+    put = F.array(word(10.0, 20.0, 0.3, head(F.col("part"))), word(20.0, 30.0, 0.0, tail(F.col("part"))), word(97.0, 109.0, 0.3, head(F.col("amount"))), word(109.0, 120.0, 0.0, tail(F.col("amount"))), word(112.0, 118.0, 9.0, F.lit("note")))
+    words = rows.withColumn("w", F.explode(put)).select("file", "page_no", (F.col("top") + F.col("w.dy")).alias("top"), "w.x0", "w.x1", "w.text").filter("text <> ''")
+    box = lambda n, a, b, below: F.struct(F.lit(n).alias("name"), F.lit(a).alias("left"), F.lit(b).alias("right"), F.lit(below).cast("double").alias("below"))
+    columns = rows.select("file").distinct().select("file", F.inline(F.array(box("part", 0.0, 100.0, None), box("amount", 100.0, 200.0, 7.0))))
     got = parse.band_cells(words, rows.select("file", "page_no", "top", "row_no"), columns)
     return got.groupBy("file", "row_no").pivot("name", ["part", "amount"]).agg(F.first("text"))
 
@@ -465,11 +469,33 @@ def amount_modes_sheet(spark, sf_dir):
     return _priced(spark, sf_dir).select("o_orderkey", got["income"].alias("income"), got["expense"].alias("expense"), F.size(got["issue_codes"]).alias("issues"))
 
 
-@query(_mode_sql("CASE o_orderkey % 3 WHEN 0 THEN p WHEN 1 THEN (CASE WHEN s = 'F' THEN p ELSE 0 END) ELSE (CASE WHEN s = 'F' THEN p ELSE 0 END) END", "CASE o_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN (CASE WHEN s = 'F' THEN 0 ELSE p END) ELSE (CASE WHEN s = 'O' THEN p ELSE 0 END) END"))
+#: Mode, income and expense by status F, O and P, what is neutral, and the issue of a row whose direction nothing tells.
+_MODES_SQL = f"""SELECT o_orderkey, mode, CAST(CASE mode
+ WHEN 'sign' THEN (CASE WHEN s = 'O' THEN 0 ELSE p END) WHEN 'separate' THEN (CASE WHEN s = 'O' THEN 0 ELSE p END) WHEN 'signed' THEN (CASE WHEN s = 'F' THEN p ELSE 0 END)
+ WHEN 'direction' THEN (CASE WHEN s = 'F' THEN p ELSE 0 END) WHEN 'flag' THEN (CASE WHEN s = 'O' THEN 0 ELSE p END) WHEN 'reversal' THEN p WHEN 'wallet' THEN (CASE WHEN s = 'F' THEN p ELSE 0 END)
+ WHEN 'sheet' THEN (CASE WHEN s = 'O' THEN 0 ELSE p END) WHEN 'filtered' THEN p ELSE 0 END AS DECIMAL(18,2)) AS income, CAST(CASE mode
+ WHEN 'sign' THEN (CASE WHEN s = 'O' THEN p ELSE 0 END) WHEN 'separate' THEN (CASE WHEN s = 'O' THEN p ELSE 0 END) WHEN 'signed' THEN (CASE s WHEN 'O' THEN p WHEN 'P' THEN -p ELSE 0 END)
+ WHEN 'direction' THEN (CASE WHEN s = 'O' THEN p ELSE 0 END) WHEN 'flag' THEN (CASE WHEN s = 'O' THEN p ELSE 0 END) WHEN 'wallet' THEN (CASE WHEN s = 'O' THEN p ELSE 0 END)
+ WHEN 'sheet' THEN (CASE WHEN s = 'O' THEN p ELSE 0 END) ELSE 0 END AS DECIMAL(18,2)) AS expense, mode = 'wallet' AND s = 'P' AS neutral,
+ CASE WHEN mode = 'nothing' THEN 'mode_unknown' WHEN mode = 'direction' AND s = 'P' THEN 'direction_unknown' END AS issue
+FROM (SELECT *, ['sign', 'separate', 'signed', 'direction', 'flag', 'reversal', 'wallet', 'sheet', 'filtered', 'nothing'][CAST(o_orderkey % 10 AS INTEGER) + 1] AS mode FROM ({_A}))"""
+
+
+@query(_MODES_SQL)
 def amount_modes_layout(spark, sf_dir):
-    k = F.col("o_orderkey") % 3
-    df = _priced(spark, sf_dir).withColumns({"amount_mode": F.when(k == 0, "sign").when(k == 1, "separate").otherwise("direction"), "direction_map": F.create_map(F.lit("F"), F.lit("income"), F.lit("O"), F.lit("expense"))})
-    return _sided(df, parse.by_layout(F.col("p"), F.when(F.col("s") == "F", F.col("p")), F.when(F.col("s") != "F", F.col("p")), F.col("s")))
+    """Every mode in one table, each row by its own: columns, signs, directions, flags with negative reversals, wallets with neutral rows, sheets, filtered files."""
+    names = ["sign", "separate", "signed", "direction", "flag", "reversal", "wallet", "sheet", "filtered", "nothing"]
+    s, p, mode = F.col("s"), F.col("p"), F.col("amount_mode")
+    words = F.create_map(*[F.lit(x) for x in ("收入", "income", "支出", "expense", "不计收支", "neutral")])
+    df = _priced(spark, sf_dir).withColumns({"amount_mode": F.element_at(F.array(*map(F.lit, names)), (F.col("o_orderkey") % 10 + 1).cast("int")), "direction_map": words})
+    signed = F.when(s == "O", -p).otherwise(p)
+    amount = F.when(mode.isin("sign", "sheet"), signed).when(mode == "flag", F.when(s == "P", -p).otherwise(p)).when(mode == "reversal", -p).when(mode == "filtered", signed).otherwise(p)
+    columns = mode.isin("separate", "signed")
+    credit, debit = F.when(columns & (s == "F"), p), F.when(columns & (s == "O"), p).when(columns & (s == "P"), -p)
+    told = F.when(mode == "flag", F.when(s == "F", "C&#x9;").otherwise("D")).when(mode == "sheet", F.when(s == "O", "支出").when(s == "F", "收入")).when(s == "F", "二维码收入").when(s == "O", "支出").when(mode == "wallet", "不计收支")
+    text = F.when(mode == "reversal", "转账冲正").otherwise(told)
+    got = parse.by_layout(amount, credit, debit, text, told=told, side=F.when(mode == "filtered", "income"))
+    return df.select("o_orderkey", mode.alias("mode"), *[got[c].alias(c) for c in ("income", "expense", "neutral")], F.get(got["issue_codes"], 0).alias("issue"))
 
 
 @query("SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 3 = 0 THEN -o_totalprice ELSE o_totalprice END AS DECIMAL(18,2)) AS amount, CAST(o_totalprice AS DECIMAL(18,2)) AS sheet, CAST(o_totalprice AS DECIMAL(18,2)) AS cents, CASE WHEN o_orderkey % 2 = 0 THEN 'money_invalid' END AS error FROM orders")

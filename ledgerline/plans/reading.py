@@ -340,21 +340,46 @@ def even_row(c):
     return c % 2 == 0
 
 
-@query("SELECT o_orderkey AS file, CAST(o_orderdate AS DATE) AS day, CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE 0 END AS DECIMAL(18,2)) AS income, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE o_totalprice END AS DECIMAL(18,2)) AS expense FROM orders")
+@query("""SELECT o_orderkey AS file, CAST(o_orderdate AS DATE) + INTERVAL 20 YEAR AS day, CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE 0 END AS DECIMAL(18,2)) AS income, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE o_totalprice END AS DECIMAL(18,2)) AS expense,
+CAST(1 AS DECIMAL(18,2)) AS balance, ['mintai', 'hengfeng', 'dezhou_corp', 'huishang'][CAST(o_orderkey % 4 AS INTEGER) + 1] AS bank_id FROM orders""")
 def registered_words(spark, sf_dir):
+    """Words of four layouts as extracted, rows found by each layout's own anchor: amounts over their column's left edge or told by their right one, a date over its clock, uneven tops, a footer."""
     from ledgerline.sources.layouts import layouts
 
     orders = table(spark, sf_dir, "orders")
-    even, p = F.col("o_orderkey") % 2 == 0, F.format_number(F.col("o_totalprice").cast(MONEY), 2)
-    base = [F.col("o_orderkey").alias("file"), F.lit(1).alias("page_no")]
-    word = lambda x, t: F.struct(F.lit(x).alias("x0"), t.alias("text"))
-    # mintai: income from 48, expense from 103, balance from 157; hengfeng: amount from 165
-    put = F.when(F.col("o_orderkey") % 4 < 2, F.array(word(2.0, F.date_format("o_orderdate", "yyyyMMdd")), word(50.0, F.when(even, p).otherwise("")), word(105.0, F.when(even, "").otherwise(p)), word(160.0, F.lit("1.00"))))
-    put = put.otherwise(F.array(word(70.0, F.date_format("o_orderdate", "yyyyMMdd")), word(166.0, F.when(even, p).otherwise(F.concat(F.lit("-"), p))), word(231.0, F.lit("1.00"))))
-    words = orders.select(*base, F.explode(put).alias("w")).select("file", "page_no", "w.x0", F.lit(20.0).alias("top"), "w.text").filter("text <> ''")
-    anchors = orders.select(*base, F.when(F.col("o_orderkey") % 4 < 2, "mintai").otherwise("hengfeng").alias("bank_id"), F.lit(20.0).alias("top"), F.lit(1).alias("row_no"))
-    got = parse.word_ledger(words, anchors, layouts(spark))
-    return got.select(F.col("source_file").alias("file"), F.to_date("transaction_time").alias("day"), "income", "expense")
+    k, gets, p = F.col("o_orderkey") % 4, F.col("o_orderkey") % 2 == 0, F.format_number(F.col("o_totalprice").cast(MONEY), 2)
+    day = F.add_months("o_orderdate", 240)  # anchors know years from 2000 on
+    flat, iso = F.date_format(day, "yyyyMMdd"), F.date_format(day, "yyyy-MM-dd")
+    word = lambda x0, x1, top, t: F.struct(F.lit(x0).alias("x0"), F.lit(x1).alias("x1"), F.lit(top).alias("top"), (F.lit(t) if isinstance(t, str) else t).alias("text"))
+    half = lambda a: (F.substr(p, F.lit(1), F.lit(3)), F.substr(p, F.lit(4)))[a]
+    foot = word(60.0, 62.0, 60.0, "9.99")
+    mintai = F.array(word(0.0, 30.0, 10.0, "交易日期"), word(2.0, 40.0, 20.0, flat), *[word(x0, x1, top, F.when(gets == side, half(a)).otherwise("")) for x, side in ((47.0, True), (102.0, False)) for a, x0, x1, top in ((0, x, x + 13, 20.3), (1, x + 13, x + 24, 20.0))], word(160.0, 170.0, 20.0, "1.00"), foot)
+    hengfeng = F.array(word(70.0, 100.0, 20.0, flat), word(164.0, 190.0, 20.0, F.when(gets, p).otherwise(F.concat(F.lit("-"), p))), word(231.0, 240.0, 20.0, "1.00"), word(170.0, 180.0, 30.0, "5.55"))
+    dezhou = F.array(word(50.0, 90.0, 20.0, iso), word(50.0, 80.0, 30.0, "10:20:30"), word(140.0, 172.0, 30.0, F.when(gets, p).otherwise("")), word(180.0, 217.0, 30.0, F.when(gets, "").otherwise(p)), word(260.0, 285.0, 30.0, "1.00"))
+    huishang = F.array(word(20.0, 60.0, 20.0, iso), word(130.0, 180.0, 20.0, F.when(gets, p).otherwise(F.concat(F.lit("-"), p))), word(195.0, 230.0, 20.0, "1.00"))
+    bank = F.element_at(F.array(*map(F.lit, ["mintai", "hengfeng", "dezhou_corp", "huishang"])), (k + 1).cast("int"))
+    put = F.when(k == 0, mintai).when(k == 1, hengfeng).when(k == 2, dezhou).otherwise(huishang)
+    words = orders.select(F.col("o_orderkey").alias("file"), bank.alias("bank_id"), F.lit(1).alias("page_no"), F.inline(put)).filter("text <> ''")
+    got = parse.word_ledger(words, None, layouts(spark))
+    return got.select(F.col("source_file").alias("file"), F.to_date("transaction_time").cast("timestamp").alias("day"), "income", "expense", "balance", "bank_id")
+
+
+@query("""SELECT o_orderkey AS file, page_no, CAST(o_orderdate AS DATE) + INTERVAL 20 YEAR AS day, CAST(CASE WHEN page_no < 3 THEN o_totalprice ELSE 0 END AS DECIMAL(18,2)) AS income, CAST(CASE WHEN page_no = 3 THEN o_totalprice ELSE 0 END AS DECIMAL(18,2)) AS expense
+FROM orders, (SELECT CAST(range AS INTEGER) AS page_no FROM range(1, 4))""")
+def columns_by_header(spark, sf_dir):
+    """Columns stand elsewhere on each page and are found by the words of its header; the third page has none and takes the second one's."""
+    from ledgerline.sources.layouts import layouts
+
+    page = F.explode(F.sequence(F.lit(1), F.lit(3))).alias("page_no")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file"), F.date_format(F.add_months("o_orderdate", 240), "yyyy-MM-dd").alias("iso"), F.format_number(F.col("o_totalprice").cast(MONEY), 2).alias("p"), page)
+    shift = F.when(F.col("page_no") == 1, 0.0).otherwise(37.0)
+    word = lambda x0, x1, top, t: F.struct((F.lit(x0) + shift).alias("x0"), (F.lit(x1) + shift).alias("x1"), F.lit(top).alias("top"), t.alias("text"))
+    heads = [word(float(x), float(x + 30), 10.0 + (x % 3) * 0.5, F.when(F.col("page_no") < 3, t)) for x, t in ((10, "交易日期"), (90, "收入"), (160, "支出"), (230, "余额"))]
+    first = F.col("page_no") < 3
+    body = [word(12.0, 45.0, 30.0, F.col("iso")), word(85.0, 120.0, 30.0, F.when(first, F.col("p")).otherwise("0.00")), word(155.0, 190.0, 30.0, F.when(first, F.lit("0.00")).otherwise(F.col("p"))), word(228.0, 255.0, 30.0, F.lit("1.00"))]
+    words = orders.select("file", F.lit("guilin_corp").alias("bank_id"), "page_no", F.inline(F.array(*heads, *body))).filter("text IS NOT NULL")
+    got = parse.word_ledger(words, None, layouts(spark))
+    return got.select(F.col("source_file").alias("file"), "page_no", F.to_date("transaction_time").cast("timestamp").alias("day"), "income", "expense")
 
 
 @query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'L' WHEN 1 THEN 'C' WHEN 2 THEN 'P' END AS shape, CASE WHEN c_custkey % 4 = 3 THEN 'unknown_layout' END AS error FROM customer")
@@ -364,3 +389,116 @@ def registered_routes(spark, sf_dir):
     k = F.col("c_custkey") % 4
     files = table(spark, sf_dir, "customer").select("c_custkey", F.when(k == 0, "changsha").when(k == 1, "icbc").when(k == 2, "dezhou_corp").otherwise("nobody").alias("bank_id"))
     return detect.route(files, layouts(spark)).select("c_custkey", "shape", "error")
+
+
+_BATCH_SQL = """WITH o AS (SELECT *, o_orderkey % 8 AS k, CAST(o_totalprice AS DECIMAL(18,2)) AS p, ['changsha', 'icbc', 'wechat', 'excel', 'mintai', 'nobody', 'abc', 'cmb'][CAST(o_orderkey % 8 AS INTEGER) + 1] AS bank_id FROM orders)"""
+
+
+def _batch(spark, sf_dir):
+    """A file an order, eight kinds: text lines, cells of an account, of a wallet and of a sheet, words, a file that only the generic reader reads, one of two shapes, and one with nothing in it."""
+    from ledgerline.operators import reading
+    from ledgerline.sources.layouts import layouts
+
+    k, gets, p = F.col("o_orderkey") % 8, F.col("o_orderstatus") == "F", F.format_number(F.col("o_totalprice").cast(MONEY), 2)
+    iso = F.date_format(F.add_months("o_orderdate", 240), "yyyy-MM-dd")
+    signed = F.concat(F.when(gets, "+").otherwise("-"), p)
+    orders = table(spark, sf_dir, "orders")
+    file, one = F.col("o_orderkey").cast("string").alias("file"), F.lit(1)
+    statements = orders.select(file, F.element_at(F.array(*map(F.lit, ["changsha", "icbc", "wechat", "excel", "mintai", "nobody", "abc", "cmb"])), (k + 1).cast("int")).alias("bank_id"))
+    own, generic = F.concat_ws(" ", iso, signed, F.lit("1.00 x")), F.concat_ws(" ", iso, F.lit("10:20:30 pay"), signed, F.lit("1.00 x"))
+    flat = F.concat_ws(" ", F.regexp_replace(iso, "-", ""), F.lit("x"), signed, F.lit("1.00"))  # abc's lines, which don't count beside its cells
+    lines = orders.filter(k.isin(0, 5, 6, 7)).select(file, one.alias("page_no"), one.alias("line_no"), F.when(k == 0, own).when(k == 5, generic).when(k == 6, flat).otherwise("nothing to read").alias("text"))
+    cells = lambda *xs: F.array(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    side = F.when(gets, "收入").when(F.col("o_orderstatus") == "O", "支出").otherwise("不计收支")
+    head = F.when(k == 2, cells("交易时间", "收/支", "金额(元)")).otherwise(cells("交易日期", "交易金额", "余额"))
+    row = F.when(k == 2, cells(F.concat(iso, F.lit(" 10:20:30")), side, p)).otherwise(cells(iso, signed, "1.00"))
+    table_cells = orders.filter(k.isin(1, 2, 3, 6)).select(file, one.alias("page_no"), F.lit(0).alias("table_no"), F.posexplode(F.array(head, row)).alias("row_no", "cells"))
+    word = lambda x0, x1, t: F.struct(F.lit(x0).alias("x0"), F.lit(x1).alias("x1"), F.lit(20.0).alias("top"), t.alias("text"))
+    put = F.array(word(2.0, 40.0, F.regexp_replace(iso, "-", "")), word(47.0, 60.0, F.when(gets, p)), word(102.0, 120.0, F.when(~gets, p)), word(160.0, 170.0, F.lit("1.00")))
+    words = orders.filter(k == 4).select(file, one.alias("page_no"), F.inline(put)).filter("text IS NOT NULL")
+    return reading.read_batch(statements, layouts(spark), lines, table_cells, words)
+
+
+@query(_BATCH_SQL + """ SELECT CAST(o_orderkey AS VARCHAR) AS file, CASE WHEN k = 5 THEN 'generic_pdf' ELSE bank_id END AS bank_id, CASE WHEN k = 5 THEN 'generic' ELSE 'own' END AS reader, CASE WHEN k IN (0, 5) THEN 'L' WHEN k = 4 THEN 'P' ELSE 'C' END AS shape, CAST(o_orderdate AS DATE) + INTERVAL 20 YEAR AS day,
+CASE WHEN o_orderstatus = 'F' THEN p ELSE 0 END AS income, CASE WHEN o_orderstatus = 'F' OR (k = 2 AND o_orderstatus = 'P') THEN 0 ELSE p END AS expense, k = 2 AND o_orderstatus = 'P' AS neutral FROM o WHERE k < 7""")
+def read_batch_rows(spark, sf_dir):
+    rows, _ = _batch(spark, sf_dir)
+    return rows.select(F.col("source_file").alias("file"), "bank_id", "reader", "shape", F.to_date("transaction_time").cast("timestamp").alias("day"), "income", "expense", "neutral")
+
+
+@query(_BATCH_SQL + " SELECT CAST(o_orderkey AS VARCHAR) AS file, bank_id, CASE WHEN k = 7 THEN 0 ELSE 1 END AS \"rows\", CASE k WHEN 7 THEN NULL WHEN 5 THEN 'generic' ELSE 'own' END AS reader, CASE k WHEN 5 THEN 'unknown_layout' WHEN 7 THEN 'no_rows' END AS error FROM o")
+def read_batch_files(spark, sf_dir):
+    return _batch(spark, sf_dir)[1]
+
+
+@query(_BATCH_SQL + """ SELECT count(*) FILTER (o_orderstatus <> 'P') AS count, count(*) FILTER (o_orderstatus = 'F') AS income_count, sum(CASE WHEN o_orderstatus = 'F' THEN p END) AS income, count(*) FILTER (o_orderstatus = 'O') AS expense_count, sum(CASE WHEN o_orderstatus = 'O' THEN p END) AS expense FROM o WHERE k = 2""")
+def read_batch_wallets(spark, sf_dir):
+    """What a summary of the wallets counts: neutral rows are none of it."""
+    rows = _batch(spark, sf_dir)[0].filter("bank_id = 'wechat' AND NOT neutral")
+    some = lambda c: F.count(F.when(F.col(c) != 0, 1)).alias(f"{c}_count")
+    return rows.agg(F.count("*").alias("count"), some("income"), F.sum("income").cast(MONEY).alias("income"), some("expense"), F.sum("expense").cast(MONEY).alias("expense"))
+
+
+# each account follows one of seven policies: its months' rows are dealt out of order, and put right by it
+_POLICY_SQL = """, r AS (SELECT *, row_number() OVER (PARTITION BY account_no ORDER BY seq) AS n, 10000 + sum(income - expense) OVER (PARTITION BY account_no ORDER BY ts, row_no) AS whole FROM (SELECT * FROM ledger WHERE NOT neutral))
+SELECT account_no, ['trail', 'greedy', 'linked', 'source', 'reverse_all', 'same_time_score', 'same_time_proven'][CAST(ck % 7 AS INTEGER) + 1] AS policy, n AS statement_order, CAST(whole AS DECIMAL(18,2)) AS balance, CAST(lag(whole) OVER (PARTITION BY account_no ORDER BY n) AS DECIMAL(18,2)) AS previous_balance FROM r"""
+
+
+@query(f"WITH {ORDERS_SQL}" + _POLICY_SQL)
+def order_by_policies(spark, sf_dir):
+    names = ["trail", "greedy", "linked", "source", "reverse_all", "same_time_score", "same_time_proven"]
+    rows = orders_ledger(spark, sf_dir).filter("NOT neutral")
+    per = Window.partitionBy("account_no").orderBy("transaction_time", "row_no")
+    k = F.col("account_no").cast("bigint") % 7
+    own = rows.withColumns({"balance": (F.lit(10000) + F.sum(F.col("income") - F.col("expense")).over(per.rowsBetween(Window.unboundedPreceding, 0))).cast(MONEY), "order_policy": F.element_at(F.array(*map(F.lit, names)), (k + 1).cast("int")), "_n": F.row_number().over(per)})
+    month = F.date_trunc("month", "transaction_time")
+    # trail and linked rows of a month share a time, the latter begin with the first one; greedy ones are printed newest first; the last two have their pairs of equal time reversed
+    time = F.when(k < 3, month).when(k >= 5, F.date_trunc("year", "transaction_time")).otherwise(F.col("transaction_time"))
+    printed = F.when((k == 2) & (F.col("_n") == 1), -1).when(k.isin(0, 2), F.pmod(F.xxhash64("row_no"), F.lit(1000000007))).when(k == 3, F.col("_n")).otherwise(1000000 - F.col("_n"))
+    dealt = own.withColumns({"transaction_time": time, "page_no": F.lit(1), "row_no": printed})
+    return sequence.restore_order(dealt).select("account_no", F.col("order_policy").alias("policy"), "statement_order", "balance", "previous_balance")
+
+
+def _rule_texts(spark, sf_dir):
+    """A text a customer: the words of one of the rules, or all but the last of them."""
+    from ledgerline.sources.detection import rules
+
+    own = rules()
+    k, cut = F.col("c_custkey"), F.col("c_custkey") % 3 == 0
+    pick = lambda column: F.element_at(F.array(*[F.array(*map(F.lit, r[column])) if r[column] else F.array().cast("array<string>") for r in own]), (k % len(own) + 1).cast("int"))
+    head, body = pick(3), pick(4)
+    less = lambda c: F.when(cut & (F.size(c) > 0), F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0)))).otherwise(c)
+    head, body = F.array_join(head, "\n"), F.array_join(less(body), "\n")
+    return table(spark, sf_dir, "customer").select("c_custkey", head.alias("header"), F.concat_ws("\n", head, body).alias("body"), F.lit("").alias("top"))
+
+
+def _rules_sql():
+    from ledgerline.sources.detection import rules
+
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    some = lambda xs: f"CAST([{', '.join(map(text, xs))}] AS VARCHAR[])"
+    own = rules()
+    values = ", ".join(f"({o}, {text(b)}, {text(scope)}, {some(head)}, {some(marks)}, {c})" for o, b, scope, head, marks, _, c, _ in own)
+    return f"""WITH r(ord, bank_id, scope, head, marks, confidence) AS (VALUES {values}),
+d AS (SELECT c_custkey, array_to_string(head, chr(10)) AS header, concat_ws(chr(10), array_to_string(head, chr(10)), array_to_string(CASE WHEN c_custkey % 3 = 0 AND len(marks) > 0 THEN marks[1 : len(marks) - 1] ELSE marks END, chr(10))) AS body FROM customer JOIN r ON r.ord = c_custkey % {len(own)} + 1),
+m AS (SELECT c_custkey, min_by(struct_pack(b := bank_id, c := confidence), ord) AS x FROM d JOIN r ON scope <> 'top' AND len(list_filter(r.head, lambda h: NOT contains(d.header, h))) = 0 AND len(list_filter(r.marks, lambda h: NOT contains(d.body, h))) = 0 GROUP BY c_custkey)
+SELECT d.c_custkey, coalesce(x.b, 'unknown') AS bank_id, coalesce(x.c, 0) AS confidence FROM d LEFT JOIN m ON m.c_custkey = d.c_custkey"""
+
+
+@query(_rules_sql())
+def detected_layouts(spark, sf_dir):
+    """All rules at once, by the automaton that reads a text once."""
+    from ledgerline.sources.detection import detection_rules
+
+    return detect.first_match(_rule_texts(spark, sf_dir), detection_rules(spark), key="c_custkey").select("c_custkey", "bank_id", "confidence")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 9 < 8 THEN c_name END AS owner, CASE WHEN c_custkey % 2 = 0 THEN '永兴农村商业银行' END AS issuer FROM customer")
+def account_holders(spark, sf_dir):
+    """Every label of holders' names, some with full-width blanks; the issuer's name inside a line."""
+    from ledgerline.sources.detection import ISSUER
+
+    k, name = F.col("c_custkey") % 9, F.col("c_name")
+    forms = [F.concat(F.lit(a), name, F.lit(b)) for a, b in (("兹证明：　", "（身份证"), ("户名 Account Name:", " x"), ("客户姓名　：", "，x"), ("客户名称: ", ",x"), ("账户名称：", " x"), ("户主 : ", " x"), ("account name：", " x"), ("账户　6222 0000 1111 ", " x"), ("姓名：", " x"))]
+    shown = F.concat(F.lit("明细\n"), F.element_at(F.array(*forms), (k + 1).cast("int")), F.when(F.col("c_custkey") % 2 == 0, "\nA永兴农村商业银行明细").otherwise("\n农村商业银行"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.owner_name(shown).alias("owner"), text.first_label(shown, [ISSUER]).alias("issuer"))

@@ -75,3 +75,10 @@ def work_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="ledger-")
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: what follows doesn't compute it again, and lost executors cost nothing."""
+    out = work_folder(df.sparkSession, name) + "/table"
+    df.write.parquet(out)
+    return df.sparkSession.read.schema(df.schema).parquet(out)
