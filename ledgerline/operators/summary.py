@@ -92,6 +92,26 @@ def reconcile(summary: DataFrame, printed: DataFrame, key: str) -> DataFrame:
     return summary.join(printed, key).select(key, F.explode(cells).alias("x")).select(key, "x.*").filter("printed IS NOT NULL AND printed <> found")
 
 
+FIGURES = ["cnt", "income_cnt", "expense_cnt", "income", "expense"]
+
+
+def printed_figures(lines: DataFrame, patterns: DataFrame, key: str = "file") -> DataFrame:
+    """Totals that statements print, out of their text: one row a file, in the columns that ``reconcile`` takes; null for a figure that isn't printed.
+
+    lines(file, bank_id, page_no, line_no, text), patterns(bank_id, figure, rx). A pattern is held against each line and
+    the one below it, without blanks; of a figure's matches the first counts. Signs are dropped; files without any figure are left out.
+    """
+    compact = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s　]+", "")
+    below = F.lead("text").over(Window.partitionBy(key).orderBy("page_no", "line_no"))
+    two = lines.select(key, "bank_id", "page_no", "line_no", F.concat(compact(F.col("text")), compact(below)).alias("_t"))
+    met = two.join(patterns, "bank_id").filter(F.regexp_like("_t", F.col("rx")))
+    value = F.replace(F.call_function("regexp_extract", F.col("_t"), F.col("rx"), F.lit(1)), F.lit(","), F.lit(""))
+    first = met.groupBy(key, "figure").agg(F.min_by(value, F.struct("page_no", "line_no")).alias("v"))
+    wide = first.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("figure", F.abs(F.col("v").try_cast(MONEY)).alias("v")))).alias("m"))
+    kinds = {f: "bigint" if f.endswith("cnt") else MONEY for f in FIGURES}
+    return wide.select(key, *[F.try_element_at("m", F.lit(f)).cast(t).alias(f) for f, t in kinds.items()])
+
+
 def total_issues(differences: DataFrame, key: str) -> DataFrame:
     """Differences of ``reconcile`` as review issues of a statement's first row."""
     shown = lambda c: F.format_number(c, 2)

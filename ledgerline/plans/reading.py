@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import money, text
 from ledgerline.functions.money import MONEY
-from ledgerline.operators import detect, filters, ordering, parse, quality, sequence
+from ledgerline.operators import detect, filters, ordering, parse, quality, sequence, summary
 from ledgerline.plans.queries import _CHAIN, _noisy, _priced, _mode_sql, _sided, query, table
 from ledgerline.sources import io
 from ledgerline.sources.ledgers import ORDERS_SQL, orders_ledger
@@ -502,3 +502,25 @@ def account_holders(spark, sf_dir):
     forms = [F.concat(F.lit(a), name, F.lit(b)) for a, b in (("兹证明：　", "（身份证"), ("户名 Account Name:", " x"), ("客户姓名　：", "，x"), ("客户名称: ", ",x"), ("账户名称：", " x"), ("户主 : ", " x"), ("account name：", " x"), ("账户　6222 0000 1111 ", " x"), ("姓名：", " x"))]
     shown = F.concat(F.lit("明细\n"), F.element_at(F.array(*forms), (k + 1).cast("int")), F.when(F.col("c_custkey") % 2 == 0, "\nA永兴农村商业银行明细").otherwise("\n农村商业银行"))
     return table(spark, sf_dir, "customer").select("c_custkey", text.owner_name(shown).alias("owner"), text.first_label(shown, [ISSUER]).alias("issuer"))
+
+
+@query("""WITH o AS (SELECT *, c_custkey % 4 AS k FROM customer WHERE c_custkey % 5 < 4)
+SELECT CAST(c_custkey AS VARCHAR) AS file, CASE WHEN k = 1 THEN c_custkey END AS cnt, CASE WHEN k <> 1 THEN c_custkey + 1 END AS income_cnt, CASE WHEN k <> 1 THEN c_custkey + 2 END AS expense_cnt,
+CASE WHEN k <> 3 THEN CAST(abs(c_acctbal) AS DECIMAL(18,2)) END AS income, CASE WHEN k <> 3 THEN CAST(abs(c_acctbal) + 1 AS DECIMAL(18,2)) END AS expense FROM o""")
+def printed_figures(spark, sf_dir):
+    """Totals as four layouts print them: in one line, broken over two, with blanks and separators, printed twice; every fifth statement prints none."""
+    from ledgerline.sources.layouts import printed_patterns
+
+    n, k = F.col("c_custkey"), F.col("c_custkey") % 4
+    a, b = (F.format_number(F.abs("c_acctbal").cast(MONEY) + x, 2) for x in (0, 1))
+    one, two, three = ((n + x).cast("string") for x in (0, 1, 2))
+    text_of = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    guangxi = F.array(text_of("收入笔数：", two, " 支出笔数：", three), text_of("收入合计：", a), text_of("支出合计 ：", b))
+    chengdu = F.array(text_of("汇总笔数 : ", one, " 收入总计 : ", a, " 支出总计 :"), text_of(b), text_of("汇总笔数 : 9 收入总计 : 9.00"))
+    rural = F.array(text_of("总收入:", a, " 总收入笔数：", two), text_of("总支出：-", b, " 总支出笔数：", three))
+    post = F.array(text_of("收入总笔数 ", two, "　笔"), text_of("支出总笔数", three, "笔"))
+    own = F.when(k == 0, guangxi).when(k == 1, chengdu).when(k == 2, rural).otherwise(post)
+    shown = F.when(n % 5 < 4, own).otherwise(F.array(F.lit("明细")))
+    bank = F.element_at(F.array(*map(F.lit, ["guangxi_rural", "chengdu_corp", "rural_commercial", "psbc"])), (k + 1).cast("int"))
+    lines = table(spark, sf_dir, "customer").select(n.cast("string").alias("file"), bank.alias("bank_id"), F.lit(1).alias("page_no"), F.posexplode(shown).alias("line_no", "text"))
+    return summary.printed_figures(lines, printed_patterns(spark))

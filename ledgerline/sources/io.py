@@ -10,11 +10,28 @@ from pyspark.sql import functions as F
 
 
 def text_lines(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
-    """Text files of a folder tree as lines: file, page_no (form feeds part pages), line_no, text."""
-    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
-    pages = whole.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\f")).alias("p", "page"))
-    lines = pages.select("file", (F.col("p") + 1).alias("page_no"), F.posexplode(F.split("page", "\r?\n")).alias("n", "text"))
-    return lines.select("file", "page_no", (F.col("n") + 1).alias("line_no"), "text")
+    """Text files of a folder tree as lines: file, page_no (form feeds part pages), line_no (from 1 on each page), text.
+
+    A file of any size is read in blocks by many tasks. Lines are numbered inside their block; what a block begins with
+    comes from the sums of the blocks before it, one row a block. A line end at the end of a file begins no line.
+    """
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", "\n").text(path)
+    # a task reads a block's lines one after another, so this number follows their order
+    read = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.regexp_replace("value", "\r$", "").alias("value"))
+    feeds = F.length("value") - F.length(F.replace("value", F.lit("\f"), F.lit("")))
+    inside = Window.partitionBy("file", "block").orderBy("n")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    own = read.withColumn("feeds", feeds).withColumn("i", F.row_number().over(inside).cast("bigint"))
+    own = own.withColumns({"pages": F.coalesce(F.sum("feeds").over(before), F.lit(0)), "fed": F.max(F.when(F.col("feeds") > 0, F.col("i"))).over(before)})
+    blocks = read.withColumn("feeds", feeds).groupBy("file", "block").agg(F.count("*").alias("lines"), F.sum("feeds").alias("feeds"), F.min("n").alias("first"), F.max(F.when(F.col("feeds") > 0, F.col("n"))).alias("fed"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("lines_before", F.coalesce(F.sum("lines").over(earlier), F.lit(0)))
+    blocks = blocks.withColumns({"pages_before": F.coalesce(F.sum("feeds").over(earlier), F.lit(0)), "fed_before": F.max(F.when(F.col("fed").isNotNull(), F.col("lines_before") + F.col("fed") - F.col("first") + 1)).over(earlier)})
+    whole = own.join(blocks.select("file", "block", "lines_before", "pages_before", "fed_before"), ["file", "block"])
+    at, last = F.col("lines_before") + F.col("i"), F.coalesce(F.col("lines_before") + F.col("fed"), F.col("fed_before"))
+    line = F.coalesce(at - last + 1, at)
+    pieces = whole.select("file", (F.col("pages_before") + F.col("pages") + 1).alias("page"), line.alias("line"), F.posexplode(F.split("value", "\f")).alias("k", "text"))
+    return pieces.select("file", (F.col("page") + F.col("k")).cast("int").alias("page_no"), F.when(F.col("k") == 0, F.col("line")).otherwise(1).cast("int").alias("line_no"), "text")
 
 
 def sheet_cells(spark: SparkSession, path: str, pattern: str = "*.csv", width: int | None = None, widest: int = 16_384) -> DataFrame:

@@ -111,3 +111,20 @@ def rows() -> list[tuple]:
 def layouts(spark: SparkSession) -> DataFrame:
     """The registry as a table; one small row a layout and shape."""
     return spark.createDataFrame(rows(), SCHEMA)
+
+
+#: What layouts print as totals: layout, figure, pattern over text without blanks.
+PRINTED = [
+    ("abc_history", "income_cnt", r"总收入笔数(\d+)"), ("abc_history", "expense_cnt", r"总支出笔数(\d+)"), ("abc_history", "income", r"总收入金额([\d,.]+)"), ("abc_history", "expense", r"总支出金额([\d,.]+)"),
+    ("ordos", "cnt", r"共(\d+)条"), ("ordos", "income_cnt", r"总收入笔数[:：](\d+)"), ("ordos", "expense_cnt", r"总支出笔数[:：](\d+)"), ("ordos", "income", r"总收入金额[:：]([\d,.]+)"), ("ordos", "expense", r"总支出金额[:：]([\d,.]+)"),
+    ("guangxi_rural", "income_cnt", r"收入笔数[:：](\d+)"), ("guangxi_rural", "expense_cnt", r"支出笔数[:：](\d+)"), ("guangxi_rural", "income", r"收入合计[:：]([\d,.]+)"), ("guangxi_rural", "expense", r"支出合计[:：]([\d,.]+)"),
+    ("rural_commercial", "income", r"总收入[:：]([\d,.]+)"), ("rural_commercial", "income_cnt", r"总收入笔数[:：](\d+)"), ("rural_commercial", "expense", r"总支出[:：](-?[\d,.]+)"), ("rural_commercial", "expense_cnt", r"总支出笔数[:：](\d+)"),
+    ("chengdu_corp", "cnt", r"汇总笔数[:：](\d+)"), ("chengdu_corp", "income", r"收入总计[:：]([\d,.]+)"), ("chengdu_corp", "expense", r"支出总计[:：]([\d,.]+)"),
+    ("psbc", "income", r"收入总金额([\d,.]+)"), ("psbc", "expense", r"支出总金额([\d,.]+)"), ("psbc", "income_cnt", r"收入总笔数(\d+)笔"), ("psbc", "expense_cnt", r"支出总笔数(\d+)笔"), ("hebei_rural", "cnt", r"总条数[:：]?(\d+)"),
+    ("excel_boc", "cnt", r"交易笔数[:：](\d+)"), ("excel_boc", "income", r"贷方交易合计金额[:：]([\d,.]+)"), ("excel_boc", "expense", r"借方交易合计金额[:：]([\d,.]+)"), ("excel_boc_online", "cnt", r"总笔数[:：](\d+)"),
+]
+
+
+def printed_patterns(spark: SparkSession) -> DataFrame:
+    """bank_id, figure, rx; one small row a figure of a layout."""
+    return spark.createDataFrame(PRINTED, "bank_id string, figure string, rx string")

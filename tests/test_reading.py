@@ -95,3 +95,24 @@ def test_automaton_and_loop_agree(spark):
     one, two = ({r.file: r.bank_id for r in detect.first_match(texts, table, loop_rules=n).filter("file < 300").collect()} for n in (0, 100))
     assert one == two and len(set(one.values())) > 5
     assert detection_rules(spark).groupBy("ord").count().filter("count > 1").isEmpty()
+
+
+def test_lines_of_files_in_blocks(spark, tmp_path):
+    rng = random.Random(6)
+    want = []
+    for k in range(3):
+        pieces = ["".join(rng.choice("ab\f\n ") for _ in range(400)) for _ in range(30)] + (["x"] if k else [])
+        data = "".join(pieces) + "end" + "\r\n" * (k == 1) + "tail"
+        (tmp_path / f"{k}.txt").write_bytes(data.encode())
+        for p, page in enumerate(data.split("\f"), 1):
+            want += [(f"{k}.txt", p, n, t.removesuffix("\r")) for n, t in enumerate(page.split("\n"), 1)]
+    from ledgerline.sources import io
+
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("700b", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = [(r.file.rsplit("/", 1)[1], r.page_no, r.line_no, r.text) for r in io.text_lines(spark, str(tmp_path)).collect()]
+            assert sorted(got) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
