@@ -25,11 +25,15 @@ def net() -> Column:
 
 def balance_breaks(ordered: DataFrame, keys=ACCOUNT) -> DataFrame:
     """Rows whose balance doesn't follow from the row before, with expected balance and level (low_risk within tolerance)."""
-    df = ordered.withColumns({"prev_balance": before("balance", keys), "prev_optional": before("balance_optional", keys)})
+    return broken(ordered.withColumns({"prev_balance": before("balance", keys), "prev_optional": before("balance_optional", keys)}))
+
+
+def broken(df: DataFrame) -> DataFrame:
+    """Of rows that know the balance before (``prev_balance``, ``prev_optional``) those that don't follow from it."""
     df = df.withColumn("expected", (F.col("prev_balance") + net()).cast(MONEY))
-    broken = ~F.col("prev_optional") & ~F.col("balance_optional") & ~F.col("balance_segment_start") & (F.col("expected") != F.col("balance"))
+    off = ~F.col("prev_optional") & ~F.col("balance_optional") & ~F.col("balance_segment_start") & (F.col("expected") != F.col("balance"))
     level = F.when(F.abs(F.col("expected") - F.col("balance")) <= F.col("balance_tolerance"), "low_risk").otherwise("review")
-    return df.filter(broken).withColumn("level", level)
+    return df.filter(off).withColumn("level", level)
 
 
 def row_issues(ordered: DataFrame, keys=ACCOUNT) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import money, text
 from ledgerline.functions.money import MONEY, zero
-from ledgerline.operators import chain, dedupe, detect, filters, ordering, parse, quality, scenario, sequence, summary, verify
+from ledgerline.operators import carry, chain, dedupe, detect, filters, ordering, parse, quality, scenario, sequence, summary, verify
 from ledgerline.sources.ledgers import EVENTS_SQL, FILES_SQL, ORDERS_SQL, events_ledger, orders_ledger, overlapping_files, with_defaults
 
 QUERIES, SQL = {}, {}
@@ -113,6 +113,17 @@ def partial_clock_order(spark, sf_dir):
     return ordering.posting_order(orders_ledger(spark, sf_dir)).select("account_no", "row_no", F.col("posting_seq").cast("bigint").alias("posting_seq"))
 
 
+@query(f"WITH {ORDERS_SQL} SELECT account_no, row_no, seq AS posting_seq FROM ledger")
+def partial_clock_order_spread(spark, sf_dir):
+    """The same order with every account dealt to several tasks."""
+    return carry.posting_order(orders_ledger(spark, sf_dir)).select("account_no", "row_no", "posting_seq")
+
+
+@query(f"WITH {EVENTS_SQL}, p AS (SELECT *, CAST({_PREV} + income - expense AS DECIMAL(18,2)) AS expected FROM ledger) SELECT account_no, row_no, expected, balance FROM p WHERE expected <> balance")
+def balance_breaks_spread(spark, sf_dir):
+    return carry.balance_breaks(events_ledger(spark, sf_dir)).select("account_no", "row_no", "expected", "balance")
+
+
 @query(f"""WITH {FILES_SQL}, d AS (SELECT *, first_value(source_file) OVER (PARTITION BY account_no, ts, income, expense, balance, raw_amount ORDER BY source_file, row_no) AS first_file FROM files)
 SELECT source_file, account_no, row_no FROM d WHERE source_file = first_file""")
 def dedupe_files(spark, sf_dir):

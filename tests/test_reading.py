@@ -116,3 +116,20 @@ def test_lines_of_files_in_blocks(spark, tmp_path):
             assert sorted(got) == sorted(want)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_one_huge_account_fills_many_tasks(spark):
+    from ledgerline.operators import carry
+
+    rows = spark.range(6000).selectExpr("CASE WHEN id % 3 = 0 THEN 'huge' WHEN id % 3 = 1 THEN concat('a', id % 50) END AS account_no", "id AS n", "CASE WHEN id % 7 > 0 THEN id END AS v")
+    own = carry.in_sequence(rows, ["account_no"], ["n"], ["v"], partitions=16)
+    got = {r.n: (r.posting_seq, r.prev_v) for r in own.collect()}
+    seen, last = {}, {}
+    for r in rows.orderBy("n").collect():
+        seen[r.account_no] = seen.get(r.account_no, 0) + 1
+        assert got[r.n] == (seen[r.account_no], last.get(r.account_no))
+        last[r.account_no] = r.v
+    assert len(got) == 6000 and own.columns == ["account_no", "n", "v", "posting_seq", "prev_v"]
+    dealt = rows.repartitionByRange(16, "account_no", "n").withColumn("p", F.spark_partition_id()).groupBy("p").count().agg(F.max("count")).first()[0]
+    assert dealt < 1200  # a third of the rows has one account
+    assert carry.in_sequence(rows.limit(0), ["account_no"], ["n"], ["v"]).count() == 0
