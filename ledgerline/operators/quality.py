@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.text import month_key
 from ledgerline.operators.ordering import ACCOUNT
 
 
@@ -81,7 +80,3 @@ def counts_by(df: DataFrame, c: str) -> DataFrame:
 def accounts(statements: DataFrame) -> DataFrame:
     """Account records with a review flag: confidence under 90, or no bank."""
     return statements.select("account_no", "account_name", "bank_id", ((F.coalesce("bank_confidence", F.lit(0)) < 90) | F.col("bank_id").isNull()).alias("needs_review"))
-
-
-def months_of(ledger: DataFrame) -> DataFrame:
-    return ledger.withColumn("month", month_key(F.col("transaction_time")))

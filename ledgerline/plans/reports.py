@@ -229,13 +229,15 @@ def gold_checks(spark, sf_dir):
     return figures.join(n, "account_no", "left").fillna(0, ["differences"])
 
 
-@query(f"""WITH {ORDERS_SQL}, m AS (SELECT * FROM ledger WHERE month(ts) IN (3, 4)), a AS (SELECT account_no, 'ledger' AS side, {_SIDE} FROM m GROUP BY account_no), b AS (SELECT account_no, 'gold' AS side, {_SIDE} FROM m GROUP BY account_no) SELECT *, 0 AS differences FROM a UNION ALL SELECT *, 0 FROM b""")
+@query(f"""WITH {ORDERS_SQL}, m AS (SELECT * FROM ledger WHERE month(ts) IN (3, 4)), a AS (SELECT account_no, 'ledger' AS side, {_SIDE} FROM m GROUP BY account_no), h AS (SELECT * REPLACE (CASE WHEN row_no % 10 = 0 THEN income + 1 ELSE income END AS income) FROM m), b AS (SELECT account_no, 'gold' AS side, {_SIDE} FROM h GROUP BY account_no),
+d AS (SELECT account_no, CAST(count(*) FILTER (row_no % 10 = 0) AS INTEGER) AS differences FROM m GROUP BY account_no) SELECT x.*, d.differences FROM (SELECT * FROM a UNION ALL SELECT * FROM b) x JOIN d USING (account_no)""")
 def merged_gold_checks(spark, sf_dir):
-    """Two files that overlap, against checked rows of two months of each year."""
+    """Two files that overlap, against checked rows of two months of each year, of which every tenth says another income."""
     rows = orders_ledger(spark, sf_dir)
     a = rows.filter("row_no % 3 <> 0").withColumn("source_file", F.lit("a"))
     both = a.unionByName(rows.filter("row_no % 3 <> 1").withColumn("source_file", F.lit("b"))).withColumn("merge_key", F.lpad(F.col("row_no").cast("string"), 12, "0"))
     gold = rows.filter("month(transaction_time) IN (3, 4)").withColumn("merge_key", F.lpad(F.col("row_no").cast("string"), 12, "0"))
+    gold = gold.withColumn("income", F.when(F.col("row_no") % 10 == 0, F.col("income") + 1).otherwise(F.col("income")).cast(MONEY))
     differences, figures = reports.merged_gold_check(both, gold)
     n = differences.groupBy("account_no").agg(F.count("*").alias("differences"))
     return figures.join(n, "account_no", "left").fillna(0, ["differences"]).withColumn("differences", F.col("differences").cast("int"))

@@ -31,7 +31,11 @@ def period_totals(rows: DataFrame, window: str = "30 days", late: str = "30 days
 
 
 def chain_breaks(rows: DataFrame) -> DataFrame:
-    """Breaks of the balance across micro-batches; the state is one balance (in cents) an account. Rows are taken in order within a batch."""
+    """Breaks of the balance across micro-batches; the state is one balance (in cents) an account.
+
+    Rows are put in order within a batch only: a row that arrives in a later batch than the rows after it is taken as the
+    next one, and shows as a break there. Sources that deliver late must be ordered before.
+    """
 
     def check(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
