@@ -27,7 +27,7 @@ from .common import materialise, small_batches
 TRIGGER = 16  # one word in so many begins a chunk
 LONGEST = 5
 #: Positions in one row of the parsed corpus; 12 bytes each.
-ROW_POSITIONS = 2_000_000
+ROW_POSITIONS = 600_000
 #: Frequent phrases of a level that are sent to tasks; more are joined.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 #: Class of each byte: 0 in a word, 1 blank, 2 border of pieces; and its lower-case form (A-Z only).
@@ -132,6 +132,7 @@ def arrange(dictionary: DataFrame, longest: int = LONGEST, row_positions: int =
                 if size >= row_positions:
                     yield pa.RecordBatch.from_pylist([row(held) | {"shard": base + seq}], _PARSED_ARROW)
                     held, size, seq = [], 0, seq + 1
+                    pa.default_memory_pool().release_unused()
         if held:
             yield pa.RecordBatch.from_pylist([row(held) | {"shard": base + seq}], _PARSED_ARROW)
 
@@ -204,7 +205,9 @@ class _Row:
         local[keep] = np.arange(len(keep))
         ids = np.full(len(self.ids), -1, np.int32)
         ids[self.places] = local[self.which]
-        self.ids, self.numbers, self.level = ids, numbers[keep], self.level + 1
+        held = ids >= 0  # one place stays as a gap after each run
+        held[1:] |= held[:-1]
+        self.ids, self.weights, self.numbers, self.level = ids[held], self.weights[held], numbers[keep], self.level + 1
         self.words, self.langs = [], []
 
     def keys(self, first, second):
@@ -243,47 +246,57 @@ class _Sent:
         return np.where(hit & (self.key[at] == key), self.number[at], -1)
 
 
-def _rows(batches):
+def _rows(batches, sent: list):
+    """(shard, row) of the batches, one at a time, brought to the level of the last of ``sent``."""
     for b in batches:
         for k in range(b.num_rows):
-            yield b.slice(k, 1).to_pylist()[0]
+            r = b.slice(k, 1).to_pylist()[0]
+            own = _Row(r)
+            for s in sent:
+                first, second, _ = own.candidates()
+                own.advance(s.value.find(*own.keys(first, second)))
+            yield r["shard"], own
+            del r, own
+            pa.default_memory_pool().release_unused()
 
 
 def count_level(parsed: DataFrame, sent: list, first_level: bool) -> DataFrame:
     """Candidates of the next level in each row: shard, local, lang and word or p and s, n."""
 
     def run(batches):
-        for r in _rows(batches):
-            own = _Row(r)
-            for s in sent:
-                a, b, _ = own.candidates()
-                own.advance(s.value.find(*own.keys(a, b)))
+        for shard, own in _rows(batches, sent):
             a, b, n = own.candidates()
             keys = own.keys(a, b)
             for k in range(0, len(n), 1 << 16):
                 e = min(len(n), k + (1 << 16))
                 cut = [pa.array(x[k:e], t) for x, t in zip(keys, (pa.string(), pa.binary()) if first_level else (pa.int64(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays([pa.array([r["shard"]] * (e - k), pa.int64()), pa.array(np.arange(k, e)), *cut, pa.array(n[k:e])], ["shard", "local", *names, "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(e - k, shard)), pa.array(np.arange(k, e)), *cut, pa.array(n[k:e])], ["shard", "local", *names, "n"])
 
     names = ("lang", "word") if first_level else ("p", "s")
     return parsed.mapInArrow(run, f"shard bigint, local bigint, {'lang string, word binary' if first_level else 'p bigint, s bigint'}, n bigint")
 
 
+def _advance(parsed: DataFrame, sent: list) -> DataFrame:
+    """The rows at the level of the last of ``sent``, written; only what may still grow is left of them."""
+
+    def run(batches):
+        for shard, own in _rows(batches, sent):
+            if len(own.ids):
+                yield pa.RecordBatch.from_pylist([own.row(shard)], _PARSED_ARROW)
+
+    return materialise(parsed.mapInArrow(run, PARSED), "phrases-rows")
+
+
 def _advance_by_join(parsed: DataFrame, sent: list, found: DataFrame) -> DataFrame:
     """The rows one level on where numbers are too many to broadcast: found(shard, local, number) meets each row by its shard."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        for r in left.to_pylist():
-            own = _Row(r)
-            for s in sent:
-                a, b, _ = own.candidates()
-                own.advance(s.value.find(*own.keys(a, b)))
-            own.candidates()
-            numbers = np.full(int(own.which.max()) + 1 if len(own.which) else 0, -1, np.int64)
+        for shard, own in _rows(left.to_batches(), sent):
+            numbers = np.full(len(own.candidates()[2]), -1, np.int64)
             numbers[right.column("local").to_numpy()] = right.column("number").to_numpy()
             own.advance(numbers)
-            out.append(own.row(r["shard"]))
+            out.append(own.row(shard))
         return pa.Table.from_pylist(out, _PARSED_ARROW)
 
     return materialise(parsed.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(run, PARSED), "phrases-rows")
@@ -319,6 +332,8 @@ def frequent(docs: DataFrame, least: int, text_col: str = "text", lang_col: str
         size = table.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("word")), F.lit(0)) if k == 1 else F.lit(0)).first()
         if size[0] <= broadcast_rows and size[1] <= BROADCAST_BYTES:
             sent = [*sent, spark.sparkContext.broadcast(_Sent(k, table.select("number", *by).toArrow()))]
+            if k == 2:  # few phrases of two words are frequent: from here on the rows are short
+                parsed, sent = _advance(parsed, sent), []
         else:
             found = counted.join(table.select("number", *by), by).select("shard", "local", "number")
             parsed, sent = _advance_by_join(parsed, sent, found), []
