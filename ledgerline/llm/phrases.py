@@ -24,7 +24,7 @@ from pyspark.sql import Window
 
 from .common import materialise, small_batches
 
-TRIGGER = 16  # one word in so many begins a chunk
+TRIGGER = 32  # one word in so many begins a chunk
 LONGEST = 5
 #: Positions in one row of the parsed corpus; 12 bytes each.
 ROW_POSITIONS = 600_000
