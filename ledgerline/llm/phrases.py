@@ -27,7 +27,7 @@ from .common import materialise, small_batches
 TRIGGER = 32  # one word in so many begins a chunk
 LONGEST = 5
 #: Positions in one row of the parsed corpus; 12 bytes each.
-ROW_POSITIONS = 600_000
+ROW_POSITIONS = 300_000
 #: Frequent phrases of a level that are sent to tasks; more are joined.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 #: Class of each byte: 0 in a word, 1 blank, 2 border of pieces; and its lower-case form (A-Z only).
@@ -97,7 +97,7 @@ def parse(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longe
                 held.append(data.to_pybytes())
                 some.append(k)
                 size += len(data)
-                if size >= 2 << 20 or k == b.num_rows - 1:
+                if size >= 1 << 20 or k == b.num_rows - 1:
                     chunks, at = chunks_of(b"\n".join(held), longest)  # a line end is a border of pieces
                     doc = np.searchsorted(np.cumsum([len(x) + 1 for x in held]), at, "right")
                     yield pa.RecordBatch.from_arrays([langs.take(pa.array(np.array(some)[doc])), chunks], ["lang", "chunk"])
