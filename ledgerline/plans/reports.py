@@ -46,6 +46,13 @@ def merged_sequenced(spark, sf_dir):
     return checked.groupBy("account_no", "statement_id").agg(F.count("*").alias("rows"), F.when(F.bool_and(merged & trail), F.bool_and("_ok")).alias("linked"), F.when(F.bool_and(merged), F.max("row_no")).alias("last_row"))
 
 
+@query(_PARTS + " SELECT account_no, row_number() OVER (PARTITION BY account_no ORDER BY seq) AS statement_order, bal0 AS balance FROM t JOIN n USING (account_no) WHERE k = 1 AND parts > 1")
+def merged_trails(spark, sf_dir):
+    """Which row stands where in statements that are merged and ordered by their balances."""
+    got = merge.merge_sequenced(_named_files(spark, sf_dir)).filter("bank_id = 'mintai' AND startswith(statement_id, 'account:')")
+    return got.select("account_no", F.col("statement_order").cast("bigint").alias("statement_order"), "balance")
+
+
 @query(_PARTS + """, s AS (SELECT * FROM t JOIN n USING (account_no) WHERE k = 2)
 SELECT account_no, CASE WHEN parts > 1 THEN 'account:' || account_no ELSE 'file:' || account_no || part END AS statement_id, count(*) AS "rows", CASE WHEN parts > 1 THEN 2 ELSE 0 END AS segments FROM s WHERE parts = 1 OR mt < TIMESTAMP '1995-06-01' OR mt >= TIMESTAMP '1996-01-01' GROUP BY account_no, parts, CASE WHEN parts > 1 THEN 'account:' || account_no ELSE 'file:' || account_no || part END
 HAVING parts = 1 OR (count(*) FILTER (part = 'a') > 0 AND count(*) FILTER (part = 'b') > 0 AND (SELECT count(*) FROM s y WHERE y.account_no = s.account_no AND y.mt >= TIMESTAMP '1995-06-01' AND y.mt < TIMESTAMP '1996-01-01') > 0)""")

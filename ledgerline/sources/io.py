@@ -91,7 +91,20 @@ def work_folder(spark: SparkSession, name: str) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="ledger-")
-    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+_MADE: list[str] = []
+
+
+def remove_work(spark: SparkSession) -> int:
+    """Delete the folders that this process named in the shared folder; for callers that have read or written all results. How many there were."""
+    count = 0
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        count += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return count
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -133,3 +133,11 @@ def test_one_huge_account_fills_many_tasks(spark):
     dealt = rows.repartitionByRange(16, "account_no", "n").withColumn("p", F.spark_partition_id()).groupBy("p").count().agg(F.max("count")).first()[0]
     assert dealt < 1200  # a third of the rows has one account
     assert carry.in_sequence(rows.limit(0), ["account_no"], ["n"], ["v"]).count() == 0
+
+
+def test_work_folders_can_be_removed(spark):
+    from ledgerline.sources import io
+
+    io.remove_work(spark)
+    kept = io.written(spark.range(3), "some")
+    assert kept.count() == 3 and io.remove_work(spark) == 1 and io.remove_work(spark) == 0
