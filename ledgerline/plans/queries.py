@@ -216,17 +216,26 @@ _PAIRS = f"""WITH {EVENTS_SQL}, a AS (SELECT account_no, seq * 2 AS seq, row_no,
   SELECT account_no, seq * 2 + 1, -row_no, CAST(-income AS DECIMAL(18,2)), CAST(-expense AS DECIMAL(18,2)), CAST(bal0 - income + expense AS DECIMAL(18,2)) FROM ledger WHERE row_no % 3 = 0 AND income <> expense)"""
 
 
-@query(_PAIRS + " SELECT account_no, count(*) AS \"rows\", CAST(sum(income - expense) AS DECIMAL(18,2)) AS net FROM a x WHERE NOT EXISTS (SELECT 1 FROM a y WHERE y.account_no = x.account_no AND y.row_no = -x.row_no) GROUP BY account_no")
-def reversal_pairs(spark, sf_dir):
+_KEPT = _PAIRS + " SELECT account_no, count(*) AS \"rows\", CAST(sum(income - expense) AS DECIMAL(18,2)) AS net FROM a x WHERE NOT EXISTS (SELECT 1 FROM a y WHERE y.account_no = x.account_no AND y.row_no = -x.row_no) GROUP BY account_no"
+
+
+@query(_KEPT)
+def reversal_pairs(spark, sf_dir, look=chain.beside):
     rows = events_ledger(spark, sf_dir)
     running = Window.partitionBy("account_no").orderBy("transaction_time", "row_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("balance", (F.lit(10000) + F.sum(F.col("income") - F.col("expense")).over(running)).cast(MONEY))
     rows = rows.withColumn("posting_seq", F.row_number().over(Window.partitionBy("account_no").orderBy("transaction_time", "row_no")) * 2)
     back = rows.filter((F.col("row_no") % 3 == 0) & (F.col("income") != F.col("expense"))).withColumns({"posting_seq": F.col("posting_seq") + 1, "balance": (F.col("balance") - F.col("income") + F.col("expense")).cast(MONEY), "income": (-F.col("income")).cast(MONEY), "expense": (-F.col("expense")).cast(MONEY)})
-    kept = chain.without_reversal_pairs(rows.unionByName(back))
+    kept = chain.without_reversal_pairs(rows.unionByName(back), look=look)
     return kept.groupBy("account_no").agg(F.count("*").alias("rows"), F.sum(F.col("income") - F.col("expense")).cast(MONEY).alias("net"))
 
 
+@query(_KEPT)
+def reversal_pairs_spread(spark, sf_dir):
+    """The same with every account dealt to several tasks."""
+    return reversal_pairs(spark, sf_dir, carry.beside)
+
+
 @query(_D + " SELECT account_no, row_no FROM p WHERE NOT coalesce(delta = 0 AND income <> expense, false)")
 def unmoved_rows(spark, sf_dir):
     return chain.without_unmoved(ordering.posting_order(events_ledger(spark, sf_dir))).select("account_no", "row_no")
@@ -314,19 +323,31 @@ def beam_repair(spark, sf_dir):
 
 
 @query(_CHAIN + " SELECT account_no, row_no, b AS fixed_balance FROM t")
-def chain_repair(spark, sf_dir):
+def chain_repair(spark, sf_dir, pieces=None):
     rows = _noisy(spark, sf_dir)
     # a digit of every seventh balance is lost
     lost = F.when(F.col("row_no") % 7 == 0, F.regexp_replace(F.col("true_balance").cast("string"), r"^(\d{3})\d", "$1")).otherwise(F.col("true_balance").cast("string"))
     first = F.col("posting_seq") == 1
     rows = rows.withColumn("raw_balance", F.when(first, F.col("true_balance").cast("string")).otherwise(lost)).withColumn("balance", F.col("raw_balance").cast(MONEY))
-    return sequence.supported_balances(rows).select("account_no", "row_no", "fixed_balance")
+    return sequence.supported_balances(rows, pieces=pieces).select("account_no", "row_no", "fixed_balance")
+
+
+@query(_CHAIN + " SELECT account_no, row_no, b AS fixed_balance FROM t")
+def chain_repair_spread(spark, sf_dir):
+    """The same with every statement dealt to several tasks."""
+    return chain_repair(spark, sf_dir, 16)
 
 
 @query(_CHAIN + " SELECT account_no, row_no, b AS fixed_balance FROM t")
-def backward_repair(spark, sf_dir):
+def backward_repair(spark, sf_dir, pieces=None):
     rows = _noisy(spark, sf_dir).withColumn("balance", F.when((F.col("posting_seq") == 1) | (F.col("row_no") % 3 != 0), F.col("true_balance")))
-    return sequence.backward_chain(rows).select("account_no", "row_no", "fixed_balance")
+    return sequence.backward_chain(rows, pieces=pieces).select("account_no", "row_no", "fixed_balance")
+
+
+@query(_CHAIN + " SELECT account_no, row_no, b AS fixed_balance FROM t")
+def backward_repair_spread(spark, sf_dir):
+    """The same with every statement dealt to several tasks."""
+    return backward_repair(spark, sf_dir, 16)
 
 
 @query(_CHAIN + " SELECT account_no, row_no, b AS fixed_balance FROM t")
@@ -362,9 +383,18 @@ def _page_rows(spark, sf_dir):
     return rows.withColumn("printed", F.when((F.col("row_no") - 1) % 3 == 0, total))
 
 
-@query(f"WITH {_LINES} SELECT l_orderkey AS source_file, CAST(row_no AS INTEGER) AS row_no, CAST(last_value(printed IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY row_no ROWS UNBOUNDED PRECEDING) AS DECIMAL(18,2)) AS page_total FROM lt")
-def asof_page_total(spark, sf_dir):
-    return chain.page_totals(_page_rows(spark, sf_dir), "printed").select("source_file", "row_no", F.col("page_total").cast(MONEY).alias("page_total"))
+_ASOF = f"WITH {_LINES} SELECT l_orderkey AS source_file, CAST(row_no AS INTEGER) AS row_no, CAST(last_value(printed IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY row_no ROWS UNBOUNDED PRECEDING) AS DECIMAL(18,2)) AS page_total FROM lt"
+
+
+@query(_ASOF)
+def asof_page_total(spark, sf_dir, look=chain.beside):
+    return chain.page_totals(_page_rows(spark, sf_dir), "printed", look=look).select("source_file", "row_no", F.col("page_total").cast(MONEY).alias("page_total"))
+
+
+@query(_ASOF)
+def asof_page_total_spread(spark, sf_dir):
+    """The same with every file dealt to several tasks."""
+    return asof_page_total(spark, sf_dir, carry.beside)
 
 
 @query(f"WITH {_LINES} SELECT l_orderkey AS source_file, CAST(row_no AS INTEGER) AS row_no, amt AS income FROM lp")

@@ -135,6 +135,60 @@ def test_one_huge_account_fills_many_tasks(spark):
     assert carry.in_sequence(rows.limit(0), ["account_no"], ["n"], ["v"]).count() == 0
 
 
+def _huge(spark, n=4000):
+    """A third of the rows and more has one account; some balances are missing, some rows are cancelled by the next one."""
+    rng, balances, rows = random.Random(8), {}, []
+    for k in range(n):
+        account = "huge" if k % 2 else None if k % 10 == 0 else f"a{k % 30}"
+        last = balances.get(account, 50_000)
+        again = k > 2 and k % 2 and rng.random() < 0.3 and rows[-2][1] == account
+        amount = -rows[-2][2] if again else rng.choice([1, -1]) * rng.randint(1, 900)
+        balances[account] = last + amount
+        shown = None if rng.random() < 0.1 else balances[account] * rng.choice([1] * 9 + [10])
+        rows.append((k, account, amount, shown))
+    df = spark.createDataFrame(rows, "k long, account_no string, amount long, shown long")
+    money = lambda c: F.col(c).cast("decimal(18,2)")
+    made = df.select("account_no", F.col("k").alias("row_no"), F.col("k").alias("ingest_seq"), F.lit(1).alias("page_no"), F.lit("f").alias("source_file"), F.timestamp_seconds(F.col("k") * 900).alias("transaction_time"), F.greatest(money("amount"), F.lit(0)).cast("decimal(18,2)").alias("income"), F.greatest(-money("amount"), F.lit(0)).cast("decimal(18,2)").alias("expense"), money("shown").alias("balance"), F.col("amount").cast("string").alias("raw_amount"), F.col("shown").cast("string").alias("raw_balance"), F.lit("利息").alias("raw_text"), (F.col("k") % 3 == 0).alias("reliable"))
+    return made.withColumns({"posting_seq": F.col("row_no") * 3, "repaired": F.lit(None).cast("string"), "issue_codes": F.array().cast("array<string>"), "balance_optional": F.lit(False), "balance_segment_start": F.lit(False), "balance_tolerance": F.lit(0).cast("decimal(18,2)"), "amount": F.abs(money("raw_amount"))})
+
+
+@pytest.mark.parametrize("what", ["balance_breaks", "amounts_from_balance", "direction_from_balance", "without_reversal_pairs", "flipped_by_balance", "without_unmoved", "plausible_amounts", "mark_optional_dates", "page_totals"])
+def test_repairs_of_huge_accounts_equal_the_windows(spark, what):
+    from ledgerline.operators import carry, chain
+
+    rows = _huge(spark).withColumn("total", F.when(F.col("row_no") % 997 == 1, F.col("row_no")))
+    more = {"direction_from_balance": ["amount"], "plausible_amounts": ["reliable"], "page_totals": ["total", ["account_no"]], "mark_optional_dates": [["nothing"]]}.get(what, [])
+    spread = lambda *a, **k: carry.beside(*a, **k, partitions=16)
+    for df in (rows, rows.limit(0)):
+        plain, dealt = (getattr(chain, what)(df, *more, look=look) for look in (chain.beside, spread))
+        assert plain.columns == dealt.columns
+        of = lambda d: sorted(d.collect(), key=lambda r: r.row_no)
+        assert of(plain) == of(dealt)
+
+
+@pytest.mark.parametrize("what", ["supported_balances", "backward_chain", "scale_repair", "pick_balance", "pick_amount_and_balance"])
+def test_row_repairs_in_pieces_equal_the_stream(spark, what):
+    from ledgerline.operators import sequence
+
+    rows = _huge(spark, 1500)
+    keep = ["row_no", "fixed_income", "fixed_expense", "fixed_balance", "fixed_by"]
+    for df in (rows, rows.limit(0)):
+        plain, dealt = (sorted(getattr(sequence, what)(df, pieces=n).select(*keep).collect()) for n in (None, 12))
+        assert plain == dealt and len(plain) == df.count()
+
+
+def test_pieces_run_again_where_the_state_is_carried(spark):
+    """Balances that are missing from the second row on: every piece's true beginning comes from the pieces before it."""
+    from ledgerline.operators import sequence
+
+    rows = _huge(spark, 600).withColumn("account_no", F.lit("one")).withColumn("balance", F.when(F.col("row_no") == 0, F.lit(1000)).cast("decimal(18,2)"))
+    got = sequence.backward_chain(rows, pieces=6).orderBy("posting_seq").collect()
+    total = 1000
+    for r in got[1:]:
+        total += r.income - r.expense
+        assert r.fixed_balance == total and r.fixed_by == "balance_filled"
+
+
 def test_work_folders_can_be_removed(spark):
     from ledgerline.sources import io
 
