@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.money import MONEY, sheet_money, to_money, zero
 from ledgerline.functions.text import compact_cell, sheet_timestamp
+from ledgerline.operators import chain
 
 NO_CODES = "array<string>"
 
@@ -216,7 +217,8 @@ def band_cells(words: DataFrame, anchors: DataFrame, columns: DataFrame, slack:
 
     words(file, page_no, x0, x1, top, text), anchors(file, page_no, top, row_no and, if rows differ, slack), columns(file,
     name, left, right). Columns may also have ``page_no`` (edges that differ by page), ``at`` (which edge of a word counts:
-    left, right, else the middle), and ``above`` and ``below``: how far from the anchor their words lie at most.
+    left, right, else the middle), ``above`` and ``below``: how far from the anchor their words lie at most, and ``rx``: what is
+taken of a word, and words without it aren't in the column.
     A cell's lines are joined by line ends. Bands are looked up as-of in one sorted pass, so a page with many anchors costs no more than its words.
     """
     own = F.coalesce("slack", F.lit(slack)) if "slack" in anchors.columns else F.lit(slack)
@@ -229,6 +231,9 @@ def band_cells(words: DataFrame, anchors: DataFrame, columns: DataFrame, slack:
     put = placed.join(columns, ["file", "page_no"] if "page_no" in columns.columns else "file").filter((where >= F.col("left")) & (where < F.col("right")))
     off = F.col("top") - F.col("band")["from"]
     put = put.filter((off >= -F.coalesce(has("above", "double"), F.lit(1e9))) & (off < F.coalesce(has("below", "double"), F.lit(1e9))))
+    if "rx" in columns.columns:
+        part = F.when(F.col("rx").isNull(), F.col("text")).otherwise(F.call_function("regexp_extract", F.col("text"), F.col("rx"), F.lit(0)))
+        put = put.withColumn("text", part).filter("rx IS NULL OR text <> ''")
     cells = put.groupBy("file", "page_no", F.col("band.row_no").alias("row_no"), "name").agg(F.collect_list(F.struct("top", "x0", "text")).alias("w"))
     return cells.select("file", "page_no", "row_no", "name", _lines_text(F.col("w")).alias("text"))
 
@@ -431,14 +436,43 @@ def _by_layout_rows(rows: DataFrame, row_no: str) -> DataFrame:
 FIELDS = {"date": "raw_time", "time": "raw_clock", "amount": "raw_amount", "credit": "raw_credit", "debit": "raw_debit", "direction": "raw_direction", "balance": "raw_balance", "text": "raw_text"}
 
 
-def line_ledger(lines: DataFrame, layouts: DataFrame) -> DataFrame:
-    """Text lines to ledger rows by the layout's pattern; ``columns`` tell which group is what (without: 1 date, 2 amount, 3 balance, 4 text); skip words drop lines."""
-    joined = lines.join(layouts.filter("shape = 'L' AND rx IS NOT NULL"), "bank_id").filter(~F.exists("skip_keywords", lambda k: F.contains("text", k)))
+def row_blocks(lines: DataFrame, layouts: DataFrame, look=chain.beside) -> DataFrame:
+    """Rows of several lines, one text a row with its layout's columns: lines from one like ``block.start`` to the next, without those like ``block.skip``.
+
+    Lines before a file's first start belong to no row. Only one row's lines must fit a task; where a whole file doesn't,
+    ``look`` is ``carry.beside``.
+    """
+    own = lines.join(layouts.select("bank_id", F.col("rx").alias("_rx"), "block", "skip_keywords"), "bank_id")
+    own = own.filter(~F.exists("skip_keywords", lambda k: F.contains("text", k))).withColumn("text", F.trim("text"))
+    own = own.filter(~F.regexp_like("text", F.col("block.skip"))).withColumn("_start", F.when(F.regexp_like("text", F.col("block.start")), F.struct("page_no", "line_no")))
+    of = ["file", "bank_id", "_rx"]
+    placed = look(own.select(*of, "page_no", "line_no", "text", "_start"), of, order=["page_no", "line_no"], known=["_start"])
+    placed = placed.withColumn("_at", F.coalesce("_start", "_known__start")).filter("_at IS NOT NULL")
+    whole = placed.groupBy(*of, "_at").agg(F.array_sort(F.collect_list(F.struct("page_no", "line_no", "text"))).alias("_lines"))
+    text = F.array_join(F.transform("_lines", lambda r: r["text"]), " ").alias("text")
+    rows = whole.select("file", F.col("bank_id").alias("_bank"), "_rx", F.col("_at.page_no").alias("page_no"), F.col("_at.line_no").alias("line_no"), text)
+    return rows.join(layouts, (F.col("_bank") == F.col("bank_id")) & F.col("_rx").eqNullSafe(F.col("rx"))).drop("_bank", "_rx")
+
+
+def line_ledger(lines: DataFrame, layouts: DataFrame, look=chain.beside) -> DataFrame:
+    """Text lines to ledger rows by the layout's pattern; ``columns`` tell which group is what (without: 1 date, 2 amount, 3 balance, 4 text); skip words drop lines.
+
+    Layouts with a ``block`` are read from ``row_blocks``, those with ``parts`` by these.
+    """
+    known = layouts.filter("shape = 'L' AND rx IS NOT NULL")
+    alone = known.filter("block IS NULL") if "block" in layouts.columns else known
+    joined = lines.join(alone, "bank_id").filter(~F.exists("skip_keywords", lambda k: F.contains("text", k)))
+    if alone is not known:
+        joined = joined.unionByName(row_blocks(lines, known.filter("block IS NOT NULL"), look), allowMissingColumns=True)
     hit = joined.filter(F.regexp_like("text", F.col("rx")))
     if "columns" not in layouts.columns:
         hit = hit.withColumn("columns", F.create_map(*[x for k, v in {"date": 1, "amount": 2, "balance": 3, "text": 4}.items() for x in (F.lit(k), F.lit(v))]))
     group = lambda f: F.nullif(F.call_function("regexp_extract", F.col("text"), F.col("rx"), F.coalesce(F.try_element_at("columns", F.lit(f)), F.lit(0))), F.lit(""))
     found = {c: F.when(F.map_contains_key("columns", f), group(f)) for f, c in FIELDS.items()}
+    if "parts" in layouts.columns:
+        nth = lambda p: F.struct(p["name"], F.try_element_at(F.regexp_extract_all(F.col("text"), p["rx"], F.lit(0)), p["at"]))
+        hit = hit.withColumn("_parts", F.map_from_entries(F.transform("parts", nth)))
+        found = {c: F.coalesce(F.try_element_at("_parts", F.lit(f)), found[c]) for f, c in FIELDS.items()}
     read = hit.withColumns(found)
     if layouts.filter("amount_mode = 'balance'").isEmpty():
         return _by_layout_rows(read, "line_no")
@@ -480,6 +514,7 @@ def word_ledger(words: DataFrame, anchors: DataFrame | None, layouts: DataFrame)
     layouts = layouts.filter("shape = 'P'")
     files = anchors.select("file", "bank_id").distinct()
     boxed = files.join(layouts.filter("boxes IS NOT NULL").select("bank_id", F.inline("boxes")), "bank_id").drop("bank_id")
+    boxed = boxed if "rx" in boxed.columns else boxed.withColumn("rx", F.lit(None).cast("string"))
     starts = anchors.select("file", "page_no", "top", "row_no", *[c for c in ("slack",) if c in anchors.columns])
     put = band_cells(words, starts, boxed)
     if not layouts.filter("boxes IS NULL AND heads IS NOT NULL").isEmpty():
@@ -488,4 +523,4 @@ def word_ledger(words: DataFrame, anchors: DataFrame | None, layouts: DataFrame)
     # one map a row: what a field holds, in one shuffle
     wide = put.groupBy("file", "page_no", "row_no").agg(F.map_from_entries(F.collect_list(F.struct("name", "text"))).alias("fields"))
     named = wide.select("file", "page_no", "row_no", *[F.try_element_at("fields", F.lit(f)).alias(c) for f, c in FIELDS.items()])
-    return _by_layout_rows(named.join(files.join(layouts.drop("columns", "boxes", "anchor", "heads", "rx"), "bank_id"), "file"), "row_no")
+    return _by_layout_rows(named.join(files.join(layouts.drop("columns", "boxes", "anchor", "heads", "rx", "block", "parts"), "bank_id"), "file"), "row_no")

@@ -340,6 +340,34 @@ def even_row(c):
     return c % 2 == 0
 
 
+
+@query("""SELECT o_orderkey AS file, ['bazhou_shunfeng_corp', 'cmb_corp', 'cmb_corp', 'customer_detail_corp'][CAST(o_orderkey % 4 AS INTEGER) + 1] AS bank_id, CASE WHEN o_orderkey % 4 = 2 THEN 'P' ELSE 'L' END AS shape,
+CAST(o_orderdate AS DATE) + INTERVAL 20 YEAR + CASE WHEN o_orderkey % 2 = 0 THEN INTERVAL 37230 SECOND ELSE INTERVAL 0 SECOND END AS at, CAST(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END AS DECIMAL(18,2)) AS income, CAST(CASE WHEN o_orderstatus = 'F' THEN 0 ELSE o_totalprice END AS DECIMAL(18,2)) AS expense,
+CAST(1 AS DECIMAL(18,2)) AS balance, coalesce(o_orderkey % 4 <> 2, false) AS continued FROM orders""")
+def registered_blocks(spark, sf_dir):
+    """Rows of several lines over two pages, amounts counted from the right, continued descriptions, and words of which a part is taken."""
+    from ledgerline.sources.layouts import layouts
+
+    orders = table(spark, sf_dir, "orders")
+    k, gets, p = F.col("o_orderkey") % 4, F.col("o_orderstatus") == "F", F.format_number(F.col("o_totalprice").cast(MONEY), 2)
+    day = F.add_months("o_orderdate", 240)
+    iso, flat, signed = F.date_format(day, "yyyy-MM-dd"), F.date_format(day, "yyyyMMdd"), F.concat(F.when(gets, "+").otherwise("-"), p)
+    bank = F.when(k == 0, "bazhou_shunfeng_corp").when(k == 3, "customer_detail_corp").otherwise("cmb_corp")
+    line = lambda page, no, *t: F.struct(F.lit(page).alias("page_no"), F.lit(no).alias("line_no"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in t]).alias("text"))
+    out_in = F.when(gets, F.concat(F.lit("0.00 "), p)).otherwise(F.concat(p, F.lit(" 0.00")))
+    blocks = F.array(line(1, 1, "提示 7.77 8.88 9.99"), line(1, 2, iso, " 转账 5.55"), line(1, 3, "10:20:30 continued"), line(1, 4, ""), line(2, 1, "第2页 1.11"), line(2, 2, out_in, " 1.00 rest"))
+    own = F.array(line(1, 1, "heading 1.00"), line(1, 2, flat, "fee wire ", F.ltrim(signed, F.lit("+")), " 1.00 name"), line(2, 1, "continued 9.99"), line(2, 2, "第 1 页 5.00"))
+    detail = F.array(line(1, 1, "heading"), line(1, 2, flat, " ", signed, " 1.00 6222 name"), line(2, 1, "交易日期 heading"), line(2, 2, "continued"))
+    lines = orders.filter(k != 2).select(F.col("o_orderkey").alias("file"), bank.alias("bank_id"), F.inline(F.when(k == 0, blocks).when(k == 1, own).otherwise(detail)))
+    word = lambda x0, top, t: F.struct(F.lit(x0).alias("x0"), F.lit(x0 + 30.0).alias("x1"), F.lit(top).alias("top"), (F.lit(t) if isinstance(t, str) else t).alias("text"))
+    put = F.array(word(40.0, 20.0, iso), word(40.0, 30.0, "10:20:30"), word(90.0, 20.0, F.when(gets, "note1.23").otherwise(p)), word(180.0, 20.0, F.when(gets, p).otherwise("none")), word(270.0, 20.0, "1.00name"), word(300.0, 30.0, "x2.00"))
+    words = orders.filter(k == 2).select(F.col("o_orderkey").alias("file"), F.lit("cmb_corp").alias("bank_id"), F.lit(1).alias("page_no"), F.inline(put))
+    known = layouts(spark)
+    got = parse.line_ledger(lines, known).unionByName(parse.word_ledger(words, None, known))
+    whole = F.coalesce(F.contains("raw_text", F.lit("continued")) & ~F.contains("raw_text", F.lit("heading")) & ~F.contains("raw_text", F.lit("第")), F.lit(False))
+    return got.select(F.col("source_file").alias("file"), "bank_id", "shape", F.col("transaction_time").alias("at"), "income", "expense", "balance", whole.alias("continued"))
+
+
 @query("""SELECT o_orderkey AS file, CAST(o_orderdate AS DATE) + INTERVAL 20 YEAR AS day, CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE 0 END AS DECIMAL(18,2)) AS income, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE o_totalprice END AS DECIMAL(18,2)) AS expense,
 CAST(1 AS DECIMAL(18,2)) AS balance, ['mintai', 'hengfeng', 'dezhou_corp', 'huishang'][CAST(o_orderkey % 4 AS INTEGER) + 1] AS bank_id FROM orders""")
 def registered_words(spark, sf_dir):

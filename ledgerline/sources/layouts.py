@@ -1,7 +1,9 @@
 """The registry of layouts: how each issuer's lines, cells or words become ledger rows. Adding a layout adds a row.
 
-``columns`` are pattern groups of lines (L); cells (C, M) find their columns by header words. Words (P) have ``boxes``
-(which edge of a word counts, from where to where, how far above and below the row's anchor) or ``heads`` (header words
+``columns`` are pattern groups of lines (L), of which those of one ``block`` are joined first: lines that don't look like its
+``start`` go to the row before, lines like ``skip`` to none. ``parts`` name fields by what matches them in such a row, from
+the left (1, 2, ...) or from the right (-1, -2, ...); cells (C, M) find their columns by header words. Words (P) have ``boxes``
+(which edge of a word counts, from where to where, how far above and below the row's anchor, which part of a word is taken) or ``heads`` (header words
 that show where columns are), and an ``anchor``: which words start a row.
 """
 
@@ -9,11 +11,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-BOX = "struct<name:string,at:string,left:double,right:double,above:double,below:double>"
+BOX = "struct<name:string,at:string,left:double,right:double,above:double,below:double,rx:string>"
+BLOCK = "struct<start:string,skip:string>"
+PART = "struct<name:string,rx:string,at:int>"
 ANCHOR = "struct<rx:string,left:double,right:double,head:string,head_gap:double,slack:double>"
 SCHEMA = (
     f"bank_id string, shape string, rx string, columns map<string,int>, boxes array<{BOX}>, anchor {ANCHOR}, heads map<string,string>, amount_mode string, direction_map map<string,string>, order_policy string, "
-    "skip_keywords array<string>, preserve_signed boolean, balance_optional boolean, balance_tolerance decimal(18,2)"
+    f"skip_keywords array<string>, preserve_signed boolean, balance_optional boolean, balance_tolerance decimal(18,2), block {BLOCK}, parts array<{PART}>"
 )
 _SIDES = {"收入": "income", "支出": "expense"}
 _BOOKS = {"贷": "income", "借": "expense"}
@@ -30,6 +34,7 @@ _THREE = r"(20\d{2}[/-]\d{1,2}[/-]\d{1,2}\s+\d{1,2}:\d{2}:\d{2})\s+(\d[\d,]*(?:\
 _ONE = r"(20\d{2}[/-]\d{1,2}[/-]\d{1,2}\s+\d{1,2}:\d{2}:\d{2})\s+(.*?)\s+([+-]?\d[\d,]*\.\d{2})\s+(\d[\d,]*\.\d{2})\b"
 GENERIC = [("separate", r"^(?:卡\s+\S+\s+)?" + _THREE, {"date": 1, "credit": 2, "debit": 3, "balance": 4}), ("sign", rf"^(?!(?:卡\s+\S+\s+)?{_THREE})(?:卡\s+\S+\s+)?" + _ONE, {"date": 5, "text": 6, "amount": 7, "balance": 8})]
 
+_ANY, _GROUPED = r"[\d,]+\.\d{2}", r"(?:\d{1,3}(?:,\d{3})+|\d+)\.\d{2}"
 # Line patterns and their groups.
 LINES = [
     ("changsha", r"^(20\d{2}-\d{2}-\d{2})\s+([+-]\d[\d,]*\.\d{2})\s+(\d[\d,]*\.\d{2})(?:\s+(.*))?$", {"date": 1, "amount": 2, "balance": 3, "text": 4}, "sign", {}, "source"),
@@ -45,8 +50,18 @@ LINES = [
     ("citic", r"^(20\d{6})\s+RMB\s+([\d,]+\.\d{2})\s+RMB\s+([\d,]+\.\d{2})\s+(.*)$", {"date": 1, "amount": 2, "balance": 3, "text": 4}, "balance", {}, "source"),
     ("cmbc_corp", rf"^(\d{{4}}/\d{{2}}/\d{{2}})\s+.*?\s+({_MONEY})\s+({_MONEY})\s+({_MONEY})\s+", {"date": 1, "debit": 2, "credit": 3, "balance": 4}, "separate", {}, "source"),
     ("customer_detail_corp", r"(20\d{6})\s+([+-][\d,]+\.\d{2})\s+([\d,]+\.\d{2})\s+(.+)$", {"date": 1, "amount": 2, "balance": 3, "text": 4}, "sign", {}, "source"),
+    ("cmb_corp", rf"^(20\d{{6}})\s*\S+\s+(?:.*?\s+)?(-?{_ANY})\s+({_ANY}).*$", {"date": 1, "amount": 2, "balance": 3, "text": 0}, "sign", {}, "source"),
+    ("bazhou_shunfeng_corp", rf"^\d{{4}}-\d{{2}}-\d{{2}}\b(?:.*?{_GROUPED}){{3}}.*$", {"text": 0}, "separate", {}, "source"),
     ("rural_commercial", r"^\s*(\d+)\s+(.+?)\s+人民币元\s+钞\s+(20\d{6})\s+(-?\d[\d,]*\.\d{2})\s+(\d[\d,]*\.\d{2})(?:\s+(.*))?$", {"text": 2, "date": 3, "amount": 4, "balance": 5}, "sign", {}, "reverse_all"),
 ]
+# Rows of several lines: how a row starts, and what lines belong to none.
+BLOCKS = {
+    "bazhou_shunfeng_corp": (r"^\d{4}-\d{2}-\d{2}\b", r"^(?:提示|第|$)"),
+    "cmb_corp": (rf"^20\d{{6}}\s*\S+\s+(?:.*?\s+)?-?{_ANY}\s+{_ANY}", r"^(?:第|特别提示|If |若|$)"),
+    "customer_detail_corp": (r"20\d{6}\s+[+-][\d,]+\.\d{2}\s+[\d,]+\.\d{2}\s+.+$", r"^(?:对公客户账户明细|打印日期|打印时间|账 号|客户名称|起始日期|交易日期|借方合计|贷方合计|$)"),
+}
+# Fields of such rows by their place among what matches.
+PARTS = {"bazhou_shunfeng_corp": [("date", r"^\d{4}-\d{2}-\d{2}\b", 1), ("time", r"\b\d{2}:\d{2}:\d{2}\b", 1), ("debit", _GROUPED, -3), ("credit", _GROUPED, -2), ("balance", _GROUPED, -1)]}
 # Edges of word columns, which column is what, and the heading of the date column.
 EDGES = [
     ("guangxi_rural", [20, 50, 104, 190, 280, 360, 400, 475, 548, 620, 685, 746, 815], {"date": 1, "amount": 6, "balance": 7, "text": 9}, "交易时间", "sign", "trail"),
@@ -59,13 +74,15 @@ EDGES = [
 ]
 #: How far below a row's date its date cell and its amounts reach, how far above it the row begins, and the gap below the heading.
 DATE_BELOW, MONEY_BELOW, ROW_ABOVE, HEAD_GAP = 18.0, 7.0, 2.0, 8.0
-# Boxes of words: (field, which edge, from, to, above, below); the anchor: (pattern, from, to, above).
+_PLAIN = r"(?:\d{1,3}(?:,\d{3})*|\d+)\.\d{2}"
+# Boxes of words: (field, which edge, from, to, above, below and, if not the whole word, what is taken of it); the anchor: (pattern, from, to, above).
 BOXES = [
     ("dezhou_corp", [("date", "left", 45, 100, 12, 0), ("time", "left", 45, 90, 1, 1), ("credit", "right", 170, 174.01, 1, 1.01), ("debit", "right", 215, 219.01, 1, 1.01), ("balance", "right", 283, 287.01, 1, 1.01)], (_CLOCK, 45, 90, 12), "signed", "same_time_score"),
     ("huishang", [("date", "left", 0, 70, 1, 1), ("amount", "left", 125, 190, 1, 45), ("balance", "left", 190, 260, 1, 45)], (_ISO, 0, 70, 1), "sign", "reverse_all"),
     ("huishang_corp", [("date", "left", 10, 65.01, 1, 1), ("time", "left", 15, 60.01, None, None), ("credit", "left", 55, 98, None, None), ("debit", "left", 98, 140, None, None), ("balance", "left", 140, 190, None, None)], (_ISO, 10, 65.01, 3), "signed", "same_time_score"),
     ("cib", [("date", "left", 45, 140, 16, -3.99), ("time", "left", 45, 140, 1, 1), ("debit", "left", 200, 270, 24, None), ("credit", "left", 270, 350, 24, None), ("balance", "left", 350, 415, 24, None)], (r"^\d{2}:\d{2}:\d{2}", 45, 140, 20), "separate", "reverse_all"),
     ("mybank_corp", [("date", "left", 190, 245, None, None), ("credit", "left", 300, 382, None, None), ("debit", "left", 382, 455, None, None), ("balance", "left", 455, 520, None, None)], (r"^0*[1-9]\d{0,2}$", 35, 50.01, 18), "signed", "reverse_time"),
+    ("cmb_corp", [("date", "left", 0, 80, None, None, _ISO), ("time", "left", 0, 80, None, None, _CLOCK), ("debit", "left", 85, 170.01, None, None, f"^{_PLAIN}$"), ("credit", "left", 175, 255.01, None, None, f"^{_PLAIN}$"), ("balance", "left", 260, 350.01, None, None, f"^{_PLAIN}")], (_ISO, 0, 80, 2), "separate", "source"),
     ("generic_words", [("date", "left", 0, 70, None, None), ("debit", "left", 70, 135, None, None), ("credit", "left", 135, 205, None, None), ("balance", "left", 205, 285, None, None), ("text", "left", 285, 368, None, None)], (r"^20\d{2}[-/]\d{1,2}[-/]\d{1,2}$", 0, 70.01, 2), "separate", "source"),
 ]
 # Header words of layouts whose columns stand elsewhere on each page.
@@ -93,7 +110,7 @@ def rows() -> list[tuple]:
     from decimal import Decimal
 
     number = lambda x: None if x is None else float(x)
-    box = lambda name, at, *xs: (name, at, *map(number, xs))
+    box = lambda name, at, left, right, above, below, rx=None: (name, at, *map(number, (left, right, above, below)), rx)
     none = (None, None, None)
     out = [(b, "L", rx, cols, *none, mode, words, order) for b, rx, cols, mode, words, order in LINES]
     out += [(b, "L", rx, cols, *none, mode, {}, "source") for b in ("cmbc", "generic_pdf") for mode, rx, cols in GENERIC]
@@ -105,7 +122,7 @@ def rows() -> list[tuple]:
     out += [(b, "P", None, None, [box(*x) for x in boxes], (rx, float(a), float(e), None, 0.0, float(up)), None, mode, {}, order) for b, boxes, (rx, a, e, up), mode, order in BOXES]
     out += [(b, "P", None, None, None, (rx, float(a), float(e), None, 0.0, float(up)), heads, mode, {}, order) for b, heads, (rx, a, e, up), mode, order in HEADS]
     out += [(b, s, None, None, *none, mode, _MAPS.get(mode, {}), order) for b, s, mode, order in CELLS]
-    return [(*r, _TOTALS, r[7] == "signed", r[0] in NO_BALANCE, Decimal(TOLERANCE.get(r[0], "0.00"))) for r in out]
+    return [(*r, _TOTALS, r[7] == "signed", r[0] in NO_BALANCE, Decimal(TOLERANCE.get(r[0], "0.00")), *((BLOCKS.get(r[0]), PARTS.get(r[0])) if r[1] == "L" else (None, None))) for r in out]
 
 
 def layouts(spark: SparkSession) -> DataFrame:

@@ -135,6 +135,19 @@ def test_one_huge_account_fills_many_tasks(spark):
     assert carry.in_sequence(rows.limit(0), ["account_no"], ["n"], ["v"]).count() == 0
 
 
+def test_rows_of_several_lines(spark):
+    from ledgerline.operators import carry
+
+    texts = [("a", 1, "9.99 before 8.88 any 7.77 row"), ("a", 1, "2024-01-02 wire 5.55"), ("a", 1, None), ("a", 1, "10:20:30 0.00"), ("a", 2, "第2页 3.33"), ("a", 2, " 1,234.56 1.00 use"), ("a", 3, "2024-01-03 2.00 1.00"), ("b", 1, "no row")]
+    lines = spark.createDataFrame([(f, "bazhou_shunfeng_corp", p, n, t) for n, (f, p, t) in enumerate(texts)], "file string, bank_id string, page_no int, line_no int, text string")
+    for look in (parse.chain.beside, carry.beside):
+        (got,) = parse.line_ledger(lines, layouts(spark), look).collect()  # two amounts are no row
+        assert (str(got.income), str(got.expense), str(got.balance)) == ("1234.56", "0.00", "1.00")
+        assert (str(got.transaction_time), got.page_no, got.row_no) == ("2024-01-02 10:20:30", 1, 1)
+        assert got.raw_text == "2024-01-02 wire 5.55 10:20:30 0.00 1,234.56 1.00 use"
+    assert parse.line_ledger(lines.limit(0), layouts(spark)).count() == 0
+
+
 def _huge(spark, n=4000):
     """A third of the rows and more has one account; some balances are missing, some rows are cancelled by the next one."""
     rng, balances, rows = random.Random(8), {}, []
