@@ -228,7 +228,7 @@ taken of a word, and words without it aren't in the column.
     placed = both.withColumn("band", F.last("band", ignorenulls=True).over(upto)).filter("text IS NOT NULL AND band IS NOT NULL")
     has = lambda c, t: F.col(c) if c in columns.columns else F.lit(None).cast(t)
     where = F.when(has("at", "string") == "left", F.col("x0")).when(has("at", "string") == "right", F.col("x1")).otherwise((F.col("x0") + F.coalesce("x1", "x0")) / 2)
-    put = placed.join(columns, ["file", "page_no"] if "page_no" in columns.columns else "file").filter((where >= F.col("left")) & (where < F.col("right")))
+    put = placed.join(columns.hint("merge"), ["file", "page_no"] if "page_no" in columns.columns else "file").filter((where >= F.col("left")) & (where < F.col("right")))
     off = F.col("top") - F.col("band")["from"]
     put = put.filter((off >= -F.coalesce(has("above", "double"), F.lit(1e9))) & (off < F.coalesce(has("below", "double"), F.lit(1e9))))
     if "rx" in columns.columns:
@@ -267,16 +267,20 @@ def header_columns(words: DataFrame, layouts: DataFrame) -> DataFrame:
     A page's header is the first line that shows two or more of its layout's ``heads`` (field -> word). A column reaches
     half way to the words beside it in that line. A page without header has those of the last page before it that has one.
     """
-    heads = layouts.filter("shape = 'P' AND heads IS NOT NULL").select("bank_id", F.explode("heads").alias("name", "text"))
-    own = words.join(heads.select("bank_id").distinct(), "bank_id")
-    hits = own.join(heads, ["bank_id", "text"])
-    near = Window.partitionBy("file", "page_no").orderBy((F.col("top") * 1000).cast("bigint")).rangeBetween(int(-1000 * SAME_LINE), int(1000 * SAME_LINE))
-    tops = hits.withColumn("_n", F.size(F.collect_set("name").over(near))).filter("_n >= 2").groupBy("file", "page_no").agg(F.min("top").alias("_head"))
-    line = own.join(tops, ["file", "page_no"]).filter(F.abs(F.col("top") - F.col("_head")) < SAME_LINE)
-    side = Window.partitionBy("file", "page_no").orderBy("x0")
+    heads = layouts.filter("shape = 'P' AND heads IS NOT NULL").select("bank_id", F.explode("heads").alias("name", "text")).groupBy("bank_id", "text").agg(F.collect_list("name").alias("names"))
+    few = F.broadcast if bounded(heads) else lambda df: df.hint("merge")  # words are never sent to every task, however small their files look
+    own = words.join(few(heads.select("bank_id").distinct()), "bank_id").join(few(heads), ["bank_id", "text"], "left")
+    # all of a page in one shuffle: where its header is, then the words beside each other in that line
+    page = Window.partitionBy("file", "page_no")
+    near = page.orderBy((F.col("top") * 1000).cast("bigint")).rangeBetween(int(-1000 * SAME_LINE), int(1000 * SAME_LINE))
+    several = F.size(F.array_distinct(F.flatten(F.collect_set("names").over(near)))) >= 2
+    tops = own.withColumn("_top", F.when(F.col("names").isNotNull() & several, F.col("top")))
+    line = tops.withColumn("_line", F.coalesce(F.abs(F.col("top") - F.min("_top").over(page)) < SAME_LINE, F.lit(False)))
+    side = Window.partitionBy("file", "page_no", "_line").orderBy("x0")
     edge = line.withColumns({"left": F.coalesce((F.lag("x1").over(side) + F.col("x0")) / 2, F.lit(0.0)), "right": F.coalesce((F.lead("x0").over(side) + F.col("x1")) / 2, F.lit(1e9))})
-    found = edge.join(heads, ["bank_id", "text"]).groupBy("file", "page_no").agg(F.collect_list(F.struct("name", "left", "right")).alias("found"))
-    pages = own.select("file", "page_no").distinct().join(found, ["file", "page_no"], "left")
+    columns = F.transform("names", lambda n: F.struct(n.alias("name"), F.col("left"), F.col("right")))
+    found = F.flatten(F.collect_list(F.when(F.col("_line"), columns)))
+    pages = edge.groupBy("file", "page_no").agg(found.alias("found")).withColumn("found", F.when(F.size("found") > 0, F.col("found")))
     upto = Window.partitionBy("file").orderBy("page_no").rowsBetween(Window.unboundedPreceding, 0)
     return pages.withColumn("found", F.last("found", ignorenulls=True).over(upto)).filter("found IS NOT NULL").select("file", "page_no", F.inline("found"))
 
@@ -509,6 +513,7 @@ def word_ledger(words: DataFrame, anchors: DataFrame | None, layouts: DataFrame)
     anchors(file, bank_id, page_no, top, row_no): where rows start; without them words(file, bank_id, ...) are matched
     with each layout's own ``anchor``.
     """
+    own = words if anchors is None else None
     if anchors is None:
         anchors = word_anchors(words, layouts)
     layouts = layouts.filter("shape = 'P'")
@@ -518,9 +523,9 @@ def word_ledger(words: DataFrame, anchors: DataFrame | None, layouts: DataFrame)
     starts = anchors.select("file", "page_no", "top", "row_no", *[c for c in ("slack",) if c in anchors.columns])
     put = band_cells(words, starts, boxed)
     if not layouts.filter("boxes IS NULL AND heads IS NOT NULL").isEmpty():
-        named = words.drop("bank_id").join(files, "file")
+        named = words.drop("bank_id").join(files.hint("merge"), "file") if own is None else own
         put = put.unionByName(band_cells(words, starts, header_columns(named, layouts.filter("boxes IS NULL"))))
     # one map a row: what a field holds, in one shuffle
     wide = put.groupBy("file", "page_no", "row_no").agg(F.map_from_entries(F.collect_list(F.struct("name", "text"))).alias("fields"))
     named = wide.select("file", "page_no", "row_no", *[F.try_element_at("fields", F.lit(f)).alias(c) for f, c in FIELDS.items()])
-    return _by_layout_rows(named.join(files.join(layouts.drop("columns", "boxes", "anchor", "heads", "rx", "block", "parts"), "bank_id"), "file"), "row_no")
+    return _by_layout_rows(named.join(files.join(layouts.drop("columns", "boxes", "anchor", "heads", "rx", "block", "parts"), "bank_id").hint("merge"), "file"), "row_no")

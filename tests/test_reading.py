@@ -208,3 +208,14 @@ def test_work_folders_can_be_removed(spark):
     io.remove_work(spark)
     kept = io.written(spark.range(3), "some")
     assert kept.count() == 3 and io.remove_work(spark) == 1 and io.remove_work(spark) == 0
+
+
+def test_words_are_not_broadcast(spark, sf):
+    from ledgerline.plans import reading
+
+    lines = reading.columns_by_header(spark, sf)._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: next((k for k, c in enumerate(line) if c.isalpha()), 0)
+    for k, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = itertools.takewhile(lambda x: depth(x) > depth(line), lines[k + 1 :])
+            assert not any("FileScan" in x for x in below)
