@@ -26,11 +26,16 @@ def half_up(c: Column) -> Column:
 
 def to_money(text: Column) -> Column:
     """Thousands-separated text; null on anything else."""
-    return half_even(F.regexp_replace(F.trim(text), ",", "").try_cast("decimal(28,6)"))
+    return half_even(F.translate(F.trim(text), ",", "").try_cast("decimal(28,6)"))
+
+
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: inside lambdas Spark evaluates an expression as often as it is written."""
+    return F.transform(F.array(value), use)[0]
 
 
 def compact(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), "[\n ]", "")
+    return F.translate(F.coalesce(text, F.lit("")), "\n ", "")
 
 
 def digits_only(text: Column) -> Column:
@@ -49,9 +54,8 @@ def is_signed(m: Column) -> Column:
 
 def signed_amount(text: Column) -> Column:
     """The rightmost signed amount, else the rightmost one."""
-    found = money_matches(text)
-    signed = F.filter(found, is_signed)
-    return F.when(F.size(signed) > 0, to_money(F.try_element_at(signed, F.lit(-1)))).otherwise(to_money(F.try_element_at(found, F.lit(-1))))
+    last = lambda some: F.try_element_at(some, F.lit(-1))
+    return bound(money_matches(text), lambda found: to_money(F.coalesce(last(F.filter(found, is_signed)), last(found))))
 
 
 def sheet_money(text: Column) -> Column:
@@ -105,12 +109,12 @@ def _one_dropped(whole: Column) -> Column:
 
 def _two_dropped(whole: Column) -> Column:
     n = F.length(whole)
-    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda a: F.transform(F.sequence(a + 1, n), lambda b: _without(_without(whole, b), a)))
+    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda a: F.transform(F.sequence(a + 1, n), lambda b: F.concat(F.substr(whole, F.lit(1), a - 1), F.substr(whole, a + 1, b - a - 1), F.substr(whole, b + 1))))
     return F.when(n >= 2, F.flatten(pairs)).otherwise(F.array().cast("array<string>"))
 
 
 def _distinct_values(texts: Column, keep) -> Column:
-    return F.array_distinct(F.filter(F.transform(texts, to_money), lambda v: v.isNotNull() & keep(v)))
+    return F.array_distinct(F.filter(F.transform(F.array_distinct(texts), to_money), lambda v: v.isNotNull() & keep(v)))
 
 
 def amount_candidates(text: Column) -> Column:
@@ -120,19 +124,25 @@ def amount_candidates(text: Column) -> Column:
     three = F.flatten(F.transform(F.regexp_extract_all(plain, F.lit(r"[+-][\d,]*\d\.\d{3}"), 0), _three_places))
     matches = F.concat(F.filter(money_matches(text), is_signed), three)
 
+    def parts(m):
+        body = F.split(F.substr(m, F.lit(2)), "\\.")
+        return F.struct(F.substring(m, 1, 1).alias("sign"), F.element_at(body, 1).alias("grouped"), F.element_at(body, -1).alias("cents"))
+
+    def split(p):
+        last = F.element_at(F.split(p["grouped"], ","), -1)
+        whole, head = F.translate(p["grouped"], ",", ""), F.translate(F.substr(p["grouped"], F.lit(1), F.length(p["grouped"]) - F.length(last)), ",", "")
+        return F.struct(p["sign"].alias("sign"), p["cents"].alias("cents"), whole.alias("whole"), last.alias("last"), head.alias("head"), ((F.length(last) > 3) & (F.length(last) < F.length(p["grouped"]))).alias("long"))
+
+    def texts(p):
+        long_group = F.when(p["long"], F.transform(_one_dropped(p["last"]), lambda x: F.concat(p["head"], x))).otherwise(F.array().cast("array<string>"))
+        short = F.when(F.length(p["whole"]) <= 5, F.filter(_one_dropped(p["whole"]), lambda x: x != "")).otherwise(F.array().cast("array<string>"))
+        return F.transform(F.concat(long_group, _suffixes(p["whole"]), short), lambda w: F.concat(p["sign"], w, F.lit("."), p["cents"]))
+
     def readings(m):
-        sign, body = F.substring(m, 1, 1), F.substr(m, F.lit(2))
-        cents = F.element_at(F.split(body, "\\."), -1)
-        grouped = F.element_at(F.split(body, "\\."), 1)
-        whole = F.regexp_replace(grouped, ",", "")
-        last = F.element_at(F.split(grouped, ","), -1)
-        head = F.regexp_replace(F.substr(grouped, F.lit(1), F.length(grouped) - F.length(last)), ",", "")
-        long_group = F.when((F.length(last) > 3) & (F.length(last) < F.length(grouped)), F.transform(_one_dropped(last), lambda x: F.concat(head, x))).otherwise(F.array().cast("array<string>"))
-        short = F.when(F.length(whole) <= 5, F.filter(_one_dropped(whole), lambda x: x != "")).otherwise(F.array().cast("array<string>"))
-        return F.transform(F.concat(long_group, _suffixes(whole), short), lambda w: F.concat(sign, w, F.lit("."), cents))
+        return bound(parts(m), lambda p: bound(split(p), texts))
 
-    values = _distinct_values(F.flatten(F.transform(matches, readings)), lambda v: F.abs(v) >= 0.01)
-    return F.when(F.size(values) > 0, values).otherwise(F.array_compact(F.array(signed_amount(text)))).cast(MONEY_ARRAY)
+    found = _distinct_values(F.flatten(F.transform(matches, readings)), lambda v: F.abs(v) >= 0.01)
+    return bound(found, lambda values: F.when(F.size(values) > 0, values).otherwise(F.array_compact(F.array(signed_amount(text)))).cast(MONEY_ARRAY))
 
 
 def _three_places(m: Column) -> Column:
@@ -146,11 +156,15 @@ def balance_candidates(text: Column) -> Column:
     three = [F.flatten(F.transform(F.regexp_extract_all(t, F.lit(r"[+-]?\d[\d,]*\.\d{3}"), 0), lambda m: _three_places(F.regexp_replace(m, "^[+-]", "")))) for t in (plain, digits_only(plain))]
     matches = F.concat(money_matches(text), *three)
 
+    def texts(p):
+        whole = F.element_at(p, 1)
+        return bound(whole, lambda w: F.transform(F.concat(_suffixes(w), short(w)), lambda x: F.concat(x, F.lit("."), F.element_at(p, -1))))
+
+    def short(whole):
+        return F.when(F.length(whole) <= 9, F.filter(F.array_distinct(F.concat(_one_dropped(whole), _two_dropped(whole))), lambda x: x != "")).otherwise(F.array().cast("array<string>"))
+
     def readings(m):
-        t = F.regexp_replace(F.regexp_replace(m, ",", ""), "^[+-]", "")
-        whole, cents = F.element_at(F.split(t, "\\."), 1), F.element_at(F.split(t, "\\."), -1)
-        short = F.when(F.length(whole) <= 9, F.filter(F.concat(_one_dropped(whole), _two_dropped(whole)), lambda x: x != "")).otherwise(F.array().cast("array<string>"))
-        return F.transform(F.concat(_suffixes(whole), short), lambda w: F.concat(w, F.lit("."), cents))
+        return bound(F.split(F.regexp_replace(F.translate(m, ",", ""), "^[+-]", ""), "\\."), texts)
 
     return _distinct_values(F.flatten(F.transform(matches, readings)), lambda v: v >= 0).cast(MONEY_ARRAY)
 
@@ -162,19 +176,28 @@ def directed_candidates(text: Column, direction: Column) -> Column:
     plain = F.regexp_replace(t, r"[^0-9.]", "")
     whole = F.regexp_replace(F.regexp_extract(plain, r"^(.*)\.[^.]*$", 1), r"\.", "")
     cents = F.substring(F.regexp_extract(plain, r"^.*\.([^.]*)$", 1), 1, 2)
-    endings = F.when((whole != "") & (cents != ""), F.transform(_suffixes(whole), lambda w: F.concat(w, F.lit("."), cents))).otherwise(F.array().cast("array<string>"))
-    values = F.array_distinct(F.array_compact(F.transform(F.concat(found, endings), to_money)))
-    values = F.when(F.size(values) > 0, values).otherwise(F.array_compact(F.array(clean_number(text))))
+    digits = F.struct(whole.alias("whole"), cents.alias("cents"))
+    endings = bound(digits, lambda d: F.when((d["whole"] != "") & (d["cents"] != ""), F.transform(_suffixes(d["whole"]), lambda w: F.concat(w, F.lit("."), d["cents"]))).otherwise(F.array().cast("array<string>")))
     sign = F.when(F.contains(F.coalesce(direction, F.lit("")), F.lit("支")) | F.contains(t, F.lit("-")), -1).otherwise(1)
-    return F.transform(values, lambda v: (F.abs(v) * sign).cast(MONEY)).cast(MONEY_ARRAY)
+    told = F.struct(F.array_distinct(F.array_compact(F.transform(F.array_distinct(F.concat(found, endings)), to_money))).alias("values"), sign.alias("sign"))
+
+    def signed(x):
+        values = F.when(F.size(x["values"]) > 0, x["values"]).otherwise(F.array_compact(F.array(clean_number(text))))
+        return F.transform(values, lambda v: (F.abs(v) * x["sign"]).cast(MONEY)).cast(MONEY_ARRAY)
+
+    return bound(told, signed)
 
 
 def parted_candidates(text: Column, signed: bool = False, most: int = 24) -> Column:
     """Candidates of a cell of several parts (between bars), 0 first where the cell shows 0.00 or nothing can be read; the first ``most``."""
     part_values = lambda p: F.transform(balance_candidates(F.regexp_replace(p, "-", "")), lambda v: F.when(v == 0, zero()).otherwise((v * F.when(F.lit(signed) & F.contains(F.substring(p, 1, 3), F.lit("-")), -1).otherwise(1)).cast(MONEY)))
-    values = F.array_distinct(F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), "\\|"), part_values))).cast(MONEY_ARRAY)
-    empty = (F.size(values) == 0) | (F.contains(F.coalesce(text, F.lit("")), F.lit("0.00")) & ~F.array_contains(values, zero()))
-    return F.slice(F.when(empty, F.concat(F.array(zero()), values)).otherwise(values), 1, most)
+    shows_zero = F.contains(F.coalesce(text, F.lit("")), F.lit("0.00"))
+
+    def with_zero(values):
+        empty = (F.size(values) == 0) | (shows_zero & ~F.array_contains(values, zero()))
+        return F.slice(F.when(empty, F.concat(F.array(zero()), values)).otherwise(values), 1, most)
+
+    return bound(F.array_distinct(F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), "\\|"), part_values))).cast(MONEY_ARRAY), with_zero)
 
 
 def ocr_candidates(text: Column) -> Column:

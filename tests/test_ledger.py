@@ -326,3 +326,10 @@ def test_streams(spark, tmp_path):
     assert max(r.rows for r in run(arrivals.period_totals, "update")) >= 2
     breaks = run(lambda s: arrivals.chain_breaks(arrivals.without_repeats(s)), "append")
     assert [(r.row_no, r.expected, r.balance) for r in breaks] == [(3, 12000, 20000)]
+
+
+@pytest.mark.parametrize("read", [money.amount_candidates, money.balance_candidates, money.parted_candidates])
+def test_candidates_are_split_once(spark, read):
+    # inside lambdas an expression runs as often as it is written, and here for each pair of digits
+    plan = spark.createDataFrame([("5\n1,234.56",)], "t string").select(read(F.col("t")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") <= 5
