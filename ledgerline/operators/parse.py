@@ -134,7 +134,7 @@ def with_roles(cells: DataFrame, words: dict[str, list[str]], least: int = 2, we
     """
     rows = in_order("page_no", "table_no", "row_no")  # one shuffle and one sort for all that follows
     below = F.lead(F.struct("page_no", "table_no", "cells")).over(rows)
-    df = cells.withColumn("_own", roles_of(F.col("cells"), words, least)).withColumn("_below", below)
+    df = cells.withColumn("_below", below).withColumn("_own", roles_of(F.col("cells"), words, least))  # after the shuffle, in as many tasks as that has
     same = (F.col("_below")["page_no"] == F.col("page_no")) & (F.col("_below")["table_no"] == F.col("table_no"))
     merged = F.zip_with("cells", F.col("_below")["cells"], lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
     df = df.withColumn("_both", F.when((confidence(F.col("_own"), words) < weak) & same, roles_of(merged, words, least)))

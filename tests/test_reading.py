@@ -219,3 +219,12 @@ def test_words_are_not_broadcast(spark, sf):
         if "BroadcastExchange" in line:
             below = itertools.takewhile(lambda x: depth(x) > depth(line), lines[k + 1 :])
             assert not any("FileScan" in x for x in below)
+
+
+def test_header_roles_are_told_after_the_shuffle(spark):
+    # before it the few splits of a small file would be the only tasks that tell them
+    cells = spark.createDataFrame([(k, 1, 0, n, row) for k in range(3) for n, row in enumerate((["交易日期", "收入", "支出"], ["2024-01-01", "1.00", ""]))], "file bigint, page_no int, table_no int, row_no int, cells array<string>")
+    got = parse.with_roles(cells, parse.ROLE_WORDS)
+    steps = got._jdf.queryExecution().optimizedPlan().toString().split("Window [")  # the last one is done first, right after the shuffle
+    assert "交易日期" in "".join(steps[:-1]) and "交易日期" not in steps[-1]
+    assert sorted((r.file, r.roles["date"], r.cells[0]) for r in got.collect()) == [(k, 0, "2024-01-01") for k in range(3)]
