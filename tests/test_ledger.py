@@ -333,3 +333,11 @@ def test_candidates_are_split_once(spark, read):
     # inside lambdas an expression runs as often as it is written, and here for each pair of digits
     plan = spark.createDataFrame([("5\n1,234.56",)], "t string").select(read(F.col("t")))._jdf.queryExecution().analyzed().toString()
     assert plan.count("split(") <= 12
+
+
+def test_first_rows_sort_only_what_is_used(spark):
+    rows = with_defaults(spark.range(400).selectExpr("CAST(id * 0 AS STRING) AS account_no", "CAST(id AS STRING) AS raw_text", "CAST(id % 2 AS STRING) AS merge_key", "id AS row_no", "TIMESTAMP '2026-01-01' AS transaction_time", "'a' AS source_file"))
+    for got, first in ((dedupe.dedupe(rows), [0, 1]), (dedupe.dedupe_by(rows, "merge_key"), [0, 1]), (dedupe.dedupe_by_serial(rows.withColumn("raw_text", F.concat(F.lit("123456 x"), "row_no")), "raw_text"), [0])):
+        plan = got.select("row_no")._jdf.queryExecution().executedPlan().toString()
+        assert "WindowGroupLimit" in plan and "min_by(struct(account_no" not in plan
+        assert sorted(r.row_no for r in got.collect()) == first
