@@ -61,7 +61,8 @@ def signed_amount(text: Column) -> Column:
 def sheet_money(text: Column) -> Column:
     """Spreadsheet cell: currency marks and full-width characters are allowed around the amount."""
     t = F.translate(text, "０１２３４５６７８９．，－＋￥¥元 ", "0123456789.,-+")
-    return F.coalesce(to_money(t), signed_amount(t), half_even(F.nullif(F.regexp_replace(t, r"[^0-9.\-]", ""), F.lit("")).try_cast("decimal(28,6)")))
+    read = F.coalesce(to_money(t), signed_amount(t), half_even(F.nullif(F.regexp_replace(t, r"[^0-9.\-]", ""), F.lit("")).try_cast("decimal(28,6)")))
+    return F.when(text.isNotNull(), read)  # else every reading would be tried on nothing
 
 
 def strict_money(text: Column, optional: bool = False) -> Column:

@@ -244,8 +244,7 @@ def word_anchors(words: DataFrame, layouts: DataFrame) -> DataFrame:
     A layout's ``anchor`` says which words start a row: their left edge from ``left`` to ``right``, their text like
     ``rx``, below its heading (``head``, by ``head_gap``) if the page shows one. ``slack``: how far above them their row begins.
     """
-    known = layouts.filter("shape = 'P' AND anchor IS NOT NULL").select("bank_id", "anchor")
-    own = words.join(F.broadcast(known), "bank_id") if bounded(known) else words.join(known, "bank_id")
+    own = with_layout(words, layouts.filter("shape = 'P' AND anchor IS NOT NULL").select("bank_id", "anchor"))
     page = Window.partitionBy("file", "page_no")
     heading = F.min(F.when(F.col("text") == F.col("anchor.head"), F.col("top"))).over(page)
     hit = (F.col("x0") >= F.col("anchor.left")) & (F.col("x0") < F.col("anchor.right")) & F.regexp_like("text", F.col("anchor.rx")) & (F.col("top") > F.coalesce(F.col("_heading") + F.col("anchor.head_gap"), F.lit(-1.0)))
@@ -261,6 +260,12 @@ def bounded(layouts: DataFrame) -> bool:
     return layouts.limit(MAX_LAYOUTS + 1).count() <= MAX_LAYOUTS
 
 
+def with_layout(rows: DataFrame, layouts: DataFrame) -> DataFrame:
+    """Rows with the columns of their bank's layouts. The layouts go to every task: Spark would send the rows there if their files look small, else deal them by bank,
+    and either way a bank's rows would be read in one task."""
+    return rows.join(F.broadcast(layouts) if bounded(layouts) else layouts.hint("merge"), "bank_id")
+
+
 def header_columns(words: DataFrame, layouts: DataFrame) -> DataFrame:
     """Columns of pages by their header words: file, page_no, name, left, right. words as for ``word_anchors``.
 
@@ -446,7 +451,7 @@ def row_blocks(lines: DataFrame, layouts: DataFrame, look=chain.beside) -> DataF
     Lines before a file's first start belong to no row. Only one row's lines must fit a task; where a whole file doesn't,
     ``look`` is ``carry.beside``.
     """
-    own = lines.join(layouts.select("bank_id", F.col("rx").alias("_rx"), "block", "skip_keywords"), "bank_id")
+    own = with_layout(lines, layouts.select("bank_id", F.col("rx").alias("_rx"), "block", "skip_keywords"))
     own = own.filter(~F.exists("skip_keywords", lambda k: F.contains("text", k))).withColumn("text", F.trim("text"))
     own = own.filter(~F.regexp_like("text", F.col("block.skip"))).withColumn("_start", F.when(F.regexp_like("text", F.col("block.start")), F.struct("page_no", "line_no")))
     of = ["file", "bank_id", "_rx"]
@@ -454,8 +459,8 @@ def row_blocks(lines: DataFrame, layouts: DataFrame, look=chain.beside) -> DataF
     placed = placed.withColumn("_at", F.coalesce("_start", "_known__start")).filter("_at IS NOT NULL")
     whole = placed.groupBy(*of, "_at").agg(F.array_sort(F.collect_list(F.struct("page_no", "line_no", "text"))).alias("_lines"))
     text = F.array_join(F.transform("_lines", lambda r: r["text"]), " ").alias("text")
-    rows = whole.select("file", F.col("bank_id").alias("_bank"), "_rx", F.col("_at.page_no").alias("page_no"), F.col("_at.line_no").alias("line_no"), text)
-    return rows.join(layouts, (F.col("_bank") == F.col("bank_id")) & F.col("_rx").eqNullSafe(F.col("rx"))).drop("_bank", "_rx")
+    rows = whole.select("file", "bank_id", "_rx", F.col("_at.page_no").alias("page_no"), F.col("_at.line_no").alias("line_no"), text)
+    return with_layout(rows, layouts).filter(F.col("_rx").eqNullSafe(F.col("rx"))).drop("_rx")
 
 
 def line_ledger(lines: DataFrame, layouts: DataFrame, look=chain.beside) -> DataFrame:
@@ -465,7 +470,7 @@ def line_ledger(lines: DataFrame, layouts: DataFrame, look=chain.beside) -> Data
     """
     known = layouts.filter("shape = 'L' AND rx IS NOT NULL")
     alone = known.filter("block IS NULL") if "block" in layouts.columns else known
-    joined = lines.join(alone, "bank_id").filter(~F.exists("skip_keywords", lambda k: F.contains("text", k)))
+    joined = with_layout(lines, alone).filter(~F.exists("skip_keywords", lambda k: F.contains("text", k)))
     if alone is not known:
         joined = joined.unionByName(row_blocks(lines, known.filter("block IS NOT NULL"), look), allowMissingColumns=True)
     hit = joined.filter(F.regexp_like("text", F.col("rx")))
@@ -477,7 +482,8 @@ def line_ledger(lines: DataFrame, layouts: DataFrame, look=chain.beside) -> Data
         nth = lambda p: F.struct(p["name"], F.try_element_at(F.regexp_extract_all(F.col("text"), p["rx"], F.lit(0)), p["at"]))
         hit = hit.withColumn("_parts", F.map_from_entries(F.transform("parts", nth)))
         found = {c: F.coalesce(F.try_element_at("_parts", F.lit(f)), found[c]) for f, c in FIELDS.items()}
-    read = hit.withColumns(found)
+    # generated, not projected: a condition on what is made of a field would carry the field's patterns below, as often as it is written
+    read = hit.select("*", F.inline(F.array(F.struct(*[v.alias(c) for c, v in found.items()]))))
     if layouts.filter("amount_mode = 'balance'").isEmpty():
         return _by_layout_rows(read, "line_no")
     return _by_layout_rows(read.filter("amount_mode <> 'balance'").unionByName(_told_by_balance(read.filter("amount_mode = 'balance'"))), "line_no")
@@ -498,7 +504,7 @@ def cell_ledger(cells: DataFrame, layouts: DataFrame, words: dict[str, list[str]
     ``filtered`` tell in their first rows which side they were filtered by.
     """
     known = layouts.filter("shape IN ('C', 'M')")
-    rows = cells.join(known, "bank_id")
+    rows = with_layout(cells, known)
     sides = filter_direction(rows.filter("amount_mode = 'filtered'").select("file", "row_no", "cells")).withColumnRenamed("direction", "filter_direction")
     single = rows.filter("shape = 'C'")
     many = unpack_cells(rows.filter("shape = 'M'"))
@@ -518,7 +524,7 @@ def word_ledger(words: DataFrame, anchors: DataFrame | None, layouts: DataFrame)
         anchors = word_anchors(words, layouts)
     layouts = layouts.filter("shape = 'P'")
     files = anchors.select("file", "bank_id").distinct()
-    boxed = files.join(layouts.filter("boxes IS NOT NULL").select("bank_id", F.inline("boxes")), "bank_id").drop("bank_id")
+    boxed = with_layout(files, layouts.filter("boxes IS NOT NULL").select("bank_id", F.inline("boxes"))).drop("bank_id")
     boxed = boxed if "rx" in boxed.columns else boxed.withColumn("rx", F.lit(None).cast("string"))
     starts = anchors.select("file", "page_no", "top", "row_no", *[c for c in ("slack",) if c in anchors.columns])
     put = band_cells(words, starts, boxed)
@@ -528,4 +534,4 @@ def word_ledger(words: DataFrame, anchors: DataFrame | None, layouts: DataFrame)
     # one map a row: what a field holds, in one shuffle
     wide = put.groupBy("file", "page_no", "row_no").agg(F.map_from_entries(F.collect_list(F.struct("name", "text"))).alias("fields"))
     named = wide.select("file", "page_no", "row_no", *[F.try_element_at("fields", F.lit(f)).alias(c) for f, c in FIELDS.items()])
-    return _by_layout_rows(named.join(files.join(layouts.drop("columns", "boxes", "anchor", "heads", "rx", "block", "parts"), "bank_id").hint("merge"), "file"), "row_no")
+    return _by_layout_rows(named.join(with_layout(files, layouts.drop("columns", "boxes", "anchor", "heads", "rx", "block", "parts")).hint("merge"), "file"), "row_no")

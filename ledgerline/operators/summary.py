@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.money import MONEY, half_up, zero
 from ledgerline.functions.text import has_clock, month_key
 from ledgerline.operators.ordering import ACCOUNT
+from ledgerline.operators.parse import with_layout
 from ledgerline.sources.ledgers import order_key
 
 MONTHS = 6  # monthly averages divide by this, however many months there are
@@ -104,9 +105,10 @@ def printed_figures(lines: DataFrame, patterns: DataFrame, key: str = "file") ->
     compact = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s　]+", "")
     below = F.lead("text").over(Window.partitionBy(key).orderBy("page_no", "line_no"))
     two = lines.select(key, "bank_id", "page_no", "line_no", F.concat(compact(F.col("text")), compact(below)).alias("_t"))
-    met = two.join(patterns, "bank_id").filter(F.regexp_like("_t", F.col("rx")))
+    met = with_layout(two, patterns).filter(F.regexp_like("_t", F.col("rx")))
     value = F.replace(F.call_function("regexp_extract", F.col("_t"), F.col("rx"), F.lit(1)), F.lit(","), F.lit(""))
-    first = met.groupBy(key, "figure").agg(F.min_by(value, F.struct("page_no", "line_no")).alias("v"))
+    met = met.select(key, "figure", "page_no", "line_no", F.inline(F.array(F.struct(value.alias("_v")))))  # generated, so that texts and patterns aren't sorted with it
+    first = met.groupBy(key, "figure").agg(F.min_by("_v", F.struct("page_no", "line_no")).alias("v"))
     wide = first.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("figure", F.abs(F.col("v").try_cast(MONEY)).alias("v")))).alias("m"))
     kinds = {f: "bigint" if f.endswith("cnt") else MONEY for f in FIGURES}
     return wide.select(key, *[F.try_element_at("m", F.lit(f)).cast(t).alias(f) for f, t in kinds.items()])

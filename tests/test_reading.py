@@ -228,3 +228,16 @@ def test_header_roles_are_told_after_the_shuffle(spark):
     steps = got._jdf.queryExecution().optimizedPlan().toString().split("Window [")  # the last one is done first, right after the shuffle
     assert "交易日期" in "".join(steps[:-1]) and "交易日期" not in steps[-1]
     assert sorted((r.file, r.roles["date"], r.cells[0]) for r in got.collect()) == [(k, 0, "2024-01-01") for k in range(3)]
+
+
+@pytest.mark.parametrize("name", ["registered_layouts", "registered_blocks", "line_layouts", "printed_figures"])
+def test_rows_are_not_sent_to_their_layouts(spark, sf, name):
+    # a bank's rows would be read in the one task that holds its layout
+    import __spark_entry__
+
+    lines = __spark_entry__.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: next((k for k, c in enumerate(line) if c.isalpha()), 0)
+    for k, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            assert not any("FileScan" in x for x in itertools.takewhile(lambda x: depth(x) > depth(line), lines[k + 1 :]))
+    assert not any("SortMergeJoin [bank_id" in x or "SortMergeJoin [_bank" in x for x in lines)
