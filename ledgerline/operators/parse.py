@@ -96,9 +96,9 @@ def roles_of(cells: Column, words: dict[str, list[str]], least: int = 2) -> Colu
     entry = lambda role, k, w: F.struct(F.lit(w).alias("word"), F.lit(role).alias("role"), F.lit(int(role in GIVE_WAY)).alias("late"), F.lit(k).alias("ord"))
     known = F.array(*[entry(role, k, w) for role, some in words.items() for k, w in enumerate(some)])
 
-    def in_cell(c, pos):
+    def in_cell(c, pos, some):
         hit = lambda w: F.struct(w["late"].alias("late"), (c != w["word"]).cast("int").alias("inside"), w["ord"].alias("ord"), pos.alias("pos"), w["role"].alias("role"))
-        return F.transform(F.filter(known, lambda w: F.contains(c, w["word"])), hit)
+        return F.transform(F.filter(some, lambda w: F.contains(c, w["word"])), hit)
 
     def take(acc, h):
         # by rank; a role's later hits don't count, and one on a column that is taken goes
@@ -107,8 +107,10 @@ def roles_of(cells: Column, words: dict[str, list[str]], least: int = 2) -> Colu
         return F.when(F.array_contains(acc["seen"], h["role"]), acc).otherwise(F.struct(kept.alias("kept"), F.array_append(acc["seen"], h["role"]).alias("seen")))
 
     none = F.struct(F.array().cast("array<struct<role:string,pos:int>>").alias("kept"), F.array().cast("array<string>").alias("seen"))
-    hits = F.array_sort(F.flatten(F.transform(F.transform(cells, compact_cell), in_cell)))
     # an array of one element binds what is used twice to a name, so that it is computed once
+    both = F.transform(F.array(F.transform(cells, compact_cell)), lambda own: F.struct(own.alias("own"), F.array_join(own, "\n").alias("all")))
+    held = F.transform(both, lambda x: F.struct(x["own"].alias("own"), F.filter(known, lambda w: F.contains(x["all"], w["word"])).alias("some")))  # the row's own words, then by cell
+    hits = F.array_sort(F.flatten(F.transform(held, lambda x: F.flatten(F.transform(x["own"], lambda c, pos: in_cell(c, pos, x["some"]))))))
     kept = F.array(F.aggregate(hits, none, take, lambda acc: acc["kept"]))
     roles = F.transform(kept, lambda k: F.when(F.size(k) >= least, F.map_from_entries(F.array_sort(k))))[0]
     any_word = F.regexp_like(F.array_join(cells, "\n", ""), F.lit("|".join(r"\s*".join(map(re.escape, w)) for some in words.values() for w in some)))
@@ -352,22 +354,27 @@ def sheet_mode(credit: Column, debit: Column, amount: Column, direction: Column,
     return _sides(pick(credit, "income", signed["income"]), pick(debit, "expense", signed["expense"])) | {"issue_codes": F.when(unknown, F.array(F.lit("direction_unknown"))).otherwise(F.array().cast(NO_CODES))}
 
 
-def by_layout(amount: Column, credit: Column, debit: Column, text: Column, mode: str = "amount_mode", words: str = "direction_map", told: Column | None = None, side: Column | None = None) -> dict[str, Column]:
+def told_sides(amount: Column, text: Column, told: Column, words: str = "direction_map") -> dict[str, Column]:
+    """What ``by_layout`` asks for many times: the sides that the text and the direction cell name, and that of a flag."""
+    first = lambda c: F.try_element_at(F.filter(F.map_entries(words), lambda e: F.contains(F.coalesce(c, F.lit("")), e["key"])), F.lit(1))["value"]
+    by_cell = first(told)
+    letter = F.upper(F.substring(F.regexp_replace(F.coalesce(told, F.lit("")), r"[^A-Za-z一-鿿]", ""), 1, 1))
+    flag = F.coalesce(F.when(letter == "C", "income").when(letter == "D", "expense"), by_cell)
+    other = F.when(flag == "income", "expense").when(flag == "expense", "income")
+    return {"by_text": first(text), "by_cell": by_cell, "flag": F.when(amount < 0, other).otherwise(flag)}  # a negative amount is a reversal
+
+
+def by_layout(amount: Column, credit: Column, debit: Column, text: Column, mode: str = "amount_mode", words: str = "direction_map", told: Column | None = None, side: Column | None = None, sides: dict[str, Column] | None = None) -> dict[str, Column]:
     """income, expense, neutral and issue_codes by the joined layout row: its ``amount_mode`` and ``direction_map`` columns decide.
 
     Modes: sign, separate, signed (columns that keep reversals), direction, flag (C or D, or the map's), reversal (negative
     amounts named as such count as income), wallet (what the map doesn't name is neutral), sheet (columns, else direction, else sign), filtered
     (all to the side that the file was filtered by, else by sign); ``balance`` is told before, by ``line_ledger``. ``text``: what tells the direction; ``told``: the row's
-    own direction cell, if that is another column; ``side``: the file's filter. An unknown mode gives 0 and an issue.
+    own direction cell, if that is another column; ``side``: the file's filter; ``sides``: ``told_sides``, if they are columns already. An unknown mode gives 0 and an issue.
     """
     m, none = F.col(mode), F.lit(None).cast("string")
     told, side = text if told is None else told, none if side is None else side
-    first = lambda c: F.try_element_at(F.filter(F.map_entries(words), lambda e: F.contains(F.coalesce(c, F.lit("")), e["key"])), F.lit(1))["value"]
-    by_text, by_cell = first(text), first(told)
-    letter = F.upper(F.substring(F.regexp_replace(F.coalesce(told, F.lit("")), r"[^A-Za-z一-鿿]", ""), 1, 1))
-    flag = F.coalesce(F.when(letter == "C", "income").when(letter == "D", "expense"), by_cell)
-    other = F.when(flag == "income", "expense").when(flag == "expense", "income")
-    flag = F.when(amount < 0, other).otherwise(flag)  # a negative amount is a reversal
+    by_text, by_cell, flag = (sides or told_sides(amount, text, told, words)).values()
     sheet = sheet_mode(credit, debit, amount, told, {})
     by_column = credit.isNotNull() | debit.isNotNull()
     sided = lambda of: _sides(F.when(of == "income", F.abs(amount)), F.when(of == "expense", F.abs(amount)))
@@ -428,12 +435,15 @@ def _by_layout_rows(rows: DataFrame, row_no: str) -> DataFrame:
     """Ledger rows from text fields (raw_time, raw_clock, raw_amount, raw_credit, raw_debit, raw_direction, raw_balance, raw_text) and the joined layout."""
     clock = F.regexp_replace("raw_clock", r"^(\d{2})(\d{2})(\d{2})$", "$1:$2:$3")
     told = F.coalesce("raw_direction", "raw_text")
-    df = rows.withColumns({"_amount": sheet_money(F.col("raw_amount")), "_credit": sheet_money(F.col("raw_credit")), "_debit": sheet_money(F.col("raw_debit")), "_told": told, "balance": sheet_money(F.col("raw_balance")), "transaction_time": sheet_timestamp(F.col("raw_time"), clock)})
+    read = {"_amount": sheet_money(F.col("raw_amount")), "_credit": sheet_money(F.col("raw_credit")), "_debit": sheet_money(F.col("raw_debit")), "_told": told, "balance": sheet_money(F.col("raw_balance")), "transaction_time": sheet_timestamp(F.col("raw_time"), clock)}
+    # generated, not projected: the condition on the time would be told twice
+    df = rows.drop(*read).select("*", F.inline(F.array(F.struct(*[v.alias(c) for c, v in read.items()])))).filter("transaction_time IS NOT NULL")
     side = F.col("filter_direction") if "filter_direction" in rows.columns else None
     wallet = F.when(F.col("amount_mode") == "sheet", F.col("raw_direction")).otherwise(F.col("_told"))
-    amounts = by_layout(F.col("_amount"), F.col("_credit"), F.col("_debit"), F.col("_told"), told=wallet, side=side)
+    sides = told_sides(F.col("_amount"), F.col("_told"), wallet)
+    amounts = by_layout(F.col("_amount"), F.col("_credit"), F.col("_debit"), F.col("_told"), told=wallet, side=side, sides={k: F.col(f"_{k}") for k in sides})
     flags = [c for c in ("preserve_signed", "balance_optional", "balance_tolerance", "order_policy", "shape") if c in rows.columns]
-    out = df.filter("transaction_time IS NOT NULL").withColumns(amounts)
+    out = df.select("*", F.inline(F.array(F.struct(*[v.alias(f"_{k}") for k, v in sides.items()])))).withColumns(amounts)
     # a neutral row moves nothing by rule, so it isn't one without an amount
     seen = F.array_except(row_codes(False), F.when(F.col("neutral"), F.array(F.lit("no_amount"))).otherwise(F.array().cast(NO_CODES)))
     missing = F.when(F.col("balance").isNull() & ~F.col("balance_optional"), F.array(F.lit("balance_missing"))).otherwise(F.array().cast(NO_CODES)) if "balance_optional" in rows.columns else F.array().cast(NO_CODES)
@@ -510,7 +520,9 @@ def cell_ledger(cells: DataFrame, layouts: DataFrame, words: dict[str, list[str]
     many = unpack_cells(rows.filter("shape = 'M'"))
     headed = with_roles(single.unionByName(many), words or WALLET_WORDS).join(sides, "file", "left")
     found = {c: cell({"text": "type"}.get(f, f)) for f, c in FIELDS.items()}
-    return _by_layout_rows(headed.filter(~F.exists("skip_keywords", lambda k: F.contains(F.array_join("cells", ""), k))).withColumns(found), "row_no")
+    kept = headed.filter(~F.exists("skip_keywords", lambda k: F.contains(F.array_join("cells", ""), k)))
+    # generated, not projected, as in line_ledger
+    return _by_layout_rows(kept.select("*", F.inline(F.array(F.struct(*[v.alias(c) for c, v in found.items()])))), "row_no")
 
 
 def word_ledger(words: DataFrame, anchors: DataFrame | None, layouts: DataFrame) -> DataFrame:

@@ -241,3 +241,15 @@ def test_rows_are_not_sent_to_their_layouts(spark, sf, name):
         if "BroadcastExchange" in line:
             assert not any("FileScan" in x for x in itertools.takewhile(lambda x: depth(x) > depth(line), lines[k + 1 :]))
     assert not any("SortMergeJoin [bank_id" in x or "SortMergeJoin [_bank" in x for x in lines)
+
+
+def test_a_cell_rows_time_is_told_once(spark):
+    cells = spark.createDataFrame([("f", "icbc", 1, 0, 0, ["交易日期", "交易金额", "余额"])], "file string, bank_id string, page_no int, table_no int, row_no int, cells array<string>")
+    plan = parse.cell_ledger(cells, layouts(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Filter" in x and "isnotnull(transaction_time" in x for x in plan.splitlines())  # the condition is on the time, not on what makes it
+
+
+def test_header_words_do_not_span_cells(spark):
+    df = spark.createDataFrame([(1, ["交易", "日期", "余 额", None]), (2, ["余额", "交易日期", "金额"])], "k int, cells array<string>")
+    got = {r.k: r.roles for r in df.select("k", parse.roles_of(F.col("cells"), parse.ROLE_WORDS).alias("roles")).collect()}
+    assert got == {1: {"date": 1, "balance": 2}, 2: {"date": 1, "amount": 2, "balance": 0}}
