@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,27 +102,56 @@ def _suffixes(whole: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(whole), F.lit(1))), lambda k: F.substr(whole, k))
 
 
-def _without(whole: Column, k: Column) -> Column:
-    return F.concat(F.substr(whole, F.lit(1), k - 1), F.substr(whole, k + 1))
+#: Digits before the point of figures whose cents fit a bigint (readings of longer ones are made as text), and places of digits in cents.
+LONGEST = 16
+PLACES = [10**n for n in range(LONGEST + 1, 1, -1)]
+
+
+def _dropped(cents: Column, place: Column) -> Column:
+    """The figure without its digit at a place."""
+    return F.call_function("div", cents, place * 10) * place + cents % place
+
+
+def _endings(x: Column) -> Column:
+    return F.transform(x["places"], lambda p: x["cents"] % (p * 10))
+
+
+def _one_dropped(x: Column, places: Column) -> Column:
+    return F.transform(places, lambda p: _dropped(x["cents"], p))
+
+
+def _two_dropped(x: Column) -> Column:
+    later = lambda k: F.slice(x["places"], k + 2, x["n"])
+    return F.flatten(F.transform(x["places"], lambda p, k: bound(_dropped(x["cents"], p), lambda rest: F.transform(later(k), lambda q: _dropped(rest, q)))))
 
 
-def _one_dropped(whole: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(whole), F.lit(1))), lambda k: _without(whole, k))
+def _only(where: Column, cents: Column) -> Column:
+    return F.when(where, cents).otherwise(F.array().cast("array<bigint>"))
 
 
-def _two_dropped(whole: Column) -> Column:
+def _counted(whole: Column, cents: Column) -> list[Column]:
+    """n, cents and places of a figure, for a struct; only n where it is too long."""
     n = F.length(whole)
-    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda a: F.transform(F.sequence(a + 1, n), lambda b: F.concat(F.substr(whole, F.lit(1), a - 1), F.substr(whole, a + 1, b - a - 1), F.substr(whole, b + 1))))
-    return F.when(n >= 2, F.flatten(pairs)).otherwise(F.array().cast("array<string>"))
+    return [n.alias("n"), F.when(n <= LONGEST, F.concat(whole, cents).cast("bigint")).alias("cents"), F.when(n <= LONGEST, F.slice(F.lit(PLACES), LONGEST + 1 - n, n)).alias("places")]
 
 
-def _distinct_values(texts: Column, keep) -> Column:
-    return F.array_distinct(F.filter(F.transform(F.array_distinct(texts), to_money), lambda v: v.isNotNull() & keep(v)))
+def _as_text(wholes: Column, cents: Column) -> Column:
+    read = F.transform(F.array_distinct(wholes), lambda w: to_money(F.concat(w, F.lit("."), cents)))
+    return F.transform(F.array_compact(read), lambda v: (v * 100).cast("bigint"))
+
+
+def _in_money(cents: Column) -> Column:
+    return F.transform(cents, lambda c: (c.cast("decimal(18,0)") * F.lit(Decimal("0.01"))).cast(MONEY)).cast(MONEY_ARRAY)
 
 
 def amount_candidates(text: Column) -> Column:
     """Plausible signed amounts of a noisy cell, most plausible first: suffixes of the digits, one digit dropped
     (up to five digits), an over-long last group of thousands repaired, three decimals cut to two."""
+    return _in_money(amount_cents(text))
+
+
+def amount_cents(text: Column) -> Column:
+    """``amount_candidates`` in cents."""
     plain = compact(text)
     three = F.flatten(F.transform(F.regexp_extract_all(plain, F.lit(r"[+-][\d,]*\d\.\d{3}"), 0), _three_places))
     matches = F.concat(F.filter(money_matches(text), is_signed), three)
@@ -131,19 +162,24 @@ def amount_candidates(text: Column) -> Column:
 
     def split(p):
         last = F.element_at(F.split(p["grouped"], ","), -1)
-        whole, head = F.translate(p["grouped"], ",", ""), F.translate(F.substr(p["grouped"], F.lit(1), F.length(p["grouped"]) - F.length(last)), ",", "")
-        return F.struct(p["sign"].alias("sign"), p["cents"].alias("cents"), whole.alias("whole"), last.alias("last"), head.alias("head"), ((F.length(last) > 3) & (F.length(last) < F.length(p["grouped"]))).alias("long"))
+        whole = F.translate(p["grouped"], ",", "")
+        long = (F.length(last) > 3) & (F.length(last) < F.length(p["grouped"]))
+        return F.struct(F.when(p["sign"] == "-", -1).otherwise(1).alias("sign"), whole.alias("whole"), p["cents"].alias("after"), F.when(long, F.length(last)).alias("last"), *_counted(whole, p["cents"]))
 
-    def texts(p):
-        long_group = F.when(p["long"], F.transform(_one_dropped(p["last"]), lambda x: F.concat(p["head"], x))).otherwise(F.array().cast("array<string>"))
-        short = F.when(F.length(p["whole"]) <= 5, F.filter(_one_dropped(p["whole"]), lambda x: x != "")).otherwise(F.array().cast("array<string>"))
-        return F.transform(F.concat(long_group, _suffixes(p["whole"]), short), lambda w: F.concat(p["sign"], w, F.lit("."), p["cents"]))
+    def counted(x):
+        long_group = _only(x["last"].isNotNull(), _one_dropped(x, F.slice(x["places"], x["n"] - x["last"] + 1, x["n"])))
+        return F.concat(long_group, _endings(x), _only((x["n"] > 1) & (x["n"] <= 5), _one_dropped(x, x["places"])))
+
+    def long(x):
+        head = x["n"] - x["last"]
+        long_group = F.when(x["last"].isNotNull(), F.transform(F.sequence(F.lit(1), x["last"]), lambda k: F.concat(F.substr(x["whole"], F.lit(1), head + k - 1), F.substr(x["whole"], head + k + 1)))).otherwise(F.array().cast("array<string>"))
+        return _as_text(F.concat(long_group, _suffixes(x["whole"])), x["after"])
 
     def readings(m):
-        return bound(parts(m), lambda p: bound(split(p), texts))
+        return bound(parts(m), lambda p: bound(split(p), lambda x: F.transform(F.when(x["n"] <= LONGEST, counted(x)).otherwise(long(x)), lambda c: c * x["sign"])))
 
-    found = _distinct_values(F.flatten(F.transform(matches, readings)), lambda v: F.abs(v) >= 0.01)
-    return bound(found, lambda values: F.when(F.size(values) > 0, values).otherwise(F.array_compact(F.array(signed_amount(text)))).cast(MONEY_ARRAY))
+    found = F.array_distinct(F.filter(F.flatten(F.transform(matches, readings)), lambda c: c != 0))
+    return bound(found, lambda values: F.when(F.size(values) > 0, values).otherwise(F.array_compact(F.array((signed_amount(text) * 100).cast("bigint")))))
 
 
 def _three_places(m: Column) -> Column:
@@ -153,21 +189,28 @@ def _three_places(m: Column) -> Column:
 
 def balance_candidates(text: Column) -> Column:
     """Plausible balances of a noisy cell, most plausible first: suffixes, then one or two digits dropped (up to nine digits)."""
+    return _in_money(balance_cents(text))
+
+
+def balance_cents(text: Column) -> Column:
+    """``balance_candidates`` in cents."""
     plain = compact(text)
     three = [F.flatten(F.transform(F.regexp_extract_all(t, F.lit(r"[+-]?\d[\d,]*\.\d{3}"), 0), lambda m: _three_places(F.regexp_replace(m, "^[+-]", "")))) for t in (plain, digits_only(plain))]
     matches = F.concat(money_matches(text), *three)
 
-    def texts(p):
-        whole = F.element_at(p, 1)
-        return bound(whole, lambda w: F.transform(F.concat(_suffixes(w), short(w)), lambda x: F.concat(x, F.lit("."), F.element_at(p, -1))))
+    def split(p):
+        whole, cents = F.element_at(p, 1), F.element_at(p, -1)
+        return F.struct(whole.alias("whole"), cents.alias("after"), *_counted(whole, cents))
 
-    def short(whole):
-        return F.when(F.length(whole) <= 9, F.filter(F.array_distinct(F.concat(_one_dropped(whole), _two_dropped(whole))), lambda x: x != "")).otherwise(F.array().cast("array<string>"))
+    def told(x):
+        short = x["n"] <= 9
+        counted = F.concat(_endings(x), _only(short & (x["n"] > 1), _one_dropped(x, x["places"])), _only(short & (x["n"] > 2), _two_dropped(x)))
+        return F.when(x["n"] <= LONGEST, counted).otherwise(_as_text(_suffixes(x["whole"]), x["after"]))
 
     def readings(m):
-        return bound(F.split(F.regexp_replace(F.translate(m, ",", ""), "^[+-]", ""), "\\."), texts)
+        return bound(F.split(F.regexp_replace(F.translate(m, ",", ""), "^[+-]", ""), "\\."), lambda p: bound(split(p), told))
 
-    return _distinct_values(F.flatten(F.transform(matches, readings)), lambda v: v >= 0).cast(MONEY_ARRAY)
+    return F.array_distinct(F.flatten(F.transform(matches, readings)))
 
 
 def directed_candidates(text: Column, direction: Column) -> Column:

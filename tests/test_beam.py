@@ -6,7 +6,9 @@ from random import Random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from ledgerline.functions import money
 from ledgerline.operators import beam, sequence
 
 SCHEMA = "account_no string, ingest_seq bigint, raw_amount string, raw_balance string"
@@ -124,3 +126,33 @@ def test_a_row_costs_less_than_a_sixth_of_what_it_costs_path_by_path(spark):
     assert len(got) == len(rows)
     assert {k: v for k, v in ((tuple(r[:2]), (int(r.amount * 100), int(r.balance * 100), r.issue)) for r in got) if k in want} == want
     assert took / len(rows) < each / 6, (took, each)
+
+
+def test_readings_are_counted_in_cents(spark):
+    # as many as from texts: endings, then one or two digits dropped, each value once; of 17 digits and more endings that fit alone
+    balances = ["7\n1,234.56", "5.00", "12.30", "0.07", "100,200.00", "987654321.10", "1234567890.12", "1111111111111111.99", "x"]
+    amounts = ["-9123.45", "+5.00", "+12.30", "-0.07", "-123456.78", "+1,2345.00", "-1111111111111111.99", "3.00", "x"]
+    drop = lambda w: [w[:k] + w[k + 1 :] for k in range(len(w))]
+
+    def texts(cell, most, twice):
+        whole, after = "".join(c for c in cell if c in "0123456789.").split(".")
+        found = [whole[k:] for k in range(len(whole))]
+        if len(whole) <= most:
+            found += drop(whole) + [whole[:i] + whole[i + 1 : j] + whole[j + 1 :] for i in range(len(whole)) for j in range(i + 1, len(whole)) if twice]
+        return list(dict.fromkeys(int(w + after) for w in found if w))
+
+    df = spark.createDataFrame(list(zip(amounts, balances)), "a string, b string")
+    got = df.select(money.amount_cents(df.a).alias("a"), money.balance_cents(df.b).alias("b"), money.amount_candidates(df.a).alias("x"), money.balance_candidates(df.b).alias("y")).collect()
+    assert [r.b for r in got] == [*(texts(c, 9, True) for c in balances[:-1]), []]
+    signed = [[v * (-1 if c[0] == "-" else 1) for v in texts(c, 5, False) if v] for c in amounts[:-1]]
+    signed[5] = [(v * 100) for v in (1345, 1245, 1235, 1234)]  # the group of thousands first
+    assert [r.a for r in got][:5] + [r.a for r in got][6:] == signed[:5] + signed[6:7] + [[300], []]
+    assert set(signed[5]) <= set(got[5].a[:4]) and got[5].a[4:] == [v for v in texts("12345.00", 5, False) if v not in got[5].a[:4]]
+    assert [[int(v * 100) for v in r.x] for r in got] == [r.a for r in got] and [[int(v * 100) for v in r.y] for r in got] == [r.b for r in got]
+    with_ansi = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        spark.conf.set("spark.sql.ansi.enabled", "false")
+        long = spark.createDataFrame([("-" + "9" * 20 + ".25",)], "t string").select(money.amount_cents(F.col("t")).alias("a"), money.balance_cents(F.col("t")).alias("b")).first()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", with_ansi)
+    assert long.b == [int("9" * n + "25") for n in range(16, 0, -1)] and long.a == [-v for v in long.b]
