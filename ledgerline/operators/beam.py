@@ -22,9 +22,9 @@ def _spread(starts, counts):
     return np.arange(len(which)) + (starts - np.cumsum(counts) + counts)[which], which
 
 
-def _table(values, starts, counts, fill):
-    """A line for each start, filled up to the longest; and which cells are values."""
-    k = np.arange(counts.max(initial=1))
+def _table(values, starts, counts, fill, width=None):
+    """A line for each start, filled up to the longest or to a width; and which cells are values."""
+    k = np.arange(width or counts.max(initial=1))
     inside = k < counts[:, None]
     return np.where(inside, values[np.where(inside, starts[:, None] + k, 0)], fill), inside
 
@@ -96,7 +96,7 @@ def _linked(cells, row, previous):
             keep = longer | (want.ravel()[at] >= 0)
             found.append((2 * at + longer << 32 | cells.rank[starts[at // width] + nth])[keep])
     best = np.sort(np.concatenate(found))  # of an amount the balance itself is best, then the first that ends it
-    best = best[np.diff(best >> 33, prepend=-1) != 0]
+    best = best[np.append(True, best[1:] >> 33 != best[:-1] >> 33)[: len(best)]]
     at, ends, rank = best >> 33, best >> 32 & 1, best & 2**32 - 1
     pair, nth = np.divmod(at, width)
 
@@ -165,8 +165,8 @@ class Beams:
         balance = np.where(live, self.balance[:n], self.balance[:n, :1]) * follows[:, None]
         order = np.argsort(balance, axis=1)
         ranked = np.take_along_axis(balance, order, 1)
-        new = np.diff(ranked, axis=1, prepend=ranked[:, :1]) != 0
-        new[:, 0] = True
+        new = np.ones(ranked.shape, bool)
+        new[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
         pair = np.empty((n, self.width), np.int64)
         np.put_along_axis(pair, order, np.cumsum(new).reshape(n, -1) - 1, 1)
         whose = np.nonzero(new)[0]
@@ -184,13 +184,13 @@ class Beams:
         else:
             nth = nth[np.lexsort((more, owner))]
         self.paths[:n] = np.minimum(grown, self.width)
-        nth, inside = _table(nth, start, self.paths[:n], 0)
+        nth, inside = _table(nth, start, self.paths[:n], 0, self.width)
         at = start[:, None] + nth
-        wide = lambda x: np.pad(np.where(inside, x, 0), ((0, 0), (0, self.width - x.shape[1])))
-        self.cost[:n], self.balance[:n], self.known[:n] = wide(cost[at]), wide(b[option[at]]), cells.b_n[rows] > 0
+        taken = option[at]
+        self.cost[:n], self.balance[:n], self.known[:n] = np.where(inside, cost[at], 0), np.where(inside, b[taken], 0), cells.b_n[rows] > 0
         if np.abs(self.balance[:n]).max() > LARGEST:
             raise OverflowError("balances beyond 64 bits of cents")
-        return wide(path[which[at]]).astype(np.int16), wide(a[option[at]]), self.balance[:n].copy()
+        return path[which[at]].astype(np.int16), a[taken], self.balance[:n].copy()
 
 
 def _told(rows, start, has, amount, balance, sure):
